@@ -93,7 +93,7 @@ def after_first_line(col) -> Column:
 def map_severity(col, mapping: dict[str, str] | None = None) -> Column:
     """Raw severity -> level via a literal map; unknown -> null."""
     mapping = DEFAULT_SEVERITY_MAP if mapping is None else mapping
-    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    m = F.create_map(*[F.lit(x) for k, v in mapping.items() for x in (k.strip().lower(), v)])
     key = F.lower(strip_ws(_c(col).cast("string")))
     return F.try_element_at(m, key)
 

@@ -81,3 +81,424 @@ def q_vector_pairs(spark, sf):
 def q_text_pairs(spark, sf):
     """Exact-copy pairs of documents (later copy -> lowest doc_id)."""
     return td.text_pairs(spark, sf)
+
+
+# ------------------------------------------------------------ SQL fragments
+
+from tessera.functions import text as T  # noqa: E402
+from tessera.operators import agreement as AG  # noqa: E402
+from tessera.operators import stats as ST  # noqa: E402
+from tessera.sources import ingest as IN  # noqa: E402
+
+EDGE = T.EDGE_WS_PATTERN.replace("'", "''")
+WORD = T.WORD_PATTERN
+
+
+def s_strip(e: str) -> str:
+    return f"regexp_replace({e}, '{EDGE}', '', 'g')"
+
+
+def s_words(e: str) -> str:
+    return f"CAST(len(regexp_extract_all(coalesce({e}, ''), '{WORD}')) AS INTEGER)"
+
+
+def s_compose(comp: str, summ: str, desc: str) -> str:
+    c, s, d = (s_strip(f"coalesce({x}, '')") for x in (comp, summ, desc))
+    head = f"(CASE WHEN {c} <> '' THEN '[' || {c} || '] ' || {s} ELSE {s} END)"
+    return (f"(CASE WHEN {d} <> '' AND {d} <> 'nan' THEN {s_strip(head + ' || chr(10) || ' + d)} "
+            f"ELSE {head} END)")
+
+
+def s_severity(e: str, mapping: dict[str, str]) -> str:
+    whens = " ".join(f"WHEN '{k.strip().lower()}' THEN '{v}'" for k, v in mapping.items())
+    return f"(CASE lower({s_strip(e)}) {whens} END)"
+
+
+def s_wilson(c: str, n: str, z: float = ST.Z_95) -> tuple[str, str]:
+    p = f"({c}::DOUBLE / {n})"
+    den = f"(1 + {z}*{z} / {n})"
+    centre = f"(({p} + {z}*{z} / (2.0 * {n})) / {den})"
+    half = f"({z} * sqrt({p} * (1 - {p}) / {n} + {z}*{z} / (4.0 * {n} * {n})) / {den})"
+    return f"{centre} - {half}", f"{centre} + {half}"
+
+
+# ------------------------------------------------------- text and reports
+
+@register("compose_text", with_views(f"""
+    SELECT id, role, {s_compose('component', 'summary', 'description')} AS text,
+           {s_words('description')} AS desc_words
+    FROM reports""", "reports"))
+def q_compose_text(spark, sf):
+    """Report text and description word count over all documents."""
+    return ST.with_text(td.reports(spark, sf)).select("id", "role", "text", "desc_words")
+
+
+@register("clip_text", with_views(f"""
+    SELECT id, left(t, 8000) AS text_8000, left(summary, 200) AS summary_200,
+           left(summary, 120) AS summary_120, length(left(description, 1200)) AS desc_1200_chars,
+           length(left(description, 4000)) AS desc_4000_chars, left(t, 2000) AS judge_2000
+    FROM (SELECT *, {s_compose('component', 'summary', 'description')} AS t FROM reports)""", "reports"))
+def q_clip_text(spark, sf):
+    """Character budgets applied to text, summary and description."""
+    r = ST.with_text(td.reports(spark, sf))
+    return r.select("id", T.clip("text", 8000).alias("text_8000"), T.clip("summary", 200).alias("summary_200"),
+                    T.clip("summary", 120).alias("summary_120"),
+                    F.length(T.clip("description", 1200)).alias("desc_1200_chars"),
+                    F.length(T.clip("description", 4000)).alias("desc_4000_chars"),
+                    T.clip("text", 2000).alias("judge_2000"))
+
+
+@register("judge_text", with_views("""
+    SELECT id, left('[' || coalesce(component, '') || '] ' || coalesce(summary, '') || chr(10)
+                    || coalesce(description, ''), 2000) AS judge_text
+    FROM reports""", "reports"))
+def q_judge_text(spark, sf):
+    """P10: judge text of every report, clipped to 2,000 characters."""
+    r = td.reports(spark, sf)
+    return r.select("id", T.clip(T.judge_text("component", "summary", "description"), 2000).alias("judge_text"))
+
+
+@register("map_severity", with_views(f"""
+    SELECT id, severity, {s_severity('severity', td.ORDER_PRIORITY_SEVERITY)} AS level
+    FROM severity_reports""", "severity_reports"))
+def q_map_severity(spark, sf):
+    """Raw priorities normalised to high/med/low, unknown -> null."""
+    r = td.severity_reports(spark, sf)
+    return r.select("id", "severity", T.map_severity(F.col("severity"), td.ORDER_PRIORITY_SEVERITY).alias("level"))
+
+
+@register("clean_label", """
+    SELECT doc_id AS cluster,
+           coalesce(left(trim(trim(regexp_replace(split_part(
+               regexp_replace(nullif(regexp_replace(text, '""" + EDGE + """', '', 'g'), ''),
+                              '""" + T.LINE_BREAK_PATTERN + """', chr(10), 'g'),
+               chr(10), 1), '""" + EDGE + """', '', 'g'), '"'), '.'), 40),
+                    'cluster ' || doc_id) AS label
+    FROM documents""")
+def q_clean_label(spark, sf):
+    """Cluster names cleaned from free text (first line, quotes, dots, 40 chars)."""
+    d = td.table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("cluster"), T.clean_label(F.col("text"), F.col("doc_id")).alias("label"))
+
+
+@register("year_range", with_views("""
+    SELECT min(year(creation_time)) AS first_year, max(year(creation_time)) AS last_year
+    FROM severity_reports""", "severity_reports"))
+def q_year_range(spark, sf):
+    """First and last creation year."""
+    return IN.year_range(td.severity_reports(spark, sf), "creation_time")
+
+
+@register("as_id", """
+    SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+def q_as_id(spark, sf):
+    """Null-safe id cast of a value carried as text."""
+    e = td.table(spark, sf, "events")
+    return e.select("event_id", T.as_id(F.get_json_object("props", "$.k")).alias("k"))
+
+
+@register("eligible_pool", with_views(f"""
+    SELECT id, component FROM reports WHERE {s_words('description')} >= 40""", "reports"))
+def q_eligible(spark, sf):
+    """P5: candidate pool of reports with at least 40 description words."""
+    return ST.eligible(ST.with_text(td.reports(spark, sf))).select("id", "component")
+
+
+# ------------------------------------------------------------ statistics
+
+@register("corpus_profile", with_views(f"""
+    SELECT r.n_reports, r.desc_coverage, r.median_desc_words, p.n_pairs, p.n_masters FROM
+      (SELECT count(*) AS n_reports, round(avg(CASE WHEN w > 0 THEN 1.0 ELSE 0.0 END), 6) AS desc_coverage,
+              CAST(median(w) FILTER (WHERE w > 0) AS DOUBLE) AS median_desc_words
+       FROM (SELECT {s_words('description')} AS w FROM reports)) r,
+      (SELECT count(*) AS n_pairs, count(DISTINCT master_id) AS n_masters FROM text_pairs) p
+    """, "reports", "text_pairs"))
+def q_corpus_profile(spark, sf):
+    """A1: rows, pairs, masters, description coverage, median words."""
+    p = ST.corpus_profile(ST.with_text(td.reports(spark, sf)), td.text_pairs(spark, sf))
+    return p.withColumn("desc_coverage", r6(F.col("desc_coverage")))
+
+
+@register("role_counts", with_views("SELECT role, count(*) AS n FROM reports GROUP BY role", "reports"))
+def q_role_counts(spark, sf):
+    """A2: reports per role."""
+    return ST.counts_by(td.reports(spark, sf), "role")
+
+
+@register("component_counts", with_views("""
+    SELECT component, count(*) AS n FROM reports GROUP BY component""", "reports"))
+def q_component_counts(spark, sf):
+    """A3: reports per component."""
+    return ST.counts_by(td.reports(spark, sf), "component")
+
+
+@register("taxonomy", with_views("""
+    SELECT DISTINCT component FROM reports WHERE component IS NOT NULL""", "reports"))
+def q_taxonomy(spark, sf):
+    """Distinct component names, nulls dropped, sorted."""
+    from tessera.sources.readers import taxonomy
+    return taxonomy(td.reports(spark, sf))
+
+
+def _prevalence_sql(src: str, by: str, top: int, views: tuple[str, ...]) -> str:
+    lo, hi = s_wilson("count", "total")
+    return with_views(f"""
+    SELECT {by}, count, round(share, 6) AS share, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi,
+           round(share - ci_lo, 6) AS err_lo, round(ci_hi - share, 6) AS err_hi
+    FROM (SELECT {by}, count, count::DOUBLE / total AS share, {lo} AS ci_lo, {hi} AS ci_hi
+          FROM (SELECT {by}, count(*) AS count, sum(count(*)) OVER () AS total
+                FROM {src} WHERE {by} IS NOT NULL GROUP BY {by}))
+    ORDER BY count DESC, {by} LIMIT {top}""", *views)
+
+
+def _prevalence_df(df, by, top):
+    out = ST.error_bars(ST.prevalence(df, by, top))
+    return out.select(by, "count", *[r6(F.col(c)).alias(c) for c in
+                                     ("share", "ci_lo", "ci_hi", "err_lo", "err_hi")])
+
+
+@register("prevalence_themes", _prevalence_sql("vectors", "label", 12, ("vectors",)))
+def q_prevalence_themes(spark, sf):
+    """A4/R2: theme (label) shares with Wilson 95 % intervals and error bars."""
+    return _prevalence_df(td.vectors(spark, sf), "label", 12)
+
+
+@register("prevalence_components", _prevalence_sql("reports", "component", 12, ("reports",)))
+def q_prevalence_components(spark, sf):
+    """Top 12 components by count, ties by name, Wilson intervals."""
+    return _prevalence_df(td.reports(spark, sf), "component", 12)
+
+
+@register("top_languages", """
+    SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang LIMIT 3""")
+def q_top_languages(spark, sf):
+    """Top 3 values by count with ties by value."""
+    return ST.top_counts(td.table(spark, sf, "documents"), "lang", 3)
+
+
+@register("component_prior", with_views(f"""
+    WITH r AS (SELECT id, component, summary,
+                      {s_severity('severity', td.ORDER_PRIORITY_SEVERITY)} AS level FROM severity_reports),
+    per AS (SELECT component, count(*) AS n_bugs, count(level) AS n_triaged FROM r GROUP BY component),
+    lv AS (SELECT component, level, count(*) AS n FROM r WHERE level IS NOT NULL GROUP BY ALL),
+    typ AS (SELECT component, level AS typical_severity FROM
+              (SELECT *, row_number() OVER (PARTITION BY component ORDER BY n DESC, level) AS rn FROM lv)
+            WHERE rn = 1),
+    dist AS (SELECT component, map_from_entries(list({{'k': level, 'v': round(n::DOUBLE / t, 6)}} ORDER BY level))
+                    AS severity_dist
+             FROM (SELECT *, sum(n) OVER (PARTITION BY component) AS t FROM lv) GROUP BY component),
+    ex AS (SELECT component, list(summary ORDER BY id) AS example_summaries FROM
+             (SELECT *, row_number() OVER (PARTITION BY component ORDER BY id) AS rn FROM r)
+           WHERE rn <= 3 GROUP BY component)
+    SELECT per.component, n_bugs, n_triaged, typical_severity, severity_dist, example_summaries
+    FROM per LEFT JOIN typ USING (component) LEFT JOIN dist USING (component) LEFT JOIN ex USING (component)
+    """.replace("WITH r AS", ", r AS", 1), "severity_reports"))
+def q_component_prior(spark, sf):
+    """Per-component severity prior with typical level and examples."""
+    return ST.component_prior(td.severity_reports(spark, sf), td.ORDER_PRIORITY_SEVERITY).select(
+        "component", "n_bugs", "n_triaged", "typical_severity", "severity_dist", "example_summaries")
+
+
+# ------------------------------------------------------------- agreement
+
+_KAPPA_SQL = """
+    WITH c AS (SELECT rater_a, rater_b, count(*) AS n FROM ratings
+               WHERE rater_a IS NOT NULL AND rater_b IS NOT NULL GROUP BY ALL),
+    t AS (SELECT sum(n) AS total, sum(CASE WHEN rater_a = rater_b THEN n ELSE 0 END) AS agree FROM c),
+    ma AS (SELECT rater_a AS v, sum(n) AS na FROM c GROUP BY 1),
+    mb AS (SELECT rater_b AS v, sum(n) AS nb FROM c GROUP BY 1),
+    m AS (SELECT sum(coalesce(na, 0) * coalesce(nb, 0)) AS pe_num FROM ma FULL JOIN mb USING (v))
+    SELECT CAST(coalesce(total, 0) AS BIGINT) AS n, round(agree::DOUBLE / total, 6) AS po,
+           round(coalesce(pe_num, 0)::DOUBLE / (total::DOUBLE * total), 6) AS pe,
+           round(CASE WHEN total > 0 AND coalesce(pe_num, 0)::DOUBLE / (total::DOUBLE * total) < 1
+                 THEN (agree::DOUBLE / total - coalesce(pe_num, 0)::DOUBLE / (total::DOUBLE * total))
+                      / (1 - coalesce(pe_num, 0)::DOUBLE / (total::DOUBLE * total)) END, 6) AS kappa
+    FROM t, m"""
+
+
+@register("cohen_kappa", with_views(_KAPPA_SQL.replace("WITH c AS", ", c AS", 1), "ratings"))
+def q_cohen_kappa(spark, sf):
+    """Cohen's kappa between the two label columns."""
+    k = AG.cohen_kappa(td.ratings(spark, sf), "rater_a", "rater_b")
+    return k.select("n", *[r6(F.col(c)).alias(c) for c in ("po", "pe", "kappa")])
+
+
+@register("confusion", with_views("""
+    SELECT g.a AS rater_a, g.b AS rater_b, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+    FROM (SELECT a, b FROM (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b)) g
+    LEFT JOIN (SELECT rater_a, rater_b, count(*) AS n FROM ratings GROUP BY ALL) c
+      ON c.rater_a = g.a AND c.rater_b = g.b""", "ratings"))
+def q_confusion(spark, sf):
+    """2x2 confusion matrix with zeros kept."""
+    return AG.confusion(td.ratings(spark, sf), "rater_a", "rater_b", (0, 1))
+
+
+@register("rating_summary", with_views("""
+    SELECT u.n_used, round(u.ra, 6) AS rater_a_positive_rate, round(u.rb, 6) AS rater_b_positive_rate,
+           u.pa AS rater_a_positive, u.pb AS rater_b_positive, t.n_total, t.n_total - u.n_used AS n_held_out
+    FROM (SELECT count(*) AS n_used, avg(rater_a::DOUBLE) AS ra, avg(rater_b::DOUBLE) AS rb,
+                 CAST(sum(rater_a) AS BIGINT) AS pa, CAST(sum(rater_b) AS BIGINT) AS pb
+          FROM ratings WHERE id NOT IN (SELECT id FROM reports WHERE role = 'master')) u,
+         (SELECT count(*) AS n_total FROM ratings) t""", "ratings", "reports"))
+def q_rating_summary(spark, sf):
+    """Positive rates with master documents held out as anchors."""
+    held = td.reports(spark, sf).filter(F.col("role") == "master").select("id")
+    s = AG.rating_summary(td.ratings(spark, sf), "rater_a", "rater_b", held)
+    return s.select("n_used", r6(F.col("rater_a_positive_rate")).alias("rater_a_positive_rate"),
+                    r6(F.col("rater_b_positive_rate")).alias("rater_b_positive_rate"),
+                    "rater_a_positive", "rater_b_positive", "n_total", "n_held_out")
+
+
+@register("hold_out", with_views("""
+    SELECT id, rater_a, rater_b FROM ratings
+    WHERE id NOT IN (SELECT id FROM reports WHERE role = 'master')""", "ratings", "reports"))
+def q_hold_out(spark, sf):
+    """Label rows with the held-out anchor ids removed."""
+    held = td.reports(spark, sf).filter(F.col("role") == "master").select("id")
+    return AG.hold_out(td.ratings(spark, sf), held)
+
+
+@register("usable_labels", """
+    SELECT doc_id AS id, CAST(quality AS INTEGER) AS human_good FROM labels
+    WHERE TRY_CAST(CAST(quality AS VARCHAR) AS DOUBLE) IN (0, 1)""")
+def q_usable_labels(spark, sf):
+    """Rows with a 0/1 label after a numeric cast."""
+    lab = td.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("human_good"))
+    return AG.usable_labels(lab)
+
+
+@register("has_annotations", """
+    SELECT coalesce(max(TRY_CAST(CAST(quality AS VARCHAR) AS DOUBLE) IN (0, 1)), false) AS annotated
+    FROM labels""")
+def q_has_annotations(spark, sf):
+    """Does the label table hold at least one 0/1 label?"""
+    return AG.has_annotations(td.table(spark, sf, "labels"), "quality")
+
+
+@register("align_ratings", """
+    SELECT a.doc_id AS id, a.quality, b.toxic FROM labels a JOIN labels b ON a.doc_id = b.doc_id""")
+def q_align_ratings(spark, sf):
+    """Two raters aligned by id."""
+    lab = td.table(spark, sf, "labels").withColumnRenamed("doc_id", "id")
+    return AG.align_ratings(lab, lab, "quality", "toxic")
+
+
+@register("binarise_score", """
+    SELECT event_id, coalesce(CAST(value >= 5 AS INTEGER), 0) AS good FROM events""")
+def q_binarise_score(spark, sf):
+    """Scores binarised at threshold 5, unreadable -> 0."""
+    e = td.table(spark, sf, "events")
+    return e.select("event_id", T.binarise_score(F.col("value"), 5).alias("good"))
+
+
+# ---------------------------------------------------------- merge, ingest
+
+_SOURCES_SQL = """
+    tagged AS (
+      SELECT doc_id AS id, 'master' AS role FROM documents WHERE lang IN ('en', 'de')
+      UNION ALL SELECT doc_id, 'corpus' FROM documents WHERE lang IN ('en', 'fr', 'es')
+      UNION ALL SELECT id, 'dup' FROM reports WHERE role = 'dup')"""
+
+
+def _sources(spark, sf):
+    d = td.table(spark, sf, "documents")
+    masters = d.filter(F.col("lang").isin("en", "de")).select(F.col("doc_id").alias("id"))
+    extra = d.filter(F.col("lang").isin("en", "fr", "es")).select(F.col("doc_id").alias("id"))
+    dups = td.reports(spark, sf).filter(F.col("role") == "dup").select("id")
+    return masters, extra, dups
+
+
+@register("merge_sources", with_views(f"""
+    , {_SOURCES_SQL.strip()}
+    SELECT id, role FROM (
+      SELECT *, row_number() OVER (PARTITION BY id ORDER BY
+               CASE role WHEN 'dup' THEN 0 WHEN 'master' THEN 1 ELSE 2 END) AS rn FROM tagged)
+    WHERE rn = 1""", "reports"))
+def q_merge_sources(spark, sf):
+    """Three overlapping sources merged, unique by id, dup > master > corpus."""
+    return IN.merge_sources(*_sources(spark, sf)).select("id", "role")
+
+
+_DUPS_SQL = "SELECT g.doc_id AS id, g.master_id AS dupe_of FROM text_groups g WHERE g.doc_id <> g.master_id"
+
+
+def _dups(spark, sf):
+    return td.text_pairs(spark, sf).select(F.col("dup_id").alias("id"), F.col("master_id").alias("dupe_of"))
+
+
+@register("labelled_dups", with_views("""
+    SELECT r.id, CAST(g.master_id AS BIGINT) AS dupe_of FROM reports r JOIN text_groups g ON r.id = g.doc_id
+    WHERE r.role = 'dup'""", "reports"))
+def q_labelled_dups(spark, sf):
+    """Rows whose dupe_of is set, as ids."""
+    r = td.reports(spark, sf)
+    g = td.text_pairs(spark, sf).select(F.col("dup_id").alias("id"), F.col("master_id").cast("string").alias("dupe_of"))
+    rows = r.join(g, "id", "left")
+    return IN.labelled_dups(rows).select("id", "dupe_of")
+
+
+@register("distinct_masters", with_views("SELECT DISTINCT master_id FROM text_pairs", "text_pairs"))
+def q_distinct_masters(spark, sf):
+    """Distinct master ids named by duplicates."""
+    return IN.distinct_masters(_dups(spark, sf))
+
+
+@register("masters_for", with_views("""
+    SELECT id, component FROM reports WHERE id IN (SELECT master_id FROM text_pairs)""", "reports", "text_pairs"))
+def q_masters_for(spark, sf):
+    """Corpus rows that a duplicate points to."""
+    return IN.masters_for(_dups(spark, sf), td.reports(spark, sf)).select("id", "component")
+
+
+@register("usable_pairs", with_views("""
+    SELECT p.dup_id, p.master_id FROM text_pairs p
+    WHERE p.master_id IN (SELECT doc_id FROM documents WHERE lang IN ('en', 'de'))""", "text_pairs"))
+def q_usable_pairs(spark, sf):
+    """Pairs whose master is in the (English/German) corpus slice."""
+    corpus = td.table(spark, sf, "documents").filter(F.col("lang").isin("en", "de")).select(
+        F.col("doc_id").alias("id"))
+    return IN.usable_pairs(_dups(spark, sf), corpus)
+
+
+@register("attach_descriptions", with_views("""
+    SELECT v.id, coalesce(r.description, '') AS description
+    FROM vectors v LEFT JOIN reports r ON v.id = r.id""", "vectors", "reports"))
+def q_attach_descriptions(spark, sf):
+    """Descriptions attached by id with '' when absent."""
+    desc = td.reports(spark, sf).select("id", F.col("description").alias("text"))
+    return IN.attach_descriptions(td.vectors(spark, sf).select("id"), desc)
+
+
+@register("unembedded", """
+    SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
+def q_unembedded(spark, sf):
+    """Documents without a stored vector (left anti join)."""
+    ids = td.table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    return IN.missing_ids(ids, td.vectors(spark, sf))
+
+
+@register("with_vectors", with_views("""
+    SELECT r.id, r.component, v.label, len(v.embedding) AS dims
+    FROM reports r JOIN vectors v ON r.id = v.id""", "reports", "vectors"))
+def q_with_vectors(spark, sf):
+    """Reports aligned with their vectors by id."""
+    from tessera.sources.readers import with_vectors
+    j = with_vectors(td.reports(spark, sf), td.vectors(spark, sf))
+    return j.select("id", "component", "label", F.size("embedding").alias("dims"))
+
+
+@register("vectors_for", """
+    SELECT l.doc_id AS id, e.embedding FROM labels l JOIN embeddings e ON l.doc_id = e.vec_id""")
+def q_vectors_for(spark, sf):
+    """Batch vector get by id list; absent ids skipped."""
+    from tessera.sources.readers import vectors_for
+    ids = td.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return vectors_for(ids, td.vectors(spark, sf)).select("id", "embedding")
+
+
+@register("stored_ids", """
+    SELECT count(*) AS n_vectors, count(DISTINCT vec_id) AS n_ids FROM embeddings""")
+def q_stored_ids(spark, sf):
+    """Size of the vector table and its distinct ids."""
+    from tessera.sources.readers import stored_ids
+    return stored_ids(td.vectors(spark, sf))
