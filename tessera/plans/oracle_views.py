@@ -40,8 +40,13 @@ VIEWS: dict[str, str] = {
         SELECT conv_id AS run_id, turn AS step, role AS node, text FROM conversations""",
     "ratings": """
         SELECT doc_id AS id, quality AS rater_a, toxic AS rater_b FROM labels""",
-    # Exact cosine top 10 per vector, self excluded, ties by id.
-    "knn10": """
+}
+
+
+
+def _knn(k: int) -> str:
+    """Exact cosine top ``k`` per vector, self excluded, ties by id."""
+    return f"""
         SELECT qid, CAST(rn AS INTEGER) AS rank, id, sim FROM (
           SELECT qid, id, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rn FROM (
             SELECT a.vec_id AS qid, b.vec_id AS id,
@@ -50,8 +55,29 @@ VIEWS: dict[str, str] = {
                         * sqrt(list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))
                      AS sim
             FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id))
-        WHERE rn <= 10""",
-}
+        WHERE rn <= {k}"""
+
+
+VIEWS["knn10"] = _knn(10)
+VIEWS["knn6"] = _knn(6)
+# Label centroids (mean per dimension).
+VIEWS["centroids"] = """
+        SELECT label, list(x ORDER BY pos) AS centroid FROM (
+          SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM (
+            SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings)
+          GROUP BY label, pos)
+        GROUP BY label"""
+# Per-point exact Euclidean silhouette over the label clusters.
+VIEWS["silhouette_points"] = """
+        WITH pd AS (SELECT a.vec_id AS id, a.label AS own, b.label AS other,
+                           list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d
+                    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+        m AS (SELECT id, own, other, avg(d) AS md FROM pd GROUP BY ALL),
+        ab AS (SELECT id, own, max(CASE WHEN own = other THEN md END) AS a,
+                      min(CASE WHEN own <> other THEN md END) AS b FROM m GROUP BY id, own)
+        SELECT id, own AS label, a, b,
+               CASE WHEN b IS NULL THEN NULL WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s
+        FROM ab"""
 
 # Views that other views read (resolved in this order).
 _DEPENDS = {
