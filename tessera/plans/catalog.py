@@ -768,3 +768,234 @@ def q_knn_lsh(spark, sf):
     """J4 (lsh): approximate top 10 per vector by random-projection LSH."""
     v = td.vectors(spark, sf)
     return V.knn_join_lsh(v, v, k=10)
+
+
+# ------------------------------------------------- extraction and traces
+
+from tessera.operators import extraction as XO  # noqa: E402
+from tessera.operators import trace as TR  # noqa: E402
+
+_DT = """
+    , dt AS (SELECT run_id, step, CASE node WHEN 'user' THEN 'research' WHEN 'assistant' THEN 'extract'
+                    WHEN 'system' THEN 'critique' ELSE node END AS node, text FROM trace)"""
+
+_SIG = ("string_agg(CASE node WHEN 'research' THEN 'R' WHEN 'extract' THEN 'E' WHEN 'critique' THEN 'C' "
+        "WHEN 'FINISH' THEN 'F' ELSE upper(left(node, 1)) END, '→' ORDER BY step) || '  (' || count(*) || ')'")
+
+
+def s_lenient(t: str) -> str:
+    span = f"regexp_extract({t}, '(?s)\\{{.*\\}}')"
+    return f"(CASE WHEN json_valid({t}) THEN {t} WHEN json_valid({span}) THEN {span} END)"
+
+
+def s_field(p: str, name: str) -> str:
+    return f"(CASE WHEN json_type({p}, '$.{name}') = 'VARCHAR' THEN json_extract_string({p}, '$.{name}') END)"
+
+
+def s_reason(p: str) -> str:
+    area, sev, kind = s_field(p, "area"), s_field(p, "severity"), s_field(p, "kind")
+    sevs = ", ".join(f"'{x}'" for x in EX_SEVERITIES)
+    kinds = ", ".join(f"'{x}'" for x in EX_KINDS)
+    return (f"(CASE WHEN {p} IS NULL OR json_type({p}) <> 'OBJECT' THEN 'not a JSON object' "
+            f"WHEN {area} IS NULL OR {s_strip(area)} = '' THEN 'missing ''area''' "
+            f"WHEN {sev} IS NULL OR {sev} NOT IN ({sevs}) THEN 'bad ''severity''' "
+            f"WHEN {kind} IS NULL OR {kind} NOT IN ({kinds}) THEN 'bad ''kind''' ELSE '' END)")
+
+
+from tessera.functions.extraction import KINDS as EX_KINDS, SEVERITIES as EX_SEVERITIES  # noqa: E402
+
+
+@register("trajectory", with_views(_DT + """
+    SELECT run_id, string_agg(node, ' → ' ORDER BY step) AS trajectory FROM dt GROUP BY run_id""", "trace"))
+def q_trajectory(spark, sf):
+    """Per run, decisions in order joined by ' → '."""
+    return TR.trajectory(td.decision_trace(spark, sf))
+
+
+@register("signatures", with_views(_DT + f"""
+    SELECT run_id, {_SIG} AS signature FROM dt GROUP BY run_id""", "trace"))
+def q_signatures(spark, sf):
+    """Per run signature such as 'C→R→E  (3)'."""
+    return TR.signatures(td.decision_trace(spark, sf))
+
+
+@register("trajectory_counts", with_views(_DT + f"""
+    SELECT signature, count(*) AS n FROM (SELECT run_id, {_SIG} AS signature FROM dt GROUP BY run_id)
+    GROUP BY signature ORDER BY n DESC, signature LIMIT 8""", "trace"))
+def q_trajectory_counts(spark, sf):
+    """The 8 most frequent trajectory signatures."""
+    return TR.trajectory_counts(td.decision_trace(spark, sf), 8)
+
+
+@register("trajectory_summary", with_views(_DT + f"""
+    SELECT count(*) AS n_runs, count(DISTINCT signature) AS n_distinct
+    FROM (SELECT run_id, {_SIG} AS signature FROM dt GROUP BY run_id)""", "trace"))
+def q_trajectory_summary(spark, sf):
+    """Runs and distinct trajectories."""
+    return TR.trajectory_summary(td.decision_trace(spark, sf))
+
+
+@register("extract_counts", with_views(_DT + """
+    SELECT run_id, CAST(count(*) FILTER (WHERE node = 'extract') AS INTEGER) AS n_extract,
+           CAST(count(*) AS INTEGER) AS steps, bool_or(node = 'research') AS used_research
+    FROM dt GROUP BY run_id""", "trace"))
+def q_extract_counts(spark, sf):
+    """Extractions, steps and research use per run."""
+    return TR.extract_counts(td.decision_trace(spark, sf))
+
+
+@register("tool_usage", with_views(_DT + """
+    SELECT node AS tool, count(*) AS calls, count(*) FILTER (WHERE text LIKE '%"error"%') AS errors,
+           count(DISTINCT run_id) AS runs
+    FROM dt GROUP BY node""", "trace"))
+def q_tool_usage(spark, sf):
+    """Calls, error replies and runs per tool."""
+    return TR.tool_usage(td.decision_trace(spark, sf))
+
+
+@register("evidence_digest", with_views(_DT + """
+    SELECT run_id, list_slice(a, greatest(len(a) - 5, 1), len(a)) AS digest
+    FROM (SELECT run_id, list(coalesce(node, 'note') ORDER BY step) AS a FROM dt GROUP BY run_id)""", "trace"))
+def q_evidence_digest(spark, sf):
+    """The last 6 evidence items of every run."""
+    return TR.evidence_digest(td.decision_trace(spark, sf), 6)
+
+
+_STATE = f"""
+    , st AS (
+      SELECT *, CAST(row_number() OVER w - 1 AS INTEGER) AS idx,
+             coalesce(last_value(CASE WHEN node = 'extract' THEN {s_lenient('text')} IS NOT NULL END IGNORE NULLS)
+                      OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS has_extraction,
+             last_value(CASE WHEN node = 'extract' THEN coalesce({s_lenient('text')}, 'null') END IGNORE NULLS)
+                      OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cur,
+             CAST(sum(CASE WHEN node = 'extract' THEN 1 ELSE 0 END)
+                  OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS attempt
+      FROM dt WINDOW w AS (PARTITION BY run_id ORDER BY step))"""
+
+
+@register("audit_routes", with_views(_DT + _STATE + """
+    , a AS (SELECT *, CASE WHEN idx >= 10 THEN 'FINISH'
+                           WHEN (CASE WHEN node IN ('research', 'extract', 'critique', 'FINISH') THEN node
+                                      WHEN has_extraction THEN 'critique' ELSE 'extract' END)
+                                IN ('critique', 'FINISH') AND NOT has_extraction THEN 'extract'
+                           ELSE (CASE WHEN node IN ('research', 'extract', 'critique', 'FINISH') THEN node
+                                      WHEN has_extraction THEN 'critique' ELSE 'extract' END) END AS repaired
+            FROM st)
+    SELECT run_id, step, node, has_extraction, repaired, node = repaired AS legal,
+           CASE WHEN idx >= 10 THEN 'over budget'
+                WHEN node NOT IN ('research', 'extract', 'critique', 'FINISH') THEN 'unknown route'
+                WHEN node IN ('critique', 'FINISH') AND NOT has_extraction THEN 'no extraction yet'
+                ELSE '' END AS rule
+    FROM a""", "trace"))
+def q_audit_routes(spark, sf):
+    """Per decision, the route the supervisor rules would allow."""
+    return TR.audit_routes(td.decision_trace(spark, sf), 10)
+
+
+_ATTEMPTS = f"""
+    , cr AS (
+      SELECT run_id, step, attempt,
+             {s_reason("CASE WHEN cur IS NULL OR cur = 'null' THEN NULL ELSE cur END")} AS why,
+             CASE WHEN json_valid(text) THEN text END AS rep
+      FROM st WHERE node = 'critique'),
+    att AS (
+      SELECT run_id, step, attempt,
+             CASE WHEN why = '' THEN coalesce(TRY_CAST(json_extract(rep, '$.ok') AS BOOLEAN), true)
+                  ELSE false END AS ok,
+             CASE WHEN why <> '' THEN 'schema error: ' || why
+                  ELSE coalesce(json_extract_string(rep, '$.reason'), '') END AS reason
+      FROM cr)"""
+
+
+@register("attempts", with_views(_DT + _STATE + _ATTEMPTS + """
+    SELECT run_id, step, attempt, ok, reason,
+           coalesce(NOT lag(ok) OVER (PARTITION BY run_id ORDER BY step), false) AS retry_of_rejection
+    FROM att""", "trace"))
+def q_attempts(spark, sf):
+    """Critic verdicts with attempt number, rejection reason and retries."""
+    return TR.attempts(td.decision_trace(spark, sf))
+
+
+@register("extraction_yield", with_views(_DT + _STATE + _ATTEMPTS + """
+    , runs AS (SELECT run_id, CAST(count(*) FILTER (WHERE node = 'extract') AS INTEGER) AS n_extract,
+                      count(*) AS steps, bool_or(node = 'research') AS used_research,
+                      max(CASE WHEN node = 'extract' THEN step END) AS le FROM dt GROUP BY run_id),
+    fin AS (SELECT a.run_id, arg_max(a.ok, a.step) AS ok FROM att a JOIN runs r USING (run_id)
+            WHERE r.le IS NULL OR a.step > r.le GROUP BY a.run_id),
+    o AS (SELECT r.*, coalesce(f.ok, false) AS ok FROM runs r LEFT JOIN fin f USING (run_id))
+    SELECT count(*) AS n_runs, round(avg(ok::DOUBLE), 6) AS final_yield,
+           round(avg((ok AND n_extract = 1)::DOUBLE), 6) AS first_pass_yield,
+           round(avg(steps::DOUBLE), 6) AS mean_steps, round(avg((NOT used_research)::DOUBLE), 6) AS no_research_share,
+           round(avg(ok::DOUBLE) - avg((ok AND n_extract = 1)::DOUBLE), 6) AS gain
+    FROM o""", "trace"))
+def q_extraction_yield(spark, sf):
+    """Final / first-pass yield, gain, mean steps, share without research."""
+    y = TR.extraction_yield(TR.run_outcomes(td.decision_trace(spark, sf)))
+    return y.select("n_runs", *[r6(F.col(c)).alias(c) for c in
+                                ("final_yield", "first_pass_yield", "mean_steps", "no_research_share", "gain")])
+
+
+@register("validate_extractions", with_views(f"""
+    , rep AS (SELECT id, CASE WHEN severity = '5-LOW' THEN 'Here is the JSON:' || chr(10) || body || chr(10) || 'Done.'
+                              WHEN severity = '4-NOT SPECIFIED' THEN 'I could not decide.' ELSE body END AS reply
+              FROM (SELECT id, severity, json_object('area', component, 'severity',
+                                {s_severity('severity', td.ORDER_PRIORITY_SEVERITY)},
+                                'kind', CASE status WHEN 'F' THEN 'data' WHEN 'O' THEN 'other' ELSE 'pending' END)::VARCHAR
+                                AS body FROM severity_reports)),
+    p AS (SELECT id, {s_lenient('reply')} AS p FROM rep)
+    SELECT id, p IS NOT NULL AS parsed, {s_field('p', 'area')} AS area, {s_field('p', 'severity')} AS severity,
+           {s_field('p', 'kind')} AS kind, {s_reason('p')} = '' AS ok, {s_reason('p')} AS reason
+    FROM p""", "severity_reports"))
+def q_validate_extractions(spark, sf):
+    """Lenient parse and schema check of model-style replies."""
+    v = XO.validate_replies(td.extraction_replies(spark, sf))
+    return v.select("id", "parsed", "area", "severity", "kind", "ok", "reason")
+
+
+@register("annotation_template", with_views(f"""
+    , rep AS (SELECT id, component, summary, CASE WHEN severity = '5-LOW' THEN 'Here is the JSON:' || chr(10) || body
+                              || chr(10) || 'Done.'
+                              WHEN severity = '4-NOT SPECIFIED' THEN 'I could not decide.' ELSE body END AS reply
+              FROM (SELECT id, component, summary, severity, json_object('area', component, 'severity',
+                                {s_severity('severity', td.ORDER_PRIORITY_SEVERITY)},
+                                'kind', CASE status WHEN 'F' THEN 'data' WHEN 'O' THEN 'other' ELSE 'pending' END)::VARCHAR
+                                AS body FROM severity_reports)),
+    p AS (SELECT *, {s_lenient('reply')} AS p FROM rep)
+    SELECT id, component, summary, left(reply, 1200) AS description, {s_field('p', 'area')} AS llm_area,
+           {s_field('p', 'severity')} AS llm_severity, {s_field('p', 'kind')} AS llm_kind,
+           CAST(NULL AS INTEGER) AS human_good
+    FROM p WHERE {s_reason('p')} = ''""", "severity_reports"))
+def q_annotation_template(spark, sf):
+    """Accepted extractions as a blank annotation sheet."""
+    from tessera.sources.readers import annotation_template
+    v = XO.validate_replies(td.extraction_replies(spark, sf))
+    ext = v.select("id", "component", "summary", F.col("reply").alias("description"),
+                   F.col("area").alias("llm_area"), F.col("severity").alias("llm_severity"),
+                   F.col("kind").alias("llm_kind"), "ok")
+    return annotation_template(ext)
+
+
+@register("nearest_region_levenshtein", """
+    SELECT value, name, score FROM (
+      SELECT n.n_name AS value, r.r_name AS name, -CAST(levenshtein(n.n_name, r.r_name) AS DOUBLE) AS score,
+             row_number() OVER (PARTITION BY n.n_name ORDER BY levenshtein(n.n_name, r.r_name), r.r_name DESC) AS rn
+      FROM (SELECT DISTINCT n_name FROM nation) n JOIN (SELECT DISTINCT r_name FROM region) r ON true)
+    WHERE rn = 1""")
+def q_nearest_region_levenshtein(spark, sf):
+    """J15 (edit distance): closest region name for every nation name."""
+    return XO.nearest_name(td.table(spark, sf, "nation"), td.table(spark, sf, "region"), "n_name", "r_name",
+                           method="levenshtein")
+
+
+@register("nearest_region")
+def q_nearest_region(spark, sf):
+    """Closest region name for every nation name by difflib ratio, no cutoff."""
+    return XO.nearest_name(td.table(spark, sf, "nation"), td.table(spark, sf, "region"), "n_name", "r_name")
+
+
+@register("nearest_component")
+def q_nearest_component(spark, sf):
+    """Extracted areas matched to the report component taxonomy (difflib)."""
+    v = XO.validate_replies(td.extraction_replies(spark, sf)).select(F.col("area").alias("value"))
+    from tessera.sources.readers import taxonomy
+    return XO.nearest_name(v, taxonomy(td.reports(spark, sf)), "value", "component")

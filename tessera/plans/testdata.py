@@ -99,3 +99,30 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("id"), F.col("quality").alias("rater_a"), F.col("toxic").alias("rater_b"))
+
+
+# The test tables' conversation roles read as routing decisions.
+ROLE_AS_DECISION = {"user": "research", "assistant": "extract", "system": "critique"}
+
+
+def decision_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators.trace import decisions
+    return decisions(trace(spark, sf_dir), ROLE_AS_DECISION)
+
+
+def extraction_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model-style replies derived from each order row (whole table).
+
+    The body is a JSON object built from the row: area = market segment,
+    severity = mapped priority, kind from the order status. Low-priority rows
+    wrap it in prose, unspecified-priority rows give no JSON at all.
+    """
+    r = severity_reports(spark, sf_dir)
+    level = T.map_severity(F.col("severity"), ORDER_PRIORITY_SEVERITY)
+    kind = (F.when(F.col("status") == "F", F.lit("data")).when(F.col("status") == "O", F.lit("other"))
+            .otherwise(F.lit("pending")))
+    body = F.to_json(F.struct(F.col("component").alias("area"), level.alias("severity"), kind.alias("kind")))
+    reply = (F.when(F.col("severity") == "5-LOW", F.concat(F.lit("Here is the JSON:\n"), body, F.lit("\nDone.")))
+             .when(F.col("severity") == "4-NOT SPECIFIED", F.lit("I could not decide."))
+             .otherwise(body))
+    return r.select("id", "component", "summary", reply.alias("reply"))
