@@ -999,3 +999,163 @@ def q_nearest_component(spark, sf):
     v = XO.validate_replies(td.extraction_replies(spark, sf)).select(F.col("area").alias("value"))
     from tessera.sources.readers import taxonomy
     return XO.nearest_name(v, taxonomy(td.reports(spark, sf)), "value", "component")
+
+
+# ------------------------------------------------------------ readout
+
+from tessera.plans.report import readout  # noqa: E402
+
+
+def _strip_with(sql: str) -> str:
+    return f"({sql})"
+
+
+_READOUT_SQL = f"""
+    SELECT 'themes' AS section, 'share' AS metric, CAST(label AS VARCHAR) AS slice, share AS value, count AS n
+    FROM (SELECT * FROM {_strip_with(ORACLE['prevalence_themes'])} ORDER BY count DESC, label LIMIT 5)
+    UNION ALL SELECT 'extraction', 'first_pass_yield', '', first_pass_yield, n_runs FROM {_strip_with(ORACLE['extraction_yield'])}
+    UNION ALL SELECT 'extraction', 'final_yield', '', final_yield, n_runs FROM {_strip_with(ORACLE['extraction_yield'])}
+    UNION ALL SELECT 'extraction', 'mean_steps', '', mean_steps, n_runs FROM {_strip_with(ORACLE['extraction_yield'])}
+    UNION ALL SELECT 'agreement', 'kappa', '', kappa, n FROM {_strip_with(ORACLE['cohen_kappa'])}
+    UNION ALL SELECT 'retrieval', 'hit_at_1', '', hit_at_1, n_pairs FROM {_strip_with(ORACLE['retrieval_metrics'])}
+    UNION ALL SELECT 'retrieval', 'hit_at_5', '', hit_at_5, n_pairs FROM {_strip_with(ORACLE['retrieval_metrics'])}
+    UNION ALL SELECT 'retrieval', 'hit_at_10', '', hit_at_10, n_pairs FROM {_strip_with(ORACLE['retrieval_metrics'])}
+    UNION ALL SELECT 'retrieval', 'mrr', '', mrr, n_pairs FROM {_strip_with(ORACLE['retrieval_metrics'])}
+    UNION ALL SELECT 'theme_slices', 'hit_at_10', "end" || ':' || CAST(theme AS VARCHAR), hit_at_10, n
+              FROM {_strip_with(ORACLE['theme_extremes'])}
+    UNION ALL SELECT 'component_slices', 'hit_at_10',
+                     CASE WHEN same_component THEN 'same-component' ELSE 'cross-component' END, hit_at_10, n
+              FROM {_strip_with(ORACLE['metrics_by_agreement'])}"""
+
+
+@register("readout", _READOUT_SQL)
+def q_readout(spark, sf):
+    """The final readout table (themes, yields, kappa, retrieval, slices)."""
+    return readout(q_prevalence_themes(spark, sf), "label", q_extraction_yield(spark, sf),
+                   q_cohen_kappa(spark, sf), q_retrieval_metrics(spark, sf), q_theme_extremes(spark, sf),
+                   q_metrics_by_agreement(spark, sf))
+
+
+# ----------------------------------------- sources, sinks and streaming
+
+import uuid  # noqa: E402
+
+from tessera.session import checkpoint_dir  # noqa: E402
+from tessera.sources import readers as RD  # noqa: E402
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint location."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tessera-scratch/{name}-{uuid.uuid4().hex}"
+
+
+@register("read_reports_csv", with_views("""
+    SELECT id, component, summary, description, '' AS product, role FROM reports""", "reports"))
+def q_read_reports_csv(spark, sf):
+    """Reports written as multi-line CSV and read back with the fixed schema."""
+    path = scratch(spark, "reports-csv")
+    RD.write_reports(td.reports(spark, sf), path)
+    return RD.read_reports(spark, path).select("id", "component", "summary", "description",
+                                               F.coalesce("product", F.lit("")).alias("product"), "role")
+
+
+@register("read_pairs_csv", with_views("SELECT dup_id, master_id FROM text_pairs", "text_pairs"))
+def q_read_pairs_csv(spark, sf):
+    """Usable pairs written and read back."""
+    path = scratch(spark, "pairs-csv")
+    RD.write_pairs(td.text_pairs(spark, sf), path)
+    return RD.read_pairs(spark, path)
+
+
+@register("read_labels_csv", with_views("""
+    SELECT r.id, CAST(l.quality AS INTEGER) AS human_good
+    FROM labels l JOIN reports r ON r.id = l.doc_id""", "reports"))
+def q_read_labels_csv(spark, sf):
+    """A label sheet written as CSV, read back, usable labels kept."""
+    from tessera.operators.agreement import usable_labels
+    sheet = (td.reports(spark, sf).join(td.table(spark, sf, "labels").select(
+        F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("human_good")), "id")
+        .select("id", "component", "summary", T.clip("description", 1200).alias("description"),
+                F.lit("").alias("llm_area"), F.lit("").alias("llm_severity"), F.lit("").alias("llm_kind"),
+                "human_good"))
+    path = scratch(spark, "labels-csv")
+    RD.write_csv(sheet, path)
+    return usable_labels(RD.read_labels(spark, path)).select("id", "human_good")
+
+
+@register("explode_pages", with_views("""
+    SELECT id, summary, component, '' AS product, severity, status AS resolution,
+           strftime(creation_time, '%Y-%m-%dT%H:%M:%SZ') AS creation_time FROM severity_reports""",
+                                      "severity_reports"))
+def q_explode_pages(spark, sf):
+    """Landed API pages ({"bugs": [...]}, 250 per page) exploded to rows."""
+    r = td.severity_reports(spark, sf).select(
+        "id", "summary", "component", F.lit("").alias("product"), "severity", F.col("status").alias("resolution"),
+        F.date_format("creation_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("creation_time"),
+        F.lit(None).cast("long").alias("dupe_of"))
+    pages = (r.groupBy(F.floor(F.col("id") / 250).alias("_page"))
+             .agg(F.collect_list(F.struct(*[c for c in r.columns])).alias("bugs")))
+    path = scratch(spark, "pages-json")
+    pages.select("bugs").write.mode("overwrite").json(path)
+    return RD.explode_pages(spark, path).drop("dupe_of")
+
+
+def _land_comments(spark, sf) -> str:
+    conv = td.table(spark, sf, "conversations")
+    per = conv.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))),
+                                                  lambda s: F.struct(s["text"].alias("text"))).alias("comments"))
+    page = per.select(F.create_map(F.col("conv_id").cast("string"), F.struct("comments")).alias("bugs"))
+    path = scratch(spark, "comments-json")
+    page.write.mode("overwrite").json(path)
+    return path
+
+
+@register("first_comment", """
+    SELECT conv_id AS id, left(text, 4000) AS text FROM conversations WHERE turn = 0""")
+def q_first_comment(spark, sf):
+    """First comment of each landed comment page as the description."""
+    return RD.first_comment(spark, _land_comments(spark, sf))
+
+
+@register("missing_descriptions", """
+    SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT DISTINCT conv_id FROM conversations)""")
+def q_missing_descriptions(spark, sf):
+    """Report ids whose description is not in the landed cache yet."""
+    cache = RD.first_comment(spark, _land_comments(spark, sf))
+    ids = td.table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    return RD.missing_descriptions(ids, cache)
+
+
+@register("append_vectors", "SELECT doc_id AS id, 256 AS dims FROM documents")
+def q_append_vectors(spark, sf):
+    """Vectors appended twice from the same reports; each id stored once."""
+    path = scratch(spark, "vectors")
+    corpus = ST.with_text(td.reports(spark, sf)).select("id", "component", "summary", "text")
+    RD.append_vectors(corpus, path)
+    RD.append_vectors(corpus, path)
+    return RD.read_vectors(spark, path).select("id", F.size("embedding").alias("dims"))
+
+
+@register("ingest_stream", "SELECT doc_id AS id, 256 AS dims FROM documents")
+def q_ingest_stream(spark, sf):
+    """Report files landed twice, streamed with availableNow, each id stored once."""
+    from tessera.streaming.ingest import ingest_stream, read_store
+    src = scratch(spark, "landing")
+    store = scratch(spark, "store")
+    rep = td.reports(spark, sf).select(*[F.col(f.name) if f.name in ("id", "summary", "description",
+                                                                      "component", "role")
+                                         else F.lit(None).cast(f.dataType).alias(f.name)
+                                         for f in RD.REPORT_SCHEMA.fields])
+    rep.write.mode("append").parquet(src + "/drop1")
+    rep.write.mode("append").parquet(src + "/drop2")
+    q = ingest_stream(spark, src + "/*", store, checkpoint=scratch(spark, "ingest-ckpt"))
+    q.awaitTermination()
+    return read_store(spark, store).select("id", F.size("embedding").alias("dims"))
+
+
+@register("embed_documents")
+def q_embed_documents(spark, sf):
+    """hashed TF-IDF vectors for every whole document text."""
+    from tessera.operators.embed import embed
+    d = td.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return embed(d).select("id", "embedding")

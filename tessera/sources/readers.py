@@ -78,12 +78,16 @@ def _csv(spark: SparkSession, path: str, schema: T.StructType, **opts) -> DataFr
 
 
 def read_reports(spark: SparkSession, path: str, null_tokens: Iterable[str] = ()) -> DataFrame:
-    """Report table from multi-line quoted CSV (S1); '' and listed tokens -> null."""
+    """Report table from multi-line quoted CSV.
+
+    Empty text fields read as '' (never the text ``nan``); only the listed
+    ``null_tokens`` (e.g. ``NA``) become null.
+    """
     df = _csv(spark, path, REPORT_SCHEMA)
     toks = list(null_tokens)
-    if toks:
-        for c in ("summary", "description", "component", "product", "severity", "resolution"):
-            df = df.withColumn(c, F.when(F.col(c).isin(toks), F.lit(None)).otherwise(F.col(c)))
+    for c in ("summary", "description", "component", "product", "severity", "resolution"):
+        v = F.coalesce(F.col(c), F.lit(""))
+        df = df.withColumn(c, F.when(v.isin(toks), F.lit(None)).otherwise(v) if toks else v)
     return df
 
 
@@ -173,9 +177,10 @@ def append_vectors(corpus: DataFrame, vectors_path: str, embed_fn: EmbedFn | Non
     """Embed only reports not yet stored and append them.
 
     ``corpus`` needs ``id, component, summary, text``. The new rows are the
-    ``left_anti`` join against the stored ids; texts are clipped to 8,000
-    characters and summaries to 200 before the model function sees them.
-    With no ``embed_fn`` the built-in hashing TF-IDF vectors are used.
+    ``left_anti`` join against the stored ids; the metadata summary is cut at
+    200 characters, the text is stored and embedded whole.
+    With no ``embed_fn`` the built-in stateless hashed vectors are used, so
+    every append lands in the same vector space.
     Returns the rows appended.
     """
     spark = corpus.sparkSession
@@ -186,10 +191,10 @@ def append_vectors(corpus: DataFrame, vectors_path: str, embed_fn: EmbedFn | Non
     todo = (unembedded(corpus, stored)
             .select(F.col("id").cast("long").alias("id"), F.coalesce("component", F.lit("")).alias("component"),
                     TX.clip(F.coalesce("summary", F.lit("")), TX.SUMMARY_META_CHARS).alias("summary"),
-                    TX.clip(F.col("text"), TX.TEXT_MAX_CHARS).alias("text")))
+                    F.col("text")))
     if embed_fn is None:
-        from tessera.operators.embed import hashed_tfidf
-        new = hashed_tfidf(todo).select(
+        from tessera.operators.embed import hashed_tf
+        new = hashed_tf(todo).select(
             "id", "embedding", "text",
             F.struct(F.col("component"), F.col("summary")).alias("meta"))
     else:
