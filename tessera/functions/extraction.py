@@ -40,10 +40,14 @@ def json_type(v: Column, path: str | None = None) -> Column:
     return F.regexp_extract(F.schema_of_variant(x), r"^[A-Z]+", 0)
 
 
+def is_object(v: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+
+
 def field_string(v: Column, name: str) -> Column:
     """A top-level field as string when it is a JSON string, else null."""
-    path = f"$.{name}"
-    return F.when(json_type(v, path) == "STRING", F.try_variant_get(v, path, "string"))
+    f = F.try_variant_get(v, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(f) == "STRING", F.try_variant_get(f, "$", "string"))
 
 
 def validate_extraction(v: Column, severities: Sequence[str] = SEVERITIES,
@@ -52,7 +56,7 @@ def validate_extraction(v: Column, severities: Sequence[str] = SEVERITIES,
 
     not an object -> missing or blank area -> severity not allowed -> kind not allowed.
     """
-    is_obj = F.coalesce(json_type(v) == "OBJECT", F.lit(False))
+    is_obj = is_object(v)
     area = field_string(v, "area")
     sev = field_string(v, "severity")
     kind = field_string(v, "kind")

@@ -20,27 +20,32 @@ from tessera.functions import text as T
 DEFAULT_DIMS = 256
 
 
+def _term_counts(df: DataFrame, text_col: str, dims: int) -> DataFrame:
+    """Hashed unigram + bigram counts as a sparse ``_tf`` vector."""
+    from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
+
+    src = df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
+    t = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", toLowercase=True).transform(src)
+    t = NGram(n=2, inputCol="_tok", outputCol="_bi").transform(t).withColumn("_terms", F.concat("_tok", "_bi"))
+    return HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=dims).transform(t).drop("_tok", "_bi", "_terms")
+
+
 def hashed_tfidf(df: DataFrame, text_col: str = "text", dims: int = DEFAULT_DIMS,
                  out_col: str = "embedding") -> DataFrame:
     """Dense unit-length hashed TF-IDF vectors of ``text_col``.
 
-    IDF is fitted in one distributed pass (document frequencies per hash
-    bucket), then applied row by row.
+    Texts are tokenised once: the sparse term counts are persisted
+    (memory and disk; recomputed from lineage if an executor is lost), IDF is
+    fitted on them in one distributed pass and applied to the same counts.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import HashingTF, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer
+    from pyspark import StorageLevel
+    from pyspark.ml.feature import IDF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", toLowercase=True, minTokenLength=1)
-    ngr = NGram(n=2, inputCol="_tok", outputCol="_bi")
-    both = SQLTransformer(statement="SELECT *, concat(_tok, _bi) AS _terms FROM __THIS__")
-    tf = HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=dims)
-    idf = IDF(inputCol="_tf", outputCol="_idf")
-    norm = Normalizer(inputCol="_idf", outputCol="_unit", p=2.0)
-    src = df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-    model = Pipeline(stages=[tok, ngr, both, tf, idf, norm]).fit(src)
-    out = model.transform(src).withColumn(out_col, vector_to_array("_unit", "float32"))
-    return out.drop("_tok", "_bi", "_terms", "_tf", "_idf", "_unit")
+    tf = _term_counts(df, text_col, dims).persist(StorageLevel.MEMORY_AND_DISK)
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf)
+    out = Normalizer(inputCol="_idf", outputCol="_unit", p=2.0).transform(idf.transform(tf))
+    return out.withColumn(out_col, vector_to_array("_unit", "float32")).drop("_tf", "_idf", "_unit")
 
 
 def hashed_tf(df: DataFrame, text_col: str = "text", dims: int = DEFAULT_DIMS,
@@ -50,15 +55,11 @@ def hashed_tf(df: DataFrame, text_col: str = "text", dims: int = DEFAULT_DIMS,
     Nothing is fitted, so vectors appended in different runs (or streaming
     micro-batches) share one space; this is the default for incremental stores.
     """
-    from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer
+    from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    src = df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-    t = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", toLowercase=True).transform(src)
-    t = NGram(n=2, inputCol="_tok", outputCol="_bi").transform(t).withColumn("_terms", F.concat("_tok", "_bi"))
-    t = HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=dims).transform(t)
-    t = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(t)
-    return t.withColumn(out_col, vector_to_array("_unit", "float32")).drop("_tok", "_bi", "_terms", "_tf", "_unit")
+    t = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(_term_counts(df, text_col, dims))
+    return t.withColumn(out_col, vector_to_array("_unit", "float32")).drop("_tf", "_unit")
 
 
 def embed(df: DataFrame, fn: Callable[[list[str]], list[list[float]]] | None = None, text_col: str = "text",

@@ -87,15 +87,20 @@ def nearest_name(values: DataFrame, taxonomy: DataFrame, value_col: str = "value
 
 
 def validate_replies(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
-    """Parse each reply leniently and validate it."""
-    v = EX.parse_json_lenient(F.col(reply_col))
+    """Parse each reply leniently and validate it.
+
+    The reply is parsed once into ``_v``; the field checks are produced by a
+    one-row ``inline`` so a later filter on ``ok`` stays above them instead of
+    being pushed down with the parse copied into every predicate.
+    """
+    parsed = replies.withColumn("_v", EX.parse_json_lenient(F.col(reply_col)))
+    v = F.col("_v")
     ok, reason = EX.validate_extraction(v)
-    return (replies.withColumn("_v", v)
-            .withColumn("parsed", F.col("_v").isNotNull())
-            .withColumn("area", EX.field_string(F.col("_v"), "area"))
-            .withColumn("severity", EX.field_string(F.col("_v"), "severity"))
-            .withColumn("kind", EX.field_string(F.col("_v"), "kind"))
-            .withColumn("ok", ok).withColumn("reason", reason).drop("_v"))
+    checks = F.struct(v.isNotNull().alias("parsed"), EX.field_string(v, "area").alias("area"),
+                      EX.field_string(v, "severity").alias("severity"), EX.field_string(v, "kind").alias("kind"),
+                      ok.alias("ok"), reason.alias("reason"))
+    keep = [c for c in replies.columns if c not in ("parsed", "area", "severity", "kind", "ok", "reason")]
+    return parsed.select(*keep, F.inline(F.array(checks)))
 
 
 def score_rows(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], out_col: str = "score",

@@ -99,8 +99,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id: st
 
 def knn_join_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id: str = "id",
                  corpus_id: str = "id", vector: str = "embedding", exclude_self: bool = True,
-                 bucket_length: float = 2.0, num_tables: int = 8,
-                 max_distance: float = 2.0, seed: int = 42) -> DataFrame:
+                 bucket_length: float = 0.1, num_tables: int = 3,
+                 max_distance: float = 1.0, seed: int = 42) -> DataFrame:
     """Approximate k-nearest join with random-projection LSH (J4, ``lsh``).
 
     Vectors are scaled to unit length so Euclidean distance ``d`` maps to
