@@ -227,7 +227,7 @@ def first_comment(spark: SparkSession, path: str, chars: int = TX.COMMENT_MAX_CH
     """
     pages = spark.read.schema(COMMENT_PAGE_SCHEMA).json(path)
     e = pages.select(F.explode("bugs").alias("id", "v"))
-    txt = F.element_at(F.col("v.comments"), 1)["text"]
+    txt = F.try_element_at(F.col("v.comments"), F.lit(1))["text"]
     return e.select(F.col("id").try_cast("long").alias("id"),
                     F.coalesce(TX.clip(txt, chars), F.lit("")).alias("text"))
 
