@@ -68,12 +68,14 @@ def wilson(count_col, total_col, z: float = Z_95) -> tuple:
 def prevalence(df: DataFrame, by: str = "theme", top: int = 12, alpha: float = 0.05) -> DataFrame:
     """Top values of ``by`` with share over all non-null rows and a Wilson interval (A4).
 
-    Counting is a partial aggregate; the total is a window over the (small)
-    aggregated table, not over the rows.
+    Counting is a partial aggregate; the total is a separate one-row
+    aggregate joined back by broadcast (its size is one row by construction).
     """
     z = z_for(alpha)
-    c = df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("count"))
-    c = c.withColumn("_total", F.sum("count").over(Window.partitionBy()))
+    rows = df.filter(F.col(by).isNotNull())
+    c = rows.groupBy(by).agg(F.count(F.lit(1)).alias("count"))
+    total = rows.agg(F.count(F.lit(1)).alias("_total")).withColumn("_one", F.lit(1))
+    c = c.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
     lo, hi = wilson(F.col("count"), F.col("_total"), z)
     out = (c.withColumn("share", F.col("count") / F.col("_total"))
            .withColumn("ci_lo", lo).withColumn("ci_hi", hi).drop("_total"))

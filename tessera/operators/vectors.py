@@ -1,9 +1,10 @@
 """Vector table operators: k-nearest join, neighbour enrichment, flags.
 
-``knn_join`` is the exact cosine top-k per query over a block grid (see
-``blocks``): NumPy matrix products inside ``applyInPandas`` cells, a local
-top-k per cell, then a ``row_number`` merge across corpus blocks (Spark plans
-it with ``WindowGroupLimit``, so every task pre-cuts to k before the shuffle).
+``knn_join`` is the exact cosine top-k per query: NumPy matrix products on
+Arrow batches, a local top-k per task, then a ``row_number`` merge (Spark
+plans it with ``WindowGroupLimit``, so every task pre-cuts to k before the
+shuffle). Small query sets are broadcast against a single corpus scan;
+larger ones use the block grid (see ``blocks``).
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from tessera.functions import text as T
 from tessera.operators.blocks import DEFAULT_LEFT_ROWS, DEFAULT_RIGHT_ROWS, grid_cells, plan_grid
 
 KNN_SCHEMA = "qid long, rank int, id long, sim double"
+# Largest query matrix (float64 bytes) broadcast by the ``auto`` strategy.
+DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
 _QUERY_CHUNK = 512
 
 
@@ -30,47 +33,82 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
         return np.where(norms > 0, m / norms, np.nan)
 
 
-def _cell_topk(k: int, exclude_self: bool, final: bool):
+def _reduce_topk(qs: np.ndarray, cs: np.ndarray, ss: np.ndarray, k: int) -> pd.DataFrame:
+    """Keep the k best (highest sim, then smallest id) candidates per query."""
+    order = np.lexsort((cs, -ss, qs))
+    res = pd.DataFrame({"qid": qs[order], "id": cs[order], "sim": ss[order]})
+    res["rank"] = (res.groupby("qid").cumcount() + 1).astype("int32")
+    return res[res["rank"] <= k][["qid", "rank", "id", "sim"]]
+
+
+def _block_candidates(qids, qmat, cids, cmat_t, k, exclude_self):
+    """Exact candidates of one query chunk against one corpus block: every
+    pair scoring at least the k-th best of its row (ties at the k-th value
+    are all kept, so the id tie-break stays exact)."""
+    sims = qmat @ cmat_t
+    sims = np.where(np.isnan(sims), -np.inf, sims)
+    if exclude_self:
+        sims[qids[:, None] == cids[None, :]] = -np.inf
+    n_c = sims.shape[1]
+    kk = min(k, n_c)
+    kth = np.partition(sims, n_c - kk, axis=1)[:, n_c - kk]
+    rows, cols = np.nonzero((sims >= kth[:, None]) & np.isfinite(sims))
+    return qids[rows], cids[cols], sims[rows, cols]
+
+
+_EMPTY = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rank": pd.Series([], dtype="int32"),
+                       "id": pd.Series([], dtype="int64"), "sim": pd.Series([], dtype="float64")})
+
+
+def _cell_topk(k: int, exclude_self: bool):
     """Per-cell exact top-k by cosine; ties broken by the smaller id."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf[pdf["_side"] == 0]
         c = pdf[pdf["_side"] == 1]
         if q.empty or c.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rank": pd.Series([], dtype="int32"),
-                                 "id": pd.Series([], dtype="int64"), "sim": pd.Series([], dtype="float64")})
+            return _EMPTY
         cids = c["_id"].to_numpy(dtype=np.int64)
         cmat = _unit_rows(_stack(c["_v"])).T.copy()
         qids_all = q["_id"].to_numpy(dtype=np.int64)
         qmat_all = _unit_rows(_stack(q["_v"]))
-        out_q, out_c, out_s = [], [], []
-        for start in range(0, len(qids_all), _QUERY_CHUNK):
-            qids = qids_all[start:start + _QUERY_CHUNK]
-            sims = qmat_all[start:start + _QUERY_CHUNK] @ cmat
-            sims = np.where(np.isnan(sims), -np.inf, sims)
-            if exclude_self:
-                sims[qids[:, None] == cids[None, :]] = -np.inf
-            n_c = sims.shape[1]
-            kk = min(k, n_c)
-            kth = np.partition(sims, n_c - kk, axis=1)[:, n_c - kk]
-            rows, cols = np.nonzero((sims >= kth[:, None]) & np.isfinite(sims))
-            out_q.append(qids[rows])
-            out_c.append(cids[cols])
-            out_s.append(sims[rows, cols])
-        qs = np.concatenate(out_q)
-        cs = np.concatenate(out_c)
-        ss = np.concatenate(out_s)
-        order = np.lexsort((cs, -ss, qs))
-        res = pd.DataFrame({"qid": qs[order], "id": cs[order], "sim": ss[order]})
-        res["rank"] = (res.groupby("qid").cumcount() + 1).astype("int32")
-        res = res[res["rank"] <= k]
-        return res[["qid", "rank", "id", "sim"]]
+        parts = [_block_candidates(qids_all[s:s + _QUERY_CHUNK], qmat_all[s:s + _QUERY_CHUNK], cids, cmat,
+                                   k, exclude_self) for s in range(0, len(qids_all), _QUERY_CHUNK)]
+        return _reduce_topk(*(np.concatenate(x) for x in zip(*parts)), k)
+
+    return run
+
+
+def _scan_topk(bq, k: int, exclude_self: bool):
+    """Corpus-partition scan against the broadcast query matrix.
+
+    Keeps a running top-k per query over the whole partition, so each task
+    emits at most ``queries x k`` rows however large its corpus slice is.
+    """
+
+    def run(it):
+        qids, qmat = bq.value
+        best = None
+        for pdf in it:
+            if pdf.empty:
+                continue
+            cids = pdf["_id"].to_numpy(dtype=np.int64)
+            cmat = _unit_rows(_stack(pdf["_v"])).T.copy()
+            parts = [_block_candidates(qids[s:s + _QUERY_CHUNK], qmat[s:s + _QUERY_CHUNK], cids, cmat,
+                                       k, exclude_self) for s in range(0, len(qids), _QUERY_CHUNK)]
+            cand = [np.concatenate(x) for x in zip(*parts)]
+            if best is not None:
+                cand = [np.concatenate([best[c].to_numpy(), x]) for c, x in zip(("qid", "id", "sim"), cand)]
+            best = _reduce_topk(*cand, k)
+        if best is not None:
+            yield best
 
     return run
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id: str = "id",
              corpus_id: str = "id", vector: str = "embedding", exclude_self: bool = True,
+             strategy: str = "auto", max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
              query_block_rows: int = DEFAULT_LEFT_ROWS,
              corpus_block_rows: int = DEFAULT_RIGHT_ROWS) -> DataFrame:
     """Exact k-nearest join by cosine similarity.
@@ -79,20 +117,41 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id: st
     rows of highest cosine similarity, ordered by similarity then id. The
     query's own id is removed before ranking, so ``k`` rows are returned
     whenever the corpus holds ``k`` other rows.
+
+    Strategies (``auto`` picks by the measured query-side size):
+
+    * ``broadcast`` — the query matrix (``queries x dims x 8`` bytes, checked
+      against ``max_broadcast_bytes`` before it is gathered) is broadcast; the
+      corpus is scanned once in place, never shuffled, and each task emits a
+      running top-k per query. Merge: one shuffle of ``queries x k x tasks``.
+    * ``grid`` — both sides cut into bounded hash blocks meeting in grid
+      cells (see ``blocks``); for query sets too large to broadcast.
     """
     spark = queries.sparkSession
     q = queries.select(F.col(query_id).cast("long").alias("_id"),
                        F.col(vector).cast("array<float>").alias("_v"))
     c = corpus.select(F.col(corpus_id).cast("long").alias("_id"),
                       F.col(vector).cast("array<float>").alias("_v"))
-    n_q, n_c = q.count(), c.count()
-    grid = plan_grid(spark, n_q, n_c, query_block_rows, corpus_block_rows)
-    final = grid.right_blocks == 1
-    cells = grid_cells(q, c, grid)
-    local = cells.groupBy("_cell").applyInPandas(_cell_topk(k, exclude_self, final), KNN_SCHEMA)
-    if final:
-        return local
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
+    n_q, dims = int(stats["n"]), int(stats["d"] or 0)
     w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("id").asc())
+    if strategy == "broadcast" or (strategy == "auto" and n_q * max(dims, 1) * 8 <= max_broadcast_bytes):
+        if n_q * max(dims, 1) * 8 > max_broadcast_bytes:
+            raise ValueError("query side exceeds max_broadcast_bytes; use strategy='grid'")
+        pdf = q.toPandas()
+        qids = pdf["_id"].to_numpy(dtype=np.int64)
+        qmat = _unit_rows(_stack(pdf["_v"])) if len(pdf) else np.zeros((0, dims))
+        bq = spark.sparkContext.broadcast((qids, qmat))
+        par = spark.sparkContext.defaultParallelism
+        if c.rdd.getNumPartitions() < par:
+            c = c.repartition(par)
+        local = c.mapInPandas(_scan_topk(bq, k, exclude_self), KNN_SCHEMA)
+    else:
+        n_c = c.count()
+        grid = plan_grid(spark, n_q, n_c, query_block_rows, corpus_block_rows)
+        local = grid_cells(q, c, grid).groupBy("_cell").applyInPandas(_cell_topk(k, exclude_self), KNN_SCHEMA)
+        if grid.right_blocks == 1:
+            return local
     return (local.withColumn("rank", F.row_number().over(w).cast("int"))
             .filter(F.col("rank") <= k))
 

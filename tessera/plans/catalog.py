@@ -130,7 +130,7 @@ def s_wilson(c: str, n: str, z: float = ST.Z_95) -> tuple[str, str]:
     FROM reports""", "reports"))
 def q_compose_text(spark, sf):
     """Report text and description word count over all documents."""
-    return ST.with_text(td.reports(spark, sf)).select("id", "role", "text", "desc_words")
+    return ST.with_text(td.reports(spark, sf, with_role=True)).select("id", "role", "text", "desc_words")
 
 
 @register("clip_text", with_views(f"""
@@ -222,7 +222,7 @@ def q_corpus_profile(spark, sf):
 @register("role_counts", with_views("SELECT role, count(*) AS n FROM reports GROUP BY role", "reports"))
 def q_role_counts(spark, sf):
     """A2: reports per role."""
-    return ST.counts_by(td.reports(spark, sf), "role")
+    return ST.counts_by(td.reports(spark, sf, with_role=True), "role")
 
 
 @register("component_counts", with_views("""
@@ -342,7 +342,7 @@ def q_confusion(spark, sf):
          (SELECT count(*) AS n_total FROM ratings) t""", "ratings", "reports"))
 def q_rating_summary(spark, sf):
     """Positive rates with master documents held out as anchors."""
-    held = td.reports(spark, sf).filter(F.col("role") == "master").select("id")
+    held = td.reports(spark, sf, with_role=True).filter(F.col("role") == "master").select("id")
     s = AG.rating_summary(td.ratings(spark, sf), "rater_a", "rater_b", held)
     return s.select("n_used", r6(F.col("rater_a_positive_rate")).alias("rater_a_positive_rate"),
                     r6(F.col("rater_b_positive_rate")).alias("rater_b_positive_rate"),
@@ -354,7 +354,7 @@ def q_rating_summary(spark, sf):
     WHERE id NOT IN (SELECT id FROM reports WHERE role = 'master')""", "ratings", "reports"))
 def q_hold_out(spark, sf):
     """Label rows with the held-out anchor ids removed."""
-    held = td.reports(spark, sf).filter(F.col("role") == "master").select("id")
+    held = td.reports(spark, sf, with_role=True).filter(F.col("role") == "master").select("id")
     return AG.hold_out(td.ratings(spark, sf), held)
 
 
@@ -404,7 +404,7 @@ def _sources(spark, sf):
     d = td.table(spark, sf, "documents")
     masters = d.filter(F.col("lang").isin("en", "de")).select(F.col("doc_id").alias("id"))
     extra = d.filter(F.col("lang").isin("en", "fr", "es")).select(F.col("doc_id").alias("id"))
-    dups = td.reports(spark, sf).filter(F.col("role") == "dup").select("id")
+    dups = td.reports(spark, sf, with_role=True).filter(F.col("role") == "dup").select("id")
     return masters, extra, dups
 
 
@@ -431,7 +431,7 @@ def _dups(spark, sf):
     WHERE r.role = 'dup'""", "reports"))
 def q_labelled_dups(spark, sf):
     """Rows whose dupe_of is set, as ids."""
-    r = td.reports(spark, sf)
+    r = td.reports(spark, sf, with_role=True)
     g = td.text_pairs(spark, sf).select(F.col("dup_id").alias("id"), F.col("master_id").cast("string").alias("dupe_of"))
     rows = r.join(g, "id", "left")
     return IN.labelled_dups(rows).select("id", "dupe_of")
@@ -1054,7 +1054,7 @@ def scratch(spark, name: str) -> str:
 def q_read_reports_csv(spark, sf):
     """Reports written as multi-line CSV and read back with the fixed schema."""
     path = scratch(spark, "reports-csv")
-    RD.write_reports(td.reports(spark, sf), path)
+    RD.write_reports(td.reports(spark, sf, with_role=True), path)
     return RD.read_reports(spark, path).select("id", "component", "summary", "description",
                                                F.coalesce("product", F.lit("")).alias("product"), "role")
 
@@ -1142,7 +1142,7 @@ def q_ingest_stream(spark, sf):
     from tessera.streaming.ingest import ingest_stream, read_store
     src = scratch(spark, "landing")
     store = scratch(spark, "store")
-    rep = td.reports(spark, sf).select(*[F.col(f.name) if f.name in ("id", "summary", "description",
+    rep = td.reports(spark, sf, with_role=True).select(*[F.col(f.name) if f.name in ("id", "summary", "description",
                                                                       "component", "role")
                                          else F.lit(None).cast(f.dataType).alias(f.name)
                                          for f in RD.REPORT_SCHEMA.fields])

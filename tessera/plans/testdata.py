@@ -42,18 +42,24 @@ def _text_groups(docs: DataFrame) -> DataFrame:
     return keyed.join(groups, "_h").drop("_h")
 
 
-def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reports(spark: SparkSession, sf_dir: str, with_role: bool = False) -> DataFrame:
+    """Report table from ``documents``; ``role`` (from exact copies) on request.
+
+    The role needs a digest of every text, so it is only computed for the
+    queries that read it.
+    """
     docs = table(spark, sf_dir, "documents")
-    g = _text_groups(docs)
-    role = (F.when(F.col("copies") == 1, F.lit("corpus"))
-            .when(F.col("doc_id") == F.col("master_id"), F.lit("master"))
-            .otherwise(F.lit("dup")))
     base = docs.select(F.col("doc_id"), F.col("source").alias("component"),
                        T.first_line(F.col("text")).alias("summary"),
                        T.after_first_line(F.col("text")).alias("description"),
                        F.col("lang"))
-    out = base.join(g.select("doc_id", role.alias("role")), "doc_id")
-    return out.withColumnRenamed("doc_id", "id")
+    if with_role:
+        g = _text_groups(docs)
+        role = (F.when(F.col("copies") == 1, F.lit("corpus"))
+                .when(F.col("doc_id") == F.col("master_id"), F.lit("master"))
+                .otherwise(F.lit("dup")))
+        base = base.join(g.select("doc_id", role.alias("role")), "doc_id")
+    return base.withColumnRenamed("doc_id", "id")
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,13 +21,15 @@ def vec_df(spark, ids, mat):
                                  "id long, embedding array<float>")
 
 
-@pytest.mark.parametrize("qrows,crows", [(4096, 16384), (16, 32)])
-def test_knn_matches_brute_force(spark, qrows, crows):
+@pytest.mark.parametrize("strategy,qrows,crows", [("grid", 4096, 16384), ("grid", 16, 32), ("broadcast", 0, 0),
+                                                  ("auto", 0, 0)])
+def test_knn_matches_brute_force(spark, strategy, qrows, crows):
     rng = np.random.default_rng(7)
     ids = np.arange(300) * 3 + 1
     mat = rng.normal(size=(300, 16)).astype(np.float32)
     df = vec_df(spark, ids, mat)
-    got = V.knn_join(df, df, k=5, query_block_rows=qrows, corpus_block_rows=crows).collect()
+    kw = {"query_block_rows": qrows, "corpus_block_rows": crows} if qrows else {}
+    got = V.knn_join(df.repartition(5), df, k=5, strategy=strategy, **kw).collect()
     exp = brute_topk(ids, mat.astype(np.float64), 5)
     res = {}
     for r in got:
@@ -40,9 +42,11 @@ def test_knn_matches_brute_force(spark, qrows, crows):
 def test_knn_ties_by_id_and_self_excluded(spark):
     mat = np.array([[1, 0], [1, 0], [1, 0], [0, 1]], dtype=np.float32)
     df = vec_df(spark, [10, 30, 20, 40], mat)
-    got = sorted((r.qid, r.rank, r.id) for r in V.knn_join(df, df, k=2, corpus_block_rows=2).collect())
-    assert [(r, i) for q, r, i in got if q == 10] == [(1, 20), (2, 30)]
-    assert all(q != i for q, _, i in got)
+    for strategy in ("grid", "broadcast"):
+        got = sorted((r.qid, r.rank, r.id) for r in
+                     V.knn_join(df, df, k=2, strategy=strategy, corpus_block_rows=2).collect())
+        assert [(r, i) for q, r, i in got if q == 10] == [(1, 20), (2, 30)]
+        assert all(q != i for q, _, i in got)
 
 
 def test_knn_independent_of_partitions(spark):
@@ -51,7 +55,8 @@ def test_knn_independent_of_partitions(spark):
     df = vec_df(spark, range(120), mat)
     a = sorted(tuple(r) for r in V.knn_join(df.repartition(1), df, k=3).collect())
     b = sorted(tuple(r) for r in V.knn_join(df.repartition(7), df.repartition(3), k=3).collect())
-    assert [x[:3] for x in a] == [x[:3] for x in b]
+    c = sorted(tuple(r) for r in V.knn_join(df.repartition(7), df.repartition(3), k=3, strategy="grid").collect())
+    assert [x[:3] for x in a] == [x[:3] for x in b] == [x[:3] for x in c]
 
 
 def test_lsh_recall_on_planted_duplicates(spark):
