@@ -129,3 +129,17 @@ def judge_labels(replies: DataFrame, reply_col: str = "reply", threshold: int =
     """Judge reply -> 0/1 at ``threshold``; unreadable -> 0, flagged."""
     s = EX.judge_score(F.col(reply_col))
     return replies.withColumn("parsed", s.isNotNull()).withColumn("judge_good", T.binarise_score(s, threshold))
+
+
+def prior_for(names: DataFrame, reports: DataFrame, mapping: dict[str, str] | None = None,
+              name_col: str = "value") -> DataFrame:
+    """Component prior for free-text names (F3: the ``component_prior`` tool as a join).
+
+    Each name is matched to its closest component (J15), then joined to the
+    per-component prior (A11).
+    """
+    from tessera.operators.stats import component_prior
+    from tessera.sources.readers import taxonomy
+    match = nearest_name(names, taxonomy(reports), name_col, "component")
+    prior = component_prior(reports, mapping)
+    return match.join(prior, F.col("name") == F.col("component"), "left").drop("name")

@@ -232,3 +232,13 @@ def reciprocal_rank(pairs: DataFrame, nn: DataFrame) -> DataFrame:
     j = pairs.join(nn.select(F.col("qid").alias("dup_id"), F.col("id").alias("master_id"), "rank"),
                    ["dup_id", "master_id"], "left")
     return j.withColumn("rr", F.coalesce(F.lit(1.0) / F.col("rank"), F.lit(0.0)))
+
+
+def similar(ids: DataFrame, vectors: DataFrame, reports: DataFrame, k: int = 6, id_col: str = "id") -> DataFrame:
+    """Similar reports for many ids at once (F3: the ``search_similar`` tool as a join).
+
+    Ids without a stored vector are skipped; neighbours unknown to ``reports``
+    are dropped.
+    """
+    q = vectors.join(ids.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi")
+    return enrich_neighbours(knn_join(q, vectors, k), reports)

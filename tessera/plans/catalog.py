@@ -1159,3 +1159,22 @@ def q_embed_documents(spark, sf):
     from tessera.operators.embed import embed
     d = td.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return embed(d).select("id", "embedding")
+
+
+# ----------------------------------------------------- callable lookups
+
+@register("similar_reports", with_views("""
+    SELECT k.qid, k.rank, k.id, round(k.sim, 3) AS sim, r.component, left(r.summary, 120) AS summary
+    FROM knn6 k JOIN reports r ON k.id = r.id
+    WHERE k.qid IN (SELECT doc_id FROM labels)""", "knn6", "reports"))
+def q_similar_reports(spark, sf):
+    """Six similar reports for every labelled id that has a vector."""
+    ids = td.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return V.similar(ids, td.vectors(spark, sf), td.reports(spark, sf), 6)
+
+
+@register("prior_for_areas")
+def q_prior_for_areas(spark, sf):
+    """Component prior for every extracted area, via the closest component."""
+    areas = XO.validate_replies(td.extraction_replies(spark, sf)).select(F.lower("area").alias("value"))
+    return XO.prior_for(areas, td.severity_reports(spark, sf), td.ORDER_PRIORITY_SEVERITY)
