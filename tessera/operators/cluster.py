@@ -81,7 +81,7 @@ def silhouette_samples(points: DataFrame, label: str = "label", vector: str = "e
     s = (F.when(F.col("b").isNull(), F.lit(None).cast("double"))
          .when(F.col("_others") == 0, F.lit(0.0))
          .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")))
-    return ab.select("id", F.col("own").alias(label), "a", "b", s.alias("s"))
+    return ab.select("id", F.col("own").cast(points.schema[label].dataType).alias(label), "a", "b", s.alias("s"))
 
 
 def silhouette(points: DataFrame, label: str = "label", vector: str = "embedding", id_col: str = "id") -> DataFrame:
@@ -190,23 +190,28 @@ def fit_clusters(points: DataFrame, k: int, seed: int = 42, vector: str = "embed
 
 
 def select_k(points: DataFrame, ks: Sequence[int] = tuple(range(8, 25, 2)), sample: int = 3000,
-             seed: int = 42, vector: str = "embedding") -> DataFrame:
+             seed: int = 42, vector: str = "embedding", parallel_fits: int = 4) -> DataFrame:
     """k sweep on a fixed sample: exact silhouette per k.
 
-    Returns ``(k, silhouette, best)``; the best k has the highest score, the
-    smallest k on ties.
+    The sample is cut from the lineage once (checkpoint in the shared
+    folder); the fits for different k are independent Spark jobs and run
+    ``parallel_fits`` at a time. Returns ``(k, silhouette, best)``; the best k
+    has the highest score, the smallest k on ties.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from tessera.session import cut_lineage
     smp = cut_lineage(fixed_sample(points.select("id", vector), sample, seed))
     n = smp.count()
-    rows = []
-    for k in ks:
-        if k >= n:
-            continue
+
+    def score(k: int):
         assign, _ = fit_clusters(smp, k, seed, vector)
-        pts = smp.join(assign, "id")
-        s = silhouette(pts, "cluster", vector).first()["silhouette"]
-        rows.append((int(k), float(s) if s is not None else None))
+        s = silhouette(smp.join(assign, "id"), "cluster", vector).first()["silhouette"]
+        return int(k), float(s) if s is not None else None
+
+    todo = [k for k in ks if k < n]
+    with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as pool:
+        rows = list(pool.map(score, todo))
     res = points.sparkSession.createDataFrame(rows, "k int, silhouette double")
     w = Window.orderBy(F.col("silhouette").desc_nulls_last(), F.col("k").asc())
     return res.withColumn("best", F.row_number().over(w) == 1)

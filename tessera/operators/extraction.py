@@ -72,9 +72,14 @@ def nearest_name(values: DataFrame, taxonomy: DataFrame, value_col: str = "value
     Case-sensitive, no cutoff; ties go to the lexicographically greatest name.
     Returns ``(value, name, score)``; ``score`` lets callers apply a cutoff.
     """
+    from pyspark import StorageLevel
     spark = values.sparkSession
-    v = values.select(F.col(value_col).cast("string").alias("_id")).dropna().distinct()
-    t = taxonomy.select(F.col(name_col).cast("string").alias("_id")).dropna().distinct()
+    # distinct values are sized once and reused by the grid (memory and disk,
+    # recomputed from lineage if an executor is lost)
+    v = values.select(F.col(value_col).cast("string").alias("_id")).dropna().distinct() \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    t = taxonomy.select(F.col(name_col).cast("string").alias("_id")).dropna().distinct() \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     grid = plan_grid(spark, v.count(), t.count(), value_rows, name_rows)
     cells = grid_cells(v.withColumn("_v", F.lit(None).cast("array<float>")),
                        t.withColumn("_v", F.lit(None).cast("array<float>")), grid)

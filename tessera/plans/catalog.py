@@ -135,8 +135,8 @@ def q_compose_text(spark, sf):
 
 @register("clip_text", with_views(f"""
     SELECT id, left(t, 8000) AS text_8000, left(summary, 200) AS summary_200,
-           left(summary, 120) AS summary_120, length(left(description, 1200)) AS desc_1200_chars,
-           length(left(description, 4000)) AS desc_4000_chars, left(t, 2000) AS judge_2000
+           left(summary, 120) AS summary_120, CAST(length(left(description, 1200)) AS INTEGER) AS desc_1200_chars,
+           CAST(length(left(description, 4000)) AS INTEGER) AS desc_4000_chars, left(t, 2000) AS judge_2000
     FROM (SELECT *, {s_compose('component', 'summary', 'description')} AS t FROM reports)""", "reports"))
 def q_clip_text(spark, sf):
     """Character budgets applied to text, summary and description."""
@@ -182,7 +182,8 @@ def q_clean_label(spark, sf):
 
 
 @register("year_range", with_views("""
-    SELECT min(year(creation_time)) AS first_year, max(year(creation_time)) AS last_year
+    SELECT CAST(min(year(creation_time)) AS INTEGER) AS first_year,
+           CAST(max(year(creation_time)) AS INTEGER) AS last_year
     FROM severity_reports""", "severity_reports"))
 def q_year_range(spark, sf):
     """First and last creation year."""
@@ -478,7 +479,7 @@ def q_unembedded(spark, sf):
 
 
 @register("with_vectors", with_views("""
-    SELECT r.id, r.component, v.label, len(v.embedding) AS dims
+    SELECT r.id, r.component, v.label, CAST(len(v.embedding) AS INTEGER) AS dims
     FROM reports r JOIN vectors v ON r.id = v.id""", "reports", "vectors"))
 def q_with_vectors(spark, sf):
     """Reports aligned with their vectors by id."""
