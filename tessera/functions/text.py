@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 WS_CLASS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
 WORD_PATTERN = r"[^\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]+"
 EDGE_WS_PATTERN = WS_CLASS + "+$|^" + WS_CLASS + "+"
+# The same characters as a plain set, for trimming the ends without a regex.
+WS_CODEPOINTS = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680,
+                 *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+WS_CHARS = "".join(chr(c) for c in WS_CODEPOINTS)
 # Line breaks recognised by Python's ``str.splitlines()``.
 LINE_BREAK_PATTERN = r"\r\n|[\n\r\x{0B}\f\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 
@@ -41,7 +45,7 @@ def _c(x) -> Column:
 
 def strip_ws(col) -> Column:
     """Trim Unicode whitespace at both ends (Python ``str.strip()``)."""
-    return F.regexp_replace(_c(col), EDGE_WS_PATTERN, "")
+    return F.btrim(_c(col), F.lit(WS_CHARS))
 
 
 def blank_to_empty(col) -> Column:

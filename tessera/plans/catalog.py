@@ -94,8 +94,11 @@ EDGE = T.EDGE_WS_PATTERN.replace("'", "''")
 WORD = T.WORD_PATTERN
 
 
+WS_SQL = " || ".join(f"chr({c})" for c in T.WS_CODEPOINTS)
+
+
 def s_strip(e: str) -> str:
-    return f"regexp_replace({e}, '{EDGE}', '', 'g')"
+    return f"trim({e}, {WS_SQL})"
 
 
 def s_words(e: str) -> str:
@@ -1179,3 +1182,42 @@ def q_prior_for_areas(spark, sf):
     """Component prior for every extracted area, via the closest component."""
     areas = XO.validate_replies(td.extraction_replies(spark, sf)).select(F.lower("area").alias("value"))
     return XO.prior_for(areas, td.severity_reports(spark, sf), td.ORDER_PRIORITY_SEVERITY)
+
+
+# ------------------------------------------- serialisation and vector maths
+
+from tessera.functions import vectors as VF  # noqa: E402
+
+
+@register("extraction_json", with_views(f"""
+    , rep AS (SELECT id, CASE WHEN severity = '5-LOW' THEN 'Here is the JSON:' || chr(10) || body || chr(10) || 'Done.'
+                              WHEN severity = '4-NOT SPECIFIED' THEN 'I could not decide.' ELSE body END AS reply
+              FROM (SELECT id, severity, json_object('area', component, 'severity',
+                                {s_severity('severity', td.ORDER_PRIORITY_SEVERITY)},
+                                'kind', CASE status WHEN 'F' THEN 'data' WHEN 'O' THEN 'other' ELSE 'pending' END)::VARCHAR
+                                AS body FROM severity_reports)),
+    p AS (SELECT id, {s_lenient('reply')} AS p FROM rep)
+    SELECT id, json_object('area', {s_field('p', 'area')}, 'severity', {s_field('p', 'severity')},
+                           'kind', {s_field('p', 'kind')})::VARCHAR AS extraction
+    FROM p""", "severity_reports"))
+def q_extraction_json(spark, sf):
+    """Extracted fields serialised back to one JSON object per reply."""
+    v = XO.validate_replies(td.extraction_replies(spark, sf))
+    return v.select("id", T.extraction_json("area", "severity", "kind").alias("extraction"))
+
+
+@register("vector_math", with_views("""
+    SELECT p.dup_id, p.master_id,
+           round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine,
+           round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS l2,
+           round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS dot
+    FROM vector_pairs p JOIN embeddings a ON a.vec_id = p.dup_id JOIN embeddings b ON b.vec_id = p.master_id""",
+                                    "vector_pairs"))
+def q_vector_math(spark, sf):
+    """Cosine, Euclidean distance and dot product of every labelled pair."""
+    v = td.vectors(spark, sf).select("id", "embedding")
+    j = (td.vector_pairs(spark, sf)
+         .join(v.withColumnRenamed("id", "dup_id").withColumnRenamed("embedding", "a"), "dup_id")
+         .join(v.withColumnRenamed("id", "master_id").withColumnRenamed("embedding", "b"), "master_id"))
+    return j.select("dup_id", "master_id", r6(VF.cosine("a", "b")).alias("cosine"),
+                    r6(VF.l2_distance("a", "b")).alias("l2"), r6(VF.dot("a", "b")).alias("dot"))

@@ -84,3 +84,29 @@ def test_signatures_and_digest(spark):
     long = trace_df(spark, {1: [(f"n{i}", "") for i in range(9)], 2: [("a", ""), ("b", "")]})
     dig = {r.run_id: r.digest for r in TR.evidence_digest(long, 6).collect()}
     assert dig[1] == [f"n{i}" for i in range(3, 9)] and dig[2] == ["a", "b"]
+
+
+def test_score_rows_hook_and_failure_flag(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "bb")], "id long, text string")
+    ok = XO.score_rows(df, lambda pdf: pdf["text"].str.len().astype(str), "score").collect()
+    assert sorted((r.id, r.score, r.score_failed) for r in ok) == [(1, "1", False), (2, "2", False)]
+
+    def boom(pdf):
+        raise RuntimeError("remote model down")
+    bad = XO.score_rows(df, boom, "score").collect()
+    assert all(r.score is None and r.score_failed for r in bad)
+
+
+def test_judge_labels(spark):
+    df = spark.createDataFrame([(1, '{"score": 5}'), (2, '{"score": 4}'), (3, "nope")], "id long, reply string")
+    got = {r.id: (r.judge_good, r.parsed) for r in XO.judge_labels(df).collect()}
+    assert got == {1: (1, True), 2: (0, True), 3: (0, False)}
+
+
+def test_embed_hook_and_default(spark):
+    from tessera.operators.embed import embed
+    df = spark.createDataFrame([(1, "red apple"), (2, "green apple"), (3, None)], "id long, text string")
+    custom = embed(df, lambda texts: [[float(len(t)), 1.0] for t in texts], batch=2).collect()
+    assert sorted((r.id, r.embedding) for r in custom) == [(1, [9.0, 1.0]), (2, [11.0, 1.0]), (3, [0.0, 1.0])]
+    default = {r.id: r.embedding for r in embed(df, dims=64).collect()}
+    assert len(default[1]) == 64 and abs(sum(x * x for x in default[1]) - 1.0) < 1e-5
