@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 
 DEFAULT_LEFT_ROWS = 4096
 DEFAULT_RIGHT_ROWS = 16384
+# Memory budget of one side of a cell as float64 vectors (wide vectors get
+# fewer rows per block).
+DEFAULT_CELL_BYTES = 128 << 20
+MIN_BLOCK_ROWS = 256
 # Smallest left block worth a Python worker when splitting only for parallelism.
 MIN_LEFT_ROWS_FOR_PARALLELISM = 64
 
@@ -37,8 +41,17 @@ class Grid:
 
 
 def plan_grid(spark, n_left: int, n_right: int, left_rows: int = DEFAULT_LEFT_ROWS,
-              right_rows: int = DEFAULT_RIGHT_ROWS) -> Grid:
-    """Choose block counts so every cell stays within the row budgets."""
+              right_rows: int = DEFAULT_RIGHT_ROWS, dims: int | None = None,
+              cell_bytes: int = DEFAULT_CELL_BYTES) -> Grid:
+    """Choose block counts so every cell stays within the row and byte budgets.
+
+    With ``dims`` known, a block holds at most ``cell_bytes`` of float64
+    vectors, so wide embeddings get proportionally smaller blocks.
+    """
+    if dims:
+        per_row = 8 * dims
+        right_rows = min(right_rows, max(MIN_BLOCK_ROWS, cell_bytes // per_row))
+        left_rows = min(left_rows, max(MIN_BLOCK_ROWS, cell_bytes // (4 * per_row)))
     par = max(1, spark.sparkContext.defaultParallelism)
     bl = max(1, math.ceil(n_left / left_rows))
     br = max(1, math.ceil(n_right / right_rows))

@@ -69,8 +69,9 @@ def silhouette_samples(points: DataFrame, label: str = "label", vector: str = "e
     spark = points.sparkSession
     p = points.select(F.col(id_col).cast("long").alias("_id"), F.col(vector).cast("array<float>").alias("_v"),
                       F.col(label).cast("long").alias("_l")).filter(F.col("_l").isNotNull())
-    n = p.count()
-    grid = plan_grid(spark, n, n, left_rows, right_rows)
+    st = p.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
+    n, dims = int(st["n"]), int(st["d"] or 0)
+    grid = plan_grid(spark, n, n, left_rows, right_rows, dims=dims)
     sums = grid_cells(p, p, grid).groupBy("_cell").applyInPandas(_cell_cluster_sums, _SUMS_SCHEMA)
     per = (sums.groupBy("id", "own", "other").agg(F.sum("dist_sum").alias("dist_sum"), F.sum("n").alias("n"))
            .withColumn("n", F.when(F.col("own") == F.col("other"), F.col("n") - 1).otherwise(F.col("n"))))

@@ -148,7 +148,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id: st
         local = c.mapInPandas(_scan_topk(bq, k, exclude_self), KNN_SCHEMA)
     else:
         n_c = c.count()
-        grid = plan_grid(spark, n_q, n_c, query_block_rows, corpus_block_rows)
+        grid = plan_grid(spark, n_q, n_c, query_block_rows, corpus_block_rows, dims=dims)
         local = grid_cells(q, c, grid).groupBy("_cell").applyInPandas(_cell_topk(k, exclude_self), KNN_SCHEMA)
         if grid.right_blocks == 1:
             return local
