@@ -2,8 +2,12 @@
 
 Input: ``(run_id, step, node, text)`` where ``node`` is the routed decision
 (research / extract / critique / FINISH) and ``text`` the reply of that
-node. A run is bounded by the supervisor's decision budget, so per-run
-ordered arrays and per-run windows stay small whatever the table size.
+node. Aggregates over runs (counts, tool use, yields) are partial
+aggregates. The per-run ordered outputs (trajectory text and signature) are
+by definition as long as the run, which the agent runtime caps at its
+decision budget; the route audit and attempts are running windows over one
+run (they stream through the sorted run and spill if a run is huge). The
+evidence digest only ever collects its last ``n`` items.
 """
 
 from __future__ import annotations
@@ -83,14 +87,15 @@ def tool_usage(trace: DataFrame, tool_col: str = "node", result_col: str = "text
 def evidence_digest(trace: DataFrame, n: int = 6, tool_col: str = "node") -> DataFrame:
     """Per run, the last ``n`` evidence items in order.
 
-    ``slice(a, greatest(size(a) - n + 1, 1), n)``: a negative start would
-    return nothing for runs shorter than ``n``.
+    ``row_number()`` over the steps in reverse keeps the last ``n`` rows of a
+    run (cut per task before the shuffle), so only ``n`` items per run are
+    ever collected, however long the run.
     """
-    arr = F.transform(F.array_sort(F.collect_list(F.struct("step", F.col(tool_col).alias("t")))),
-                      lambda s: F.coalesce(s["t"], F.lit("note")))
-    per = trace.groupBy("run_id").agg(arr.alias("_a"))
-    start = F.greatest(F.size("_a") - F.lit(n - 1), F.lit(1))
-    return per.select("run_id", F.slice(F.col("_a"), start, F.lit(n)).alias("digest"))
+    w = Window.partitionBy("run_id").orderBy(F.col("step").desc())
+    last = (trace.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+            .select("run_id", "step", F.coalesce(F.col(tool_col), F.lit("note")).alias("t")))
+    return last.groupBy("run_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("step", "t"))), lambda x: x["t"]).alias("digest"))
 
 
 def _with_state(trace: DataFrame) -> DataFrame:
@@ -145,7 +150,7 @@ def attempts(trace: DataFrame) -> DataFrame:
     crit = t.filter(F.col("node") == CRITIQUE)
     cur = F.parse_json(F.coalesce(F.col("_cur"), F.lit("null")))
     ok_schema, why = EX.validate_extraction(cur)
-    reply = EX.parse_json_lenient(F.col("text"))
+    reply = F.try_parse_json(F.col("text"))  # critic replies are read as strict JSON
     verdict = F.coalesce(F.try_variant_get(reply, "$.ok", "boolean"), F.lit(True))
     ok = F.when(ok_schema, verdict).otherwise(F.lit(False))
     reason = F.when(~ok_schema, F.concat(F.lit("schema error: "), why)).otherwise(
