@@ -34,8 +34,7 @@ def main() -> None:
              "Generated by `scripts/coverage.py` from the registered queries (`sql` = DuckDB oracle, "
              "`rows` = rows-only check). Rows covered only by tests are marked.", "",
              "| Row | Registered queries |", "|---|---|"]
-    test_only = {"S9": "tests/test_sources.py::test_field_catalog (fixed catalog: no table to read)",
-                 "F2": "tests/test_extraction_trace.py::test_score_rows_hook_and_failure_flag; "
+    test_only = {"F2": "tests/test_extraction_trace.py::test_score_rows_hook_and_failure_flag; "
                        "default namer in `apply_themes`"}
     for rid in ROW_IDS:
         qs = ", ".join(cover[rid])

@@ -148,3 +148,19 @@ def prior_for(names: DataFrame, reports: DataFrame, mapping: dict[str, str] | No
     match = nearest_name(names, taxonomy(reports), name_col, "component")
     prior = component_prior(reports, mapping)
     return match.join(prior, F.col("name") == F.col("component"), "left").drop("name")
+
+
+def catalog_conformance(extractions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Per catalog field with allowed values: replies whose value is allowed.
+
+    The catalog is a small dimension table (fields x allowed values), joined
+    by broadcast; the extractions are unpivoted to ``(field, value)``.
+    """
+    allowed = (catalog.filter(F.col("allowed").isNotNull())
+               .select("field", F.explode("allowed").alias("value")).withColumn("_ok", F.lit(True)))
+    fields = [r for r in ("severity", "kind") if r in extractions.columns]
+    long = extractions.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"))
+                                                  for f in fields])).alias("_fv")).select("_fv.*")
+    j = long.join(F.broadcast(allowed), ["field", "value"], "left")
+    return j.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count("_ok").alias("n_allowed"),
+                                  F.count(F.when(F.col("value").isNull(), 1)).alias("n_missing"))

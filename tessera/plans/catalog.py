@@ -1221,3 +1221,25 @@ def q_vector_math(spark, sf):
          .join(v.withColumnRenamed("id", "master_id").withColumnRenamed("embedding", "b"), "master_id"))
     return j.select("dup_id", "master_id", r6(VF.cosine("a", "b")).alias("cosine"),
                     r6(VF.l2_distance("a", "b")).alias("l2"), r6(VF.dot("a", "b")).alias("dot"))
+
+
+@register("catalog_conformance", with_views(f"""
+    , rep AS (SELECT id, CASE WHEN severity = '5-LOW' THEN 'Here is the JSON:' || chr(10) || body || chr(10) || 'Done.'
+                              WHEN severity = '4-NOT SPECIFIED' THEN 'I could not decide.' ELSE body END AS reply
+              FROM (SELECT id, severity, json_object('area', component, 'severity',
+                                {s_severity('severity', td.ORDER_PRIORITY_SEVERITY)},
+                                'kind', CASE status WHEN 'F' THEN 'data' WHEN 'O' THEN 'other' ELSE 'pending' END)::VARCHAR
+                                AS body FROM severity_reports)),
+    p AS (SELECT id, {s_lenient('reply')} AS p FROM rep),
+    lng AS (SELECT 'severity' AS field, {s_field('p', 'severity')} AS value FROM p
+            UNION ALL SELECT 'kind', {s_field('p', 'kind')} FROM p),
+    allowed AS (SELECT * FROM (VALUES {", ".join(f"('severity', '{v}')" for v in EX_SEVERITIES)},
+                                      {", ".join(f"('kind', '{v}')" for v in EX_KINDS)}) t(field, value))
+    SELECT l.field, count(*) AS n, count(a.value) AS n_allowed, count(*) FILTER (WHERE l.value IS NULL) AS n_missing
+    FROM lng l LEFT JOIN allowed a ON a.field = l.field AND a.value = l.value GROUP BY l.field""",
+                                            "severity_reports"))
+def q_catalog_conformance(spark, sf):
+    """The field catalog as a dimension table, checked against every reply."""
+    from tessera.sources.readers import field_catalog
+    v = XO.validate_replies(td.extraction_replies(spark, sf))
+    return XO.catalog_conformance(v, field_catalog(spark))
