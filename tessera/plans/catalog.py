@@ -152,13 +152,13 @@ def q_clip_text(spark, sf):
 
 
 @register("judge_text", with_views("""
-    SELECT id, left('[' || coalesce(component, '') || '] ' || coalesce(summary, '') || chr(10)
-                    || coalesce(description, ''), 2000) AS judge_text
+    SELECT id, '[' || coalesce(component, '') || '] ' || coalesce(summary, '') || chr(10)
+               || coalesce(description, '') AS judge_text
     FROM reports""", "reports"))
 def q_judge_text(spark, sf):
-    """P10: judge text of every report, clipped to 2,000 characters."""
+    """P10: judge text of every report (whole text)."""
     r = td.reports(spark, sf)
-    return r.select("id", T.clip(T.judge_text("component", "summary", "description"), 2000).alias("judge_text"))
+    return r.select("id", T.judge_text("component", "summary", "description").alias("judge_text"))
 
 
 @register("map_severity", with_views(f"""
@@ -1115,7 +1115,7 @@ def _land_comments(spark, sf) -> str:
 
 
 @register("first_comment", """
-    SELECT conv_id AS id, left(text, 4000) AS text FROM conversations WHERE turn = 0""")
+    SELECT conv_id AS id, text FROM conversations WHERE turn = 0""")
 def q_first_comment(spark, sf):
     """First comment of each landed comment page as the description."""
     return RD.first_comment(spark, _land_comments(spark, sf))

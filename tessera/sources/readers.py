@@ -220,16 +220,17 @@ def explode_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.select(F.explode("bugs").alias("b")).select("b.*")
 
 
-def first_comment(spark: SparkSession, path: str, chars: int = TX.COMMENT_MAX_CHARS) -> DataFrame:
-    """Landed comment pages -> (id, first comment text cut at ``chars``).
+def first_comment(spark: SparkSession, path: str, chars: int | None = None) -> DataFrame:
+    """Landed comment pages -> (id, first comment text).
 
-    A page with no comments, or one that cannot be read, gives ''.
+    The whole comment by default; ``chars`` (4,000 in the reference's cache)
+    cuts it. A page with no comments, or one that cannot be read, gives ''.
     """
     pages = spark.read.schema(COMMENT_PAGE_SCHEMA).json(path)
     e = pages.select(F.explode("bugs").alias("id", "v"))
     txt = F.try_element_at(F.col("v.comments"), F.lit(1))["text"]
-    return e.select(F.col("id").try_cast("long").alias("id"),
-                    F.coalesce(TX.clip(txt, chars), F.lit("")).alias("text"))
+    txt = txt if chars is None else TX.clip(txt, chars)
+    return e.select(F.col("id").try_cast("long").alias("id"), F.coalesce(txt, F.lit("")).alias("text"))
 
 
 def missing_descriptions(ids: DataFrame, cache: DataFrame) -> DataFrame:
