@@ -89,3 +89,15 @@ def test_retrieval_metrics_hand_pairs(spark):
     assert abs(m.hit_at_10 - 3 / 5) < 1e-12
     assert abs(m.mrr - (1 + 1 + 1 / 6) / 5) < 1e-12
     assert m.hit_at_1 <= m.mrr <= m.hit_at_10
+
+
+def test_lsh_hot_bucket_split_into_bounded_cells(spark):
+    # every vector nearly identical -> one hot bucket per table; tiny blocks force many cells
+    rng = np.random.default_rng(5)
+    base = np.ones(8)
+    mat = base + rng.normal(scale=1e-3, size=(120, 8))
+    df = vec_df(spark, range(120), mat)
+    got = V.knn_join_lsh(df, df, k=3, query_block_rows=16, corpus_block_rows=16).collect()
+    exact = {(r.qid, r.id) for r in V.knn_join(df, df, k=3).collect()}
+    assert len(got) == 360
+    assert len({(r.qid, r.id) for r in got} & exact) / 360 > 0.95
