@@ -108,13 +108,14 @@ def cluster_sizes(assign: DataFrame, label: str = "label") -> DataFrame:
 def centroids(points: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
     """Mean vector per cluster ``(label, centroid ARRAY<DOUBLE>)``.
 
-    One partial aggregate over ``(label, position)``: the shuffle carries
-    clusters x dimensions rows per task, whatever the number of points.
+    Spark ML's ``Summarizer.mean`` aggregates whole vectors (partial per task,
+    merged after one shuffle of clusters x tasks states), so no per-dimension
+    rows are ever produced.
     """
-    ex = points.select(F.col(label), F.posexplode(F.col(vector)).alias("pos", "x"))
-    per = ex.groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return per.groupBy(label).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centroid"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    feats = points.select(F.col(label), array_to_vector(F.col(vector).cast("array<double>")).alias("_f"))
+    return feats.groupBy(label).agg(vector_to_array(Summarizer.mean(F.col("_f"))).alias("centroid"))
 
 
 def representatives(points: DataFrame, centres: DataFrame, texts: DataFrame, n: int = 6,

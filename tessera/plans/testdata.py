@@ -33,11 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _text_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, master_id, copies) keyed by a SHA-256 of the text.
 
-    Grouping on the digest instead of the text keeps whole texts out of the
-    shuffle; the aggregate is partial (map-side) so a text copied a million
-    times still costs one row per task before the exchange.
+    Grouping on the 32-byte binary digest instead of the text keeps whole
+    texts out of the shuffle; the aggregate is partial (map-side) so a text
+    copied a million times still costs one row per task before the exchange.
     """
-    keyed = docs.select("doc_id", F.sha2(F.col("text"), 256).alias("_h"))
+    keyed = docs.select("doc_id", F.unhex(F.sha2(F.col("text"), 256)).alias("_h"))
     groups = keyed.groupBy("_h").agg(F.min("doc_id").alias("master_id"), F.count("*").alias("copies"))
     return keyed.join(groups, "_h").drop("_h")
 
