@@ -1035,9 +1035,16 @@ _READOUT_SQL = f"""
 @register("readout", _READOUT_SQL)
 def q_readout(spark, sf):
     """The final readout table (themes, yields, kappa, retrieval, slices)."""
+    # the per-pair ranks are built once; metrics and both slice tables derive from them
+    ranked, metrics = R.evaluate_retrieval(td.vector_pairs(spark, sf), td.vectors(spark, sf), k=10)
+    themes = td.vectors(spark, sf).select("id", F.col("label").alias("theme"))
+    ctx = R.pair_context(ranked, td.reports(spark, sf), themes)
+    rnd = [r6(F.col(c)).alias(c) for c in ("hit_at_10", "mrr")]
+    ext = R.extremes(R.metrics_by(ctx, "theme", 50), "theme", "hit_at_10", 3).select("theme", *rnd, "n", "end")
+    agree = R.metrics_by_agreement(ctx).select("same_component", *rnd, "n")
+    met = metrics.select("n_pairs", *[r6(F.col(c)).alias(c) for c in ("hit_at_1", "hit_at_5", "hit_at_10", "mrr")])
     return readout(q_prevalence_themes(spark, sf), "label", q_extraction_yield(spark, sf),
-                   q_cohen_kappa(spark, sf), q_retrieval_metrics(spark, sf), q_theme_extremes(spark, sf),
-                   q_metrics_by_agreement(spark, sf))
+                   q_cohen_kappa(spark, sf), met, ext, agree)
 
 
 # ----------------------------------------- sources, sinks and streaming
