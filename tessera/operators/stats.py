@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from statistics import NormalDist
 
 from pyspark.sql import DataFrame, Window

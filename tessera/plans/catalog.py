@@ -90,7 +90,6 @@ from tessera.operators import agreement as AG  # noqa: E402
 from tessera.operators import stats as ST  # noqa: E402
 from tessera.sources import ingest as IN  # noqa: E402
 
-EDGE = T.EDGE_WS_PATTERN.replace("'", "''")
 WORD = T.WORD_PATTERN
 
 
