@@ -44,23 +44,37 @@ def is_object(v: Column) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
 
 
+FIELDS_TYPE = "struct<area: variant, severity: variant, kind: variant>"
+
+
+def extraction_fields(v: Column) -> Column:
+    """The three extraction fields of a reply as a struct of VARIANTs.
+
+    One lookup for all fields; null when the reply is not a JSON object (the
+    cast to a struct only succeeds for objects).
+    """
+    return F.try_variant_get(v, "$", FIELDS_TYPE)
+
+
+def variant_string(x: Column) -> Column:
+    """The value as string when the VARIANT holds a JSON string, else null."""
+    return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+
+
 def field_string(v: Column, name: str) -> Column:
     """A top-level field as string when it is a JSON string, else null."""
     f = F.try_variant_get(v, f"$.{name}", "variant")
-    return F.when(F.schema_of_variant(f) == "STRING", F.try_variant_get(f, "$", "string"))
+    return variant_string(f)
 
 
-def validate_extraction(v: Column, severities: Sequence[str] = SEVERITIES,
-                        kinds: Sequence[str] = KINDS) -> tuple[Column, Column]:
-    """(ok, reason) for a parsed reply; the first failing check wins.
+def validate_fields(f: Column, severities: Sequence[str] = SEVERITIES,
+                    kinds: Sequence[str] = KINDS) -> tuple[Column, Column]:
+    """(ok, reason) from ``extraction_fields``; the first failing check wins.
 
     not an object -> missing or blank area -> severity not allowed -> kind not allowed.
     """
-    is_obj = is_object(v)
-    area = field_string(v, "area")
-    sev = field_string(v, "severity")
-    kind = field_string(v, "kind")
-    reason = (F.when(~is_obj, F.lit(REASON_NOT_OBJECT))
+    area, sev, kind = (variant_string(f[n]) for n in ("area", "severity", "kind"))
+    reason = (F.when(f.isNull(), F.lit(REASON_NOT_OBJECT))
               .when(area.isNull() | (strip_ws(area) == ""), F.lit(REASON_MISSING_AREA))
               .when(sev.isNull() | ~sev.isin(*severities), F.lit(REASON_BAD_SEVERITY))
               .when(kind.isNull() | ~kind.isin(*kinds), F.lit(REASON_BAD_KIND))
@@ -68,6 +82,12 @@ def validate_extraction(v: Column, severities: Sequence[str] = SEVERITIES,
     return reason == "", reason
 
 
+def validate_extraction(v: Column, severities: Sequence[str] = SEVERITIES,
+                        kinds: Sequence[str] = KINDS) -> tuple[Column, Column]:
+    """(ok, reason) for a parsed reply (VARIANT); see ``validate_fields``."""
+    return validate_fields(extraction_fields(v), severities, kinds)
+
+
 def judge_score(reply) -> Column:
     """Integer ``score`` of a judge reply (strict JSON), null when unreadable."""
     v = F.try_parse_json(_c(reply))

@@ -94,15 +94,17 @@ def nearest_name(values: DataFrame, taxonomy: DataFrame, value_col: str = "value
 def validate_replies(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
     """Parse each reply leniently and validate it.
 
-    The reply is parsed once into ``_v``; the field checks are produced by a
-    one-row ``inline`` so a later filter on ``ok`` stays above them instead of
-    being pushed down with the parse copied into every predicate.
+    The reply is parsed once (``_v``) and its three fields taken in one lookup
+    (``_f``); the checks are produced by a one-row ``inline`` so a later filter
+    on ``ok`` stays above them instead of being pushed down with the parse
+    copied into every predicate.
     """
-    parsed = replies.withColumn("_v", EX.parse_json_lenient(F.col(reply_col)))
-    v = F.col("_v")
-    ok, reason = EX.validate_extraction(v)
-    checks = F.struct(v.isNotNull().alias("parsed"), EX.field_string(v, "area").alias("area"),
-                      EX.field_string(v, "severity").alias("severity"), EX.field_string(v, "kind").alias("kind"),
+    parsed = (replies.withColumn("_v", EX.parse_json_lenient(F.col(reply_col)))
+              .withColumn("_f", EX.extraction_fields(F.col("_v"))))
+    f = F.col("_f")
+    ok, reason = EX.validate_fields(f)
+    checks = F.struct(F.col("_v").isNotNull().alias("parsed"),
+                      *[EX.variant_string(f[n]).alias(n) for n in ("area", "severity", "kind")],
                       ok.alias("ok"), reason.alias("reason"))
     keep = [c for c in replies.columns if c not in ("parsed", "area", "severity", "kind", "ok", "reason")]
     return parsed.select(*keep, F.inline(F.array(checks)))
