@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import parallelism
+
 DEFAULT_LEFT_ROWS = 4096
 DEFAULT_RIGHT_ROWS = 16384
 # Memory budget of one side of a cell as float64 vectors (wide vectors get
@@ -52,7 +54,7 @@ def plan_grid(spark, n_left: int, n_right: int, left_rows: int = DEFAULT_LEFT_RO
         per_row = 8 * dims
         right_rows = min(right_rows, max(MIN_BLOCK_ROWS, cell_bytes // per_row))
         left_rows = min(left_rows, max(MIN_BLOCK_ROWS, cell_bytes // (4 * per_row)))
-    par = max(1, spark.sparkContext.defaultParallelism)
+    par = parallelism(spark)
     bl = max(1, math.ceil(n_left / left_rows))
     br = max(1, math.ceil(n_right / right_rows))
     # Keep every core busy when the data is small: split the left side further.
@@ -87,7 +89,7 @@ def grid_cells(left: DataFrame, right: DataFrame, grid: Grid,
         width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     except (TypeError, ValueError):
         width = 200
-    n_parts = max(1, min(grid.cells, max(width, spark.sparkContext.defaultParallelism)))
+    n_parts = max(1, min(grid.cells, max(width, parallelism(spark))))
     return both.drop("_lb", "_rb").repartition(n_parts, "_cell")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import has_context, parallelism
 from tessera.operators.blocks import (DEFAULT_LEFT_ROWS, DEFAULT_RIGHT_ROWS, grid_cells, keyed_grid_cells,
                                       plan_grid)
 
@@ -136,16 +137,19 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id: st
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
     n_q, dims = int(stats["n"]), int(stats["d"] or 0)
     w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("id").asc())
-    if strategy == "broadcast" or (strategy == "auto" and n_q * max(dims, 1) * 8 <= max_broadcast_bytes):
+    fits = n_q * max(dims, 1) * 8 <= max_broadcast_bytes
+    if strategy == "auto" and not has_context(spark):
+        strategy = "grid"  # no broadcast variables on a session without a SparkContext
+    if strategy == "broadcast" or (strategy == "auto" and fits):
         if n_q * max(dims, 1) * 8 > max_broadcast_bytes:
             raise ValueError("query side exceeds max_broadcast_bytes; use strategy='grid'")
         pdf = q.toPandas()
         qids = pdf["_id"].to_numpy(dtype=np.int64)
         qmat = _unit_rows(_stack(pdf["_v"])) if len(pdf) else np.zeros((0, dims))
         bq = spark.sparkContext.broadcast((qids, qmat))
-        par = spark.sparkContext.defaultParallelism
+        par = parallelism(spark)
         if c.rdd.getNumPartitions() < par:
-            c = c.repartition(par)
+            c = c.repartition(par)  # small corpora only: keep every core busy
         local = c.mapInPandas(_scan_topk(bq, k, exclude_self), KNN_SCHEMA)
     else:
         n_c = c.count()

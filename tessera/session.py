@@ -29,6 +29,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Task slots of the cluster (falls back to the shuffle width when the
+    session exposes no SparkContext, e.g. a remote session)."""
+    try:
+        return max(1, int(spark.sparkContext.defaultParallelism))
+    except Exception:  # noqa: BLE001
+        try:
+            return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        except (TypeError, ValueError):
+            return 8
+
+
+def has_context(spark: SparkSession) -> bool:
+    try:
+        spark.sparkContext  # noqa: B018
+        return True
+    except Exception:  # noqa: BLE001
+        return False
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
@@ -36,12 +56,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only where it is unset (tests, local runs) a fresh scratch folder is taken.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
+    if not configured and has_context(spark):
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
+    if has_context(spark):
+        spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
