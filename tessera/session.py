@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +27,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -49,6 +51,41 @@ def has_context(spark: SparkSession) -> bool:
         return False
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable in the Python workers (what ``--py-files`` does).
+
+    The package's ``.py`` files are zipped once per application and added
+    with ``addPyFile``; Spark distributes the zip to every executor, so the
+    Arrow UDF closures can import their helpers wherever the driver runs.
+    """
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    if has_context(spark):
+        sc = spark.sparkContext
+        key = sc.applicationId
+    else:
+        key = "remote"
+    if key in _SHIPPED:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="tessera-pkg-"), "tessera.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.join("tessera", os.path.relpath(full, pkg)))
+    if key == "remote":
+        try:
+            spark.addArtifacts(path, pyfile=True)
+        except Exception:  # noqa: BLE001 - nothing to ship to
+            return
+    else:
+        sc.addPyFile(path)
+    _SHIPPED.add(key)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 

@@ -24,3 +24,9 @@ def test_retrieval_figures_sf001(spark):
     r = E.queries()["retrieval_metrics"](spark, "/root/testdata/sf0.01").first()
     assert r.n_pairs == 490
     assert (r.hit_at_1, round(r.hit_at_5, 4), round(r.hit_at_10, 4), round(r.mrr, 5)) == (0.0, 0.0122, 0.0306, 0.00632)
+
+
+def test_entry_figures_sf0001(spark):
+    r = E.entry(spark).first()
+    assert r.n_pairs == 490
+    assert (r.hit_at_1, r.hit_at_5, round(r.hit_at_10, 4), round(r.mrr, 5)) == (0.0, 0.0, 0.0143, 0.00186)
