@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.operators import retrieval as R
 from tessera.operators import vectors as V
 from tessera.plans import testdata as td
-from tessera.plans.oracle_views import with_views
+from tessera.plans.oracle_views import _DEPENDS, VIEWS, with_views
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -807,6 +807,20 @@ def s_reason(p: str) -> str:
 
 from tessera.functions.extraction import KINDS as EX_KINDS, SEVERITIES as EX_SEVERITIES  # noqa: E402
 
+# Model-style replies derived from every order row (twin of testdata.extraction_replies),
+# with the leniently parsed JSON next to them.
+VIEWS["replies"] = f"""
+        SELECT id, component, summary, reply, {s_lenient('reply')} AS p FROM (
+          SELECT id, component, summary,
+                 CASE WHEN severity = '5-LOW' THEN 'Here is the JSON:' || chr(10) || body || chr(10) || 'Done.'
+                      WHEN severity = '4-NOT SPECIFIED' THEN 'I could not decide.' ELSE body END AS reply
+          FROM (SELECT id, component, summary, severity,
+                       json_object('area', component, 'severity', {s_severity('severity', td.ORDER_PRIORITY_SEVERITY)},
+                                   'kind', CASE status WHEN 'F' THEN 'data' WHEN 'O' THEN 'other'
+                                           ELSE 'pending' END)::VARCHAR AS body
+                FROM severity_reports))"""
+_DEPENDS["replies"] = ["severity_reports"]
+
 
 @register("trajectory", with_views(_DT + """
     SELECT run_id, string_agg(node, ' → ' ORDER BY step) AS trajectory FROM dt GROUP BY run_id""", "trace"))
@@ -939,16 +953,9 @@ def q_extraction_yield(spark, sf):
 
 
 @register("validate_extractions", with_views(f"""
-    , rep AS (SELECT id, CASE WHEN severity = '5-LOW' THEN 'Here is the JSON:' || chr(10) || body || chr(10) || 'Done.'
-                              WHEN severity = '4-NOT SPECIFIED' THEN 'I could not decide.' ELSE body END AS reply
-              FROM (SELECT id, severity, json_object('area', component, 'severity',
-                                {s_severity('severity', td.ORDER_PRIORITY_SEVERITY)},
-                                'kind', CASE status WHEN 'F' THEN 'data' WHEN 'O' THEN 'other' ELSE 'pending' END)::VARCHAR
-                                AS body FROM severity_reports)),
-    p AS (SELECT id, {s_lenient('reply')} AS p FROM rep)
     SELECT id, p IS NOT NULL AS parsed, {s_field('p', 'area')} AS area, {s_field('p', 'severity')} AS severity,
            {s_field('p', 'kind')} AS kind, {s_reason('p')} = '' AS ok, {s_reason('p')} AS reason
-    FROM p""", "severity_reports"))
+    FROM replies""", "replies"))
 def q_validate_extractions(spark, sf):
     """Lenient parse and schema check of model-style replies."""
     v = XO.validate_replies(td.extraction_replies(spark, sf))
@@ -956,18 +963,10 @@ def q_validate_extractions(spark, sf):
 
 
 @register("annotation_template", with_views(f"""
-    , rep AS (SELECT id, component, summary, CASE WHEN severity = '5-LOW' THEN 'Here is the JSON:' || chr(10) || body
-                              || chr(10) || 'Done.'
-                              WHEN severity = '4-NOT SPECIFIED' THEN 'I could not decide.' ELSE body END AS reply
-              FROM (SELECT id, component, summary, severity, json_object('area', component, 'severity',
-                                {s_severity('severity', td.ORDER_PRIORITY_SEVERITY)},
-                                'kind', CASE status WHEN 'F' THEN 'data' WHEN 'O' THEN 'other' ELSE 'pending' END)::VARCHAR
-                                AS body FROM severity_reports)),
-    p AS (SELECT *, {s_lenient('reply')} AS p FROM rep)
     SELECT id, component, summary, left(reply, 1200) AS description, {s_field('p', 'area')} AS llm_area,
            {s_field('p', 'severity')} AS llm_severity, {s_field('p', 'kind')} AS llm_kind,
            CAST(NULL AS INTEGER) AS human_good
-    FROM p WHERE {s_reason('p')} = ''""", "severity_reports"))
+    FROM replies WHERE {s_reason('p')} = ''""", "replies"))
 def q_annotation_template(spark, sf):
     """Accepted extractions as a blank annotation sheet."""
     from tessera.sources.readers import annotation_template
@@ -1196,16 +1195,9 @@ from tessera.functions import vectors as VF  # noqa: E402
 
 
 @register("extraction_json", with_views(f"""
-    , rep AS (SELECT id, CASE WHEN severity = '5-LOW' THEN 'Here is the JSON:' || chr(10) || body || chr(10) || 'Done.'
-                              WHEN severity = '4-NOT SPECIFIED' THEN 'I could not decide.' ELSE body END AS reply
-              FROM (SELECT id, severity, json_object('area', component, 'severity',
-                                {s_severity('severity', td.ORDER_PRIORITY_SEVERITY)},
-                                'kind', CASE status WHEN 'F' THEN 'data' WHEN 'O' THEN 'other' ELSE 'pending' END)::VARCHAR
-                                AS body FROM severity_reports)),
-    p AS (SELECT id, {s_lenient('reply')} AS p FROM rep)
     SELECT id, json_object('area', {s_field('p', 'area')}, 'severity', {s_field('p', 'severity')},
                            'kind', {s_field('p', 'kind')})::VARCHAR AS extraction
-    FROM p""", "severity_reports"))
+    FROM replies""", "replies"))
 def q_extraction_json(spark, sf):
     """Extracted fields serialised back to one JSON object per reply."""
     v = XO.validate_replies(td.extraction_replies(spark, sf))
@@ -1230,20 +1222,12 @@ def q_vector_math(spark, sf):
 
 
 @register("catalog_conformance", with_views(f"""
-    , rep AS (SELECT id, CASE WHEN severity = '5-LOW' THEN 'Here is the JSON:' || chr(10) || body || chr(10) || 'Done.'
-                              WHEN severity = '4-NOT SPECIFIED' THEN 'I could not decide.' ELSE body END AS reply
-              FROM (SELECT id, severity, json_object('area', component, 'severity',
-                                {s_severity('severity', td.ORDER_PRIORITY_SEVERITY)},
-                                'kind', CASE status WHEN 'F' THEN 'data' WHEN 'O' THEN 'other' ELSE 'pending' END)::VARCHAR
-                                AS body FROM severity_reports)),
-    p AS (SELECT id, {s_lenient('reply')} AS p FROM rep),
-    lng AS (SELECT 'severity' AS field, {s_field('p', 'severity')} AS value FROM p
-            UNION ALL SELECT 'kind', {s_field('p', 'kind')} FROM p),
+    , lng AS (SELECT 'severity' AS field, {s_field('p', 'severity')} AS value FROM replies
+              UNION ALL SELECT 'kind', {s_field('p', 'kind')} FROM replies),
     allowed AS (SELECT * FROM (VALUES {", ".join(f"('severity', '{v}')" for v in EX_SEVERITIES)},
                                       {", ".join(f"('kind', '{v}')" for v in EX_KINDS)}) t(field, value))
     SELECT l.field, count(*) AS n, count(a.value) AS n_allowed, count(*) FILTER (WHERE l.value IS NULL) AS n_missing
-    FROM lng l LEFT JOIN allowed a ON a.field = l.field AND a.value = l.value GROUP BY l.field""",
-                                            "severity_reports"))
+    FROM lng l LEFT JOIN allowed a ON a.field = l.field AND a.value = l.value GROUP BY l.field""", "replies"))
 def q_catalog_conformance(spark, sf):
     """The field catalog as a dimension table, checked against every reply."""
     from tessera.sources.readers import field_catalog

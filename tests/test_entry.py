@@ -30,3 +30,17 @@ def test_entry_figures_sf0001(spark):
     r = E.entry(spark).first()
     assert r.n_pairs == 490
     assert (r.hit_at_1, r.hit_at_5, round(r.hit_at_10, 4), round(r.mrr, 5)) == (0.0, 0.0, 0.0143, 0.00186)
+
+
+def test_package_shipped_to_workers(spark):
+    import zipfile
+
+    from tessera.session import ship_package
+    ship_package(spark)  # idempotent per application
+    files = spark.sparkContext._jsc.sc().listFiles()
+    names = [files.apply(i) for i in range(files.size())]
+    zips = [n for n in names if n.endswith("tessera.zip")]
+    assert len(zips) == 1
+    path = zips[0].replace("file:", "", 1)
+    with zipfile.ZipFile(path) as zf:
+        assert "tessera/operators/vectors.py" in zf.namelist()
