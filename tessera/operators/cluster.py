@@ -68,7 +68,7 @@ def silhouette_samples(points: DataFrame, label: str = "label", vector: str = "e
     """
     spark = points.sparkSession
     p = points.select(F.col(id_col).cast("long").alias("_id"), F.col(vector).cast("array<float>").alias("_v"),
-                      F.col(label).cast("long").alias("_l")).filter(F.col("_l").isNotNull())
+                      F.col(label).cast("long").alias("_l")).dropna()
     st = p.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
     n, dims = int(st["n"]), int(st["d"] or 0)
     grid = plan_grid(spark, n, n, left_rows, right_rows, dims=dims)

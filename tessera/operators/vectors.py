@@ -130,10 +130,11 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id: st
       cells (see ``blocks``); for query sets too large to broadcast.
     """
     spark = queries.sparkSession
+    # rows without an id or a vector cannot take part in a similarity search
     q = queries.select(F.col(query_id).cast("long").alias("_id"),
-                       F.col(vector).cast("array<float>").alias("_v"))
+                       F.col(vector).cast("array<float>").alias("_v")).dropna()
     c = corpus.select(F.col(corpus_id).cast("long").alias("_id"),
-                      F.col(vector).cast("array<float>").alias("_v"))
+                      F.col(vector).cast("array<float>").alias("_v")).dropna()
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
     n_q, dims = int(stats["n"]), int(stats["d"] or 0)
     w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("id").asc())
@@ -179,7 +180,7 @@ def knn_join_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     def prep(df, key):
-        v = df.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<float>").alias("_v"))
+        v = df.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<float>").alias("_v")).dropna()
         norm = F.sqrt(F.aggregate(F.transform("_v", lambda x: x.cast("double") * x.cast("double")),
                                   F.lit(0.0), lambda a, b: a + b))
         return v.withColumn("_feat", array_to_vector(F.transform("_v", lambda x: x / F.nullif(norm, F.lit(0.0)))))

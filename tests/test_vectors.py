@@ -101,3 +101,11 @@ def test_lsh_hot_bucket_split_into_bounded_cells(spark):
     exact = {(r.qid, r.id) for r in V.knn_join(df, df, k=3).collect()}
     assert len(got) == 360
     assert len({(r.qid, r.id) for r in got} & exact) / 360 > 0.95
+
+
+def test_knn_skips_missing_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (None, [1.0, 1.0])],
+                               "id long, embedding array<float>")
+    for strategy in ("grid", "broadcast"):
+        got = sorted((r.qid, r.id) for r in V.knn_join(df, df, k=2, strategy=strategy).collect())
+        assert got == [(1, 2), (2, 1)]
