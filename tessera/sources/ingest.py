@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Role priority when one id arrives from several sources
@@ -11,11 +11,19 @@ ROLE_PRIORITY = {"dup": 0, "master": 1, "corpus": 2}
 
 
 def prefer_role(df: DataFrame, id_col: str = "id", role_col: str = "role") -> DataFrame:
-    """One row per id, the one whose role has the highest priority."""
+    """One row per id, the one whose role has the highest priority.
+
+    A ``min_by`` aggregate keyed by (priority, row hash): partial per task, so
+    an id repeated across a third of the rows still costs one row per task in
+    the shuffle, and ties between equal roles resolve the same way every run.
+    """
     prio = F.try_element_at(F.create_map(*[F.lit(x) for kv in ROLE_PRIORITY.items() for x in kv]),
                             F.col(role_col))
-    w = Window.partitionBy(id_col).orderBy(prio.asc_nulls_last(), F.col(role_col).asc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    others = [c for c in df.columns if c != id_col]
+    key = F.struct(F.coalesce(prio, F.lit(len(ROLE_PRIORITY))).alias("p"),
+                   F.xxhash64(*[F.col(c) for c in others]).alias("h"))
+    best = df.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(c) for c in others]), key).alias("_row"))
+    return best.select(id_col, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
 def merge_sources(masters: DataFrame, extra: DataFrame, dups: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,9 +20,12 @@ from tessera.sources.readers import REPORT_SCHEMA, VECTOR_SCHEMA, append_vectors
 
 
 def _one_per_id(df: DataFrame) -> DataFrame:
-    """Keep one row per id inside a micro-batch (deterministic choice)."""
-    w = Window.partitionBy("id").orderBy(F.col("text").asc_nulls_last())
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    """Keep one row per id inside a micro-batch: the smallest text, an aggregate
+    (partial per task), so a repeated id is not gathered into one task."""
+    others = [c for c in df.columns if c != "id"]
+    best = df.groupBy("id").agg(F.min_by(F.struct(*others), F.struct(F.col("text"), F.xxhash64(*others)))
+                                .alias("_row"))
+    return best.select("id", *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
 def ingest_stream(spark: SparkSession, src: str, vectors_path: str, checkpoint: str | None = None,
