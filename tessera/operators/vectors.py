@@ -168,30 +168,33 @@ def knn_join_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id
                  query_block_rows: int = DEFAULT_LEFT_ROWS, corpus_block_rows: int = DEFAULT_RIGHT_ROWS) -> DataFrame:
     """Approximate k-nearest join: random-projection LSH buckets, exact search inside (J4, ``lsh``).
 
-    Spark ML's ``BucketedRandomProjectionLSH`` hashes the unit vectors into
-    ``num_tables`` bucket keys each. Rows sharing a (table, bucket) are
-    searched exactly on a block grid cut per bucket (``keyed_grid_cells``), so
-    a hot bucket becomes many bounded cells and each cell emits only its local
-    top-k. Never are all pairs of a bucket emitted. A neighbour found in
-    several tables is counted once. Recall against ``knn_join`` is measured in
-    the tests; output matches ``knn_join``.
+    Each unit vector gets one bucket per table, ``floor(v . r_t / bucket_length)``
+    for a seeded random unit direction ``r_t`` (the bucketed random projection
+    family); the projections are array expressions evaluated in the JVM. Rows
+    sharing a (table, bucket) are searched exactly on a block grid cut per
+    bucket (``keyed_grid_cells``), so a hot bucket becomes many bounded cells
+    and each cell emits only its local top-k. Never are all pairs of a bucket
+    emitted. A neighbour found in several tables is counted once. Recall
+    against ``knn_join`` is measured in the tests; output matches ``knn_join``.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from tessera.functions import vectors as VF
 
-    def prep(df, key):
+    def unit(df, key):
         v = df.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<float>").alias("_v")).dropna()
-        norm = F.sqrt(F.aggregate(F.transform("_v", lambda x: x.cast("double") * x.cast("double")),
-                                  F.lit(0.0), lambda a, b: a + b))
-        return v.withColumn("_feat", array_to_vector(F.transform("_v", lambda x: x / F.nullif(norm, F.lit(0.0)))))
+        n = VF.l2_norm(F.col("_v"))
+        return v.withColumn("_u", F.transform("_v", lambda x: x / F.nullif(n, F.lit(0.0))))
 
-    qv, cv = prep(queries, query_id), prep(corpus, corpus_id)
-    model = BucketedRandomProjectionLSH(inputCol="_feat", outputCol="_h", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(cv)
+    qv, cv = unit(queries, query_id), unit(corpus, corpus_id)
+    dims = int(cv.agg(F.max(F.size("_v"))).first()[0] or 0)
+    planes = np.random.default_rng(seed).normal(size=(num_tables, max(dims, 1)))
+    planes /= np.linalg.norm(planes, axis=1, keepdims=True)  # tables x dims: bounded by the parameters
 
     def keyed(df):
-        h = model.transform(df).select("_id", "_v", F.posexplode("_h").alias("_table", "_hv"))
-        return h.select("_id", "_v", "_table", F.element_at(vector_to_array("_hv"), 1).cast("long").alias("_bucket"))
+        keys = [F.struct(F.lit(t).alias("_table"),
+                         F.floor(VF.dot(F.col("_u"), F.array(*[F.lit(float(x)) for x in planes[t]]))
+                                 / F.lit(bucket_length)).cast("long").alias("_bucket"))
+                for t in range(num_tables)]
+        return df.select("_id", "_v", F.explode(F.array(*keys)).alias("_k")).select("_id", "_v", "_k.*")
 
     cells = keyed_grid_cells(keyed(qv), keyed(cv), ["_table", "_bucket"], query_block_rows, corpus_block_rows)
     local = cells.select("_cell", "_side", "_id", "_v").groupBy("_cell").applyInPandas(
