@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import ensure_parallelism
 
 DEFAULT_DIMS = 256
 
@@ -24,7 +25,7 @@ def _term_counts(df: DataFrame, text_col: str, dims: int) -> DataFrame:
     """Hashed unigram + bigram counts as a sparse ``_tf`` vector."""
     from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
 
-    src = df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
+    src = ensure_parallelism(df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))))
     t = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", toLowercase=True).transform(src)
     t = NGram(n=2, inputCol="_tok", outputCol="_bi").transform(t).withColumn("_terms", F.concat("_tok", "_bi"))
     return HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=dims).transform(t).drop("_tok", "_bi", "_terms")

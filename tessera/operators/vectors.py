@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.session import has_context, parallelism
+from tessera.session import ensure_parallelism, has_context
 from tessera.operators.blocks import (DEFAULT_LEFT_ROWS, DEFAULT_RIGHT_ROWS, grid_cells, keyed_grid_cells,
                                       plan_grid)
 
@@ -148,9 +148,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id: st
         qids = pdf["_id"].to_numpy(dtype=np.int64)
         qmat = _unit_rows(_stack(pdf["_v"])) if len(pdf) else np.zeros((0, dims))
         bq = spark.sparkContext.broadcast((qids, qmat))
-        par = parallelism(spark)
-        if c.rdd.getNumPartitions() < par:
-            c = c.repartition(par)  # small corpora only: keep every core busy
+        c = ensure_parallelism(c)  # small corpora only: keep every core busy
         local = c.mapInPandas(_scan_topk(bq, k, exclude_self), KNN_SCHEMA)
     else:
         n_c = c.count()

@@ -1233,3 +1233,13 @@ def q_catalog_conformance(spark, sf):
     from tessera.sources.readers import field_catalog
     v = XO.validate_replies(td.extraction_replies(spark, sf))
     return XO.catalog_conformance(v, field_catalog(spark))
+
+
+@register("copy_retrieval")
+def q_copy_retrieval(spark, sf):
+    """Documents embedded (default hashed TF-IDF), copy pairs retrieved, hit@k and MRR."""
+    from tessera.operators.embed import embed
+    reports = ST.with_text(td.reports(spark, sf)).select("id", "text")
+    vectors = embed(reports).select("id", "embedding")
+    _, m = R.evaluate_retrieval(td.text_pairs(spark, sf), vectors, k=10)
+    return m.select("n_pairs", *[r6(F.col(c)).alias(c) for c in ("hit_at_1", "hit_at_5", "hit_at_10", "mrr")])

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import ensure_parallelism
 
 # Order priorities as severity levels for the test tables.
 ORDER_PRIORITY_SEVERITY = {
@@ -26,8 +27,13 @@ ORDER_PRIORITY_SEVERITY = {
 }
 
 
+# Tables whose rows carry whole texts: spread over every task slot before text work.
+TEXT_TABLES = ("documents",)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallelism(df) if name in TEXT_TABLES else df
 
 
 def _text_groups(docs: DataFrame) -> DataFrame:

@@ -43,6 +43,21 @@ def parallelism(spark: SparkSession) -> int:
             return 8
 
 
+def ensure_parallelism(df):
+    """Spread a DataFrame over all task slots before heavy per-row work.
+
+    A no-op when the input already has at least as many partitions as slots
+    (always the case for large inputs); small inputs read from one file or
+    row group get one round-robin shuffle instead of running in one task.
+    """
+    par = parallelism(df.sparkSession)
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view on this session
+        return df
+    return df if n >= par else df.repartition(par)
+
+
 def has_context(spark: SparkSession) -> bool:
     try:
         spark.sparkContext  # noqa: B018
