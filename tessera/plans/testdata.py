@@ -129,7 +129,7 @@ def extraction_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     severity = mapped priority, kind from the order status. Low-priority rows
     wrap it in prose, unspecified-priority rows give no JSON at all.
     """
-    r = severity_reports(spark, sf_dir)
+    r = ensure_parallelism(severity_reports(spark, sf_dir))  # JSON work per row follows
     level = T.map_severity(F.col("severity"), ORDER_PRIORITY_SEVERITY)
     kind = (F.when(F.col("status") == "F", F.lit("data")).when(F.col("status") == "O", F.lit("other"))
             .otherwise(F.lit("pending")))
