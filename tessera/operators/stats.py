@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import ensure_parallelism
 
 # Fixed value: two-sided 95 % normal quantile.
 Z_95 = 1.959963984540054
@@ -18,8 +19,13 @@ def z_for(alpha: float) -> float:
 
 
 def with_text(reports: DataFrame) -> DataFrame:
-    """Add ``text`` (P1) and ``desc_words`` (P2) to a report table."""
-    return (reports.withColumn("text", T.compose_text("component", "summary", "description"))
+    """Add ``text`` (P1) and ``desc_words`` (P2) to a report table.
+
+    Whole texts are composed and counted here, so a narrow input is first
+    spread over all task slots (a no-op for large inputs).
+    """
+    return (ensure_parallelism(reports)
+            .withColumn("text", T.compose_text("component", "summary", "description"))
             .withColumn("desc_words", T.word_count("description")))
 
 
