@@ -19,70 +19,88 @@ from tessera.functions import text as T
 from tessera.functions import vectors as VF
 from tessera.operators.blocks import DEFAULT_LEFT_ROWS, DEFAULT_RIGHT_ROWS, grid_cells, plan_grid
 
-_SUMS_SCHEMA = "id long, own long, other long, dist_sum double, n long"
+_SUMS_SCHEMA = "id long, j int, own long, other long, dist_sum double, n long"
 _CHUNK = 512
 
 
 def _cell_cluster_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Distance sums per (point, labelling j, other cluster) for one grid cell.
+
+    ``_l`` holds one label per labelling; the distance block is computed once
+    and reused for every labelling (e.g. every k of a sweep).
+    """
     left = pdf[pdf["_side"] == 0]
     right = pdf[pdf["_side"] == 1]
     if left.empty or right.empty:
-        return pd.DataFrame({"id": pd.Series([], dtype="int64"), "own": pd.Series([], dtype="int64"),
-                             "other": pd.Series([], dtype="int64"), "dist_sum": pd.Series([], dtype="float64"),
-                             "n": pd.Series([], dtype="int64")})
+        return pd.DataFrame({"id": pd.Series([], dtype="int64"), "j": pd.Series([], dtype="int32"),
+                             "own": pd.Series([], dtype="int64"), "other": pd.Series([], dtype="int64"),
+                             "dist_sum": pd.Series([], dtype="float64"), "n": pd.Series([], dtype="int64")})
     rmat = np.vstack([np.asarray(v, dtype=np.float64) for v in right["_v"].values])
     rsq = np.einsum("ij,ij->i", rmat, rmat)
-    rlab = right["_l"].to_numpy(dtype=np.int64)
-    labels, inv = np.unique(rlab, return_inverse=True)
-    onehot = np.zeros((len(rlab), len(labels)))
-    onehot[np.arange(len(rlab)), inv] = 1.0
-    counts = onehot.sum(axis=0).astype(np.int64)
+    rlabs = np.vstack([np.asarray(v, dtype=np.int64) for v in right["_l"].values])
     lids = left["_id"].to_numpy(dtype=np.int64)
-    llab = left["_l"].to_numpy(dtype=np.int64)
+    llabs = np.vstack([np.asarray(v, dtype=np.int64) for v in left["_l"].values])
     lmat = np.vstack([np.asarray(v, dtype=np.float64) for v in left["_v"].values])
+    onehots = []
+    for j in range(rlabs.shape[1]):
+        labels, inv = np.unique(rlabs[:, j], return_inverse=True)
+        onehot = np.zeros((len(rlabs), len(labels)))
+        onehot[np.arange(len(rlabs)), inv] = 1.0
+        onehots.append((labels, onehot, onehot.sum(axis=0).astype(np.int64)))
     parts = []
     for s in range(0, len(lids), _CHUNK):
         q = lmat[s:s + _CHUNK]
         d2 = np.einsum("ij,ij->i", q, q)[:, None] + rsq[None, :] - 2.0 * (q @ rmat.T)
         dist = np.sqrt(np.maximum(d2, 0.0))
-        sums = dist @ onehot
         nq = len(q)
-        parts.append(pd.DataFrame({
-            "id": np.repeat(lids[s:s + _CHUNK], len(labels)),
-            "own": np.repeat(llab[s:s + _CHUNK], len(labels)),
-            "other": np.tile(labels, nq),
-            "dist_sum": sums.reshape(-1),
-            "n": np.tile(counts, nq),
-        }))
+        for j, (labels, onehot, counts) in enumerate(onehots):
+            sums = dist @ onehot
+            parts.append(pd.DataFrame({
+                "id": np.repeat(lids[s:s + _CHUNK], len(labels)),
+                "j": np.full(nq * len(labels), j, dtype=np.int32),
+                "own": np.repeat(llabs[s:s + _CHUNK, j], len(labels)),
+                "other": np.tile(labels, nq),
+                "dist_sum": sums.reshape(-1),
+                "n": np.tile(counts, nq),
+            }))
     return pd.concat(parts, ignore_index=True)
 
 
-def silhouette_samples(points: DataFrame, label: str = "label", vector: str = "embedding",
-                       id_col: str = "id", left_rows: int = DEFAULT_LEFT_ROWS,
-                       right_rows: int = DEFAULT_RIGHT_ROWS) -> DataFrame:
-    """Per-point exact Euclidean silhouette ``(id, label, a, b, s)`` (A5).
+def _silhouette_rows(p: DataFrame, left_rows: int, right_rows: int) -> DataFrame:
+    """Per (point, labelling): a, b, s from one pass of pair distances.
 
-    a = mean distance to the other members of its own cluster, b = smallest
-    mean distance to another cluster, s = (b - a) / max(a, b); s = 0 for a
-    singleton cluster; s is null when there is only one cluster.
+    ``p`` is ``(_id, _v ARRAY<FLOAT>, _l ARRAY<LONG>)``, one label per labelling.
     """
-    spark = points.sparkSession
-    p = points.select(F.col(id_col).cast("long").alias("_id"), F.col(vector).cast("array<float>").alias("_v"),
-                      F.col(label).cast("long").alias("_l")).dropna()
+    spark = p.sparkSession
     st = p.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
     n, dims = int(st["n"]), int(st["d"] or 0)
     grid = plan_grid(spark, n, n, left_rows, right_rows, dims=dims)
     sums = grid_cells(p, p, grid).groupBy("_cell").applyInPandas(_cell_cluster_sums, _SUMS_SCHEMA)
-    per = (sums.groupBy("id", "own", "other").agg(F.sum("dist_sum").alias("dist_sum"), F.sum("n").alias("n"))
+    per = (sums.groupBy("id", "j", "own", "other").agg(F.sum("dist_sum").alias("dist_sum"), F.sum("n").alias("n"))
            .withColumn("n", F.when(F.col("own") == F.col("other"), F.col("n") - 1).otherwise(F.col("n"))))
-    ab = per.groupBy("id", "own").agg(
+    ab = per.groupBy("id", "j", "own").agg(
         F.max(F.when(F.col("own") == F.col("other"), F.col("dist_sum") / F.nullif(F.col("n"), F.lit(0)))).alias("a"),
         F.min(F.when(F.col("own") != F.col("other"), F.col("dist_sum") / F.col("n"))).alias("b"),
         F.max(F.when(F.col("own") == F.col("other"), F.col("n"))).alias("_others"))
     s = (F.when(F.col("b").isNull(), F.lit(None).cast("double"))
          .when(F.col("_others") == 0, F.lit(0.0))
          .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")))
-    return ab.select("id", F.col("own").cast(points.schema[label].dataType).alias(label), "a", "b", s.alias("s"))
+    return ab.select("id", "j", "own", "a", "b", s.alias("s"))
+
+
+def silhouette_samples(points: DataFrame, label: str = "label", vector: str = "embedding",
+                       id_col: str = "id", left_rows: int = DEFAULT_LEFT_ROWS,
+                       right_rows: int = DEFAULT_RIGHT_ROWS) -> DataFrame:
+    """Per-point exact Euclidean silhouette ``(id, label, a, b, s)`` (A5).
+
+    a = mean distance to the other members of its own cluster, b = smallest
+    mean distance to another cluster, s = (b - a) / max(a, b); s = 0 for a
+    singleton cluster; s is null when there is only one cluster.
+    """
+    p = points.select(F.col(id_col).cast("long").alias("_id"), F.col(vector).cast("array<float>").alias("_v"),
+                      F.col(label).cast("long").alias("_l")).dropna()
+    rows = _silhouette_rows(p.withColumn("_l", F.array("_l")), left_rows, right_rows)
+    return rows.select("id", F.col("own").cast(points.schema[label].dataType).alias(label), "a", "b", "s")
 
 
 def silhouette(points: DataFrame, label: str = "label", vector: str = "embedding", id_col: str = "id") -> DataFrame:
@@ -91,6 +109,21 @@ def silhouette(points: DataFrame, label: str = "label", vector: str = "embedding
     return smp.agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("silhouette"))
 
 
+def silhouettes(points: DataFrame, labellings: list[str], vector: str = "embedding", id_col: str = "id",
+                left_rows: int = DEFAULT_LEFT_ROWS, right_rows: int = DEFAULT_RIGHT_ROWS) -> DataFrame:
+    """Mean silhouette of several labellings of the same points, ``(labelling, n, silhouette)``.
+
+    Pair distances are computed once on the grid and reused for every
+    labelling (the k sweep scores all k from one pass).
+    """
+    p = points.select(F.col(id_col).cast("long").alias("_id"), F.col(vector).cast("array<float>").alias("_v"),
+                      F.array(*[F.col(c).cast("long") for c in labellings]).alias("_l")).dropna()
+    rows = _silhouette_rows(p, left_rows, right_rows)
+    names = F.array(*[F.lit(c) for c in labellings])
+    return (rows.groupBy("j").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("silhouette"))
+            .select(F.element_at(names, F.col("j") + 1).alias("labelling"), "n", "silhouette"))
+
+
 def silhouette_approx(points: DataFrame, label: str = "label", vector: str = "embedding") -> float:
     """Spark ML ``ClusteringEvaluator`` (squared Euclidean) — cheap, not exact."""
     from pyspark.ml.evaluation import ClusteringEvaluator
@@ -192,28 +225,32 @@ def fit_clusters(points: DataFrame, k: int, seed: int = 42, vector: str = "embed
 
 
 def select_k(points: DataFrame, ks: Sequence[int] = tuple(range(8, 25, 2)), sample: int = 3000,
-             seed: int = 42, vector: str = "embedding", parallel_fits: int = 4) -> DataFrame:
+             seed: int = 42, vector: str = "embedding", parallel_fits: int = 8) -> DataFrame:
     """k sweep on a fixed sample: exact silhouette per k.
 
     The sample is cut from the lineage once (checkpoint in the shared
-    folder); the fits for different k are independent Spark jobs and run
-    ``parallel_fits`` at a time. Returns ``(k, silhouette, best)``; the best k
-    has the highest score, the smallest k on ties.
+    folder); the k-means fits are independent Spark jobs run ``parallel_fits``
+    at a time; all k are then scored by one silhouette pass that computes the
+    sample's pair distances once. Returns ``(k, silhouette, best)``; the best
+    k has the highest score, the smallest k on ties.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     from tessera.session import cut_lineage
     smp = cut_lineage(fixed_sample(points.select("id", vector), sample, seed))
     n = smp.count()
+    todo = [int(k) for k in ks if k < n]
 
-    def score(k: int):
+    def fit(k: int) -> DataFrame:
         assign, _ = fit_clusters(smp, k, seed, vector)
-        s = silhouette(smp.join(assign, "id"), "cluster", vector).first()["silhouette"]
-        return int(k), float(s) if s is not None else None
+        return assign.withColumnRenamed("cluster", f"k{k}")
 
-    todo = [k for k in ks if k < n]
     with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as pool:
-        rows = list(pool.map(score, todo))
-    res = points.sparkSession.createDataFrame(rows, "k int, silhouette double")
+        assigns = list(pool.map(fit, todo))
+    labelled = smp
+    for a in assigns:
+        labelled = labelled.join(a, "id")
+    scores = silhouettes(labelled, [f"k{k}" for k in todo], vector)
+    res = scores.select(F.substring("labelling", 2, 10).cast("int").alias("k"), "silhouette")
     w = Window.orderBy(F.col("silhouette").desc_nulls_last(), F.col("k").asc())
     return res.withColumn("best", F.row_number().over(w) == 1)

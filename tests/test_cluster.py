@@ -77,3 +77,13 @@ def test_fixed_sample_reproducible(spark):
     a = sorted(r.id for r in CL.fixed_sample(df.repartition(3), 50).collect())
     b = sorted(r.id for r in CL.fixed_sample(df.repartition(11), 50).collect())
     assert a == b and len(a) == 50
+
+
+def test_silhouettes_one_pass_equals_single(spark):
+    from pyspark.sql import functions as F
+    df = blobs(spark, [[0, 0], [4, 0], [0, 4]], 25, 0.8, seed=9)
+    df = df.withColumn("alt", (F.col("id") % 2).cast("long"))
+    multi = {r.labelling: r.silhouette for r in CL.silhouettes(df, ["label", "alt"], left_rows=16,
+                                                               right_rows=32).collect()}
+    assert abs(multi["label"] - CL.silhouette(df, "label").first().silhouette) < 1e-9
+    assert abs(multi["alt"] - CL.silhouette(df, "alt").first().silhouette) < 1e-9
