@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.session import ensure_parallelism, has_context
+from tessera.session import ensure_parallelism, has_context, parallelism
 from tessera.operators.blocks import (DEFAULT_LEFT_ROWS, DEFAULT_RIGHT_ROWS, grid_cells, keyed_grid_cells,
                                       plan_grid)
 
 KNN_SCHEMA = "qid long, rank int, id long, sim double"
 # Largest query matrix (float64 bytes) broadcast by the ``auto`` strategy.
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
+# Budget of candidate rows (queries x k x corpus tasks) sent to the final merge.
+DEFAULT_MAX_MERGE_ROWS = 200_000_000
 _QUERY_CHUNK = 512
 
 
@@ -111,6 +113,7 @@ def _scan_topk(bq, k: int, exclude_self: bool):
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id: str = "id",
              corpus_id: str = "id", vector: str = "embedding", exclude_self: bool = True,
              strategy: str = "auto", max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+             max_merge_rows: int = DEFAULT_MAX_MERGE_ROWS,
              query_block_rows: int = DEFAULT_LEFT_ROWS,
              corpus_block_rows: int = DEFAULT_RIGHT_ROWS) -> DataFrame:
     """Exact k-nearest join by cosine similarity.
@@ -125,7 +128,10 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id: st
     * ``broadcast`` — the query matrix (``queries x dims x 8`` bytes, checked
       against ``max_broadcast_bytes`` before it is gathered) is broadcast; the
       corpus is scanned once in place, never shuffled, and each task emits a
-      running top-k per query. Merge: one shuffle of ``queries x k x tasks``.
+      running top-k per query. Merge: one shuffle of ``queries x k x tasks``
+      rows; when that would exceed ``max_merge_rows`` the corpus partitions
+      are coalesced (no shuffle, never below the cluster's task slots), since
+      a task streams its slice in Arrow batches whatever its size.
     * ``grid`` — both sides cut into bounded hash blocks meeting in grid
       cells (see ``blocks``); for query sets too large to broadcast.
     """
@@ -149,6 +155,10 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id: st
         qmat = _unit_rows(_stack(pdf["_v"])) if len(pdf) else np.zeros((0, dims))
         bq = spark.sparkContext.broadcast((qids, qmat))
         c = ensure_parallelism(c)  # small corpora only: keep every core busy
+        parts = c.rdd.getNumPartitions()
+        cap = max(parallelism(spark), max_merge_rows // max(1, n_q * k))
+        if parts > cap:
+            c = c.coalesce(cap)
         local = c.mapInPandas(_scan_topk(bq, k, exclude_self), KNN_SCHEMA)
     else:
         n_c = c.count()

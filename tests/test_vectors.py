@@ -109,3 +109,12 @@ def test_knn_skips_missing_vectors(spark):
     for strategy in ("grid", "broadcast"):
         got = sorted((r.qid, r.id) for r in V.knn_join(df, df, k=2, strategy=strategy).collect())
         assert got == [(1, 2), (2, 1)]
+
+
+def test_broadcast_merge_budget_coalesces_corpus(spark):
+    rng = np.random.default_rng(2)
+    mat = rng.normal(size=(200, 8))
+    df = vec_df(spark, range(200), mat).repartition(40)
+    small = V.knn_join(df, df, k=3, strategy="broadcast", max_merge_rows=200 * 3 * 10)
+    full = V.knn_join(df, df, k=3, strategy="broadcast")
+    assert sorted(tuple(r)[:3] for r in small.collect()) == sorted(tuple(r)[:3] for r in full.collect())
