@@ -1139,7 +1139,7 @@ def q_missing_descriptions(spark, sf):
 def q_append_vectors(spark, sf):
     """Vectors appended twice from the same reports; each id stored once."""
     path = scratch(spark, "vectors")
-    corpus = ST.with_text(td.reports(spark, sf)).select("id", "component", "summary", "text")
+    corpus = td.reports(spark, sf).select("id", "component", "summary", "description")
     RD.append_vectors(corpus, path)
     RD.append_vectors(corpus, path)
     return RD.read_vectors(spark, path).select("id", F.size("embedding").alias("dims"))

@@ -176,22 +176,26 @@ def append_vectors(corpus: DataFrame, vectors_path: str, embed_fn: EmbedFn | Non
                    batch: int = 500) -> DataFrame:
     """Embed only reports not yet stored and append them.
 
-    ``corpus`` needs ``id, component, summary, text``. The new rows are the
-    ``left_anti`` join against the stored ids; the metadata summary is cut at
-    200 characters, the text is stored and embedded whole.
-    With no ``embed_fn`` the built-in stateless hashed vectors are used, so
-    every append lands in the same vector space.
-    Returns the rows appended.
+    ``corpus`` needs ``id, component, summary`` and either ``text`` or
+    ``description``. The ``left_anti`` join against the stored ids runs first,
+    on the raw rows, and text is composed (P1) only for the new ones, so an
+    append costs in proportion to what is new. The metadata summary is cut at
+    200 characters; the text is stored and embedded whole. With no
+    ``embed_fn`` the built-in stateless hashed vectors are used, so every
+    append lands in the same vector space. Returns the rows appended.
     """
+    from tessera.operators.stats import with_text
     spark = corpus.sparkSession
     try:
         stored = spark.read.schema(VECTOR_SCHEMA).parquet(vectors_path).select("id")
     except Exception:  # noqa: BLE001 - first run: nothing stored yet
         stored = spark.createDataFrame([], "id long")
-    todo = (unembedded(corpus, stored)
-            .select(F.col("id").cast("long").alias("id"), F.coalesce("component", F.lit("")).alias("component"),
-                    TX.clip(F.coalesce("summary", F.lit("")), TX.SUMMARY_META_CHARS).alias("summary"),
-                    F.col("text")))
+    new_rows = unembedded(corpus, stored)
+    if "text" not in new_rows.columns:
+        new_rows = with_text(new_rows)
+    todo = new_rows.select(F.col("id").cast("long").alias("id"), F.coalesce("component", F.lit("")).alias("component"),
+                           TX.clip(F.coalesce("summary", F.lit("")), TX.SUMMARY_META_CHARS).alias("summary"),
+                           F.col("text"))
     if embed_fn is None:
         from tessera.operators.embed import hashed_tf
         new = hashed_tf(todo).select(

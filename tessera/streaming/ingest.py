@@ -14,17 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.stats import with_text
 from tessera.session import checkpoint_dir
 from tessera.sources.readers import REPORT_SCHEMA, VECTOR_SCHEMA, append_vectors
 
 
 def _one_per_id(df: DataFrame) -> DataFrame:
-    """Keep one row per id inside a micro-batch: the smallest text, an aggregate
-    (partial per task), so a repeated id is not gathered into one task."""
+    """Keep one row per id inside a micro-batch (deterministic choice by a row
+    hash), an aggregate (partial per task), so a repeated id is not gathered
+    into one task."""
     others = [c for c in df.columns if c != "id"]
-    best = df.groupBy("id").agg(F.min_by(F.struct(*others), F.struct(F.col("text"), F.xxhash64(*others)))
-                                .alias("_row"))
+    best = df.groupBy("id").agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("_row"))
     return best.select("id", *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
@@ -39,7 +38,8 @@ def ingest_stream(spark: SparkSession, src: str, vectors_path: str, checkpoint:
     stream = reader.format(fmt).load(src)
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        rows = _one_per_id(with_text(batch).select("id", "component", "summary", "text"))
+        # ids already stored are dropped before any text is composed or embedded
+        rows = _one_per_id(batch.select("id", "component", "summary", "description"))
         append_vectors(rows, vectors_path, embed_fn)
 
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)

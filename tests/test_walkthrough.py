@@ -30,7 +30,7 @@ def test_readme_walkthrough(spark):
     pairs = RD.read_pairs(spark, f"{base}/dup_pairs.csv")
     prof = ST.corpus_profile(reports, pairs).first()
     assert prof.n_reports == 200
-    RD.append_vectors(reports.select("id", "component", "summary", "text"), f"{base}/vectors")
+    RD.append_vectors(reports.select("id", "component", "summary", "description"), f"{base}/vectors")
     vectors = spark.read.parquet(f"{base}/vectors").select("id", "embedding")
     k = CL.select_k(vectors, ks=(2, 3, 4), sample=200).filter("best").first()["k"]
     assign, centres = CL.fit_clusters(vectors, k)
