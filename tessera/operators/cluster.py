@@ -158,11 +158,14 @@ def representatives(points: DataFrame, centres: DataFrame, texts: DataFrame, n:
     ``texts`` is ``(id, text)``; members without text are skipped. Returns
     ``(label, n_members, samples, nearest_text)``.
     """
-    j = (points.select("id", label, vector).join(centres.select(label, "centroid"), label)
-         .join(texts.select("id", "text"), "id")
+    # rank on ids and vectors only (members without text are skipped via an
+    # id-only semi-join); texts are attached to the <= n winners per cluster
+    j = (points.select("id", label, vector).join(texts.select("id"), "id", "left_semi")
+         .join(centres.select(label, "centroid"), label)
          .withColumn("dist", VF.l2_distance(F.col(vector), F.col("centroid"))))
     w = Window.partitionBy(label).orderBy(F.col("dist").asc(), F.col("id").asc())
-    top = j.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    top = (j.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+           .select("id", label, "_rn").join(texts.select("id", "text"), "id"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("_rn", "text"))),
                         lambda s: F.concat(F.lit("- "), T.clip(s["text"], chars)))
     first = F.element_at(F.array_sort(F.collect_list(F.struct("_rn", "text"))), 1)["text"]
