@@ -71,3 +71,21 @@ def test_stream_same_files_twice(spark):
 def test_field_catalog(spark):
     rows = {r.field: r.allowed for r in RD.field_catalog(spark).collect()}
     assert rows["severity"] == ["low", "med", "high"] and rows["area"] is None
+
+
+def test_stream_restart_adds_only_new_ids(spark):
+    from tessera.streaming.ingest import ingest_stream, read_store
+
+    def drop(ids, path):
+        rep = spark.createDataFrame([(i, f"s{i}", f"d {i}", "C") for i in ids],
+                                    "id long, summary string, description string, component string")
+        rep.select(*[F.col(f.name) if f.name in rep.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                     for f in RD.REPORT_SCHEMA.fields]).write.parquet(path)
+
+    base = tempfile.mkdtemp(prefix="tessera-test-")
+    drop(range(5), base + "/src/a")
+    ingest_stream(spark, base + "/src/*", base + "/store", checkpoint=base + "/ckpt").awaitTermination()
+    drop(range(3, 9), base + "/src/b")          # 3 old ids, 3 new ids
+    ingest_stream(spark, base + "/src/*", base + "/store", checkpoint=base + "/ckpt").awaitTermination()
+    ids = sorted(r.id for r in read_store(spark, base + "/store").collect())
+    assert ids == list(range(9))
