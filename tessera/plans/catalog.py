@@ -4,1242 +4,14 @@
 tables; ``ORACLE[name]`` is the DuckDB SQL computing the same result from the
 same parquet views. Column names and types are aligned on both sides:
 counts BIGINT, ranks INT, ratios DOUBLE rounded to 6 where floating-point
-summation order could differ.
+summation order could differ. The queries live in ``plans.queries``, one
+module per family; importing them registers them here.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.plans.queries import (  # noqa: F401  (importing registers the queries)
+    agreement, extraction, ingest, lookups, ml, readout, retrieval, sources, stats, text, vectors)
+from tessera.plans.registry import ORACLE, QUERIES, QueryFn, register  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessera.operators import retrieval as R
-from tessera.operators import vectors as V
-from tessera.plans import testdata as td
-from tessera.plans.oracle_views import _DEPENDS, VIEWS, with_views
-
-QueryFn = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, QueryFn] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn: QueryFn) -> QueryFn:
-        if name in QUERIES:
-            raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
-
-def r6(c) -> F.Column:
-    return F.round(c, 6)
-
-
-# ---------------------------------------------------------------- retrieval
-
-@register("retrieval_metrics", with_views("""
-    SELECT count(*) AS n_pairs,
-           round(avg(CASE WHEN k.rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_1,
-           round(avg(CASE WHEN k.rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_5,
-           round(avg(CASE WHEN k.rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_10,
-           round(avg(coalesce(1.0 / k.rank, 0.0)), 6) AS mrr
-    FROM vector_pairs p LEFT JOIN knn10 k ON k.qid = p.dup_id AND k.id = p.master_id
-    """, "vector_pairs", "knn10"))
-def q_retrieval_metrics(spark, sf):
-    """hit@1/5/10 and MRR@10 of label-derived pairs over the vector table."""
-    _, m = R.evaluate_retrieval(td.vector_pairs(spark, sf), td.vectors(spark, sf), k=10)
-    return m.select("n_pairs", *[r6(F.col(c)).alias(c) for c in ("hit_at_1", "hit_at_5", "hit_at_10", "mrr")])
-
-
-@register("knn_join", with_views("SELECT qid, rank, id, round(sim, 6) AS sim FROM knn10", "knn10"))
-def q_knn_join(spark, sf):
-    """Exact cosine top 10 per vector, self excluded."""
-    v = td.vectors(spark, sf)
-    return V.knn_join(v, v, k=10).select("qid", "rank", "id", r6(F.col("sim")).alias("sim"))
-
-
-@register("valid_pairs", with_views("""
-    SELECT dup_id, master_id FROM text_pairs
-    WHERE dup_id IN (SELECT vec_id FROM embeddings) AND master_id IN (SELECT vec_id FROM embeddings)
-    """, "text_pairs"))
-def q_valid_pairs(spark, sf):
-    """Text-copy pairs with both sides in the vector table."""
-    return R.valid_pairs(td.text_pairs(spark, sf), td.vectors(spark, sf))
-
-
-@register("vector_pairs", with_views("SELECT dup_id, master_id FROM vector_pairs", "vector_pairs"))
-def q_vector_pairs(spark, sf):
-    """Label-derived duplicate pairs (lowest id of each label as master)."""
-    return td.vector_pairs(spark, sf)
-
-
-@register("text_pairs", with_views("SELECT dup_id, master_id FROM text_pairs", "text_pairs"))
-def q_text_pairs(spark, sf):
-    """Exact-copy pairs of documents (later copy -> lowest doc_id)."""
-    return td.text_pairs(spark, sf)
-
-
-# ------------------------------------------------------------ SQL fragments
-
-from tessera.functions import text as T  # noqa: E402
-from tessera.operators import agreement as AG  # noqa: E402
-from tessera.operators import stats as ST  # noqa: E402
-from tessera.sources import ingest as IN  # noqa: E402
-
-WORD = T.WORD_PATTERN
-
-
-WS_SQL = " || ".join(f"chr({c})" for c in T.WS_CODEPOINTS)
-
-
-def s_strip(e: str) -> str:
-    return f"trim({e}, {WS_SQL})"
-
-
-def s_words(e: str) -> str:
-    return f"CAST(len(regexp_extract_all(coalesce({e}, ''), '{WORD}')) AS INTEGER)"
-
-
-def s_compose(comp: str, summ: str, desc: str) -> str:
-    c, s, d = (s_strip(f"coalesce({x}, '')") for x in (comp, summ, desc))
-    head = f"(CASE WHEN {c} <> '' THEN '[' || {c} || '] ' || {s} ELSE {s} END)"
-    return (f"(CASE WHEN {d} <> '' AND {d} <> 'nan' THEN {s_strip(head + ' || chr(10) || ' + d)} "
-            f"ELSE {head} END)")
-
-
-def s_severity(e: str, mapping: dict[str, str]) -> str:
-    whens = " ".join(f"WHEN '{k.strip().lower()}' THEN '{v}'" for k, v in mapping.items())
-    return f"(CASE lower({s_strip(e)}) {whens} END)"
-
-
-def s_wilson(c: str, n: str, z: float = ST.Z_95) -> tuple[str, str]:
-    p = f"({c}::DOUBLE / {n})"
-    den = f"(1 + {z}*{z} / {n})"
-    centre = f"(({p} + {z}*{z} / (2.0 * {n})) / {den})"
-    half = f"({z} * sqrt({p} * (1 - {p}) / {n} + {z}*{z} / (4.0 * {n} * {n})) / {den})"
-    return f"{centre} - {half}", f"{centre} + {half}"
-
-
-# ------------------------------------------------------- text and reports
-
-@register("compose_text", with_views(f"""
-    SELECT id, role, {s_compose('component', 'summary', 'description')} AS text,
-           {s_words('description')} AS desc_words
-    FROM reports""", "reports"))
-def q_compose_text(spark, sf):
-    """Report text and description word count over all documents."""
-    return ST.with_text(td.reports(spark, sf, with_role=True)).select("id", "role", "text", "desc_words")
-
-
-@register("clip_text", with_views(f"""
-    SELECT id, left(t, 8000) AS text_8000, left(summary, 200) AS summary_200,
-           left(summary, 120) AS summary_120, CAST(length(left(description, 1200)) AS INTEGER) AS desc_1200_chars,
-           CAST(length(left(description, 4000)) AS INTEGER) AS desc_4000_chars, left(t, 2000) AS judge_2000
-    FROM (SELECT *, {s_compose('component', 'summary', 'description')} AS t FROM reports)""", "reports"))
-def q_clip_text(spark, sf):
-    """Character budgets applied to text, summary and description."""
-    r = ST.with_text(td.reports(spark, sf))
-    return r.select("id", T.clip("text", 8000).alias("text_8000"), T.clip("summary", 200).alias("summary_200"),
-                    T.clip("summary", 120).alias("summary_120"),
-                    F.length(T.clip("description", 1200)).alias("desc_1200_chars"),
-                    F.length(T.clip("description", 4000)).alias("desc_4000_chars"),
-                    T.clip("text", 2000).alias("judge_2000"))
-
-
-@register("judge_text", with_views("""
-    SELECT id, '[' || coalesce(component, '') || '] ' || coalesce(summary, '') || chr(10)
-               || coalesce(description, '') AS judge_text
-    FROM reports""", "reports"))
-def q_judge_text(spark, sf):
-    """P10: judge text of every report (whole text)."""
-    r = td.reports(spark, sf)
-    return r.select("id", T.judge_text("component", "summary", "description").alias("judge_text"))
-
-
-@register("map_severity", with_views(f"""
-    SELECT id, severity, {s_severity('severity', td.ORDER_PRIORITY_SEVERITY)} AS level
-    FROM severity_reports""", "severity_reports"))
-def q_map_severity(spark, sf):
-    """Raw priorities normalised to high/med/low, unknown -> null."""
-    r = td.severity_reports(spark, sf)
-    return r.select("id", "severity", T.map_severity(F.col("severity"), td.ORDER_PRIORITY_SEVERITY).alias("level"))
-
-
-def s_clean_label(reply: str, cluster: str) -> str:
-    first = (f"split_part(regexp_replace(nullif({s_strip(reply)}, ''), '{T.LINE_BREAK_PATTERN}', chr(10), 'g'), "
-             "chr(10), 1)")
-    return f"coalesce(left(trim(trim({s_strip(first)}, '\"'), '.'), 40), 'cluster ' || {cluster})"
-
-
-@register("clean_label", f"""
-    SELECT doc_id AS cluster, {s_clean_label('text', 'doc_id')} AS label FROM documents""")
-def q_clean_label(spark, sf):
-    """Cluster names cleaned from free text (first line, quotes, dots, 40 chars)."""
-    d = td.table(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("cluster"), T.clean_label(F.col("text"), F.col("doc_id")).alias("label"))
-
-
-@register("year_range", with_views("""
-    SELECT CAST(min(year(creation_time)) AS INTEGER) AS first_year,
-           CAST(max(year(creation_time)) AS INTEGER) AS last_year
-    FROM severity_reports""", "severity_reports"))
-def q_year_range(spark, sf):
-    """First and last creation year."""
-    return IN.year_range(td.severity_reports(spark, sf), "creation_time")
-
-
-@register("as_id", """
-    SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
-def q_as_id(spark, sf):
-    """Null-safe id cast of a value carried as text."""
-    e = td.table(spark, sf, "events")
-    return e.select("event_id", T.as_id(F.get_json_object("props", "$.k")).alias("k"))
-
-
-@register("eligible_pool", with_views(f"""
-    SELECT id, component FROM reports WHERE {s_words('description')} >= 40""", "reports"))
-def q_eligible(spark, sf):
-    """P5: candidate pool of reports with at least 40 description words."""
-    return ST.eligible(ST.with_text(td.reports(spark, sf))).select("id", "component")
-
-
-# ------------------------------------------------------------ statistics
-
-@register("corpus_profile", with_views(f"""
-    SELECT r.n_reports, r.desc_coverage, r.median_desc_words, p.n_pairs, p.n_masters FROM
-      (SELECT count(*) AS n_reports, round(avg(CASE WHEN w > 0 THEN 1.0 ELSE 0.0 END), 6) AS desc_coverage,
-              CAST(median(w) FILTER (WHERE w > 0) AS DOUBLE) AS median_desc_words
-       FROM (SELECT {s_words('description')} AS w FROM reports)) r,
-      (SELECT count(*) AS n_pairs, count(DISTINCT master_id) AS n_masters FROM text_pairs) p
-    """, "reports", "text_pairs"))
-def q_corpus_profile(spark, sf):
-    """A1: rows, pairs, masters, description coverage, median words."""
-    p = ST.corpus_profile(ST.with_text(td.reports(spark, sf)), td.text_pairs(spark, sf))
-    return p.withColumn("desc_coverage", r6(F.col("desc_coverage")))
-
-
-@register("role_counts", with_views("SELECT role, count(*) AS n FROM reports GROUP BY role", "reports"))
-def q_role_counts(spark, sf):
-    """A2: reports per role."""
-    return ST.counts_by(td.reports(spark, sf, with_role=True), "role")
-
-
-@register("component_counts", with_views("""
-    SELECT component, count(*) AS n FROM reports GROUP BY component""", "reports"))
-def q_component_counts(spark, sf):
-    """A3: reports per component."""
-    return ST.counts_by(td.reports(spark, sf), "component")
-
-
-@register("taxonomy", with_views("""
-    SELECT DISTINCT component FROM reports WHERE component IS NOT NULL""", "reports"))
-def q_taxonomy(spark, sf):
-    """Distinct component names, nulls dropped, sorted."""
-    from tessera.sources.readers import taxonomy
-    return taxonomy(td.reports(spark, sf))
-
-
-def _prevalence_sql(src: str, by: str, top: int, views: tuple[str, ...]) -> str:
-    lo, hi = s_wilson("count", "total")
-    return with_views(f"""
-    SELECT {by}, count, round(share, 6) AS share, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi,
-           round(share - ci_lo, 6) AS err_lo, round(ci_hi - share, 6) AS err_hi
-    FROM (SELECT {by}, count, count::DOUBLE / total AS share, {lo} AS ci_lo, {hi} AS ci_hi
-          FROM (SELECT {by}, count(*) AS count, sum(count(*)) OVER () AS total
-                FROM {src} WHERE {by} IS NOT NULL GROUP BY {by}))
-    ORDER BY count DESC, {by} LIMIT {top}""", *views)
-
-
-def _prevalence_df(df, by, top):
-    out = ST.error_bars(ST.prevalence(df, by, top))
-    return out.select(by, "count", *[r6(F.col(c)).alias(c) for c in
-                                     ("share", "ci_lo", "ci_hi", "err_lo", "err_hi")])
-
-
-@register("prevalence_themes", _prevalence_sql("vectors", "label", 12, ("vectors",)))
-def q_prevalence_themes(spark, sf):
-    """A4/R2: theme (label) shares with Wilson 95 % intervals and error bars."""
-    return _prevalence_df(td.vectors(spark, sf), "label", 12)
-
-
-@register("prevalence_components", _prevalence_sql("reports", "component", 12, ("reports",)))
-def q_prevalence_components(spark, sf):
-    """Top 12 components by count, ties by name, Wilson intervals."""
-    return _prevalence_df(td.reports(spark, sf), "component", 12)
-
-
-@register("top_languages", """
-    SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang LIMIT 3""")
-def q_top_languages(spark, sf):
-    """Top 3 values by count with ties by value."""
-    return ST.top_counts(td.table(spark, sf, "documents"), "lang", 3)
-
-
-@register("component_prior", with_views(f"""
-    WITH r AS (SELECT id, component, summary,
-                      {s_severity('severity', td.ORDER_PRIORITY_SEVERITY)} AS level FROM severity_reports),
-    per AS (SELECT component, count(*) AS n_bugs, count(level) AS n_triaged FROM r GROUP BY component),
-    lv AS (SELECT component, level, count(*) AS n FROM r WHERE level IS NOT NULL GROUP BY ALL),
-    typ AS (SELECT component, level AS typical_severity FROM
-              (SELECT *, row_number() OVER (PARTITION BY component ORDER BY n DESC, level) AS rn FROM lv)
-            WHERE rn = 1),
-    dist AS (SELECT component, map_from_entries(list({{'k': level, 'v': round(n::DOUBLE / t, 6)}} ORDER BY level))
-                    AS severity_dist
-             FROM (SELECT *, sum(n) OVER (PARTITION BY component) AS t FROM lv) GROUP BY component),
-    ex AS (SELECT component, list(summary ORDER BY id) AS example_summaries FROM
-             (SELECT *, row_number() OVER (PARTITION BY component ORDER BY id) AS rn FROM r)
-           WHERE rn <= 3 GROUP BY component)
-    SELECT per.component, n_bugs, n_triaged, typical_severity, severity_dist, example_summaries
-    FROM per LEFT JOIN typ USING (component) LEFT JOIN dist USING (component) LEFT JOIN ex USING (component)
-    """.replace("WITH r AS", ", r AS", 1), "severity_reports"))
-def q_component_prior(spark, sf):
-    """Per-component severity prior with typical level and examples."""
-    return ST.component_prior(td.severity_reports(spark, sf), td.ORDER_PRIORITY_SEVERITY).select(
-        "component", "n_bugs", "n_triaged", "typical_severity", "severity_dist", "example_summaries")
-
-
-# ------------------------------------------------------------- agreement
-
-_KAPPA_SQL = """
-    WITH c AS (SELECT rater_a, rater_b, count(*) AS n FROM ratings
-               WHERE rater_a IS NOT NULL AND rater_b IS NOT NULL GROUP BY ALL),
-    t AS (SELECT sum(n) AS total, sum(CASE WHEN rater_a = rater_b THEN n ELSE 0 END) AS agree FROM c),
-    ma AS (SELECT rater_a AS v, sum(n) AS na FROM c GROUP BY 1),
-    mb AS (SELECT rater_b AS v, sum(n) AS nb FROM c GROUP BY 1),
-    m AS (SELECT sum(coalesce(na, 0) * coalesce(nb, 0)) AS pe_num FROM ma FULL JOIN mb USING (v))
-    SELECT CAST(coalesce(total, 0) AS BIGINT) AS n, round(agree::DOUBLE / total, 6) AS po,
-           round(coalesce(pe_num, 0)::DOUBLE / (total::DOUBLE * total), 6) AS pe,
-           round(CASE WHEN total > 0 AND coalesce(pe_num, 0)::DOUBLE / (total::DOUBLE * total) < 1
-                 THEN (agree::DOUBLE / total - coalesce(pe_num, 0)::DOUBLE / (total::DOUBLE * total))
-                      / (1 - coalesce(pe_num, 0)::DOUBLE / (total::DOUBLE * total)) END, 6) AS kappa
-    FROM t, m"""
-
-
-@register("cohen_kappa", with_views(_KAPPA_SQL.replace("WITH c AS", ", c AS", 1), "ratings"))
-def q_cohen_kappa(spark, sf):
-    """Cohen's kappa between the two label columns."""
-    k = AG.cohen_kappa(td.ratings(spark, sf), "rater_a", "rater_b")
-    return k.select("n", *[r6(F.col(c)).alias(c) for c in ("po", "pe", "kappa")])
-
-
-@register("confusion", with_views("""
-    SELECT g.a AS rater_a, g.b AS rater_b, CAST(coalesce(c.n, 0) AS BIGINT) AS n
-    FROM (SELECT a, b FROM (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b)) g
-    LEFT JOIN (SELECT rater_a, rater_b, count(*) AS n FROM ratings GROUP BY ALL) c
-      ON c.rater_a = g.a AND c.rater_b = g.b""", "ratings"))
-def q_confusion(spark, sf):
-    """2x2 confusion matrix with zeros kept."""
-    return AG.confusion(td.ratings(spark, sf), "rater_a", "rater_b", (0, 1))
-
-
-@register("rating_summary", with_views("""
-    SELECT u.n_used, round(u.ra, 6) AS rater_a_positive_rate, round(u.rb, 6) AS rater_b_positive_rate,
-           u.pa AS rater_a_positive, u.pb AS rater_b_positive, t.n_total, t.n_total - u.n_used AS n_held_out
-    FROM (SELECT count(*) AS n_used, avg(rater_a::DOUBLE) AS ra, avg(rater_b::DOUBLE) AS rb,
-                 CAST(sum(rater_a) AS BIGINT) AS pa, CAST(sum(rater_b) AS BIGINT) AS pb
-          FROM ratings WHERE id NOT IN (SELECT id FROM reports WHERE role = 'master')) u,
-         (SELECT count(*) AS n_total FROM ratings) t""", "ratings", "reports"))
-def q_rating_summary(spark, sf):
-    """Positive rates with master documents held out as anchors."""
-    held = td.reports(spark, sf, with_role=True).filter(F.col("role") == "master").select("id")
-    s = AG.rating_summary(td.ratings(spark, sf), "rater_a", "rater_b", held)
-    return s.select("n_used", r6(F.col("rater_a_positive_rate")).alias("rater_a_positive_rate"),
-                    r6(F.col("rater_b_positive_rate")).alias("rater_b_positive_rate"),
-                    "rater_a_positive", "rater_b_positive", "n_total", "n_held_out")
-
-
-@register("hold_out", with_views("""
-    SELECT id, rater_a, rater_b FROM ratings
-    WHERE id NOT IN (SELECT id FROM reports WHERE role = 'master')""", "ratings", "reports"))
-def q_hold_out(spark, sf):
-    """Label rows with the held-out anchor ids removed."""
-    held = td.reports(spark, sf, with_role=True).filter(F.col("role") == "master").select("id")
-    return AG.hold_out(td.ratings(spark, sf), held)
-
-
-@register("usable_labels", """
-    SELECT doc_id AS id, CAST(quality AS INTEGER) AS human_good FROM labels
-    WHERE TRY_CAST(CAST(quality AS VARCHAR) AS DOUBLE) IN (0, 1)""")
-def q_usable_labels(spark, sf):
-    """Rows with a 0/1 label after a numeric cast."""
-    lab = td.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("human_good"))
-    return AG.usable_labels(lab)
-
-
-@register("has_annotations", """
-    SELECT coalesce(max(TRY_CAST(CAST(quality AS VARCHAR) AS DOUBLE) IN (0, 1)), false) AS annotated
-    FROM labels""")
-def q_has_annotations(spark, sf):
-    """Does the label table hold at least one 0/1 label?"""
-    return AG.has_annotations(td.table(spark, sf, "labels"), "quality")
-
-
-@register("align_ratings", """
-    SELECT a.doc_id AS id, a.quality, b.toxic FROM labels a JOIN labels b ON a.doc_id = b.doc_id""")
-def q_align_ratings(spark, sf):
-    """Two raters aligned by id."""
-    lab = td.table(spark, sf, "labels").withColumnRenamed("doc_id", "id")
-    return AG.align_ratings(lab, lab, "quality", "toxic")
-
-
-@register("binarise_score", """
-    SELECT event_id, coalesce(CAST(value >= 5 AS INTEGER), 0) AS good FROM events""")
-def q_binarise_score(spark, sf):
-    """Scores binarised at threshold 5, unreadable -> 0."""
-    e = td.table(spark, sf, "events")
-    return e.select("event_id", T.binarise_score(F.col("value"), 5).alias("good"))
-
-
-# ---------------------------------------------------------- merge, ingest
-
-_SOURCES_SQL = """
-    tagged AS (
-      SELECT doc_id AS id, 'master' AS role FROM documents WHERE lang IN ('en', 'de')
-      UNION ALL SELECT doc_id, 'corpus' FROM documents WHERE lang IN ('en', 'fr', 'es')
-      UNION ALL SELECT id, 'dup' FROM reports WHERE role = 'dup')"""
-
-
-def _sources(spark, sf):
-    d = td.table(spark, sf, "documents")
-    masters = d.filter(F.col("lang").isin("en", "de")).select(F.col("doc_id").alias("id"))
-    extra = d.filter(F.col("lang").isin("en", "fr", "es")).select(F.col("doc_id").alias("id"))
-    dups = td.reports(spark, sf, with_role=True).filter(F.col("role") == "dup").select("id")
-    return masters, extra, dups
-
-
-@register("merge_sources", with_views(f"""
-    , {_SOURCES_SQL.strip()}
-    SELECT id, role FROM (
-      SELECT *, row_number() OVER (PARTITION BY id ORDER BY
-               CASE role WHEN 'dup' THEN 0 WHEN 'master' THEN 1 ELSE 2 END) AS rn FROM tagged)
-    WHERE rn = 1""", "reports"))
-def q_merge_sources(spark, sf):
-    """Three overlapping sources merged, unique by id, dup > master > corpus."""
-    return IN.merge_sources(*_sources(spark, sf)).select("id", "role")
-
-
-_DUPS_SQL = "SELECT g.doc_id AS id, g.master_id AS dupe_of FROM text_groups g WHERE g.doc_id <> g.master_id"
-
-
-def _dups(spark, sf):
-    return td.text_pairs(spark, sf).select(F.col("dup_id").alias("id"), F.col("master_id").alias("dupe_of"))
-
-
-@register("labelled_dups", with_views("""
-    SELECT r.id, CAST(g.master_id AS BIGINT) AS dupe_of FROM reports r JOIN text_groups g ON r.id = g.doc_id
-    WHERE r.role = 'dup'""", "reports"))
-def q_labelled_dups(spark, sf):
-    """Rows whose dupe_of is set, as ids."""
-    r = td.reports(spark, sf, with_role=True)
-    g = td.text_pairs(spark, sf).select(F.col("dup_id").alias("id"), F.col("master_id").cast("string").alias("dupe_of"))
-    rows = r.join(g, "id", "left")
-    return IN.labelled_dups(rows).select("id", "dupe_of")
-
-
-@register("distinct_masters", with_views("SELECT DISTINCT master_id FROM text_pairs", "text_pairs"))
-def q_distinct_masters(spark, sf):
-    """Distinct master ids named by duplicates."""
-    return IN.distinct_masters(_dups(spark, sf))
-
-
-@register("masters_for", with_views("""
-    SELECT id, component FROM reports WHERE id IN (SELECT master_id FROM text_pairs)""", "reports", "text_pairs"))
-def q_masters_for(spark, sf):
-    """Corpus rows that a duplicate points to."""
-    return IN.masters_for(_dups(spark, sf), td.reports(spark, sf)).select("id", "component")
-
-
-@register("usable_pairs", with_views("""
-    SELECT p.dup_id, p.master_id FROM text_pairs p
-    WHERE p.master_id IN (SELECT doc_id FROM documents WHERE lang IN ('en', 'de'))""", "text_pairs"))
-def q_usable_pairs(spark, sf):
-    """Pairs whose master is in the (English/German) corpus slice."""
-    corpus = td.table(spark, sf, "documents").filter(F.col("lang").isin("en", "de")).select(
-        F.col("doc_id").alias("id"))
-    return IN.usable_pairs(_dups(spark, sf), corpus)
-
-
-@register("attach_descriptions", with_views("""
-    SELECT v.id, coalesce(r.description, '') AS description
-    FROM vectors v LEFT JOIN reports r ON v.id = r.id""", "vectors", "reports"))
-def q_attach_descriptions(spark, sf):
-    """Descriptions attached by id with '' when absent."""
-    desc = td.reports(spark, sf).select("id", F.col("description").alias("text"))
-    return IN.attach_descriptions(td.vectors(spark, sf).select("id"), desc)
-
-
-@register("unembedded", """
-    SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
-def q_unembedded(spark, sf):
-    """Documents without a stored vector (left anti join)."""
-    ids = td.table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
-    return IN.missing_ids(ids, td.vectors(spark, sf))
-
-
-@register("with_vectors", with_views("""
-    SELECT r.id, r.component, v.label, CAST(len(v.embedding) AS INTEGER) AS dims
-    FROM reports r JOIN vectors v ON r.id = v.id""", "reports", "vectors"))
-def q_with_vectors(spark, sf):
-    """Reports aligned with their vectors by id."""
-    from tessera.sources.readers import with_vectors
-    j = with_vectors(td.reports(spark, sf), td.vectors(spark, sf))
-    return j.select("id", "component", "label", F.size("embedding").alias("dims"))
-
-
-@register("vectors_for", """
-    SELECT l.doc_id AS id, e.embedding FROM labels l JOIN embeddings e ON l.doc_id = e.vec_id""")
-def q_vectors_for(spark, sf):
-    """Batch vector get by id list; absent ids skipped."""
-    from tessera.sources.readers import vectors_for
-    ids = td.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
-    return vectors_for(ids, td.vectors(spark, sf)).select("id", "embedding")
-
-
-@register("stored_ids", """
-    SELECT count(*) AS n_vectors, count(DISTINCT vec_id) AS n_ids FROM embeddings""")
-def q_stored_ids(spark, sf):
-    """Size of the vector table and its distinct ids."""
-    from tessera.sources.readers import stored_ids
-    return stored_ids(td.vectors(spark, sf))
-
-
-# ------------------------------------------------------ vectors, clusters
-
-from tessera.operators import cluster as CL  # noqa: E402
-
-VIEWS_RTEXT = f"SELECT id, {s_compose('component', 'summary', 'description')} AS text FROM reports"
-
-
-def _rtext(spark, sf):
-    return ST.with_text(td.reports(spark, sf)).select("id", "text")
-
-
-@register("enrich_neighbours", with_views("""
-    SELECT k.qid, k.rank, k.id, round(k.sim, 3) AS sim, r.component, left(r.summary, 120) AS summary
-    FROM knn6 k JOIN reports r ON k.id = r.id""", "knn6", "reports"))
-def q_enrich_neighbours(spark, sf):
-    """Top-6 neighbours with component and 120-char summary, unknown ids dropped."""
-    v = td.vectors(spark, sf)
-    return V.enrich_neighbours(V.knn_join(v, v, k=6), td.reports(spark, sf))
-
-
-_FLAGS_SQL = """
-    SELECT qid, rank, id, sim3 FROM (
-      SELECT qid, rank, id, round(sim, 3) AS sim3,
-             row_number() OVER (PARTITION BY qid ORDER BY rank) AS fr
-      FROM knn6 WHERE round(sim, 3) >= 0.45)
-    WHERE fr <= 5"""
-
-
-def _flags(spark, sf):
-    v = td.vectors(spark, sf)
-    return V.near_duplicates(V.knn_join(v, v, k=6), min_sim=0.45, limit=5)
-
-
-@register("near_duplicates", with_views(_FLAGS_SQL, "knn6"))
-def q_near_duplicates(spark, sf):
-    """Neighbours with rounded similarity >= .45, first 5 of 6."""
-    return _flags(spark, sf).select("qid", "rank", "id", "sim3")
-
-
-@register("flag_ids", with_views(f"""
-    SELECT qid, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS dup_ids FROM ({_FLAGS_SQL}) GROUP BY qid""",
-                                 "knn6"))
-def q_flag_ids(spark, sf):
-    """Flagged neighbour ids comma-joined in rank order."""
-    return V.flag_ids(_flags(spark, sf))
-
-
-@register("lookup", with_views("""
-    SELECT v.id, r.id IS NOT NULL AS found, r.component, r.summary, left(r.description, 1200) AS description
-    FROM vectors v LEFT JOIN reports r ON v.id = r.id""", "vectors", "reports"))
-def q_lookup(spark, sf):
-    """Report lookup for every vector id, with a found flag."""
-    return V.lookup(td.vectors(spark, sf).select("id"), td.reports(spark, sf))
-
-
-@register("reciprocal_rank", with_views("""
-    SELECT p.dup_id, p.master_id, k.rank, round(coalesce(1.0 / k.rank, 0.0), 6) AS rr
-    FROM vector_pairs p LEFT JOIN knn10 k ON k.qid = p.dup_id AND k.id = p.master_id""",
-                                        "vector_pairs", "knn10"))
-def q_reciprocal_rank(spark, sf):
-    """Rank and reciprocal rank of the true master per pair."""
-    ranked, _ = R.evaluate_retrieval(td.vector_pairs(spark, sf), td.vectors(spark, sf), k=10)
-    return ranked.select("dup_id", "master_id", "rank", r6(F.col("rr")).alias("rr"))
-
-
-_CTX_SQL = """
-    ctx AS (
-      SELECT p.dup_id, p.master_id, k.rank, coalesce(1.0 / k.rank, 0.0) AS rr,
-             rd.component AS dup_component, rm.component AS master_component, v.label AS theme
-      FROM vector_pairs p LEFT JOIN knn10 k ON k.qid = p.dup_id AND k.id = p.master_id
-      JOIN reports rd ON rd.id = p.dup_id JOIN reports rm ON rm.id = p.master_id
-      JOIN vectors v ON v.id = p.master_id)"""
-
-
-def _ctx(spark, sf):
-    ranked, _ = R.evaluate_retrieval(td.vector_pairs(spark, sf), td.vectors(spark, sf), k=10)
-    themes = td.vectors(spark, sf).select("id", F.col("label").alias("theme"))
-    return R.pair_context(ranked, td.reports(spark, sf), themes)
-
-
-@register("pair_context", with_views(f", {_CTX_SQL.strip()}\n"
-                                     "SELECT dup_id, master_id, rank, dup_component, master_component, theme FROM ctx",
-                                     "vector_pairs", "knn10", "reports", "vectors"))
-def q_pair_context(spark, sf):
-    """Pairs with both components and the master's theme."""
-    return _ctx(spark, sf).select("dup_id", "master_id", "rank", "dup_component", "master_component", "theme")
-
-
-_SLICES_SQL = """
-    slices AS (
-      SELECT theme, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) AS hit_at_10, avg(rr) AS mrr, count(*) AS n
-      FROM ctx GROUP BY theme HAVING count(*) >= 50)"""
-
-
-@register("metrics_by_theme", with_views(f", {_CTX_SQL.strip()}, {_SLICES_SQL.strip()}\n"
-                                         "SELECT theme, round(hit_at_10, 6) AS hit_at_10, round(mrr, 6) AS mrr, n "
-                                         "FROM slices", "vector_pairs", "knn10", "reports", "vectors"))
-def q_metrics_by_theme(spark, sf):
-    """hit@10, MRR and n per master theme with n >= 50."""
-    m = R.metrics_by(_ctx(spark, sf), "theme", 50)
-    return m.select("theme", r6(F.col("hit_at_10")).alias("hit_at_10"), r6(F.col("mrr")).alias("mrr"), "n")
-
-
-@register("theme_extremes", with_views(f", {_CTX_SQL.strip()}, {_SLICES_SQL.strip()}" + """
-    SELECT theme, round(hit_at_10, 6) AS hit_at_10, round(mrr, 6) AS mrr, n, 'hardest' AS "end",
-           CAST(lo AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (ORDER BY hit_at_10, theme) AS lo FROM slices)
-    WHERE lo <= 3
-    UNION ALL
-    SELECT theme, round(hit_at_10, 6), round(mrr, 6), n, 'easiest', CAST(hi AS INTEGER)
-    FROM (SELECT *, row_number() OVER (ORDER BY hit_at_10 DESC, theme DESC) AS hi FROM slices) WHERE hi <= 3""",
-                                       "vector_pairs", "knn10", "reports", "vectors"))
-def q_theme_extremes(spark, sf):
-    """Hardest and easiest 3 themes by hit@10."""
-    m = R.metrics_by(_ctx(spark, sf), "theme", 50)
-    e = R.extremes(m, "theme", "hit_at_10", 3)
-    return e.select("theme", r6(F.col("hit_at_10")).alias("hit_at_10"), r6(F.col("mrr")).alias("mrr"), "n",
-                    "end", "pos")
-
-
-@register("metrics_by_agreement", with_views(f", {_CTX_SQL.strip()}" + """
-    SELECT dup_component = master_component AS same_component,
-           round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_10, round(avg(rr), 6) AS mrr,
-           count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
-    FROM ctx GROUP BY 1""", "vector_pairs", "knn10", "reports", "vectors"))
-def q_metrics_by_agreement(spark, sf):
-    """Same- vs cross-component hit@10, MRR and share of pairs."""
-    m = R.metrics_by_agreement(_ctx(spark, sf))
-    return m.select("same_component", r6(F.col("hit_at_10")).alias("hit_at_10"), r6(F.col("mrr")).alias("mrr"),
-                    "n", r6(F.col("share")).alias("share"))
-
-
-@register("pair_cluster_lift", with_views("""
-    , a AS (SELECT id, label AS cl FROM vectors WHERE label IS NOT NULL),
-    vp AS (SELECT p.* FROM text_pairs p WHERE dup_id IN (SELECT id FROM a) AND master_id IN (SELECT id FROM a)),
-    j AS (SELECT vp.*, ad.cl AS dc, am.cl AS mc, coalesce(rd.component, '') AS dcomp,
-                 coalesce(rm.component, '') AS mcomp
-          FROM vp JOIN a ad ON ad.id = vp.dup_id JOIN a am ON am.id = vp.master_id
-          LEFT JOIN reports rd ON rd.id = vp.dup_id LEFT JOIN reports rm ON rm.id = vp.master_id),
-    rate AS (SELECT count(*) AS n_pairs, avg(CASE WHEN dc = mc THEN 1.0 ELSE 0.0 END) AS same_cluster_rate,
-                    avg(CASE WHEN dcomp = mcomp THEN 1.0 ELSE 0.0 END) AS same_component_rate FROM j),
-    base AS (SELECT sum(n * n)::DOUBLE / (sum(n) * sum(n)) AS random_baseline
-             FROM (SELECT cl, count(*) AS n FROM a GROUP BY cl))
-    SELECT n_pairs, round(same_cluster_rate, 6) AS same_cluster_rate,
-           round(same_component_rate, 6) AS same_component_rate, round(random_baseline, 6) AS random_baseline,
-           round(same_cluster_rate / nullif(random_baseline, 0), 6) AS lift
-    FROM rate, base""", "vectors", "text_pairs", "reports"))
-def q_pair_cluster_lift(spark, sf):
-    """Same-cluster rate of copy pairs vs the random baseline, and lift."""
-    assign = td.vectors(spark, sf).select("id", F.col("label").alias("cluster"))
-    out = R.pair_cluster_lift(td.text_pairs(spark, sf), assign, td.reports(spark, sf))
-    return out.select("n_pairs", *[r6(F.col(c)).alias(c) for c in
-                                   ("same_cluster_rate", "same_component_rate", "random_baseline", "lift")])
-
-
-@register("pair_agreement", with_views("""
-    SELECT p.dup_id, p.master_id, coalesce(rd.lang, '') AS dup_value, coalesce(rm.lang, '') AS master_value,
-           coalesce(rd.lang, '') = coalesce(rm.lang, '') AS agree
-    FROM vector_pairs p LEFT JOIN reports rd ON rd.id = p.dup_id LEFT JOIN reports rm ON rm.id = p.master_id""",
-                                       "vector_pairs", "reports"))
-def q_pair_agreement(spark, sf):
-    """Per pair, language of both sides ('' when missing) and agreement."""
-    return R.pair_agreement(td.vector_pairs(spark, sf), td.reports(spark, sf), "lang")
-
-
-@register("cluster_sizes", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
-def q_cluster_sizes(spark, sf):
-    """Members per cluster."""
-    return CL.cluster_sizes(td.vectors(spark, sf))
-
-
-@register("centroids", with_views("""
-    SELECT label, list_transform(centroid, lambda x: round(x, 6)) AS centroid FROM centroids""", "centroids"))
-def q_centroids(spark, sf):
-    """Mean vector per cluster."""
-    c = CL.centroids(td.vectors(spark, sf))
-    return c.select("label", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
-
-
-_REPS_SQL = f"""
-    , rtext AS ({VIEWS_RTEXT}),
-    j AS (SELECT e.vec_id AS id, e.label, r.text,
-                 list_distance(CAST(e.embedding AS DOUBLE[]), c.centroid) AS dist
-          FROM embeddings e JOIN centroids c USING (label) JOIN rtext r ON r.id = e.vec_id),
-    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY dist, id) AS rn FROM j)
-            WHERE rn <= 6),
-    reps AS (SELECT label, count(*) AS n_members,
-                    string_agg('- ' || left(text, 200), chr(10) ORDER BY rn) AS samples,
-                    arg_min(text, rn) AS nearest_text
-             FROM top GROUP BY label)"""
-
-
-def _reps(spark, sf):
-    v = td.vectors(spark, sf)
-    return CL.representatives(v, CL.centroids(v), _rtext(spark, sf), 6)
-
-
-@register("representatives", with_views(_REPS_SQL + "\nSELECT label, n_members, samples FROM reps",
-                                        "centroids", "reports"))
-def q_representatives(spark, sf):
-    """Six members nearest to each centroid as '- text[:200]' lines."""
-    return _reps(spark, sf).select("label", "n_members", "samples")
-
-
-@register("apply_themes", with_views(_REPS_SQL + f"""
-    , names AS (SELECT label, {s_clean_label('nearest_text', 'label')} AS theme FROM reps)
-    SELECT v.id, v.label, n.theme FROM vectors v LEFT JOIN names n USING (label)""",
-                                     "centroids", "reports", "vectors"))
-def q_apply_themes(spark, sf):
-    """Every vector with the name of its cluster (default namer)."""
-    names = CL.name_clusters(_reps(spark, sf))
-    return CL.apply_themes(td.vectors(spark, sf).select("id", "label"), names)
-
-
-@register("silhouette", with_views("""
-    SELECT count(*) AS n, round(avg(s), 6) AS silhouette FROM silhouette_points""", "silhouette_points"))
-def q_silhouette(spark, sf):
-    """A5: exact Euclidean mean silhouette of the label clusters."""
-    s = CL.silhouette(td.vectors(spark, sf))
-    return s.select("n", r6(F.col("silhouette")).alias("silhouette"))
-
-
-@register("silhouette_by_cluster", with_views("""
-    SELECT label, count(*) AS n, round(avg(s), 6) AS silhouette, round(avg(a), 6) AS mean_a,
-           round(avg(b), 6) AS mean_b FROM silhouette_points GROUP BY label""", "silhouette_points"))
-def q_silhouette_by_cluster(spark, sf):
-    """A5: per-cluster mean silhouette and its a/b terms."""
-    s = CL.silhouette_samples(td.vectors(spark, sf))
-    return s.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("s")).alias("silhouette"),
-                                  r6(F.avg("a")).alias("mean_a"), r6(F.avg("b")).alias("mean_b"))
-
-
-# ------------------------------------------------- Spark ML (rows-only)
-
-@register("fixed_sample")
-def q_fixed_sample(spark, sf):
-    """U4: 50 reports chosen by a seeded hash of the id."""
-    return CL.fixed_sample(td.reports(spark, sf).select("id", "component"), 50, 42)
-
-
-@register("restrict_pairs")
-def q_restrict_pairs(spark, sf):
-    """Copy pairs restricted to a 2,000-report seeded sample."""
-    smp = CL.fixed_sample(td.reports(spark, sf).select("id"), 2000, 42)
-    return R.valid_pairs(td.text_pairs(spark, sf), smp)
-
-
-@register("fit_clusters")
-def q_fit_clusters(spark, sf):
-    """K-means (k = 10, seed 42) over all vectors; assignment per id."""
-    assign, _ = CL.fit_clusters(td.vectors(spark, sf), 10, 42)
-    return assign
-
-
-@register("select_k")
-def q_select_k(spark, sf):
-    """K sweep 8..24 step 2 on a 3,000-vector sample by exact silhouette."""
-    return CL.select_k(td.vectors(spark, sf))
-
-
-@register("knn_lsh")
-def q_knn_lsh(spark, sf):
-    """J4 (lsh): approximate top 10 per vector by random-projection LSH."""
-    v = td.vectors(spark, sf)
-    return V.knn_join_lsh(v, v, k=10)
-
-
-# ------------------------------------------------- extraction and traces
-
-from tessera.operators import extraction as XO  # noqa: E402
-from tessera.operators import trace as TR  # noqa: E402
-
-_DT = """
-    , dt AS (SELECT run_id, step, CASE node WHEN 'user' THEN 'research' WHEN 'assistant' THEN 'extract'
-                    WHEN 'system' THEN 'critique' ELSE node END AS node, text FROM trace)"""
-
-_SIG = ("string_agg(CASE node WHEN 'research' THEN 'R' WHEN 'extract' THEN 'E' WHEN 'critique' THEN 'C' "
-        "WHEN 'FINISH' THEN 'F' ELSE upper(left(node, 1)) END, '→' ORDER BY step) || '  (' || count(*) || ')'")
-
-
-def s_lenient(t: str) -> str:
-    span = f"regexp_extract({t}, '(?s)\\{{.*\\}}')"
-    return f"(CASE WHEN json_valid({t}) THEN {t} WHEN json_valid({span}) THEN {span} END)"
-
-
-def s_field(p: str, name: str) -> str:
-    return f"(CASE WHEN json_type({p}, '$.{name}') = 'VARCHAR' THEN json_extract_string({p}, '$.{name}') END)"
-
-
-def s_reason(p: str) -> str:
-    area, sev, kind = s_field(p, "area"), s_field(p, "severity"), s_field(p, "kind")
-    sevs = ", ".join(f"'{x}'" for x in EX_SEVERITIES)
-    kinds = ", ".join(f"'{x}'" for x in EX_KINDS)
-    return (f"(CASE WHEN {p} IS NULL OR json_type({p}) <> 'OBJECT' THEN 'not a JSON object' "
-            f"WHEN {area} IS NULL OR {s_strip(area)} = '' THEN 'missing ''area''' "
-            f"WHEN {sev} IS NULL OR {sev} NOT IN ({sevs}) THEN 'bad ''severity''' "
-            f"WHEN {kind} IS NULL OR {kind} NOT IN ({kinds}) THEN 'bad ''kind''' ELSE '' END)")
-
-
-from tessera.functions.extraction import KINDS as EX_KINDS, SEVERITIES as EX_SEVERITIES  # noqa: E402
-
-# Model-style replies derived from every order row (twin of testdata.extraction_replies),
-# with the leniently parsed JSON next to them.
-VIEWS["replies"] = f"""
-        SELECT id, component, summary, reply, {s_lenient('reply')} AS p FROM (
-          SELECT id, component, summary,
-                 CASE WHEN severity = '5-LOW' THEN 'Here is the JSON:' || chr(10) || body || chr(10) || 'Done.'
-                      WHEN severity = '4-NOT SPECIFIED' THEN 'I could not decide.' ELSE body END AS reply
-          FROM (SELECT id, component, summary, severity,
-                       json_object('area', component, 'severity', {s_severity('severity', td.ORDER_PRIORITY_SEVERITY)},
-                                   'kind', CASE status WHEN 'F' THEN 'data' WHEN 'O' THEN 'other'
-                                           ELSE 'pending' END)::VARCHAR AS body
-                FROM severity_reports))"""
-_DEPENDS["replies"] = ["severity_reports"]
-
-
-@register("trajectory", with_views(_DT + """
-    SELECT run_id, string_agg(node, ' → ' ORDER BY step) AS trajectory FROM dt GROUP BY run_id""", "trace"))
-def q_trajectory(spark, sf):
-    """Per run, decisions in order joined by ' → '."""
-    return TR.trajectory(td.decision_trace(spark, sf))
-
-
-@register("signatures", with_views(_DT + f"""
-    SELECT run_id, {_SIG} AS signature FROM dt GROUP BY run_id""", "trace"))
-def q_signatures(spark, sf):
-    """Per run signature such as 'C→R→E  (3)'."""
-    return TR.signatures(td.decision_trace(spark, sf))
-
-
-@register("trajectory_counts", with_views(_DT + f"""
-    SELECT signature, count(*) AS n FROM (SELECT run_id, {_SIG} AS signature FROM dt GROUP BY run_id)
-    GROUP BY signature ORDER BY n DESC, signature LIMIT 8""", "trace"))
-def q_trajectory_counts(spark, sf):
-    """The 8 most frequent trajectory signatures."""
-    return TR.trajectory_counts(td.decision_trace(spark, sf), 8)
-
-
-@register("trajectory_summary", with_views(_DT + f"""
-    SELECT count(*) AS n_runs, count(DISTINCT signature) AS n_distinct
-    FROM (SELECT run_id, {_SIG} AS signature FROM dt GROUP BY run_id)""", "trace"))
-def q_trajectory_summary(spark, sf):
-    """Runs and distinct trajectories."""
-    return TR.trajectory_summary(td.decision_trace(spark, sf))
-
-
-@register("extract_counts", with_views(_DT + """
-    SELECT run_id, CAST(count(*) FILTER (WHERE node = 'extract') AS INTEGER) AS n_extract,
-           CAST(count(*) AS INTEGER) AS steps, bool_or(node = 'research') AS used_research
-    FROM dt GROUP BY run_id""", "trace"))
-def q_extract_counts(spark, sf):
-    """Extractions, steps and research use per run."""
-    return TR.extract_counts(td.decision_trace(spark, sf))
-
-
-@register("tool_usage", with_views(_DT + """
-    SELECT node AS tool, count(*) AS calls, count(*) FILTER (WHERE text LIKE '%"error"%') AS errors,
-           count(DISTINCT run_id) AS runs
-    FROM dt GROUP BY node""", "trace"))
-def q_tool_usage(spark, sf):
-    """Calls, error replies and runs per tool."""
-    return TR.tool_usage(td.decision_trace(spark, sf))
-
-
-@register("evidence_digest", with_views(_DT + """
-    SELECT run_id, list_slice(a, greatest(len(a) - 5, 1), len(a)) AS digest
-    FROM (SELECT run_id, list(coalesce(node, 'note') ORDER BY step) AS a FROM dt GROUP BY run_id)""", "trace"))
-def q_evidence_digest(spark, sf):
-    """The last 6 evidence items of every run."""
-    return TR.evidence_digest(td.decision_trace(spark, sf), 6)
-
-
-_STATE = f"""
-    , st AS (
-      SELECT *, CAST(row_number() OVER w - 1 AS INTEGER) AS idx,
-             coalesce(last_value(CASE WHEN node = 'extract' THEN {s_lenient('text')} IS NOT NULL END IGNORE NULLS)
-                      OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS has_extraction,
-             last_value(CASE WHEN node = 'extract' THEN coalesce({s_lenient('text')}, 'null') END IGNORE NULLS)
-                      OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cur,
-             CAST(sum(CASE WHEN node = 'extract' THEN 1 ELSE 0 END)
-                  OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS attempt
-      FROM dt WINDOW w AS (PARTITION BY run_id ORDER BY step))"""
-
-
-@register("audit_routes", with_views(_DT + _STATE + """
-    , a AS (SELECT *, CASE WHEN idx >= 10 THEN 'FINISH'
-                           WHEN (CASE WHEN node IN ('research', 'extract', 'critique', 'FINISH') THEN node
-                                      WHEN has_extraction THEN 'critique' ELSE 'extract' END)
-                                IN ('critique', 'FINISH') AND NOT has_extraction THEN 'extract'
-                           ELSE (CASE WHEN node IN ('research', 'extract', 'critique', 'FINISH') THEN node
-                                      WHEN has_extraction THEN 'critique' ELSE 'extract' END) END AS repaired
-            FROM st)
-    SELECT run_id, step, node, has_extraction, repaired, node = repaired AS legal,
-           CASE WHEN idx >= 10 THEN 'over budget'
-                WHEN node NOT IN ('research', 'extract', 'critique', 'FINISH') THEN 'unknown route'
-                WHEN node IN ('critique', 'FINISH') AND NOT has_extraction THEN 'no extraction yet'
-                ELSE '' END AS rule
-    FROM a""", "trace"))
-def q_audit_routes(spark, sf):
-    """Per decision, the route the supervisor rules would allow."""
-    return TR.audit_routes(td.decision_trace(spark, sf), 10)
-
-
-_ATTEMPTS = f"""
-    , cr AS (
-      SELECT run_id, step, attempt,
-             {s_reason("CASE WHEN cur IS NULL OR cur = 'null' THEN NULL ELSE cur END")} AS why,
-             CASE WHEN json_valid(text) THEN text END AS rep
-      FROM st WHERE node = 'critique'),
-    att AS (
-      SELECT run_id, step, attempt,
-             CASE WHEN why = '' THEN coalesce(TRY_CAST(json_extract(rep, '$.ok') AS BOOLEAN), true)
-                  ELSE false END AS ok,
-             CASE WHEN why <> '' THEN 'schema error: ' || why
-                  ELSE coalesce(json_extract_string(rep, '$.reason'), '') END AS reason
-      FROM cr)"""
-
-
-@register("attempts", with_views(_DT + _STATE + _ATTEMPTS + """
-    SELECT run_id, step, attempt, ok, reason,
-           coalesce(NOT lag(ok) OVER (PARTITION BY run_id ORDER BY step), false) AS retry_of_rejection
-    FROM att""", "trace"))
-def q_attempts(spark, sf):
-    """Critic verdicts with attempt number, rejection reason and retries."""
-    return TR.attempts(td.decision_trace(spark, sf))
-
-
-@register("extraction_yield", with_views(_DT + _STATE + _ATTEMPTS + """
-    , runs AS (SELECT run_id, CAST(count(*) FILTER (WHERE node = 'extract') AS INTEGER) AS n_extract,
-                      count(*) AS steps, bool_or(node = 'research') AS used_research,
-                      max(CASE WHEN node = 'extract' THEN step END) AS le FROM dt GROUP BY run_id),
-    fin AS (SELECT a.run_id, arg_max(a.ok, a.step) AS ok FROM att a JOIN runs r USING (run_id)
-            WHERE r.le IS NULL OR a.step > r.le GROUP BY a.run_id),
-    o AS (SELECT r.*, coalesce(f.ok, false) AS ok FROM runs r LEFT JOIN fin f USING (run_id))
-    SELECT count(*) AS n_runs, round(avg(ok::DOUBLE), 6) AS final_yield,
-           round(avg((ok AND n_extract = 1)::DOUBLE), 6) AS first_pass_yield,
-           round(avg(steps::DOUBLE), 6) AS mean_steps, round(avg((NOT used_research)::DOUBLE), 6) AS no_research_share,
-           round(avg(ok::DOUBLE) - avg((ok AND n_extract = 1)::DOUBLE), 6) AS gain
-    FROM o""", "trace"))
-def q_extraction_yield(spark, sf):
-    """Final / first-pass yield, gain, mean steps, share without research."""
-    y = TR.extraction_yield(TR.run_outcomes(td.decision_trace(spark, sf)))
-    return y.select("n_runs", *[r6(F.col(c)).alias(c) for c in
-                                ("final_yield", "first_pass_yield", "mean_steps", "no_research_share", "gain")])
-
-
-@register("validate_extractions", with_views(f"""
-    SELECT id, p IS NOT NULL AS parsed, {s_field('p', 'area')} AS area, {s_field('p', 'severity')} AS severity,
-           {s_field('p', 'kind')} AS kind, {s_reason('p')} = '' AS ok, {s_reason('p')} AS reason
-    FROM replies""", "replies"))
-def q_validate_extractions(spark, sf):
-    """Lenient parse and schema check of model-style replies."""
-    v = XO.validate_replies(td.extraction_replies(spark, sf))
-    return v.select("id", "parsed", "area", "severity", "kind", "ok", "reason")
-
-
-@register("annotation_template", with_views(f"""
-    SELECT id, component, summary, left(reply, 1200) AS description, {s_field('p', 'area')} AS llm_area,
-           {s_field('p', 'severity')} AS llm_severity, {s_field('p', 'kind')} AS llm_kind,
-           CAST(NULL AS INTEGER) AS human_good
-    FROM replies WHERE {s_reason('p')} = ''""", "replies"))
-def q_annotation_template(spark, sf):
-    """Accepted extractions as a blank annotation sheet."""
-    from tessera.sources.readers import annotation_template
-    v = XO.validate_replies(td.extraction_replies(spark, sf))
-    ext = v.select("id", "component", "summary", F.col("reply").alias("description"),
-                   F.col("area").alias("llm_area"), F.col("severity").alias("llm_severity"),
-                   F.col("kind").alias("llm_kind"), "ok")
-    return annotation_template(ext)
-
-
-@register("nearest_region_levenshtein", """
-    SELECT value, name, score FROM (
-      SELECT n.n_name AS value, r.r_name AS name, -CAST(levenshtein(n.n_name, r.r_name) AS DOUBLE) AS score,
-             row_number() OVER (PARTITION BY n.n_name ORDER BY levenshtein(n.n_name, r.r_name), r.r_name DESC) AS rn
-      FROM (SELECT DISTINCT n_name FROM nation) n JOIN (SELECT DISTINCT r_name FROM region) r ON true)
-    WHERE rn = 1""")
-def q_nearest_region_levenshtein(spark, sf):
-    """J15 (edit distance): closest region name for every nation name."""
-    return XO.nearest_name(td.table(spark, sf, "nation"), td.table(spark, sf, "region"), "n_name", "r_name",
-                           method="levenshtein")
-
-
-@register("nearest_region")
-def q_nearest_region(spark, sf):
-    """Closest region name for every nation name by difflib ratio, no cutoff."""
-    return XO.nearest_name(td.table(spark, sf, "nation"), td.table(spark, sf, "region"), "n_name", "r_name")
-
-
-@register("nearest_component")
-def q_nearest_component(spark, sf):
-    """Extracted areas matched to the report component taxonomy (difflib)."""
-    v = XO.validate_replies(td.extraction_replies(spark, sf)).select(F.col("area").alias("value"))
-    from tessera.sources.readers import taxonomy
-    return XO.nearest_name(v, taxonomy(td.reports(spark, sf)), "value", "component")
-
-
-# ------------------------------------------------------------ readout
-
-from tessera.plans.report import readout  # noqa: E402
-
-
-def _strip_with(sql: str) -> str:
-    return f"({sql})"
-
-
-_READOUT_SQL = f"""
-    SELECT 'themes' AS section, 'share' AS metric, CAST(label AS VARCHAR) AS slice, share AS value, count AS n
-    FROM (SELECT * FROM {_strip_with(ORACLE['prevalence_themes'])} ORDER BY count DESC, label LIMIT 5)
-    UNION ALL SELECT 'extraction', 'first_pass_yield', '', first_pass_yield, n_runs FROM {_strip_with(ORACLE['extraction_yield'])}
-    UNION ALL SELECT 'extraction', 'final_yield', '', final_yield, n_runs FROM {_strip_with(ORACLE['extraction_yield'])}
-    UNION ALL SELECT 'extraction', 'mean_steps', '', mean_steps, n_runs FROM {_strip_with(ORACLE['extraction_yield'])}
-    UNION ALL SELECT 'agreement', 'kappa', '', kappa, n FROM {_strip_with(ORACLE['cohen_kappa'])}
-    UNION ALL SELECT 'retrieval', 'hit_at_1', '', hit_at_1, n_pairs FROM {_strip_with(ORACLE['retrieval_metrics'])}
-    UNION ALL SELECT 'retrieval', 'hit_at_5', '', hit_at_5, n_pairs FROM {_strip_with(ORACLE['retrieval_metrics'])}
-    UNION ALL SELECT 'retrieval', 'hit_at_10', '', hit_at_10, n_pairs FROM {_strip_with(ORACLE['retrieval_metrics'])}
-    UNION ALL SELECT 'retrieval', 'mrr', '', mrr, n_pairs FROM {_strip_with(ORACLE['retrieval_metrics'])}
-    UNION ALL SELECT 'theme_slices', 'hit_at_10', "end" || ':' || CAST(theme AS VARCHAR), hit_at_10, n
-              FROM {_strip_with(ORACLE['theme_extremes'])}
-    UNION ALL SELECT 'component_slices', 'hit_at_10',
-                     CASE WHEN same_component THEN 'same-component' ELSE 'cross-component' END, hit_at_10, n
-              FROM {_strip_with(ORACLE['metrics_by_agreement'])}"""
-
-
-@register("readout", _READOUT_SQL)
-def q_readout(spark, sf):
-    """The final readout table (themes, yields, kappa, retrieval, slices)."""
-    # the per-pair ranks are built once; metrics and both slice tables derive from them
-    ranked, metrics = R.evaluate_retrieval(td.vector_pairs(spark, sf), td.vectors(spark, sf), k=10)
-    themes = td.vectors(spark, sf).select("id", F.col("label").alias("theme"))
-    ctx = R.pair_context(ranked, td.reports(spark, sf), themes)
-    rnd = [r6(F.col(c)).alias(c) for c in ("hit_at_10", "mrr")]
-    ext = R.extremes(R.metrics_by(ctx, "theme", 50), "theme", "hit_at_10", 3).select("theme", *rnd, "n", "end")
-    agree = R.metrics_by_agreement(ctx).select("same_component", *rnd, "n")
-    met = metrics.select("n_pairs", *[r6(F.col(c)).alias(c) for c in ("hit_at_1", "hit_at_5", "hit_at_10", "mrr")])
-    return readout(q_prevalence_themes(spark, sf), "label", q_extraction_yield(spark, sf),
-                   q_cohen_kappa(spark, sf), met, ext, agree)
-
-
-# ----------------------------------------- sources, sinks and streaming
-
-import uuid  # noqa: E402
-
-from tessera.session import checkpoint_dir  # noqa: E402
-from tessera.sources import readers as RD  # noqa: E402
-
-
-def scratch(spark, name: str) -> str:
-    """A fresh folder under the shared checkpoint location."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/tessera-scratch/{name}-{uuid.uuid4().hex}"
-
-
-@register("read_reports_csv", with_views("""
-    SELECT id, component, summary, description, '' AS product, role FROM reports""", "reports"))
-def q_read_reports_csv(spark, sf):
-    """Reports written as multi-line CSV and read back with the fixed schema."""
-    path = scratch(spark, "reports-csv")
-    RD.write_reports(td.reports(spark, sf, with_role=True), path)
-    return RD.read_reports(spark, path).select("id", "component", "summary", "description",
-                                               F.coalesce("product", F.lit("")).alias("product"), "role")
-
-
-@register("read_pairs_csv", with_views("SELECT dup_id, master_id FROM text_pairs", "text_pairs"))
-def q_read_pairs_csv(spark, sf):
-    """Usable pairs written and read back."""
-    path = scratch(spark, "pairs-csv")
-    RD.write_pairs(td.text_pairs(spark, sf), path)
-    return RD.read_pairs(spark, path)
-
-
-@register("read_labels_csv", with_views("""
-    SELECT r.id, CAST(l.quality AS INTEGER) AS human_good
-    FROM labels l JOIN reports r ON r.id = l.doc_id""", "reports"))
-def q_read_labels_csv(spark, sf):
-    """A label sheet written as CSV, read back, usable labels kept."""
-    from tessera.operators.agreement import usable_labels
-    sheet = (td.reports(spark, sf).join(td.table(spark, sf, "labels").select(
-        F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("human_good")), "id")
-        .select("id", "component", "summary", T.clip("description", 1200).alias("description"),
-                F.lit("").alias("llm_area"), F.lit("").alias("llm_severity"), F.lit("").alias("llm_kind"),
-                "human_good"))
-    path = scratch(spark, "labels-csv")
-    RD.write_csv(sheet, path)
-    return usable_labels(RD.read_labels(spark, path)).select("id", "human_good")
-
-
-@register("explode_pages", with_views("""
-    SELECT id, summary, component, '' AS product, severity, status AS resolution,
-           strftime(creation_time, '%Y-%m-%dT%H:%M:%SZ') AS creation_time FROM severity_reports""",
-                                      "severity_reports"))
-def q_explode_pages(spark, sf):
-    """Landed API pages ({"bugs": [...]}, 250 per page) exploded to rows."""
-    r = td.severity_reports(spark, sf).select(
-        "id", "summary", "component", F.lit("").alias("product"), "severity", F.col("status").alias("resolution"),
-        F.date_format("creation_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("creation_time"),
-        F.lit(None).cast("long").alias("dupe_of"))
-    pages = (r.groupBy(F.floor(F.col("id") / 250).alias("_page"))
-             .agg(F.collect_list(F.struct(*[c for c in r.columns])).alias("bugs")))
-    path = scratch(spark, "pages-json")
-    pages.select("bugs").write.mode("overwrite").json(path)
-    return RD.explode_pages(spark, path).drop("dupe_of")
-
-
-def _land_comments(spark, sf) -> str:
-    conv = td.table(spark, sf, "conversations")
-    per = conv.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))),
-                                                  lambda s: F.struct(s["text"].alias("text"))).alias("comments"))
-    page = per.select(F.create_map(F.col("conv_id").cast("string"), F.struct("comments")).alias("bugs"))
-    path = scratch(spark, "comments-json")
-    page.write.mode("overwrite").json(path)
-    return path
-
-
-@register("first_comment", """
-    SELECT conv_id AS id, text FROM conversations WHERE turn = 0""")
-def q_first_comment(spark, sf):
-    """First comment of each landed comment page as the description."""
-    return RD.first_comment(spark, _land_comments(spark, sf))
-
-
-@register("missing_descriptions", """
-    SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT DISTINCT conv_id FROM conversations)""")
-def q_missing_descriptions(spark, sf):
-    """Report ids whose description is not in the landed cache yet."""
-    cache = RD.first_comment(spark, _land_comments(spark, sf))
-    ids = td.table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
-    return RD.missing_descriptions(ids, cache)
-
-
-@register("append_vectors", "SELECT doc_id AS id, 256 AS dims FROM documents")
-def q_append_vectors(spark, sf):
-    """Vectors appended twice from the same reports; each id stored once."""
-    path = scratch(spark, "vectors")
-    corpus = td.reports(spark, sf).select("id", "component", "summary", "description")
-    RD.append_vectors(corpus, path)
-    RD.append_vectors(corpus, path)
-    return RD.read_vectors(spark, path).select("id", F.size("embedding").alias("dims"))
-
-
-@register("ingest_stream", "SELECT doc_id AS id, 256 AS dims FROM documents")
-def q_ingest_stream(spark, sf):
-    """Report files landed twice, streamed with availableNow, each id stored once."""
-    from tessera.streaming.ingest import ingest_stream, read_store
-    src = scratch(spark, "landing")
-    store = scratch(spark, "store")
-    rep = td.reports(spark, sf, with_role=True).select(*[F.col(f.name) if f.name in ("id", "summary", "description",
-                                                                      "component", "role")
-                                         else F.lit(None).cast(f.dataType).alias(f.name)
-                                         for f in RD.REPORT_SCHEMA.fields])
-    rep.write.mode("append").parquet(src + "/drop1")
-    rep.write.mode("append").parquet(src + "/drop2")
-    q = ingest_stream(spark, src + "/*", store, checkpoint=scratch(spark, "ingest-ckpt"))
-    q.awaitTermination()
-    return read_store(spark, store).select("id", F.size("embedding").alias("dims"))
-
-
-@register("embed_documents")
-def q_embed_documents(spark, sf):
-    """hashed TF-IDF vectors for every whole document text."""
-    from tessera.operators.embed import embed
-    d = td.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return embed(d).select("id", "embedding")
-
-
-# ----------------------------------------------------- callable lookups
-
-@register("similar_reports", with_views("""
-    SELECT k.qid, k.rank, k.id, round(k.sim, 3) AS sim, r.component, left(r.summary, 120) AS summary
-    FROM knn6 k JOIN reports r ON k.id = r.id
-    WHERE k.qid IN (SELECT doc_id FROM labels)""", "knn6", "reports"))
-def q_similar_reports(spark, sf):
-    """Six similar reports for every labelled id that has a vector."""
-    ids = td.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
-    return V.similar(ids, td.vectors(spark, sf), td.reports(spark, sf), 6)
-
-
-@register("prior_for_areas")
-def q_prior_for_areas(spark, sf):
-    """Component prior for every extracted area, via the closest component."""
-    areas = XO.validate_replies(td.extraction_replies(spark, sf)).select(F.lower("area").alias("value"))
-    return XO.prior_for(areas, td.severity_reports(spark, sf), td.ORDER_PRIORITY_SEVERITY)
-
-
-# ------------------------------------------- serialisation and vector maths
-
-from tessera.functions import vectors as VF  # noqa: E402
-
-
-@register("extraction_json", with_views(f"""
-    SELECT id, json_object('area', {s_field('p', 'area')}, 'severity', {s_field('p', 'severity')},
-                           'kind', {s_field('p', 'kind')})::VARCHAR AS extraction
-    FROM replies""", "replies"))
-def q_extraction_json(spark, sf):
-    """Extracted fields serialised back to one JSON object per reply."""
-    v = XO.validate_replies(td.extraction_replies(spark, sf))
-    return v.select("id", T.extraction_json("area", "severity", "kind").alias("extraction"))
-
-
-@register("vector_math", with_views("""
-    SELECT p.dup_id, p.master_id,
-           round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine,
-           round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS l2,
-           round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS dot
-    FROM vector_pairs p JOIN embeddings a ON a.vec_id = p.dup_id JOIN embeddings b ON b.vec_id = p.master_id""",
-                                    "vector_pairs"))
-def q_vector_math(spark, sf):
-    """Cosine, Euclidean distance and dot product of every labelled pair."""
-    v = td.vectors(spark, sf).select("id", "embedding")
-    j = (td.vector_pairs(spark, sf)
-         .join(v.withColumnRenamed("id", "dup_id").withColumnRenamed("embedding", "a"), "dup_id")
-         .join(v.withColumnRenamed("id", "master_id").withColumnRenamed("embedding", "b"), "master_id"))
-    return j.select("dup_id", "master_id", r6(VF.cosine("a", "b")).alias("cosine"),
-                    r6(VF.l2_distance("a", "b")).alias("l2"), r6(VF.dot("a", "b")).alias("dot"))
-
-
-@register("catalog_conformance", with_views(f"""
-    , lng AS (SELECT 'severity' AS field, {s_field('p', 'severity')} AS value FROM replies
-              UNION ALL SELECT 'kind', {s_field('p', 'kind')} FROM replies),
-    allowed AS (SELECT * FROM (VALUES {", ".join(f"('severity', '{v}')" for v in EX_SEVERITIES)},
-                                      {", ".join(f"('kind', '{v}')" for v in EX_KINDS)}) t(field, value))
-    SELECT l.field, count(*) AS n, count(a.value) AS n_allowed, count(*) FILTER (WHERE l.value IS NULL) AS n_missing
-    FROM lng l LEFT JOIN allowed a ON a.field = l.field AND a.value = l.value GROUP BY l.field""", "replies"))
-def q_catalog_conformance(spark, sf):
-    """The field catalog as a dimension table, checked against every reply."""
-    from tessera.sources.readers import field_catalog
-    v = XO.validate_replies(td.extraction_replies(spark, sf))
-    return XO.catalog_conformance(v, field_catalog(spark))
-
-
-@register("copy_retrieval")
-def q_copy_retrieval(spark, sf):
-    """Documents embedded (default hashed TF-IDF), copy pairs retrieved, hit@k and MRR."""
-    from tessera.operators.embed import embed
-    reports = ST.with_text(td.reports(spark, sf)).select("id", "text")
-    vectors = embed(reports).select("id", "embedding")
-    _, m = R.evaluate_retrieval(td.text_pairs(spark, sf), vectors, k=10)
-    return m.select("n_pairs", *[r6(F.col(c)).alias(c) for c in ("hit_at_1", "hit_at_5", "hit_at_10", "mrr")])
+__all__ = ["ORACLE", "QUERIES", "QueryFn", "register"]
