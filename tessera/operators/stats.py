@@ -120,8 +120,8 @@ def component_prior(reports: DataFrame, mapping: dict[str, str] | None = None,
     dist = (lv.groupBy("component")
             .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "_n")))).alias("_m"),
                  F.sum("_n").alias("_t"))
-            .select("component", F.transform_values("_m", lambda k, v: F.round(v / F.col("_t"), 6))
-                    .alias("severity_dist")))
+            .select("component", F.transform_values("_m", lambda k, v: v / F.col("_t"))
+                    .alias("severity_dist")))  # unrounded shares; rounding is display (Q12)
     ex = (first_n_per_group(r, "component", "id", examples)
           .groupBy("component")
           .agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "summary"))),

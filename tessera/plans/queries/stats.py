@@ -101,4 +101,5 @@ def q_top_languages(spark, sf):
 def q_component_prior(spark, sf):
     """Per-component severity prior with typical level and examples."""
     return ST.component_prior(td.severity_reports(spark, sf), td.ORDER_PRIORITY_SEVERITY).select(
-        "component", "n_bugs", "n_triaged", "typical_severity", "severity_dist", "example_summaries")
+        "component", "n_bugs", "n_triaged", "typical_severity",
+        F.transform_values("severity_dist", lambda k, v: F.round(v, 6)).alias("severity_dist"), "example_summaries")
