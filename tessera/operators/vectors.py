@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.session import ensure_parallelism, has_context, parallelism
+from tessera.session import has_context, parallelism
 from tessera.operators.blocks import (DEFAULT_LEFT_ROWS, DEFAULT_RIGHT_ROWS, grid_cells, keyed_grid_cells,
                                       plan_grid)
 
@@ -154,12 +154,9 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id: st
         qids = pdf["_id"].to_numpy(dtype=np.int64)
         qmat = _unit_rows(_stack(pdf["_v"])) if len(pdf) else np.zeros((0, dims))
         bq = spark.sparkContext.broadcast((qids, qmat))
-        c = ensure_parallelism(c)  # small corpora only: keep every core busy
-        parts = c.rdd.getNumPartitions()
+        # bound the merge: at most `cap` corpus tasks (coalesce only ever reduces)
         cap = max(parallelism(spark), max_merge_rows // max(1, n_q * k))
-        if parts > cap:
-            c = c.coalesce(cap)
-        local = c.mapInPandas(_scan_topk(bq, k, exclude_self), KNN_SCHEMA)
+        local = c.coalesce(cap).mapInPandas(_scan_topk(bq, k, exclude_self), KNN_SCHEMA)
     else:
         n_c = c.count()
         grid = plan_grid(spark, n_q, n_c, query_block_rows, corpus_block_rows, dims=dims)

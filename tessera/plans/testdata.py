@@ -27,8 +27,16 @@ ORDER_PRIORITY_SEVERITY = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# Tables whose rows carry whole texts: spread right after the scan (column
+# pruning and filters still reach the scan through the repartition).
+TEXT_TABLES = ("documents",)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread is None:
+        spread = name in TEXT_TABLES
+    return ensure_parallelism(df) if spread else df
 
 
 def _text_groups(docs: DataFrame) -> DataFrame:
@@ -87,8 +95,8 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("vec_id").alias("dup_id"), "master_id"))
 
 
-def severity_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority",
+def severity_reports(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    o = table(spark, sf_dir, "orders", spread=spread).select("o_orderkey", "o_custkey", "o_orderpriority",
                                               "o_orderdate", "o_orderstatus")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name")
     return o.join(c, o.o_custkey == c.c_custkey).select(
@@ -124,7 +132,7 @@ def extraction_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     severity = mapped priority, kind from the order status. Low-priority rows
     wrap it in prose, unspecified-priority rows give no JSON at all.
     """
-    r = ensure_parallelism(severity_reports(spark, sf_dir))  # JSON work per row follows
+    r = severity_reports(spark, sf_dir, spread=True)  # JSON work per row follows
     level = T.map_severity(F.col("severity"), ORDER_PRIORITY_SEVERITY)
     kind = (F.when(F.col("status") == "F", F.lit("data")).when(F.col("status") == "O", F.lit("other"))
             .otherwise(F.lit("pending")))

@@ -44,11 +44,13 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def ensure_parallelism(df):
-    """Spread a DataFrame over all task slots before heavy per-row work.
+    """Spread a freshly read DataFrame over all task slots before heavy per-row work.
 
-    A no-op when the input already has at least as many partitions as slots
-    (always the case for large inputs); small inputs read from one file or
-    row group get one round-robin shuffle instead of running in one task.
+    Call it on a scan (no exchange in the plan): counting the partitions of a
+    plan with shuffles would run its shuffle stages under AQE. A no-op when
+    the scan already has at least as many partitions as slots (always the case
+    for large inputs); an input read from one file or row group gets one
+    round-robin shuffle instead of running in one task.
     """
     par = parallelism(df.sparkSession)
     try:
