@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,7 +189,7 @@ def append_vectors(corpus: DataFrame, vectors_path: str, embed_fn: EmbedFn | Non
     spark = corpus.sparkSession
     try:
         stored = spark.read.schema(VECTOR_SCHEMA).parquet(vectors_path).select("id")
-    except Exception:  # noqa: BLE001 - first run: nothing stored yet
+    except AnalysisException:  # first run: the store does not exist yet
         stored = spark.createDataFrame([], "id long")
     new_rows = unembedded(corpus, stored)
     if "text" not in new_rows.columns:
