@@ -46,6 +46,9 @@ VECTOR_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()),
     T.StructField("meta", T.StructType([T.StructField("component", T.StringType()),
                                         T.StructField("summary", T.StringType())])),
+    # content hash of the stored text and the ingest version (append-only store)
+    T.StructField("text_hash", T.LongType()),
+    T.StructField("version", T.LongType()),
 ])
 # Fields requested per report from the tracker API (fixed values).
 PAGE_FIELDS = ("id", "summary", "component", "product", "severity", "resolution", "creation_time", "dupe_of")
@@ -129,8 +132,25 @@ def write_pairs(df: DataFrame, path: str) -> None:
     write_csv(df.select(F.col("dup_id").cast("long"), F.col("master_id").cast("long")), path)
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Full vector scan, pruned to id and embedding (S3)."""
+def latest_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rows, latest version per id.
+
+    The store is append-only: re-embedded texts (``reembed_changed``) add a
+    newer version. The newest version per id comes from an aggregate over
+    ``(id, version)`` only (partial per task); the rows are then picked by a
+    join on ``(id, version)``, so vectors and texts never shuffle for the
+    aggregate and a frequently re-embedded id does not skew the join.
+    """
+    df = spark.read.schema(VECTOR_SCHEMA).parquet(path).withColumn(
+        "version", F.coalesce(F.col("version"), F.lit(0)))
+    newest = df.groupBy("id").agg(F.max("version").alias("version"))
+    return df.join(newest, ["id", "version"], "left_semi")
+
+
+def read_vectors(spark: SparkSession, path: str, latest: bool = False) -> DataFrame:
+    """Full vector scan, pruned to id and embedding (S3); ``latest`` resolves versions."""
+    if latest:
+        return latest_vectors(spark, path).select("id", "embedding")
     return spark.read.schema(VECTOR_SCHEMA).parquet(path).select("id", "embedding")
 
 
@@ -169,39 +189,56 @@ def _embed_batches(fn: EmbedFn, batch: int):
                     "text": part["text"].values,
                     "meta": [{"component": c, "summary": s} for c, s in
                              zip(part["component"].values, part["summary"].values)],
+                    "text_hash": part["text_hash"].astype("int64").values,
+                    "version": part["version"].astype("int64").values,
                 })
     return run
 
 
 def append_vectors(corpus: DataFrame, vectors_path: str, embed_fn: EmbedFn | None = None,
-                   batch: int = 500) -> DataFrame:
+                   batch: int = 500, reembed_changed: bool = False) -> DataFrame:
     """Embed only reports not yet stored and append them.
 
     ``corpus`` needs ``id, component, summary`` and either ``text`` or
-    ``description``. The ``left_anti`` join against the stored ids runs first,
-    on the raw rows, and text is composed (P1) only for the new ones, so an
-    append costs in proportion to what is new. The metadata summary is cut at
-    200 characters; the text is stored and embedded whole. With no
-    ``embed_fn`` the built-in stateless hashed vectors are used, so every
-    append lands in the same vector space. Returns the rows appended.
+    ``description``. By default the cache key is the id: the ``left_anti``
+    join against the stored ids runs first, on the raw rows, and text is
+    composed (P1) only for the new ones, so an append costs in proportion to
+    what is new. With ``reembed_changed`` a row is also re-embedded when the
+    ``xxhash64`` of its text differs from the latest stored one; the new
+    version is appended and ``latest_vectors`` reads the newest per id.
+    The metadata summary is cut at 200 characters; the text is stored and
+    embedded whole. With no ``embed_fn`` the built-in stateless hashed vectors
+    are used, so every append lands in the same vector space. Returns the
+    rows appended.
     """
+    import time
+
     from tessera.operators.stats import with_text
     spark = corpus.sparkSession
     try:
-        stored = spark.read.schema(VECTOR_SCHEMA).parquet(vectors_path).select("id")
+        raw = spark.read.schema(VECTOR_SCHEMA).parquet(vectors_path)
     except AnalysisException:  # first run: the store does not exist yet
-        stored = spark.createDataFrame([], "id long")
-    new_rows = unembedded(corpus, stored)
-    if "text" not in new_rows.columns:
-        new_rows = with_text(new_rows)
+        raw = spark.createDataFrame([], VECTOR_SCHEMA)
+    if reembed_changed:
+        rows = corpus if "text" in corpus.columns else with_text(corpus)
+        rows = rows.withColumn("_h", F.xxhash64("text"))
+        # latest stored hash per id: an aggregate over three narrow columns
+        known = raw.groupBy("id").agg(F.max_by("text_hash", F.coalesce(F.col("version"), F.lit(0))).alias("_old"))
+        new_rows = (rows.join(known, "id", "left")
+                    .filter(F.col("_old").isNull() | (F.col("_old") != F.col("_h"))).drop("_old", "_h"))
+    else:
+        new_rows = unembedded(corpus, raw.select("id"))
+        if "text" not in new_rows.columns:
+            new_rows = with_text(new_rows)
+    version = int(time.time() * 1000)
     todo = new_rows.select(F.col("id").cast("long").alias("id"), F.coalesce("component", F.lit("")).alias("component"),
                            TX.clip(F.coalesce("summary", F.lit("")), TX.SUMMARY_META_CHARS).alias("summary"),
-                           F.col("text"))
+                           F.col("text"), F.xxhash64("text").alias("text_hash"), F.lit(version).alias("version"))
     if embed_fn is None:
         from tessera.operators.embed import hashed_tf
         new = hashed_tf(todo).select(
-            "id", "embedding", "text",
-            F.struct(F.col("component"), F.col("summary")).alias("meta"))
+            "id", "embedding", "text", F.struct(F.col("component"), F.col("summary")).alias("meta"),
+            "text_hash", "version")
     else:
         new = todo.mapInPandas(_embed_batches(embed_fn, batch), VECTOR_SCHEMA)
     new.write.mode("append").parquet(vectors_path)

@@ -89,3 +89,20 @@ def test_stream_restart_adds_only_new_ids(spark):
     ingest_stream(spark, base + "/src/*", base + "/store", checkpoint=base + "/ckpt").awaitTermination()
     ids = sorted(r.id for r in read_store(spark, base + "/store").collect())
     assert ids == list(range(9))
+
+
+def test_reembed_changed_texts_only(spark):
+    path = tempfile.mkdtemp(prefix="tessera-test-") + "/v"
+    v1 = spark.createDataFrame([(1, "C", "s", "alpha beta"), (2, "C", "t", "gamma")],
+                               "id long, component string, summary string, text string")
+    RD.append_vectors(v1, path)
+    v2 = spark.createDataFrame([(1, "C", "s", "alpha beta"), (2, "C", "t", "gamma delta"), (3, "D", "u", "new")],
+                               "id long, component string, summary string, text string")
+    RD.append_vectors(v2, path)                        # id-keyed: only id 3 is added
+    assert spark.read.parquet(path).count() == 3
+    RD.append_vectors(v2, path, reembed_changed=True)  # content-keyed: id 2 changed -> new version
+    raw = spark.read.parquet(path)
+    assert raw.count() == 4
+    latest = {r.id: r.text for r in RD.latest_vectors(spark, path).collect()}
+    assert latest == {1: "alpha beta", 2: "gamma delta", 3: "new"}
+    assert RD.read_vectors(spark, path, latest=True).count() == 3
