@@ -118,3 +118,19 @@ def test_broadcast_merge_budget_coalesces_corpus(spark):
     small = V.knn_join(df, df, k=3, strategy="broadcast", max_merge_rows=200 * 3 * 10)
     full = V.knn_join(df, df, k=3, strategy="broadcast")
     assert sorted(tuple(r)[:3] for r in small.collect()) == sorted(tuple(r)[:3] for r in full.collect())
+
+
+def test_knn_k_larger_than_corpus(spark):
+    df = vec_df(spark, [1, 2, 3], np.array([[1.0, 0.0], [0.8, 0.2], [0.0, 1.0]]))
+    for strategy in ("grid", "broadcast"):
+        got = sorted((r.qid, r.rank, r.id) for r in V.knn_join(df, df, k=10, strategy=strategy).collect())
+        assert [(q, i) for q, _, i in got if q == 1] == [(1, 2), (1, 3)]
+        assert len(got) == 6
+
+
+def test_ensure_parallelism_only_spreads_narrow_scans(spark):
+    from tessera.session import ensure_parallelism, parallelism
+    narrow = spark.range(100).coalesce(1)
+    wide = spark.range(0, 100, 1, 2 * parallelism(spark))
+    assert ensure_parallelism(narrow).rdd.getNumPartitions() == parallelism(spark)
+    assert ensure_parallelism(wide) is wide
