@@ -106,3 +106,11 @@ def test_reembed_changed_texts_only(spark):
     latest = {r.id: r.text for r in RD.latest_vectors(spark, path).collect()}
     assert latest == {1: "alpha beta", 2: "gamma delta", 3: "new"}
     assert RD.read_vectors(spark, path, latest=True).count() == 3
+
+
+def test_latest_vectors_hot_id_many_versions(spark):
+    path = tempfile.mkdtemp(prefix="tessera-test-") + "/v"
+    rows = [(7, [float(v)], f"t{v}", ("C", "s"), v, v) for v in range(300)] + [(8, [1.0], "x", ("C", "s"), 1, 1)]
+    spark.createDataFrame(rows, RD.VECTOR_SCHEMA).repartition(6).write.parquet(path)
+    got = {r.id: (r.text, r.version) for r in RD.latest_vectors(spark, path).collect()}
+    assert got == {7: ("t299", 299), 8: ("x", 1)}
