@@ -33,3 +33,135 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(docs, table(spark, sf_dir, "labels")).select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "llr")
+
+
+# The mix of the registered query (weights in turn, share of all words, repeats).
+_MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM s0),
+s2 AS (SELECT *, CASE rank % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w,
+              2.0::DOUBLE * source_size AS cap FROM s1),
+-- the water level is the least level at which the filled caps reach the total
+s3 AS (SELECT a.*, 1.5::DOUBLE * (SELECT sum(source_size) FROM s0) AS total, a.cap / a.w AS fill FROM s2 a),
+s4 AS (SELECT x.fill AS f, (max(x.total) - coalesce(sum(y.cap) FILTER (WHERE y.fill < x.fill), 0))
+              / sum(y.w) FILTER (WHERE y.fill >= x.fill) AS level
+       FROM (SELECT DISTINCT fill, total FROM s3) x, s3 y GROUP BY x.fill),
+lv AS (SELECT arg_min(level, f) AS level FROM s4 WHERE f > level),
+s5 AS (SELECT source, source_size, rank, least(cap, coalesce(lv.level * w, cap)) AS target FROM s3, lv),
+n AS (SELECT round(sum(target) / 16)::BIGINT AS n FROM s5),
+q1 AS (SELECT rank, target / (2 * k + 1) AS q FROM s5, n,
+              unnest(range(0, (floor(target / 16) + (SELECT count(*) FROM s5) + 2)::BIGINT)) AS u(k) WHERE target > 0),
+q2 AS (SELECT rank, row_number() OVER (ORDER BY q DESC, rank) AS r FROM q1),
+quota AS (SELECT rank, count(*) AS quota FROM q2, n WHERE r <= n.n GROUP BY rank),
+p AS (SELECT d.doc_id, d.source, d.size, d.key, s5.rank, s5.source_size, s5.target, coalesce(quota.quota, 0) AS quota,
+             ('0x' || substr(d.key, 1, 8))::BIGINT % ceil(greatest(s5.source_size, 1) / 262144)::BIGINT AS shard
+      FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source LEFT JOIN quota USING (rank)),
+sh AS (SELECT rank, shard, sum(size)::BIGINT AS shard_size, max(quota) AS quota,
+              max(source_size) AS source_size FROM p GROUP BY rank, shard),
+q3 AS (SELECT rank, shard, quota, shard_size::DOUBLE / (2 * k + 1) AS q FROM sh, unnest(range(0,
+              (floor(quota * shard_size::DOUBLE / source_size) + (SELECT count(*) FROM sh) + 2)::BIGINT)) AS u(k)
+       WHERE shard_size > 0),
+q4 AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY q DESC, shard) AS r FROM q3),
+blocks AS (SELECT rank, shard, count(*) AS blocks FROM q4 WHERE r <= quota GROUP BY rank, shard),
+t AS (SELECT sh.*, least(coalesce(blocks, 0) * 16, 2 * shard_size) AS tokens,
+             ('0x' || substr(md5('mix|' || rank || '|' || shard), 1, 8))::BIGINT
+             % ceil(greatest(shard_size, 1) / 16)::BIGINT * 16 AS start
+      FROM sh LEFT JOIN blocks USING (rank, shard)),
+l AS (SELECT p.*, t.shard_size, t.tokens, t.start,
+             CASE WHEN t.shard_size > 0 THEN t.tokens // t.shard_size ELSE 0 END AS epochs,
+             sum(p.size) OVER (PARTITION BY p.rank, p.shard ORDER BY p.key, p.size
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS hi
+      FROM p JOIN t ON p.rank = t.rank AND p.shard = t.shard),
+m AS (SELECT *, hi - size AS lo, start + tokens - epochs * shard_size AS stop FROM l)
+SELECT doc_id, source, size, source_size, target, (epochs * size
+       + greatest(0, least(hi, least(stop, shard_size)) - greatest(lo, start))
+       + greatest(0, least(hi, stop - shard_size) - lo))::BIGINT AS taken FROM m
+"""
+
+
+@register("op2_mix_sources", _MIX_SQL)
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mix_sources
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+@register("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.langid import VOCABULARY, identify_languages
+    return identify_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"),
+                              public_tokenizers.path(VOCABULARY))
+
+
+@register("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.tokencount import TOKENIZER, count_tokens
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                        public_tokenizers.path(TOKENIZER))
+
+
+_URL_SQL = r"""
+WITH r(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+       ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+u AS (SELECT row_number() OVER () AS n, page_id,
+             CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT n, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+j AS (SELECT p.n, p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict,
+             row_number() OVER (PARTITION BY p.n ORDER BY len(r.host || r.path) DESC, len(r.host) DESC) AS k
+      FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j WHERE k = 1
+"""
+
+
+@register("op9_url_filter", _URL_SQL)
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.urls import filter_urls, rules_table
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules_table(spark))
+
+
+@register("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.licenses import scan_licenses
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.substrings import remove_repeats
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select("keep.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@register("op6_decontaminate")
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm.decontam import decontaminate
+    found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                          table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@register("op5_lm_score")
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.lm import VOCABULARY, score_documents
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                           public_tokenizers.path(VOCABULARY))
+
+
+@register("op1_ngram_jaccard_join")
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.jaccard import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_shingles", "component_id", "class_id", "n_links")
