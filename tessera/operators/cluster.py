@@ -124,13 +124,80 @@ def silhouettes(points: DataFrame, labellings: list[str], vector: str = "embeddi
             .select(F.element_at(names, F.col("j") + 1).alias("labelling"), "n", "silhouette"))
 
 
-def silhouette_approx(points: DataFrame, label: str = "label", vector: str = "embedding") -> float:
-    """Spark ML ``ClusteringEvaluator`` (squared Euclidean) — cheap, not exact."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
-    df = points.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"),
-                       F.col(label).cast("double").alias("prediction"))
-    return ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(df)
+def _batch_points(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return (np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["_v"].values]),
+            np.vstack([np.asarray(v, dtype=np.int64) for v in pdf["_l"].values]))
+
+
+def cluster_sums(p: DataFrame) -> dict[int, dict[int, tuple[int, float, np.ndarray]]]:
+    """{labelling: {label: (n, sum of squared norms, sum vector)}} of ``(_v, _l)`` rows, in one pass.
+
+    Labellings x clusters x dimensions numbers reach the driver, as many as
+    the centroids.
+    """
+    def run(it):
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for pdf in it:
+            if pdf.empty:
+                continue
+            v, labels = _batch_points(pdf)
+            rows = np.concatenate([np.ones((len(v), 1)), np.einsum("ij,ij->i", v, v)[:, None], v], axis=1)
+            for j in range(labels.shape[1]):
+                for c in np.unique(labels[:, j]):
+                    part = rows[labels[:, j] == c].sum(axis=0)
+                    total[j, int(c)] = total.get((j, int(c)), 0) + part
+        for (j, c), x in total.items():
+            yield pd.DataFrame({"j": j, "c": c, "i": np.arange(len(x)), "x": x})
+
+    rows = (p.select("_v", "_l").mapInPandas(run, "j int, c long, i int, x double")
+            .groupBy("j", "c", "i").agg(F.sum("x").alias("x")).collect())
+    flat: dict[tuple[int, int], dict[int, float]] = {}
+    for r in rows:
+        flat.setdefault((r["j"], r["c"]), {})[r["i"]] = r["x"]
+    out: dict[int, dict[int, tuple[int, float, np.ndarray]]] = {}
+    for (j, c), x in flat.items():
+        v = np.array([x[i] for i in range(len(x))])
+        out.setdefault(j, {})[c] = (int(round(v[0])), v[1], v[2:])
+    return out
+
+
+def silhouettes_linear(points: DataFrame, labellings: list[str], vector: str = "embedding") -> DataFrame:
+    """Mean squared-Euclidean silhouette of labellings, ``(labelling, n, silhouette)`` (A5).
+
+    The mean squared distance of a point to a cluster follows from the
+    cluster's size, sum vector and sum of squared norms, so two passes over the
+    rows score every labelling, without pairs and without a shuffle of rows.
+    Singletons score 0; with one cluster the score is null.
+    """
+    p = points.select(F.col(vector).cast("array<float>").alias("_v"),
+                      F.array(*[F.col(c).cast("long") for c in labellings]).alias("_l")).dropna()
+    sums = cluster_sums(p)
+
+    def run(it):
+        for pdf in it:
+            if pdf.empty:
+                continue
+            v, labels = _batch_points(pdf)
+            sq = np.einsum("ij,ij->i", v, v)
+            for j in range(labels.shape[1]):
+                names = np.array(sorted(sums[j]))
+                n, ss, total = (np.array([sums[j][c][k] for c in names]) for k in range(3))
+                own = np.searchsorted(names, labels[:, j])
+                at = np.arange(len(v))
+                far = sq[:, None] * n + ss - 2.0 * (v @ total.T)  # summed squared distances to every cluster
+                others = n[own] - 1
+                a = np.where(others > 0, far[at, own] / np.maximum(others, 1), 0.0)
+                mean = far / n
+                mean[at, own] = np.inf
+                b = mean.min(axis=1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = np.where(others == 0, 0.0, np.where(np.maximum(a, b) > 0, (b - a) / np.maximum(a, b), 0.0))
+                yield pd.DataFrame({"j": [j], "n": [len(v)], "s": [float(s.sum()) if len(names) > 1 else None]})
+
+    parts = p.mapInPandas(run, "j int, n long, s double").groupBy("j").agg(
+        F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("silhouette"))
+    names = F.array(*[F.lit(c) for c in labellings])
+    return parts.select(F.element_at(names, F.col("j") + 1).alias("labelling"), "n", "silhouette")
 
 
 def cluster_sizes(assign: DataFrame, label: str = "label") -> DataFrame:
@@ -202,12 +269,13 @@ def apply_themes(assign: DataFrame, names: DataFrame, label: str = "label") -> D
 
 
 def fixed_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:
-    """``n`` rows chosen by a seeded hash of the id (U4).
+    """``n`` rows chosen by the MD5 of seed and id (U4).
 
-    Reproducible regardless of partitioning; planned as a take-ordered of
-    ``n`` rows per task, so only ``n`` rows per task travel to the merge.
+    Reproducible regardless of partitioning (and in any engine); planned as a
+    take-ordered of ``n`` rows per task, so only those travel to the merge.
     """
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)).limit(n)
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
+    return df.orderBy(key, F.col(id_col)).limit(n)
 
 
 def _features(points: DataFrame, vector: str) -> DataFrame:
@@ -227,33 +295,86 @@ def fit_clusters(points: DataFrame, k: int, seed: int = 42, vector: str = "embed
     return assign, centres
 
 
-def select_k(points: DataFrame, ks: Sequence[int] = tuple(range(8, 25, 2)), sample: int = 3000,
-             seed: int = 42, vector: str = "embedding", parallel_fits: int = 8) -> DataFrame:
-    """k sweep on a fixed sample: exact silhouette per k.
+def _seeds(x: np.ndarray, k: int, rng) -> np.ndarray:
+    """k-means++ centres of a sample."""
+    centres = x[[int(rng.integers(len(x)))]]
+    near = ((x - centres[0]) ** 2).sum(axis=1)
+    for _ in range(k - 1):
+        total = near.sum()
+        pick = int(np.searchsorted(np.cumsum(near), rng.random() * total)) if total > 0 else 0
+        centres = np.vstack([centres, x[min(pick, len(x) - 1)]])
+        near = np.minimum(near, ((x - centres[-1]) ** 2).sum(axis=1))
+    return centres
 
-    The sample is cut from the lineage once (checkpoint in the shared
-    folder); the k-means fits are independent Spark jobs run ``parallel_fits``
-    at a time; all k are then scored by one silhouette pass that computes the
-    sample's pair distances once. Returns ``(k, silhouette, best)``; the best
-    k has the highest score, the smallest k on ties.
-    """
-    from concurrent.futures import ThreadPoolExecutor
 
+def lockstep_kmeans(p: DataFrame, ks: Sequence[int], seed: int = 42, max_iter: int = 20,
+                    seed_rows: int = 4096, tol: float = 1e-4) -> dict[int, np.ndarray]:
+    """k-means for several k at once, one Spark job per iteration: {k: centres}.
+
+    ``p`` is ``(id, _v)``. The centres start by k-means++ on a seeded sample of
+    at most ``seed_rows`` rows; every iteration assigns all rows for every k and
+    brings back only the cluster sums.
+    """
+    first = fixed_sample(p, seed_rows, seed).toPandas()
+    x = np.vstack([np.asarray(v, dtype=np.float64) for v in first["_v"].values])
+    rng = np.random.default_rng(seed)
+    centres = {k: _seeds(x, k, rng) for k in ks}
+    live = list(ks)
+    for _ in range(max_iter):
+        if not live:
+            break
+        sums = cluster_sums(_assigned(p, {k: centres[k] for k in live}, [f"k{k}" for k in live]).select(
+            "_v", F.array(*[f"k{k}" for k in live]).alias("_l")))
+        moved = []
+        for j, k in enumerate(live):
+            new = centres[k].copy()
+            for c, (n, _, total) in sums[j].items():
+                new[c] = total / n
+            if np.sqrt(((new - centres[k]) ** 2).sum(axis=1)).max() > tol:
+                moved.append(k)
+            centres[k] = new
+        live = moved
+    return centres
+
+
+def _assigned(p: DataFrame, centres: dict[int, np.ndarray], names: list[str]) -> DataFrame:
+    """``(id, _v)`` with the nearest centre for every k as one column each."""
+    def run(it):
+        for pdf in it:
+            if pdf.empty:
+                continue
+            v = np.vstack([np.asarray(x, dtype=np.float64) for x in pdf["_v"].values])
+            out = pdf[["id", "_v"]].copy()
+            for name, c in zip(names, centres.values(), strict=True):
+                out[name] = (np.einsum("ij,ij->i", c, c)[None, :] - 2.0 * (v @ c.T)).argmin(axis=1).astype(np.int64)
+            yield out
+
+    return p.select("id", "_v").mapInPandas(run, ", ".join(["id long, _v array<float>", *[f"{n} long" for n in names]]))
+
+
+def select_k(points: DataFrame, ks: Sequence[int] = tuple(range(8, 25, 2)), sample: int | None = None,
+             seed: int = 42, vector: str = "embedding", exact: bool = False, max_iter: int = 20) -> DataFrame:
+    """k sweep over all rows: silhouette per k.
+
+    All k are fitted in lockstep and scored by the linear (squared Euclidean)
+    silhouette, so the work is a few passes over the rows whatever their
+    number. ``sample`` restricts the sweep to that many rows chosen by a seeded
+    hash; ``exact`` scores by all pair distances instead, for samples. Returns
+    ``(k, silhouette, best)``; the best k has the highest score, the smallest k
+    on ties.
+    """
     from tessera.session import cut_lineage
-    smp = cut_lineage(fixed_sample(points.select("id", vector), sample, seed))
-    n = smp.count()
+    rows = points.select("id", vector)
+    rows = rows if sample is None else fixed_sample(rows, sample, seed)
+    p = cut_lineage(rows.select(F.col("id").cast("long").alias("id"),
+                                F.col(vector).cast("array<float>").alias("_v")).dropna())
+    n = p.count()
     todo = [int(k) for k in ks if k < n]
-
-    def fit(k: int) -> DataFrame:
-        assign, _ = fit_clusters(smp, k, seed, vector)
-        return assign.withColumnRenamed("cluster", f"k{k}")
-
-    with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as pool:
-        assigns = list(pool.map(fit, todo))
-    labelled = smp
-    for a in assigns:
-        labelled = labelled.join(a, "id")
-    scores = silhouettes(labelled, [f"k{k}" for k in todo], vector)
+    if not todo:
+        return points.sparkSession.createDataFrame([], "k int, silhouette double, best boolean")
+    names = [f"k{k}" for k in todo]
+    labelled = _assigned(p, lockstep_kmeans(p, todo, seed, max_iter), names)
+    scores = silhouettes(labelled, names, "_v") if exact else silhouettes_linear(labelled, names, "_v")
     res = scores.select(F.substring("labelling", 2, 10).cast("int").alias("k"), "silhouette")
     w = Window.orderBy(F.col("silhouette").desc_nulls_last(), F.col("k").asc())
     return res.withColumn("best", F.row_number().over(w) == 1)

@@ -1,10 +1,12 @@
 """Vector table operators: k-nearest join, neighbour enrichment, flags.
 
-``knn_join`` is the exact cosine top-k per query: NumPy matrix products on
-Arrow batches, a local top-k per task, then a ``row_number`` merge (Spark
-plans it with ``WindowGroupLimit``, so every task pre-cuts to k before the
-shuffle). Small query sets are broadcast against a single corpus scan;
-larger ones use the block grid (see ``blocks``).
+``knn_join`` is the exact cosine top-k per query. The queries are taken in
+blocks of bounded bytes; each block goes to the tasks and the corpus is
+scanned in place, a NumPy matrix product per Arrow batch with a running top-k
+per query, then two ``row_number`` merges (Spark plans them with
+``WindowGroupLimit``, so every task pre-cuts to k before a shuffle). The plan
+is the same for every size, and a score does not depend on the block it is
+computed in, so ties are broken by id exactly.
 """
 
 from __future__ import annotations
@@ -15,16 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.session import has_context, parallelism
-from tessera.operators.blocks import (DEFAULT_LEFT_ROWS, DEFAULT_RIGHT_ROWS, grid_cells, keyed_grid_cells,
-                                      plan_grid)
+from tessera.operators.blocks import DEFAULT_LEFT_ROWS, DEFAULT_RIGHT_ROWS, keyed_grid_cells
 
 KNN_SCHEMA = "qid long, rank int, id long, sim double"
-# Largest query matrix (float64 bytes) broadcast by the ``auto`` strategy.
-DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
-# Budget of candidate rows (queries x k x corpus tasks) sent to the final merge.
-DEFAULT_MAX_MERGE_ROWS = 200_000_000
-_QUERY_CHUNK = 512
+# Bytes of one block of query vectors (float64) held by a task.
+DEFAULT_QUERY_BLOCK_BYTES = 32 << 20
+# First-level merge groups per query: bounds the rows that meet in one task.
+MERGE_GROUPS = 32
+_QUERY_CHUNK = 256
 
 
 def _stack(series: pd.Series) -> np.ndarray:
@@ -32,9 +32,26 @@ def _stack(series: pd.Series) -> np.ndarray:
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows scaled to unit length; a zero row stays zero (similarity 0 to all)."""
     norms = np.linalg.norm(m, axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(norms > 0, m / norms, np.nan)
+    return np.where(norms > 0, m / np.where(norms > 0, norms, 1.0), 0.0)
+
+
+def _limbs(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Each component as two integers, ``x ~ hi / s + lo / s**2``.
+
+    ``s`` is such that sums of ``dims`` products of either stay below 2**53, so
+    their matrix products are exact whatever the order of summation.
+    """
+    s = float(2 ** ((52 - int(np.ceil(np.log2(max(2, m.shape[1]))))) // 2))
+    hi = np.round(m * s)
+    return hi, np.round((m * s - hi) * s), s
+
+
+def _scores(q, c) -> np.ndarray:
+    """Cosine similarities of limb matrices, the same for a pair in any block."""
+    (qh, ql, s), (ch, cl, _) = q, c
+    return (qh @ ch.T) / (s * s) + (qh @ cl.T + ql @ ch.T) / (s * s * s)
 
 
 def _reduce_topk(qs: np.ndarray, cs: np.ndarray, ss: np.ndarray, k: int) -> pd.DataFrame:
@@ -45,21 +62,38 @@ def _reduce_topk(qs: np.ndarray, cs: np.ndarray, ss: np.ndarray, k: int) -> pd.D
     return res[res["rank"] <= k][["qid", "rank", "id", "sim"]]
 
 
-def _block_candidates(qids, qmat, cids, cmat_t, k, exclude_self):
-    """Exact candidates of one query chunk against one corpus block: every
-    pair scoring at least the k-th best of its row (ties at the k-th value
-    are all kept, so the id tie-break stays exact)."""
-    sims = qmat @ cmat_t
-    sims = np.where(np.isnan(sims), -np.inf, sims)
+def _block_candidates(qids, q, cids, c, k, exclude_self):
+    """The k best pairs per query of one query chunk against one corpus block.
+
+    ``cids`` ascend, so of the pairs tied at the k-th score the first ones are
+    those of the smallest ids: never more than k pairs per query.
+    """
+    sims = _scores(q, c)
     if exclude_self:
         sims[qids[:, None] == cids[None, :]] = -np.inf
     n_c = sims.shape[1]
     kk = min(k, n_c)
-    kth = np.partition(sims, n_c - kk, axis=1)[:, n_c - kk]
-    rows, cols = np.nonzero((sims >= kth[:, None]) & np.isfinite(sims))
+    kth = np.partition(sims, n_c - kk, axis=1)[:, n_c - kk][:, None]
+    above, tied = sims > kth, sims == kth
+    room = kk - above.sum(axis=1, keepdims=True)
+    rows, cols = np.nonzero((above | (tied & (np.cumsum(tied, axis=1) <= room))) & np.isfinite(sims))
     return qids[rows], cids[cols], sims[rows, cols]
 
 
+def _part(limbs, cut: slice):
+    return limbs[0][cut], limbs[1][cut], limbs[2]
+
+
+def _block_topk(qids, q, pdf: pd.DataFrame, k: int, exclude_self: bool):
+    """Candidates of all queries against one corpus batch, by query chunk."""
+    cids = pdf["_id"].to_numpy(dtype=np.int64)
+    order = np.argsort(cids, kind="stable")
+    c = _limbs(_unit_rows(_stack(pdf["_v"]))[order])
+    parts = [_block_candidates(qids[s:s + _QUERY_CHUNK], _part(q, slice(s, s + _QUERY_CHUNK)), cids[order], c,
+                               k, exclude_self) for s in range(0, len(qids), _QUERY_CHUNK)]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
 _EMPTY = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rank": pd.Series([], dtype="int32"),
                        "id": pd.Series([], dtype="int64"), "sim": pd.Series([], dtype="float64")})
 
@@ -72,37 +106,28 @@ def _cell_topk(k: int, exclude_self: bool):
         c = pdf[pdf["_side"] == 1]
         if q.empty or c.empty:
             return _EMPTY
-        cids = c["_id"].to_numpy(dtype=np.int64)
-        cmat = _unit_rows(_stack(c["_v"])).T.copy()
-        qids_all = q["_id"].to_numpy(dtype=np.int64)
-        qmat_all = _unit_rows(_stack(q["_v"]))
-        parts = [_block_candidates(qids_all[s:s + _QUERY_CHUNK], qmat_all[s:s + _QUERY_CHUNK], cids, cmat,
-                                   k, exclude_self) for s in range(0, len(qids_all), _QUERY_CHUNK)]
-        return _reduce_topk(*(np.concatenate(x) for x in zip(*parts)), k)
+        qids = q["_id"].to_numpy(dtype=np.int64)
+        return _reduce_topk(*_block_topk(qids, _limbs(_unit_rows(_stack(q["_v"]))), c, k, exclude_self), k)
 
     return run
 
 
-def _scan_topk(bq, k: int, exclude_self: bool):
-    """Corpus-partition scan against the broadcast query matrix.
+def _scan_topk(qids: np.ndarray, qmat: np.ndarray, k: int, exclude_self: bool):
+    """Corpus-partition scan against one block of query vectors.
 
     Keeps a running top-k per query over the whole partition, so each task
     emits at most ``queries x k`` rows however large its corpus slice is.
     """
 
     def run(it):
-        qids, qmat = bq.value
-        best = None
+        q, best = _limbs(qmat), None
         for pdf in it:
             if pdf.empty:
                 continue
-            cids = pdf["_id"].to_numpy(dtype=np.int64)
-            cmat = _unit_rows(_stack(pdf["_v"])).T.copy()
-            parts = [_block_candidates(qids[s:s + _QUERY_CHUNK], qmat[s:s + _QUERY_CHUNK], cids, cmat,
-                                       k, exclude_self) for s in range(0, len(qids), _QUERY_CHUNK)]
-            cand = [np.concatenate(x) for x in zip(*parts)]
+            cand = _block_topk(qids, q, pdf, k, exclude_self)
             if best is not None:
-                cand = [np.concatenate([best[c].to_numpy(), x]) for c, x in zip(("qid", "id", "sim"), cand)]
+                cand = [np.concatenate([best[c].to_numpy(), x])
+                        for c, x in zip(("qid", "id", "sim"), cand, strict=True)]
             best = _reduce_topk(*cand, k)
         if best is not None:
             yield best
@@ -112,94 +137,81 @@ def _scan_topk(bq, k: int, exclude_self: bool):
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id: str = "id",
              corpus_id: str = "id", vector: str = "embedding", exclude_self: bool = True,
-             strategy: str = "auto", max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-             max_merge_rows: int = DEFAULT_MAX_MERGE_ROWS,
-             query_block_rows: int = DEFAULT_LEFT_ROWS,
-             corpus_block_rows: int = DEFAULT_RIGHT_ROWS) -> DataFrame:
+             query_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES) -> DataFrame:
     """Exact k-nearest join by cosine similarity.
 
-    Returns ``(qid, rank, id, sim)``: for every query row, the ``k`` corpus
-    rows of highest cosine similarity, ordered by similarity then id. The
-    query's own id is removed before ranking, so ``k`` rows are returned
-    whenever the corpus holds ``k`` other rows.
-
-    Strategies (``auto`` picks by the measured query-side size):
-
-    * ``broadcast`` — the query matrix (``queries x dims x 8`` bytes, checked
-      against ``max_broadcast_bytes`` before it is gathered) is broadcast; the
-      corpus is scanned once in place, never shuffled, and each task emits a
-      running top-k per query. Merge: one shuffle of ``queries x k x tasks``
-      rows; when that would exceed ``max_merge_rows`` the corpus partitions
-      are coalesced (no shuffle, never below the cluster's task slots), since
-      a task streams its slice in Arrow batches whatever its size.
-    * ``grid`` — both sides cut into bounded hash blocks meeting in grid
-      cells (see ``blocks``); for query sets too large to broadcast.
+    Returns ``(qid, rank, id, sim)``: for every query row with an id and a
+    vector, the ``k`` corpus rows of highest cosine similarity, ordered by
+    similarity then id. The query's own id is removed before ranking, so ``k``
+    rows are returned whenever the corpus holds ``k`` other rows; a zero vector
+    is at similarity 0 to everything.
+
+    The queries are cut by a hash of their id into blocks of about
+    ``query_block_bytes``. One block at a time reaches the tasks, and for each
+    the corpus is scanned once where it lies, never shuffled; what is shuffled
+    is at most ``k`` rows per query and corpus task, merged in two levels.
     """
-    spark = queries.sparkSession
     # rows without an id or a vector cannot take part in a similarity search
     q = queries.select(F.col(query_id).cast("long").alias("_id"),
                        F.col(vector).cast("array<float>").alias("_v")).dropna()
     c = corpus.select(F.col(corpus_id).cast("long").alias("_id"),
                       F.col(vector).cast("array<float>").alias("_v")).dropna()
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
-    n_q, dims = int(stats["n"]), int(stats["d"] or 0)
-    w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("id").asc())
-    fits = n_q * max(dims, 1) * 8 <= max_broadcast_bytes
-    if strategy == "auto" and not has_context(spark):
-        strategy = "grid"  # no broadcast variables on a session without a SparkContext
-    if strategy == "broadcast" or (strategy == "auto" and fits):
-        if n_q * max(dims, 1) * 8 > max_broadcast_bytes:
-            raise ValueError("query side exceeds max_broadcast_bytes; use strategy='grid'")
-        pdf = q.toPandas()
-        qids = pdf["_id"].to_numpy(dtype=np.int64)
-        qmat = _unit_rows(_stack(pdf["_v"])) if len(pdf) else np.zeros((0, dims))
-        bq = spark.sparkContext.broadcast((qids, qmat))
-        # bound the merge: at most `cap` corpus tasks (coalesce only ever reduces)
-        cap = max(parallelism(spark), max_merge_rows // max(1, n_q * k))
-        local = c.coalesce(cap).mapInPandas(_scan_topk(bq, k, exclude_self), KNN_SCHEMA)
-    else:
-        n_c = c.count()
-        grid = plan_grid(spark, n_q, n_c, query_block_rows, corpus_block_rows, dims=dims)
-        local = grid_cells(q, c, grid).groupBy("_cell").applyInPandas(_cell_topk(k, exclude_self), KNN_SCHEMA)
-        if grid.right_blocks == 1:
-            return local
-    return (local.withColumn("rank", F.row_number().over(w).cast("int"))
+    blocks = max(1, -(-int(stats["n"]) * max(1, int(stats["d"] or 0)) * 8 // query_block_bytes))
+    local = None
+    for b in range(blocks):
+        pdf = q.filter(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == b).toPandas()
+        qmat = _unit_rows(_stack(pdf["_v"])) if len(pdf) else np.zeros((0, 1))
+        part = c.mapInPandas(_scan_topk(pdf["_id"].to_numpy(dtype=np.int64), qmat, k, exclude_self), KNN_SCHEMA) \
+            if len(pdf) else q.sparkSession.createDataFrame([], KNN_SCHEMA)
+        local = part if local is None else local.unionByName(part)
+    best = [F.col("sim").desc(), F.col("id").asc()]
+    near = Window.partitionBy("qid", "_g").orderBy(*best)
+    met = (local.withColumn("_g", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
+           .withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k).drop("_g"))
+    return (met.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*best)).cast("int"))
             .filter(F.col("rank") <= k))
 
 
 def knn_join_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id: str = "id",
                  corpus_id: str = "id", vector: str = "embedding", exclude_self: bool = True,
-                 bucket_length: float = 0.1, num_tables: int = 3, seed: int = 42,
+                 bucket_rows: int = 64, num_tables: int | None = None, seed: int = 42,
                  query_block_rows: int = DEFAULT_LEFT_ROWS, corpus_block_rows: int = DEFAULT_RIGHT_ROWS) -> DataFrame:
-    """Approximate k-nearest join: random-projection LSH buckets, exact search inside (J4, ``lsh``).
+    """Approximate k-nearest join: sign random projections, exact search inside buckets (J4, ``lsh``).
 
-    Each unit vector gets one bucket per table, ``floor(v . r_t / bucket_length)``
-    for a seeded random unit direction ``r_t`` (the bucketed random projection
-    family); the projections are array expressions evaluated in the JVM. Rows
+    A table's key is the signs of ``log2(rows / bucket_rows)`` seeded random
+    projections together, so a bucket of unrelated vectors keeps about
+    ``bucket_rows`` rows however many there are, and the pair work relative to
+    the exact join falls as ``tables * bucket_rows / rows``. The default number
+    of tables grows with the bits (four, and one more for each bit). Rows
     sharing a (table, bucket) are searched exactly on a block grid cut per
     bucket (``keyed_grid_cells``), so a hot bucket becomes many bounded cells
-    and each cell emits only its local top-k. Never are all pairs of a bucket
-    emitted. A neighbour found in several tables is counted once. Recall
-    against ``knn_join`` is measured in the tests; output matches ``knn_join``.
+    and each cell emits only its local top-k. A neighbour found in several
+    tables is counted once. Output matches ``knn_join``.
     """
-    from tessera.functions import vectors as VF
-
-    def unit(df, key):
-        v = df.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<float>").alias("_v")).dropna()
-        n = VF.l2_norm(F.col("_v"))
-        return v.withColumn("_u", F.transform("_v", lambda x: x / F.nullif(n, F.lit(0.0))))
-
-    qv, cv = unit(queries, query_id), unit(corpus, corpus_id)
-    dims = int(cv.agg(F.max(F.size("_v"))).first()[0] or 0)
-    planes = np.random.default_rng(seed).normal(size=(num_tables, max(dims, 1)))
-    planes /= np.linalg.norm(planes, axis=1, keepdims=True)  # tables x dims: bounded by the parameters
+    def rows(df, key):
+        return df.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<float>").alias("_v")).dropna()
+
+    qv, cv = rows(queries, query_id), rows(corpus, corpus_id)
+    st = cv.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
+    dims = max(1, int(st["d"] or 0))
+    bits = min(40, max(1, int(np.ceil(np.log2(max(2, int(st["n"]) / bucket_rows))))))
+    tables = num_tables or 4 + bits
+    planes = np.random.default_rng(seed).normal(size=(dims, tables * bits))  # bounded by the parameters
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    def key(it):
+        for pdf in it:
+            if pdf.empty:
+                continue
+            sign = (_stack(pdf["_v"]) @ planes > 0).reshape(len(pdf), tables, bits)
+            yield pd.DataFrame({"_id": np.repeat(pdf["_id"].to_numpy(), tables),
+                                "_v": pdf["_v"].repeat(tables).to_numpy(),
+                                "_table": np.tile(np.arange(tables, dtype=np.int32), len(pdf)),
+                                "_bucket": (sign @ weights).reshape(-1)})
 
     def keyed(df):
-        keys = [F.struct(F.lit(t).alias("_table"),
-                         F.floor(VF.dot(F.col("_u"), F.array(*[F.lit(float(x)) for x in planes[t]]))
-                                 / F.lit(bucket_length)).cast("long").alias("_bucket"))
-                for t in range(num_tables)]
-        return df.select("_id", "_v", F.explode(F.array(*keys)).alias("_k")).select("_id", "_v", "_k.*")
+        return df.mapInPandas(key, "_id long, _v array<float>, _table int, _bucket long")
 
     cells = keyed_grid_cells(keyed(qv), keyed(cv), ["_table", "_bucket"], query_block_rows, corpus_block_rows)
     local = cells.select("_cell", "_side", "_id", "_v").groupBy("_cell").applyInPandas(
@@ -213,12 +225,12 @@ def knn_join_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id
 def enrich_neighbours(nn: DataFrame, reports: DataFrame, summary_chars: int = T.SUMMARY_NEIGHBOUR_CHARS) -> DataFrame:
     """Neighbours with component and clipped summary; unknown ids dropped.
 
-    Similarity is reported the way the store reports it: ``round(1 - dist, 3)``.
+    The similarity is rounded to 3 places, as the flags of ``near_duplicates`` are.
     """
     meta = reports.select(F.col("id").cast("long").alias("id"), "component",
                           T.clip(F.col("summary"), summary_chars).alias("summary"))
     return (nn.join(meta, "id", "inner")
-            .select("qid", "rank", "id", T.similarity(F.lit(1.0) - F.col("sim")).alias("sim"),
+            .select("qid", "rank", "id", F.round("sim", 3).alias("sim"),
                     "component", "summary"))
 
 
@@ -249,13 +261,6 @@ def lookup(ids: DataFrame, reports: DataFrame, id_col: str = "id",
     return j.select("id", F.col("_rid").isNotNull().alias("found"), "component", "summary", "description")
 
 
-def reciprocal_rank(pairs: DataFrame, nn: DataFrame) -> DataFrame:
-    """Rank and 1/rank of the true master per pair; misses get rank null, rr 0."""
-    j = pairs.join(nn.select(F.col("qid").alias("dup_id"), F.col("id").alias("master_id"), "rank"),
-                   ["dup_id", "master_id"], "left")
-    return j.withColumn("rr", F.coalesce(F.lit(1.0) / F.col("rank"), F.lit(0.0)))
-
-
 def similar(ids: DataFrame, vectors: DataFrame, reports: DataFrame, k: int = 6, id_col: str = "id") -> DataFrame:
     """Similar reports for many ids at once (F3: the ``search_similar`` tool as a join).
 

@@ -256,11 +256,28 @@ def q_vector_math(spark, sf):
                     r6(VF.l2_distance("a", "b")).alias("l2"), r6(VF.dot("a", "b")).alias("dot"))
 
 
+@register("similarity", with_views("""
+    SELECT p.dup_id, p.master_id, round(1 - (1 - list_cosine_similarity(
+           CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 3) AS sim
+    FROM vector_pairs p JOIN embeddings a ON a.vec_id = p.dup_id JOIN embeddings b ON b.vec_id = p.master_id""",
+                                   "vector_pairs"))
+def q_similarity(spark, sf):
+    """Similarity from the cosine distance of every labelled pair."""
+    from tessera.functions import text as T
+    v = td.vectors(spark, sf).select("id", "embedding")
+    j = (td.vector_pairs(spark, sf)
+         .join(v.withColumnRenamed("id", "dup_id").withColumnRenamed("embedding", "a"), "dup_id")
+         .join(v.withColumnRenamed("id", "master_id").withColumnRenamed("embedding", "b"), "master_id"))
+    return j.select("dup_id", "master_id", T.similarity(F.lit(1.0) - VF.cosine("a", "b")).alias("sim"))
+
+
 @register("copy_retrieval")
 def q_copy_retrieval(spark, sf):
     """Documents embedded (default hashed TF-IDF), copy pairs retrieved, hit@k and MRR."""
     from tessera.operators.embed import embed
+    from tessera.session import cut_lineage
     reports = ST.with_text(td.reports(spark, sf)).select("id", "text")
-    vectors = embed(reports).select("id", "embedding")
+    # the vectors are read three times below: computed once, without the texts
+    vectors = cut_lineage(embed(reports).select("id", "embedding"))
     _, m = R.evaluate_retrieval(td.text_pairs(spark, sf), vectors, k=10)
     return m.select("n_pairs", *[r6(F.col(c)).alias(c) for c in ("hit_at_1", "hit_at_5", "hit_at_10", "mrr")])

@@ -87,3 +87,32 @@ def test_silhouettes_one_pass_equals_single(spark):
                                                                right_rows=32).collect()}
     assert abs(multi["label"] - CL.silhouette(df, "label").first().silhouette) < 1e-9
     assert abs(multi["alt"] - CL.silhouette(df, "alt").first().silhouette) < 1e-9
+
+
+def test_linear_silhouette_matches_pairs(spark):
+    df = blobs(spark, [[0, 0], [3, 1]], 25, 1.0, seed=2, extra=[([9, 9], 2)])
+    pts = df.collect()
+    x = np.array([p.embedding for p in pts], dtype=np.float32).astype(np.float64)
+    lab = np.array([p.label for p in pts])
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    s = []
+    for i in range(len(x)):
+        own = lab == lab[i]
+        if own.sum() == 1:
+            s.append(0.0)
+            continue
+        a = d[i, own].sum() / (own.sum() - 1)
+        b = min(d[i, lab == c].mean() for c in set(lab) - {lab[i]})
+        s.append((b - a) / max(a, b))
+    got = CL.silhouettes_linear(df.repartition(4), ["label"]).first()
+    assert got.n == 51 and abs(got.silhouette - np.mean(s)) < 1e-9
+
+
+def test_select_k_uses_all_rows_in_few_jobs(spark):
+    df = blobs(spark, [[0, 0], [20, 0], [0, 20], [20, 20]], 50, 0.3, seed=3)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("sweep", "sweep")
+    sweep = CL.select_k(df, ks=tuple(range(2, 9))).collect()
+    jobs = len(tracker.getJobIdsForGroup("sweep"))
+    spark.sparkContext.setJobGroup("", "")
+    assert [r.k for r in sweep if r.best] == [4] and jobs < 149

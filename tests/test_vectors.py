@@ -21,32 +21,54 @@ def vec_df(spark, ids, mat):
                                  "id long, embedding array<float>")
 
 
-@pytest.mark.parametrize("strategy,qrows,crows", [("grid", 4096, 16384), ("grid", 16, 32), ("broadcast", 0, 0),
-                                                  ("auto", 0, 0)])
-def test_knn_matches_brute_force(spark, strategy, qrows, crows):
+@pytest.mark.parametrize("block_bytes,parts", [(32 << 20, 5), (4096, 5), (700, 1)])
+def test_knn_matches_brute_force(spark, block_bytes, parts):
     rng = np.random.default_rng(7)
     ids = np.arange(300) * 3 + 1
     mat = rng.normal(size=(300, 16)).astype(np.float32)
     df = vec_df(spark, ids, mat)
-    kw = {"query_block_rows": qrows, "corpus_block_rows": crows} if qrows else {}
-    got = V.knn_join(df.repartition(5), df, k=5, strategy=strategy, **kw).collect()
+    q = df.filter("id < 400")
+    got = V.knn_join(q, df.repartition(parts), k=5, query_block_bytes=block_bytes * 16).collect()
     exp = brute_topk(ids, mat.astype(np.float64), 5)
     res = {}
     for r in got:
         res.setdefault(r.qid, []).append((r.rank, r.id))
-    assert len(res) == 300
-    for q, lst in res.items():
-        assert [i for _, i in sorted(lst)] == exp[q]
+    assert len(res) == 133
+    for i, lst in res.items():
+        assert [x for _, x in sorted(lst)] == exp[i]
 
 
 def test_knn_ties_by_id_and_self_excluded(spark):
     mat = np.array([[1, 0], [1, 0], [1, 0], [0, 1]], dtype=np.float32)
     df = vec_df(spark, [10, 30, 20, 40], mat)
-    for strategy in ("grid", "broadcast"):
-        got = sorted((r.qid, r.rank, r.id) for r in
-                     V.knn_join(df, df, k=2, strategy=strategy, corpus_block_rows=2).collect())
-        assert [(r, i) for q, r, i in got if q == 10] == [(1, 20), (2, 30)]
-        assert all(q != i for q, _, i in got)
+    got = sorted((r.qid, r.rank, r.id) for r in V.knn_join(df, df.repartition(3), k=2).collect())
+    assert [(r, i) for q, r, i in got if q == 10] == [(1, 20), (2, 30)]
+    assert all(q != i for q, _, i in got)
+
+
+def test_knn_same_rows_for_all_blocks_and_partitions_on_thousands_of_copies(spark):
+    v = np.random.default_rng(5).normal(size=(1, 24)).astype(np.float32)
+    df = vec_df(spark, np.arange(2500), np.repeat(v, 2500, axis=0))
+    q = df.filter("id % 50 = 0")
+    runs = [sorted(tuple(r) for r in V.knn_join(q, df.repartition(n), k=5, query_block_bytes=b).collect())
+            for n, b in ((1, 32 << 20), (7, 32 << 20), (3, 2000))]
+    assert runs[0] == runs[1] == runs[2]
+    assert [r[2] for r in runs[0] if r[0] == 2450] == [0, 1, 2, 3, 4]
+
+
+def test_knn_candidates_bounded_under_ties():
+    v = np.ones((3000, 8))
+    q = V._limbs(V._unit_rows(v[:200]))
+    c = V._limbs(V._unit_rows(v))
+    a, b, _ = V._block_candidates(np.arange(200), q, np.arange(3000), c, 10, True)
+    assert len(a) == 2000 and set(np.bincount(a)) == {10}
+    assert b[a == 0].tolist() == list(range(1, 11))
+
+
+def test_knn_zero_vector_returns_k_rows(spark):
+    df = vec_df(spark, [1, 2, 3], np.array([[0.0, 0.0], [1.0, 0.0], [0.0, 1.0]]))
+    got = sorted((r.qid, r.rank, r.id, r.sim) for r in V.knn_join(df, df, k=2).collect() if r.qid == 1)
+    assert got == [(1, 1, 2, 0.0), (1, 2, 3, 0.0)]
 
 
 def test_knn_independent_of_partitions(spark):
@@ -55,8 +77,7 @@ def test_knn_independent_of_partitions(spark):
     df = vec_df(spark, range(120), mat)
     a = sorted(tuple(r) for r in V.knn_join(df.repartition(1), df, k=3).collect())
     b = sorted(tuple(r) for r in V.knn_join(df.repartition(7), df.repartition(3), k=3).collect())
-    c = sorted(tuple(r) for r in V.knn_join(df.repartition(7), df.repartition(3), k=3, strategy="grid").collect())
-    assert [x[:3] for x in a] == [x[:3] for x in b] == [x[:3] for x in c]
+    assert a == b
 
 
 def test_lsh_recall_on_planted_duplicates(spark):
@@ -106,31 +127,24 @@ def test_lsh_hot_bucket_split_into_bounded_cells(spark):
 def test_knn_skips_missing_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (None, [1.0, 1.0])],
                                "id long, embedding array<float>")
-    for strategy in ("grid", "broadcast"):
-        got = sorted((r.qid, r.id) for r in V.knn_join(df, df, k=2, strategy=strategy).collect())
-        assert got == [(1, 2), (2, 1)]
-
-
-def test_broadcast_merge_budget_coalesces_corpus(spark):
-    rng = np.random.default_rng(2)
-    mat = rng.normal(size=(200, 8))
-    df = vec_df(spark, range(200), mat).repartition(40)
-    small = V.knn_join(df, df, k=3, strategy="broadcast", max_merge_rows=200 * 3 * 10)
-    full = V.knn_join(df, df, k=3, strategy="broadcast")
-    assert sorted(tuple(r)[:3] for r in small.collect()) == sorted(tuple(r)[:3] for r in full.collect())
+    got = sorted((r.qid, r.id) for r in V.knn_join(df, df, k=2).collect())
+    assert got == [(1, 2), (2, 1)]
 
 
 def test_knn_k_larger_than_corpus(spark):
     df = vec_df(spark, [1, 2, 3], np.array([[1.0, 0.0], [0.8, 0.2], [0.0, 1.0]]))
-    for strategy in ("grid", "broadcast"):
-        got = sorted((r.qid, r.rank, r.id) for r in V.knn_join(df, df, k=10, strategy=strategy).collect())
-        assert [(q, i) for q, _, i in got if q == 1] == [(1, 2), (1, 3)]
-        assert len(got) == 6
-
-
-def test_ensure_parallelism_only_spreads_narrow_scans(spark):
-    from tessera.session import ensure_parallelism, parallelism
-    narrow = spark.range(100).coalesce(1)
-    wide = spark.range(0, 100, 1, 2 * parallelism(spark))
-    assert ensure_parallelism(narrow).rdd.getNumPartitions() == parallelism(spark)
-    assert ensure_parallelism(wide) is wide
+    got = sorted((r.qid, r.rank, r.id) for r in V.knn_join(df, df, k=10).collect())
+    assert [(q, i) for q, _, i in got if q == 1] == [(1, 2), (1, 3)]
+    assert len(got) == 6
+
+
+def test_lsh_pair_work_falls_with_size(spark):
+    # bucket sizes stay near the target while the rows grow, so work relative to exact falls
+    rng = np.random.default_rng(1)
+    share = []
+    for n in (1000, 8000):
+        bits = int(np.ceil(np.log2(n / 64)))
+        x = rng.normal(size=(n, 32))
+        keys = (x @ rng.normal(size=(32, bits)) > 0) @ (1 << np.arange(bits))
+        share.append((4 + bits) * (np.bincount(keys).astype(float) ** 2).sum() / n ** 2)
+    assert share[1] < 0.4 * share[0]
