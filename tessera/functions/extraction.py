@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import strip_ws
 
-# Allowed levels and kinds of an extraction.
+# Field catalog of an extraction, its allowed levels and kinds.
+FIELD_DEFINITIONS = {
+    "area": "the affected subsystem/topic (short label)",
+    "severity": "impact level, one of the allowed enums",
+    "kind": "defect category, one of the allowed enums",
+}
 SEVERITIES = ("low", "med", "high")
 KINDS = ("crash", "ui", "performance", "security", "data", "other")
+FIELD_ENUMS = {"severity": list(SEVERITIES), "kind": list(KINDS)}
 # Rejection reasons, in the order they are checked.
 REASON_NOT_OBJECT = "not a JSON object"
 REASON_MISSING_AREA = "missing 'area'"
@@ -27,21 +33,34 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def parse_json_strict(col) -> Column:
+    """The whole string as one JSON value, else null. Returns VARIANT.
+
+    The JVM parser reads one value and ignores what follows it. Text after the
+    value cannot continue both an array and an object, so a string that parses
+    as the one element of ``[...]`` and as the one field of ``{"v": ...}`` is
+    one value and nothing else.
+    """
+    c = _c(col)
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    one = (F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1) & (
+        F.size(F.try_variant_get(named, "$", "map<string, variant>")) == 1)
+    return F.when(one, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def parse_json_lenient(col) -> Column:
     """Whole string as JSON, else the span from the first ``{`` to the last ``}``
     (across lines), else null (P12). Returns VARIANT."""
     c = _c(col)
-    return F.coalesce(F.try_parse_json(c), F.try_parse_json(F.regexp_extract(c, r"(?s)\{.*\}", 0)))
+    return F.coalesce(parse_json_strict(c), parse_json_strict(F.regexp_extract(c, r"(?s)\{.*\}", 0)))
 
 
-def json_type(v: Column, path: str | None = None) -> Column:
-    """Type name of a VARIANT (or of one of its fields): OBJECT, ARRAY, STRING, ..."""
-    x = v if path is None else F.try_variant_get(v, path, "variant")
-    return F.regexp_extract(F.schema_of_variant(x), r"^[A-Z]+", 0)
-
-
-def is_object(v: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+def truthy(v: Column, missing: bool) -> Column:
+    """Truth of a JSON value: null, false, 0, "", [] and {} are false; a missing value is ``missing``."""
+    text = F.to_json(v)
+    empty = text.isin("null", "false", '""', "[]", "{}") | F.coalesce(text.try_cast("double") == 0, F.lit(False))
+    return F.coalesce(~empty, F.lit(missing))
 
 
 FIELDS_TYPE = "struct<area: variant, severity: variant, kind: variant>"
@@ -61,12 +80,6 @@ def variant_string(x: Column) -> Column:
     return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
 
 
-def field_string(v: Column, name: str) -> Column:
-    """A top-level field as string when it is a JSON string, else null."""
-    f = F.try_variant_get(v, f"$.{name}", "variant")
-    return variant_string(f)
-
-
 def validate_fields(f: Column, severities: Sequence[str] = SEVERITIES,
                     kinds: Sequence[str] = KINDS) -> tuple[Column, Column]:
     """(ok, reason) from ``extraction_fields``; the first failing check wins.
@@ -90,5 +103,4 @@ def validate_extraction(v: Column, severities: Sequence[str] = SEVERITIES,
 
 def judge_score(reply) -> Column:
     """Integer ``score`` of a judge reply (strict JSON), null when unreadable."""
-    v = F.try_parse_json(_c(reply))
-    return F.try_variant_get(v, "$.score", "int")
+    return F.try_variant_get(parse_json_strict(_c(reply)), "$.score", "int")

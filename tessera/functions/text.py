@@ -30,13 +30,11 @@ DEFAULT_SEVERITY_MAP = {
 }
 
 # Character budgets used by the evaluation (fixed values).
-TEXT_MAX_CHARS = 8000
 SUMMARY_META_CHARS = 200
 SUMMARY_NEIGHBOUR_CHARS = 120
 DESCRIPTION_LOOKUP_CHARS = 1200
 REPRESENTATIVE_CHARS = 200
-COMMENT_MAX_CHARS = 4000
-JUDGE_TEXT_CHARS = 2000
+LABEL_CHARS = 40
 
 
 def _c(x) -> Column:
@@ -63,8 +61,7 @@ def compose_text(component, summary, description) -> Column:
     summ = blank_to_empty(summary)
     desc = blank_to_empty(description)
     head = F.when(comp != "", F.concat(F.lit("["), comp, F.lit("] "), summ)).otherwise(summ)
-    return F.when((desc != "") & (desc != "nan"),
-                  strip_ws(F.concat(head, F.lit("\n"), desc))).otherwise(head)
+    return F.when(desc != "", strip_ws(F.concat(head, F.lit("\n"), desc))).otherwise(head)
 
 
 def word_count(col) -> Column:
@@ -107,16 +104,16 @@ def similarity(dist) -> Column:
     return F.round(F.lit(1.0) - _c(dist), 3)
 
 
-def clean_label(reply, cluster) -> Column:
+def clean_label(reply, cluster, chars: int = LABEL_CHARS) -> Column:
     """Cluster name from a free-text reply.
 
     First line of the stripped reply, stripped again, then ``"`` and ``.``
-    stripped from both ends, cut at 40 characters. A null or blank reply
+    stripped from both ends, cut at ``chars`` characters. A null or blank reply
     falls back to ``cluster <id>``.
     """
     body = F.nullif(strip_ws(_c(reply)), F.lit(""))
     line = F.element_at(F.split(body, LINE_BREAK_PATTERN, 2), 1)
-    name = F.substring(F.btrim(F.btrim(strip_ws(line), F.lit('"')), F.lit(".")), 1, 40)
+    name = F.substring(F.btrim(F.btrim(strip_ws(line), F.lit('"')), F.lit(".")), 1, chars)
     return F.coalesce(name, F.concat(F.lit("cluster "), _c(cluster).cast("string")))
 
 
@@ -139,6 +136,10 @@ def binarise_score(score, threshold: float = 5) -> Column:
 
 
 def year_of(col) -> Column:
-    """Year of a timestamp or of an ISO-8601 text (P20)."""
-    c = _c(col)
-    return F.coalesce(F.year(c.try_cast("timestamp")), F.substring(c.cast("string"), 1, 4).try_cast("int"))
+    """Year of an ISO-8601 text (its first four characters) or of a timestamp (P20).
+
+    A text is never read through the session's time zone. A timestamp column
+    has no text of its own, so its year is that of the session zone, as its
+    text form would be.
+    """
+    return F.substring(_c(col).cast("string"), 1, 4).try_cast("int")

@@ -139,7 +139,8 @@ def attempts(trace: DataFrame) -> DataFrame:
 
     Each critique row judges the latest extraction: a schema failure rejects it
     with ``schema error: <reason>``; otherwise the critic reply's ``ok``
-    decides, an unreadable reply counting as accepted. ``attempt`` is the
+    decides by its truth value (null, 0, '' and empty containers reject), a
+    missing ``ok`` or an unreadable reply counting as accepted. ``attempt`` is the
     number of extractions so far; ``retry_of_rejection`` marks a verdict that
     follows a rejection.
     """
@@ -150,8 +151,8 @@ def attempts(trace: DataFrame) -> DataFrame:
     crit = t.filter(F.col("node") == CRITIQUE)
     cur = F.parse_json(F.coalesce(F.col("_cur"), F.lit("null")))
     ok_schema, why = EX.validate_extraction(cur)
-    reply = F.try_parse_json(F.col("text"))  # critic replies are read as strict JSON
-    verdict = F.coalesce(F.try_variant_get(reply, "$.ok", "boolean"), F.lit(True))
+    reply = EX.parse_json_strict(F.col("text"))  # critic replies are read as strict JSON
+    verdict = EX.truthy(F.try_variant_get(reply, "$.ok", "variant"), missing=True)
     ok = F.when(ok_schema, verdict).otherwise(F.lit(False))
     reason = F.when(~ok_schema, F.concat(F.lit("schema error: "), why)).otherwise(
         F.coalesce(F.try_variant_get(reply, "$.reason", "string"), F.lit("")))

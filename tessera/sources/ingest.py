@@ -35,10 +35,14 @@ def merge_sources(masters: DataFrame, extra: DataFrame, dups: DataFrame) -> Data
 
 
 def labelled_dups(df: DataFrame, col: str = "dupe_of") -> DataFrame:
-    """Rows whose ``dupe_of`` is set, cast to an id."""
+    """Rows whose ``dupe_of`` is set, cast to an id.
+
+    Digits are read as LONG, exact for every id; only other forms such as
+    ``12.0`` go through DOUBLE.
+    """
     v = F.col(col).cast("string")
     return (df.filter(v.isNotNull() & (F.trim(v) != ""))
-            .withColumn(col, v.try_cast("double").cast("long")))
+            .withColumn(col, F.coalesce(F.trim(v).try_cast("long"), v.try_cast("double").try_cast("long"))))
 
 
 def distinct_masters(dups: DataFrame, col: str = "dupe_of") -> DataFrame:
@@ -69,11 +73,6 @@ def attach_descriptions(df: DataFrame, desc: DataFrame, text_col: str = "text")
     return out.withColumn("description", F.coalesce(F.col("_desc"), F.lit(""))).drop("_desc")
 
 
-def missing_ids(ids: DataFrame, known: DataFrame, id_col: str = "id") -> DataFrame:
-    """Ids not yet in ``known`` (U3, J1, S13): a ``left_anti`` join."""
-    return ids.join(known.select(F.col(id_col).alias(id_col)), id_col, "left_anti")
-
-
 def year_range(df: DataFrame, col: str = "creation_time") -> DataFrame:
     """First and last creation year."""
     from tessera.functions.text import year_of

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as TX
+from tessera.functions.extraction import FIELD_DEFINITIONS, FIELD_ENUMS
 
 REPORT_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), False),
@@ -25,8 +26,8 @@ REPORT_SCHEMA = T.StructType([
     T.StructField("product", T.StringType()),
     T.StructField("severity", T.StringType()),
     T.StructField("resolution", T.StringType()),
-    T.StructField("creation_time", T.StringType()),
-    T.StructField("dupe_of", T.StringType()),
+    T.StructField("creation_time", T.TimestampType()),
+    T.StructField("dupe_of", T.LongType()),
     T.StructField("role", T.StringType()),
 ])
 PAIR_SCHEMA = T.StructType([T.StructField("dup_id", T.LongType()), T.StructField("master_id", T.LongType())])
@@ -60,17 +61,6 @@ PAGE_SCHEMA = T.StructType([T.StructField("bugs", T.ArrayType(T.StructType([
 COMMENT_PAGE_SCHEMA = T.StructType([T.StructField("bugs", T.MapType(T.StringType(), T.StructType([
     T.StructField("comments", T.ArrayType(T.StructType([T.StructField("text", T.StringType())])))])))])
 
-# Field catalog of the extraction schema (fixed values).
-FIELD_DEFINITIONS = {
-    "area": "the affected subsystem/topic (short label)",
-    "severity": "impact level, one of the allowed enums",
-    "kind": "defect category, one of the allowed enums",
-}
-FIELD_ENUMS = {
-    "severity": ["low", "med", "high"],
-    "kind": ["crash", "ui", "performance", "security", "data", "other"],
-}
-
 _CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
                 "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
@@ -118,12 +108,12 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_reports(df: DataFrame, path: str) -> None:
-    """Merged report table with the fixed columns, '' for missing values."""
+    """Merged report table with the ten fixed columns, missing values empty."""
     cols = []
     for f in REPORT_SCHEMA.fields:
         c = F.col(f.name) if f.name in df.columns else F.lit(None)
-        cols.append(c.cast(f.dataType).alias(f.name) if f.name == "id"
-                    else F.coalesce(c.cast("string"), F.lit("")).alias(f.name))
+        cols.append(F.coalesce(c.cast("string"), F.lit("")).alias(f.name) if f.dataType == T.StringType()
+                    else c.cast(f.dataType).alias(f.name))
     write_csv(df.select(*cols), path)
 
 
@@ -196,7 +186,7 @@ def _embed_batches(fn: EmbedFn, batch: int):
 
 
 def append_vectors(corpus: DataFrame, vectors_path: str, embed_fn: EmbedFn | None = None,
-                   batch: int = 500, reembed_changed: bool = False) -> DataFrame:
+                   batch: int = 500, reembed_changed: bool = False, summary_chars: int | None = None) -> DataFrame:
     """Embed only reports not yet stored and append them.
 
     ``corpus`` needs ``id, component, summary`` and either ``text`` or
@@ -206,10 +196,10 @@ def append_vectors(corpus: DataFrame, vectors_path: str, embed_fn: EmbedFn | Non
     what is new. With ``reembed_changed`` a row is also re-embedded when the
     ``xxhash64`` of its text differs from the latest stored one; the new
     version is appended and ``latest_vectors`` reads the newest per id.
-    The metadata summary is cut at 200 characters; the text is stored and
-    embedded whole. With no ``embed_fn`` the built-in stateless hashed vectors
+    Text and metadata are stored and embedded whole; ``summary_chars`` (200 in
+    the reference's store) cuts the metadata summary. With no ``embed_fn`` the built-in stateless hashed vectors
     are used, so every append lands in the same vector space. Returns the
-    rows appended.
+    appended rows as read back from the store; the model is not called again.
     """
     import time
 
@@ -217,7 +207,9 @@ def append_vectors(corpus: DataFrame, vectors_path: str, embed_fn: EmbedFn | Non
     spark = corpus.sparkSession
     try:
         raw = spark.read.schema(VECTOR_SCHEMA).parquet(vectors_path)
-    except AnalysisException:  # first run: the store does not exist yet
+    except AnalysisException as missing:  # first run: the store does not exist yet
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         raw = spark.createDataFrame([], VECTOR_SCHEMA)
     if reembed_changed:
         rows = corpus if "text" in corpus.columns else with_text(corpus)
@@ -231,8 +223,11 @@ def append_vectors(corpus: DataFrame, vectors_path: str, embed_fn: EmbedFn | Non
         if "text" not in new_rows.columns:
             new_rows = with_text(new_rows)
     version = int(time.time() * 1000)
+    summary = F.coalesce(F.col("summary"), F.lit(""))
+    if summary_chars is not None:
+        summary = TX.clip(summary, summary_chars)
     todo = new_rows.select(F.col("id").cast("long").alias("id"), F.coalesce("component", F.lit("")).alias("component"),
-                           TX.clip(F.coalesce("summary", F.lit("")), TX.SUMMARY_META_CHARS).alias("summary"),
+                           summary.alias("summary"),
                            F.col("text"), F.xxhash64("text").alias("text_hash"), F.lit(version).alias("version"))
     if embed_fn is None:
         from tessera.operators.embed import hashed_tf
@@ -242,7 +237,7 @@ def append_vectors(corpus: DataFrame, vectors_path: str, embed_fn: EmbedFn | Non
     else:
         new = todo.mapInPandas(_embed_batches(embed_fn, batch), VECTOR_SCHEMA)
     new.write.mode("append").parquet(vectors_path)
-    return new
+    return spark.read.schema(VECTOR_SCHEMA).parquet(vectors_path).filter(F.col("version") == version)
 
 
 def field_catalog(spark: SparkSession) -> DataFrame:
@@ -266,13 +261,16 @@ def first_comment(spark: SparkSession, path: str, chars: int | None = None) -> D
     """Landed comment pages -> (id, first comment text).
 
     The whole comment by default; ``chars`` (4,000 in the reference's cache)
-    cuts it. A page with no comments, or one that cannot be read, gives ''.
+    cuts it. A page with no comments gives ''. So does one that cannot be read;
+    its id is then the first number of the landed file's name (null without one).
     """
     pages = spark.read.schema(COMMENT_PAGE_SCHEMA).json(path)
-    e = pages.select(F.explode("bugs").alias("id", "v"))
+    named = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1)
+    e = pages.select(named.alias("file_id"), F.explode_outer("bugs").alias("id", "v"))
     txt = F.try_element_at(F.col("v.comments"), F.lit(1))["text"]
     txt = txt if chars is None else TX.clip(txt, chars)
-    return e.select(F.col("id").try_cast("long").alias("id"), F.coalesce(txt, F.lit("")).alias("text"))
+    return e.select(F.coalesce(F.col("id"), F.col("file_id")).try_cast("long").alias("id"),
+                    F.coalesce(txt, F.lit("")).alias("text"))
 
 
 def missing_descriptions(ids: DataFrame, cache: DataFrame) -> DataFrame:

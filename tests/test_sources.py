@@ -38,6 +38,58 @@ def test_pages_and_first_comment(spark):
         f.write(json.dumps({"bugs": {"8": {"comments": []}}}) + "\n")
     got = {r.id: r.text for r in RD.first_comment(spark, c).collect()}
     assert got == {7: "first", 8: ""}
+    with open(os.path.join(c, "9.json"), "w") as f:
+        f.write("<html>unavailable\n")
+    with open(os.path.join(c, "10.json"), "w") as f:
+        f.write(json.dumps({"bugs": None}) + "\n")
+    got = {r.id: r.text for r in RD.first_comment(spark, c).collect()}
+    assert got == {7: "first", 8: "", 9: "", 10: ""}
+
+
+def test_ids_and_years_are_read_exactly(spark):
+    d = spark.createDataFrame([(1, "9007199254740993"), (2, "12.0"), (3, ""), (4, "x"), (5, " 7 ")],
+                              "id long, dupe_of string")
+    got = {r.id: r.dupe_of for r in IN.labelled_dups(d).collect()}
+    assert got == {1: 9007199254740993, 2: 12, 4: None, 5: 7}
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        y = spark.createDataFrame([("2020-12-31T20:00:00Z",)], "creation_time string")
+        assert IN.year_range(y).first().last_year == 2020
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_literal_nan_description_is_kept(spark):
+    from tessera.functions.text import compose_text
+    df = spark.createDataFrame([("C", "s", "nan")], "c string, s string, d string")
+    assert df.select(compose_text("c", "s", "d")).first()[0] == "[C] s\nnan"
+
+
+def test_checkpoint_folder_is_never_made_up():
+    import pytest
+
+    from tessera import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())
+
+
+def test_store_errors_other_than_a_missing_path_are_raised(spark):
+    import pytest
+    corpus = spark.createDataFrame([(1, "C", "s", "t")], "id long, component string, summary string, text string")
+    with pytest.raises(Exception, match="nosuchscheme"):
+        RD.append_vectors(corpus, "nosuchscheme://x/y")
 
 
 def test_append_twice_stores_once(spark):

@@ -11,7 +11,7 @@ def test_compose_text_parts(spark):
     rows = [("C", "sum", "desc"), (None, "sum", "desc"), ("", "sum", None), ("C", None, ""),
             ("C", " sum ", "nan"), (None, None, None), ("C", "s", "  d  \n")]
     got = one(spark, rows, "c string, s string, d string", T.compose_text("c", "s", "d"))
-    assert got == ["[C] sum\ndesc", "sum\ndesc", "sum", "[C] ", "[C] sum", "", "[C] s\nd"]
+    assert got == ["[C] sum\ndesc", "sum\ndesc", "sum", "[C] ", "[C] sum\nnan", "", "[C] s\nd"]
 
 
 def test_word_count_unicode_space(spark):
