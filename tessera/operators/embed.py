@@ -1,51 +1,92 @@
 """Embedding (F1): a pluggable batch model function, with a local default.
 
-The default needs no network: tokens -> word bigrams + unigrams -> feature
-hashing -> IDF -> L2 normalisation, all Spark ML stages, stored as a dense
-``ARRAY<FLOAT>`` of ``dims`` values. A user model plugs in through
-``embed(df, fn)`` which calls ``fn(list[str]) -> list[list[float]]`` on Arrow
-batches of ``batch`` texts inside ``mapInPandas``.
+The default needs no network: lower-cased alphanumeric tokens -> unigrams and
+word bigrams -> feature hashing -> IDF -> L2 normalisation, in NumPy on Arrow
+batches, stored as a dense ``ARRAY<FLOAT>`` of ``dims`` values. A user model
+plugs in through ``embed(df, fn)`` which calls ``fn(list[str]) ->
+list[list[float]]`` on batches of ``batch`` texts inside ``mapInPandas``.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tessera.functions import text as T
 
 DEFAULT_DIMS = 256
+# Distinct words whose hash a task keeps; the table is emptied when full.
+_MAX_WORDS = 500_000
+# Tokens: runs of letters and digits beyond ASCII or [a-z0-9_], A-Z folded.
+_FOLD = bytes(b if b >= 128 or 48 <= b < 58 or 97 <= b < 123 or b == 95 else b + 32 if 65 <= b < 91 else 32
+              for b in range(256))
 
 
-def _term_counts(df: DataFrame, text_col: str, dims: int) -> DataFrame:
-    """Hashed unigram + bigram counts as a sparse ``_tf`` vector."""
-    from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > _MAX_WORDS:
+            self.clear()
+        self[word] = h = zlib.crc32(word)
+        return h
 
-    src = df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-    t = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", toLowercase=True).transform(src)
-    t = NGram(n=2, inputCol="_tok", outputCol="_bi").transform(t).withColumn("_terms", F.concat("_tok", "_bi"))
-    return HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=dims).transform(t).drop("_tok", "_bi", "_terms")
+
+def _counts(texts, hashes: _WordHashes, dims: int) -> np.ndarray:
+    """Hashed unigram and bigram counts, one row per text."""
+    out = np.zeros((len(texts), dims), np.float64)
+    for i, text in enumerate(texts):
+        words = (text or "").encode().translate(_FOLD).split()
+        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+        pairs = (h[:-1] * np.uint64(0x9E3779B1) + h[1:]) * np.uint64(0x85EBCA6B) >> np.uint64(16)
+        out[i] = np.bincount((np.concatenate([h, pairs]) % np.uint64(dims)).astype(np.int64), minlength=dims)
+    return out
+
+
+def _vectors(df: DataFrame, text_col: str, dims: int, out_col: str, weights: np.ndarray | None) -> DataFrame:
+    others = [c for c in df.columns if c != out_col]
+    schema = df.select(*others).schema.add(out_col, ArrayType(FloatType()))
+
+    def run(it):
+        hashes = _WordHashes()
+        for pdf in it:
+            m = _counts(pdf[text_col].tolist(), hashes, dims)
+            if weights is not None:
+                m *= weights
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            m = np.where(norm > 0, m / np.where(norm > 0, norm, 1.0), 0.0).astype(np.float32)
+            yield pdf.assign(**{out_col: list(m)})
+
+    return df.select(*others).mapInPandas(run, schema)
+
+
+def document_frequencies(df: DataFrame, text_col: str, dims: int) -> tuple[int, np.ndarray]:
+    """(texts, texts that use each dimension): one pass, ``dims`` rows reach the driver."""
+    def run(it):
+        hashes, n, seen = _WordHashes(), 0, np.zeros(dims, np.int64)
+        for pdf in it:
+            seen += (_counts(pdf[text_col].tolist(), hashes, dims) > 0).sum(axis=0)
+            n += len(pdf)
+        yield pd.DataFrame({"d": np.arange(-1, dims), "n": np.concatenate([[n], seen])})
+
+    rows = df.select(text_col).mapInPandas(run, "d int, n long").groupBy("d").agg(F.sum("n").alias("n")).collect()
+    total = {r["d"]: r["n"] for r in rows}
+    return total.get(-1, 0), np.array([total.get(i, 0) for i in range(dims)], np.float64)
 
 
 def hashed_tfidf(df: DataFrame, text_col: str = "text", dims: int = DEFAULT_DIMS,
                  out_col: str = "embedding") -> DataFrame:
     """Dense unit-length hashed TF-IDF vectors of ``text_col``.
 
-    Texts are tokenised once: the sparse term counts are persisted
-    (memory and disk; recomputed from lineage if an executor is lost), IDF is
-    fitted on them in one distributed pass and applied to the same counts.
+    Two passes over the texts: document frequencies (an aggregate of ``dims``
+    rows), then the vectors. Nothing is cached.
     """
-    from pyspark import StorageLevel
-    from pyspark.ml.feature import IDF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    tf = _term_counts(df, text_col, dims).persist(StorageLevel.MEMORY_AND_DISK)
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf)
-    out = Normalizer(inputCol="_idf", outputCol="_unit", p=2.0).transform(idf.transform(tf))
-    return out.withColumn(out_col, vector_to_array("_unit", "float32")).drop("_tf", "_idf", "_unit")
+    n, seen = document_frequencies(df, text_col, dims)
+    return _vectors(df, text_col, dims, out_col, np.log((n + 1.0) / (seen + 1.0)))
 
 
 def hashed_tf(df: DataFrame, text_col: str = "text", dims: int = DEFAULT_DIMS,
@@ -55,11 +96,7 @@ def hashed_tf(df: DataFrame, text_col: str = "text", dims: int = DEFAULT_DIMS,
     Nothing is fitted, so vectors appended in different runs (or streaming
     micro-batches) share one space; this is the default for incremental stores.
     """
-    from pyspark.ml.feature import Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    t = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(_term_counts(df, text_col, dims))
-    return t.withColumn(out_col, vector_to_array("_unit", "float32")).drop("_tf", "_unit")
+    return _vectors(df, text_col, dims, out_col, None)
 
 
 def embed(df: DataFrame, fn: Callable[[list[str]], list[list[float]]] | None = None, text_col: str = "text",

@@ -2,15 +2,17 @@
 replies, judge hook.
 
 ``nearest_name`` compares every distinct value with every taxonomy entry
-(no cutoff: each value always gets an answer). It runs on the same block grid
-as the vector joins: values and names are cut into bounded blocks, each cell
-keeps the best name per value, and a ``max_by`` merges the cells. Only the
-distinct values travel, and no cell grows with the data.
+(no cutoff: each value always gets an answer). The names are cut into chunks of
+bounded size by a hash; each distinct value meets each chunk once, keeps the
+best name of it, and a ``max_by`` merges the chunks. The edit distance is
+Spark's own ``levenshtein`` over the chunk's array; the ratio runs ``difflib``
+in Arrow batches behind an upper bound that rules most names out.
 """
 
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -19,76 +21,73 @@ from pyspark.sql import functions as F
 
 from tessera.functions import extraction as EX
 from tessera.functions import text as T
-from tessera.operators.blocks import grid_cells, plan_grid
 
 _MATCH_SCHEMA = "value string, name string, score double"
+# Names per chunk: what one value is compared with at a time.
+NAME_ROWS = 4096
 
 
-def difflib_ratio(a: str, b: str) -> float:
-    """Similarity used by ``difflib.get_close_matches`` (word vs candidate)."""
+def best_ratio(value: str, names: list[tuple[str, Counter]]) -> tuple[float, str]:
+    """The name of highest ``difflib`` ratio, the greatest one on ties.
+
+    A name is scored only when ``2 * common / total`` with ``common`` the
+    shared multiset of characters (capped by the lengths), which no ratio can
+    exceed, reaches the best score so far; the value's index is built once.
+    """
     s = difflib.SequenceMatcher()
-    s.set_seq2(a)
-    s.set_seq1(b)
-    return s.ratio()
-
-
-def levenshtein_score(a: str, b: str) -> float:
-    """Negative edit distance (higher is closer)."""
-    if a == b:
-        return 0.0
-    prev = list(range(len(b) + 1))
-    for i, ca in enumerate(a, 1):
-        cur = [i]
-        for j, cb in enumerate(b, 1):
-            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (ca != cb)))
-        prev = cur
-    return -float(prev[-1])
-
-
-SCORERS: dict[str, Callable[[str, str], float]] = {"difflib": difflib_ratio, "levenshtein": levenshtein_score}
-
-
-def _cell_best(scorer: Callable[[str, str], float]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        vals = pdf.loc[pdf["_side"] == 0, "_id"].tolist()
-        names = pdf.loc[pdf["_side"] == 1, "_id"].tolist()
-        out_v, out_n, out_s = [], [], []
-        if names:
-            for v in vals:
-                # highest score; ties -> the lexicographically greatest name
-                best = max((scorer(v, n), n) for n in names)
-                out_v.append(v)
-                out_n.append(best[1])
-                out_s.append(best[0])
-        return pd.DataFrame({"value": pd.Series(out_v, dtype="object"), "name": pd.Series(out_n, dtype="object"),
-                             "score": pd.Series(out_s, dtype="float64")})
-    return run
+    s.set_seq2(value)
+    own = Counter(value)
+    bounds = []
+    for name, letters in names:
+        total = len(value) + len(name)
+        bounds.append((2.0 * sum((own & letters).values()) / total if total else 1.0, name))
+    best = (-1.0, "")
+    for bound, name in sorted(bounds, reverse=True):
+        if bound < best[0]:
+            break
+        s.set_seq1(name)
+        best = max(best, (s.ratio(), name))
+    return best
+
+
+def _ratio_batches(it):
+    for pdf in it:
+        out, last, names = [], None, []
+        for value, chunk in zip(pdf["_id"], pdf["_names"], strict=True):
+            key = tuple(chunk)
+            if key != last:
+                last, names = key, [(n, Counter(n)) for n in key]
+            score, name = best_ratio(value, names)
+            out.append((value, name, score))
+        yield pd.DataFrame(out, columns=["value", "name", "score"])
 
 
 def nearest_name(values: DataFrame, taxonomy: DataFrame, value_col: str = "value", name_col: str = "component",
-                 method: str = "difflib", value_rows: int = 2048, name_rows: int = 4096) -> DataFrame:
+                 method: str = "difflib", name_rows: int = NAME_ROWS) -> DataFrame:
     """Closest taxonomy entry for every distinct value.
 
     Case-sensitive, no cutoff; ties go to the lexicographically greatest name.
     Returns ``(value, name, score)``; ``score`` lets callers apply a cutoff.
+    ``method`` is ``difflib`` (ratio) or ``levenshtein`` (negative distance).
     """
-    from pyspark import StorageLevel
-    spark = values.sparkSession
-    # distinct values are sized once and reused by the grid (memory and disk,
-    # recomputed from lineage if an executor is lost)
-    v = values.select(F.col(value_col).cast("string").alias("_id")).dropna().distinct() \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    t = taxonomy.select(F.col(name_col).cast("string").alias("_id")).dropna().distinct() \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    grid = plan_grid(spark, v.count(), t.count(), value_rows, name_rows)
-    cells = grid_cells(v.withColumn("_v", F.lit(None).cast("array<float>")),
-                       t.withColumn("_v", F.lit(None).cast("array<float>")), grid)
-    local = cells.select("_cell", "_side", "_id").groupBy("_cell").applyInPandas(
-        _cell_best(SCORERS[method]), _MATCH_SCHEMA)
-    if grid.right_blocks == 1:
-        return local
-    return local.groupBy("value").agg(F.max_by(F.struct("score", "name"), F.struct("score", "name")).alias("_b")) \
-        .select("value", F.col("_b.name").alias("name"), F.col("_b.score").alias("score"))
+    v = values.select(F.col(value_col).cast("string").alias("_id")).dropna().distinct()
+    t = taxonomy.select(F.col(name_col).cast("string").alias("_n")).dropna().distinct()
+    chunks = max(1, -(-t.count() // name_rows))
+    # every value meets every chunk of names: one row per chunk, keyed by its number
+    names = (t.groupBy(F.pmod(F.xxhash64("_n"), F.lit(chunks)).alias("_chunk"))
+             .agg(F.sort_array(F.collect_list("_n")).alias("_names")))
+    met = v.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))).join(
+        names, "_chunk")
+    if method == "levenshtein":
+        scored = F.transform("_names", lambda n: F.struct(
+            (-F.levenshtein(F.col("_id"), n)).cast("double").alias("score"), n.alias("name")))
+        local = met.select(F.col("_id").alias("value"), F.array_max(scored).alias("_b")).select(
+            "value", "_b.name", "_b.score")
+    else:
+        local = met.select("_id", "_names").mapInPandas(_ratio_batches, _MATCH_SCHEMA)
+    best = F.struct("score", "name")
+    return local.groupBy("value").agg(F.max(best).alias("_b")).select(
+        "value", F.col("_b.name").alias("name"), F.col("_b.score").alias("score"))
 
 
 def validate_replies(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
@@ -155,14 +154,14 @@ def prior_for(names: DataFrame, reports: DataFrame, mapping: dict[str, str] | No
 def catalog_conformance(extractions: DataFrame, catalog: DataFrame) -> DataFrame:
     """Per catalog field with allowed values: replies whose value is allowed.
 
-    The catalog is a small dimension table (fields x allowed values), joined
-    by broadcast; the extractions are unpivoted to ``(field, value)``.
+    The catalog is a dimension table (fields x allowed values) whose join
+    strategy is left to the optimizer; the extractions are unpivoted to ``(field, value)``.
     """
     allowed = (catalog.filter(F.col("allowed").isNotNull())
                .select("field", F.explode("allowed").alias("value")).withColumn("_ok", F.lit(True)))
     fields = [r for r in ("severity", "kind") if r in extractions.columns]
     long = extractions.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"))
                                                   for f in fields])).alias("_fv")).select("_fv.*")
-    j = long.join(F.broadcast(allowed), ["field", "value"], "left")
+    j = long.join(allowed, ["field", "value"], "left")
     return j.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count("_ok").alias("n_allowed"),
                                   F.count(F.when(F.col("value").isNull(), 1)).alias("n_missing"))

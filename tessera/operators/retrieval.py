@@ -64,12 +64,12 @@ def pair_context(ranked: DataFrame, reports: DataFrame, themes: DataFrame | None
     return out
 
 
-def metrics_by(ctx: DataFrame, by: str = "theme", min_n: int = 50, k: int = 10) -> DataFrame:
-    """hit@k, MRR and n per slice with n >= min_n, ascending by hit@k."""
+def metrics_by(ctx: DataFrame, by: str = "theme", min_n: int = 1, k: int = 10) -> DataFrame:
+    """hit@k, MRR and n per slice with n >= min_n (all by default), ascending by hit@k, then name."""
     return (ctx.groupBy(by)
             .agg(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"hit_at_{k}"),
                  F.avg("rr").alias("mrr"), F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") >= min_n))
+            .filter(F.col("n") >= min_n).orderBy(F.col(f"hit_at_{k}").asc(), F.col(by).asc()))
 
 
 def extremes(slices: DataFrame, by: str, metric: str, n: int = 3) -> DataFrame:

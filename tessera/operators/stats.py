@@ -102,22 +102,22 @@ def component_prior(reports: DataFrame, mapping: dict[str, str] | None = None,
     """Per component: n, n mapped, share per level, typical level, examples.
 
     Typical level is the most frequent mapped level, the lowest on ties; the
-    examples are the summaries of the lowest ``examples`` ids.
+    examples are the summaries of the lowest ``examples`` ids. All counts come
+    from one aggregate by component and level, regrouped by component.
     """
     r = reports.select("id", "component", "summary",
                        T.map_severity(F.col("severity"), mapping).alias("level"))
-    per = (r.groupBy("component")
-           .agg(F.count(F.lit(1)).alias("n_bugs"), F.count("level").alias("n_triaged"),
-                F.mode("level", True).alias("typical_severity")))
-    lv = (r.filter(F.col("level").isNotNull()).groupBy("component", "level")
-          .agg(F.count(F.lit(1)).alias("_n")))
-    dist = (lv.groupBy("component")
-            .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "_n")))).alias("_m"),
-                 F.sum("_n").alias("_t"))
-            .select("component", F.transform_values("_m", lambda k, v: v / F.col("_t"))
-                    .alias("severity_dist")))  # unrounded shares; rounding is display (Q12)
+    by_level = r.groupBy("component", "level").agg(F.count(F.lit(1)).alias("_n"))
+    mapped = F.when(F.col("level").isNotNull(), F.col("_n"))
+    per = (by_level.groupBy("component").agg(
+        F.sum("_n").alias("n_bugs"), F.coalesce(F.sum(mapped), F.lit(0)).alias("n_triaged"),
+        F.min(F.when(F.col("level").isNotNull(), F.struct((-F.col("_n")).alias("_m"), "level"))).alias("_top"),
+        F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), F.struct("level", "_n")))).alias("_d"))
+        .select("component", "n_bugs", "n_triaged", F.col("_top.level").alias("typical_severity"),
+                F.when(F.size("_d") > 0, F.transform_values(F.map_from_entries("_d"), lambda k, v:
+                       v / F.col("n_triaged"))).alias("severity_dist")))  # unrounded; rounding is display (Q12)
     ex = (first_n_per_group(r, "component", "id", examples)
           .groupBy("component")
           .agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "summary"))),
                            lambda s: s["summary"]).alias("example_summaries")))
-    return per.join(dist, "component", "left").join(ex, "component", "left")
+    return per.join(ex, "component", "left")

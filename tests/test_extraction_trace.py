@@ -30,7 +30,7 @@ def test_nearest_name_matches_difflib(spark):
     names = ["Networking", "Graphics", "DOM: Core", "Layout", "ba", "ab "]
     v = spark.createDataFrame([(x,) for x in values], "value string")
     t = spark.createDataFrame([(x,) for x in names], "component string")
-    got = {r.value: r.name for r in XO.nearest_name(v, t, name_rows=2, value_rows=2).collect()}
+    got = {r.value: r.name for r in XO.nearest_name(v, t, name_rows=2).collect()}
     for x in values:
         assert got[x] == difflib.get_close_matches(x, names, n=1, cutoff=0.0)[0]
 
@@ -110,3 +110,47 @@ def test_embed_hook_and_default(spark):
     assert sorted((r.id, r.embedding) for r in custom) == [(1, [9.0, 1.0]), (2, [11.0, 1.0]), (3, [0.0, 1.0])]
     default = {r.id: r.embedding for r in embed(df, dims=64).collect()}
     assert len(default[1]) == 64 and abs(sum(x * x for x in default[1]) - 1.0) < 1e-5
+
+
+def test_lenient_json_takes_whole_values_only(spark):
+    good = '{"area": "x", "severity": "low", "kind": "ui"}'
+    rows = [f"12 reports seen: {good}", f"true {good}", f'"sure" {good}', f"{good} or {good}", f"{good} trailing",
+            f"{good}]", f"1] , [{good}", f' {good}\n', '{"a": 1} {"b": 2}']
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, reply string")
+    got = {r.id: r.ok for r in XO.validate_replies(df).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: True, 8: False}
+
+
+def test_critic_verdict_by_truth_value(spark):
+    replies = {'{"ok": null}': False, '{"ok": []}': False, '{"ok": ""}': False, '{"ok": 0}': False, '{"ok": 0.0}': False,
+               '{"ok": {}}': False, '{"ok": false}': False, '{"ok": "no"}': True, '{"ok": "false"}': True,
+               '{"ok": [0]}': True, '{"ok": 2}': True, "{}": True, "junk": True, '{"ok": false} junk': True}
+    runs = {i: [("extract", GOOD), ("critique", text)] for i, text in enumerate(replies)}
+    got = {r.run_id: r.ok for r in TR.attempts(trace_df(spark, runs)).collect()}
+    assert [got[i] for i in range(len(replies))] == list(replies.values())
+
+
+def test_agent_trace_reaches_every_rule(spark):
+    from tessera.plans import testdata as td
+    t = td.agent_trace(spark, "/root/testdata/sf0.01").drop("flagged").cache()
+    rules = {r.rule for r in TR.audit_routes(t).select("rule").distinct().collect()}
+    assert rules == {"", "over budget", "unknown route", "no extraction yet"}
+    att = TR.attempts(t).collect()
+    assert {r.reason for r in att} >= {f"schema error: {x}" for x in (
+        EX.REASON_NOT_OBJECT, EX.REASON_MISSING_AREA, EX.REASON_BAD_SEVERITY, EX.REASON_BAD_KIND)}
+    assert {(r.ok, r.retry_of_rejection) for r in att} == {(a, b) for a in (True, False) for b in (True, False)}
+    y = TR.extraction_yield(TR.run_outcomes(t)).first()
+    assert 0 < y.first_pass_yield < y.final_yield < 1
+    assert all(r.errors > 0 for r in TR.tool_usage(t).collect() if r.tool in ("research", "FINISH", "summarise"))
+    t.unpersist()
+
+
+def test_nearest_name_equals_difflib_on_random_names(spark):
+    import random
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdeABC: ") for _ in range(rnd.randint(1, 14)))
+    values, names = sorted({word() for _ in range(150)}), sorted({word() for _ in range(80)})
+    v = spark.createDataFrame([(x,) for x in values], "value string")
+    t = spark.createDataFrame([(x,) for x in names], "component string")
+    got = {r.value: r.name for r in XO.nearest_name(v, t, name_rows=30).collect()}
+    assert got == {x: difflib.get_close_matches(x, names, n=1, cutoff=0.0)[0] for x in values}
