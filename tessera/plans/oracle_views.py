@@ -6,10 +6,6 @@ prepend the ones they need with ``with_views``.
 
 from __future__ import annotations
 
-# Whitespace class shared with tessera.functions.text (fixed value).
-WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
-WORD = r"[^\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]+"
-
 VIEWS: dict[str, str] = {
     "text_groups": """
         SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS master_id,

@@ -61,13 +61,16 @@ def q_extract_counts(spark, sf):
     return TR.extract_counts(td.decision_trace(spark, sf))
 
 
-@register("tool_usage", with_views(_DT + """
+_AT = ", dt AS (SELECT run_id, step, node, text FROM agent_trace)"
+
+
+@register("tool_usage", with_views(_AT + """
     SELECT node AS tool, count(*) AS calls, count(*) FILTER (WHERE text LIKE '%"error"%') AS errors,
            count(DISTINCT run_id) AS runs
-    FROM dt GROUP BY node""", "trace"))
+    FROM dt GROUP BY node""", "agent_trace"))
 def q_tool_usage(spark, sf):
     """Calls, error replies and runs per tool."""
-    return TR.tool_usage(td.decision_trace(spark, sf))
+    return TR.tool_usage(td.agent_trace(spark, sf))
 
 
 @register("evidence_digest", with_views(_DT + """
@@ -90,7 +93,7 @@ _STATE = f"""
       FROM dt WINDOW w AS (PARTITION BY run_id ORDER BY step))"""
 
 
-@register("audit_routes", with_views(_DT + _STATE + """
+@register("audit_routes", with_views(_AT + _STATE + """
     , a AS (SELECT *, CASE WHEN idx >= 10 THEN 'FINISH'
                            WHEN (CASE WHEN node IN ('research', 'extract', 'critique', 'FINISH') THEN node
                                       WHEN has_extraction THEN 'critique' ELSE 'extract' END)
@@ -103,10 +106,10 @@ _STATE = f"""
                 WHEN node NOT IN ('research', 'extract', 'critique', 'FINISH') THEN 'unknown route'
                 WHEN node IN ('critique', 'FINISH') AND NOT has_extraction THEN 'no extraction yet'
                 ELSE '' END AS rule
-    FROM a""", "trace"))
+    FROM a""", "agent_trace"))
 def q_audit_routes(spark, sf):
     """Per decision, the route the supervisor rules would allow."""
-    return TR.audit_routes(td.decision_trace(spark, sf), 10)
+    return TR.audit_routes(td.agent_trace(spark, sf), 10)
 
 
 _ATTEMPTS = f"""
@@ -117,23 +120,24 @@ _ATTEMPTS = f"""
       FROM st WHERE node = 'critique'),
     att AS (
       SELECT run_id, step, attempt,
-             CASE WHEN why = '' THEN coalesce(TRY_CAST(json_extract(rep, '$.ok') AS BOOLEAN), true)
+             CASE WHEN why = '' THEN coalesce(json_extract(rep, '$.ok')::VARCHAR NOT IN
+                                              ('null', 'false', '0', '""', '[]', '{{}}'), true)
                   ELSE false END AS ok,
              CASE WHEN why <> '' THEN 'schema error: ' || why
                   ELSE coalesce(json_extract_string(rep, '$.reason'), '') END AS reason
       FROM cr)"""
 
 
-@register("attempts", with_views(_DT + _STATE + _ATTEMPTS + """
+@register("attempts", with_views(_AT + _STATE + _ATTEMPTS + """
     SELECT run_id, step, attempt, ok, reason,
            coalesce(NOT lag(ok) OVER (PARTITION BY run_id ORDER BY step), false) AS retry_of_rejection
-    FROM att""", "trace"))
+    FROM att""", "agent_trace"))
 def q_attempts(spark, sf):
     """Critic verdicts with attempt number, rejection reason and retries."""
-    return TR.attempts(td.decision_trace(spark, sf))
+    return TR.attempts(td.agent_trace(spark, sf))
 
 
-@register("extraction_yield", with_views(_DT + _STATE + _ATTEMPTS + """
+@register("extraction_yield", with_views(_AT + _STATE + _ATTEMPTS + """
     , runs AS (SELECT run_id, CAST(count(*) FILTER (WHERE node = 'extract') AS INTEGER) AS n_extract,
                       count(*) AS steps, bool_or(node = 'research') AS used_research,
                       max(CASE WHEN node = 'extract' THEN step END) AS le FROM dt GROUP BY run_id),
@@ -143,13 +147,16 @@ def q_attempts(spark, sf):
     SELECT count(*) AS n_runs, round(avg(ok::DOUBLE), 6) AS final_yield,
            round(avg((ok AND n_extract = 1)::DOUBLE), 6) AS first_pass_yield,
            round(avg(steps::DOUBLE), 6) AS mean_steps, round(avg((NOT used_research)::DOUBLE), 6) AS no_research_share,
-           round(avg(ok::DOUBLE) - avg((ok AND n_extract = 1)::DOUBLE), 6) AS gain
-    FROM o""", "trace"))
+           round(avg(ok::DOUBLE) - avg((ok AND n_extract = 1)::DOUBLE), 6) AS gain,
+           count(*) FILTER (WHERE run_id IN (SELECT run_id FROM agent_trace WHERE flagged)) AS n_flagged
+    FROM o""", "agent_trace"))
 def q_extraction_yield(spark, sf):
-    """Final / first-pass yield, gain, mean steps, share without research."""
-    y = TR.extraction_yield(TR.run_outcomes(td.decision_trace(spark, sf)))
+    """Final / first-pass yield, gain, mean steps, share without research, flagged runs."""
+    t = td.agent_trace(spark, sf)
+    y = TR.extraction_yield(TR.run_outcomes(t.drop("flagged")), t.filter("flagged").select("run_id"))
     return y.select("n_runs", *[r6(F.col(c)).alias(c) for c in
-                                ("final_yield", "first_pass_yield", "mean_steps", "no_research_share", "gain")])
+                                ("final_yield", "first_pass_yield", "mean_steps", "no_research_share", "gain")],
+                    "n_flagged")
 
 
 @register("validate_extractions", with_views(f"""

@@ -44,12 +44,16 @@ def _dups(spark, sf):
 
 
 @register("labelled_dups", with_views("""
-    SELECT r.id, CAST(g.master_id AS BIGINT) AS dupe_of FROM reports r JOIN text_groups g ON r.id = g.doc_id
+    SELECT r.id, CASE WHEN r.id % 3 = 0 THEN 9007199254740993 + r.id ELSE CAST(g.master_id AS BIGINT) END AS dupe_of
+    FROM reports r JOIN text_groups g ON r.id = g.doc_id
     WHERE r.role = 'dup'""", "reports"))
 def q_labelled_dups(spark, sf):
-    """Rows whose dupe_of is set, as ids."""
+    """Rows whose dupe_of is set, as ids; texts past 2**53, written as ``12.0`` and plain."""
     r = td.reports(spark, sf, with_role=True)
-    g = td.text_pairs(spark, sf).select(F.col("dup_id").alias("id"), F.col("master_id").cast("string").alias("dupe_of"))
+    form = (F.when(F.col("dup_id") % 3 == 0, (F.col("dup_id") + 9007199254740993).cast("string"))
+            .when(F.col("dup_id") % 3 == 1, F.concat(F.col("master_id").cast("string"), F.lit(".0")))
+            .otherwise(F.col("master_id").cast("string")))
+    g = td.text_pairs(spark, sf).select(F.col("dup_id").alias("id"), form.alias("dupe_of"))
     rows = r.join(g, "id", "left")
     return IN.labelled_dups(rows).select("id", "dupe_of")
 
@@ -90,8 +94,9 @@ def q_attach_descriptions(spark, sf):
     SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
 def q_unembedded(spark, sf):
     """Documents without a stored vector (left anti join)."""
+    from tessera.sources.readers import unembedded
     ids = td.table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
-    return IN.missing_ids(ids, td.vectors(spark, sf))
+    return unembedded(ids, td.vectors(spark, sf))
 
 
 @register("with_vectors", with_views("""

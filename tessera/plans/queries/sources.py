@@ -6,11 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.functions import text as T
 from tessera.plans import testdata as td
 from tessera.plans.oracle_views import with_views
 from tessera.plans.registry import register
-from tessera.session import checkpoint_dir
+from tessera.session import checkpoint_dir, cut_lineage, remove_folder, write_small_file
 from tessera.sources import readers as RD
 
 
@@ -19,14 +18,33 @@ def scratch(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tessera-scratch/{name}-{uuid.uuid4().hex}"
 
 
+def read_then_remove(spark, df, *paths: str):
+    """The result cut from the scratch copies it was read from, and those removed.
+
+    The cut is a checkpoint, which Spark's cleaner removes with its DataFrame.
+    """
+    out = cut_lineage(df)
+    for path in paths:
+        remove_folder(spark, path)
+    return out
+
+
 @register("read_reports_csv", with_views("""
-    SELECT id, component, summary, description, '' AS product, role FROM reports""", "reports"))
+    SELECT r.id, summary, description, component, lang AS product, 'S' || r.id % 5 AS severity, '' AS resolution,
+           TIMESTAMP '2020-12-31 20:00:00' + to_seconds(r.id) AS creation_time,
+           CASE WHEN r.role = 'dup' THEN 9007199254740993 + g.master_id END AS dupe_of, r.role
+    FROM reports r JOIN text_groups g ON r.id = g.doc_id""", "reports"))
 def q_read_reports_csv(spark, sf):
-    """Reports written as multi-line CSV and read back with the fixed schema."""
+    """All ten report columns written as multi-line CSV and read back with the fixed schema."""
     path = scratch(spark, "reports-csv")
-    RD.write_reports(td.reports(spark, sf, with_role=True), path)
-    return RD.read_reports(spark, path).select("id", "component", "summary", "description",
-                                               F.coalesce("product", F.lit("")).alias("product"), "role")
+    masters = td.text_pairs(spark, sf).select(F.col("dup_id").alias("id"), "master_id")
+    rows = td.reports(spark, sf, with_role=True).join(masters, "id", "left").select(
+        "id", "summary", "description", "component", F.col("lang").alias("product"),
+        F.concat(F.lit("S"), F.col("id") % 5).alias("severity"),
+        F.expr("timestamp_seconds(1609444800 + id)").alias("creation_time"),
+        (F.col("master_id") + 9007199254740993).alias("dupe_of"), "role")
+    RD.write_reports(rows, path)
+    return read_then_remove(spark, RD.read_reports(spark, path), path)
 
 
 @register("read_pairs_csv", with_views("SELECT dup_id, master_id FROM text_pairs", "text_pairs"))
@@ -34,7 +52,7 @@ def q_read_pairs_csv(spark, sf):
     """Usable pairs written and read back."""
     path = scratch(spark, "pairs-csv")
     RD.write_pairs(td.text_pairs(spark, sf), path)
-    return RD.read_pairs(spark, path)
+    return read_then_remove(spark, RD.read_pairs(spark, path), path)
 
 
 @register("read_labels_csv", with_views("""
@@ -45,12 +63,12 @@ def q_read_labels_csv(spark, sf):
     from tessera.operators.agreement import usable_labels
     sheet = (td.reports(spark, sf).join(td.table(spark, sf, "labels").select(
         F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("human_good")), "id")
-        .select("id", "component", "summary", T.clip("description", 1200).alias("description"),
+        .select("id", "component", "summary", "description",
                 F.lit("").alias("llm_area"), F.lit("").alias("llm_severity"), F.lit("").alias("llm_kind"),
                 "human_good"))
     path = scratch(spark, "labels-csv")
     RD.write_csv(sheet, path)
-    return usable_labels(RD.read_labels(spark, path)).select("id", "human_good")
+    return read_then_remove(spark, usable_labels(RD.read_labels(spark, path)).select("id", "human_good"), path)
 
 
 @register("explode_pages", with_views("""
@@ -67,7 +85,7 @@ def q_explode_pages(spark, sf):
              .agg(F.collect_list(F.struct(*[c for c in r.columns])).alias("bugs")))
     path = scratch(spark, "pages-json")
     pages.select("bugs").write.mode("overwrite").json(path)
-    return RD.explode_pages(spark, path).drop("dupe_of")
+    return read_then_remove(spark, RD.explode_pages(spark, path).drop("dupe_of"), path)
 
 
 def _land_comments(spark, sf) -> str:
@@ -77,23 +95,31 @@ def _land_comments(spark, sf) -> str:
     page = per.select(F.create_map(F.col("conv_id").cast("string"), F.struct("comments")).alias("bugs"))
     path = scratch(spark, "comments-json")
     page.write.mode("overwrite").json(path)
+    # a page that cannot be read, in a file named by its id
+    write_small_file(spark, f"{path}/{UNREADABLE_ID}.json", "<html>service unavailable")
     return path
 
 
+# Fixed value: the id of the unreadable comment page.
+UNREADABLE_ID = 999999999
+
+
 @register("first_comment", """
-    SELECT conv_id AS id, text FROM conversations WHERE turn = 0""")
+    SELECT conv_id AS id, text FROM conversations WHERE turn = 0
+    UNION ALL SELECT 999999999, ''""")
 def q_first_comment(spark, sf):
-    """First comment of each landed comment page as the description."""
-    return RD.first_comment(spark, _land_comments(spark, sf))
+    """First comment of each landed comment page as the description, '' for the unreadable one."""
+    path = _land_comments(spark, sf)
+    return read_then_remove(spark, RD.first_comment(spark, path), path)
 
 
 @register("missing_descriptions", """
     SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT DISTINCT conv_id FROM conversations)""")
 def q_missing_descriptions(spark, sf):
     """Report ids whose description is not in the landed cache yet."""
-    cache = RD.first_comment(spark, _land_comments(spark, sf))
+    path = _land_comments(spark, sf)
     ids = td.table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
-    return RD.missing_descriptions(ids, cache)
+    return read_then_remove(spark, RD.missing_descriptions(ids, RD.first_comment(spark, path)), path)
 
 
 @register("append_vectors", "SELECT doc_id AS id, 256 AS dims FROM documents")
@@ -103,7 +129,7 @@ def q_append_vectors(spark, sf):
     corpus = td.reports(spark, sf).select("id", "component", "summary", "description")
     RD.append_vectors(corpus, path)
     RD.append_vectors(corpus, path)
-    return RD.read_vectors(spark, path).select("id", F.size("embedding").alias("dims"))
+    return read_then_remove(spark, RD.read_vectors(spark, path).select("id", F.size("embedding").alias("dims")), path)
 
 
 @register("ingest_stream", "SELECT doc_id AS id, 256 AS dims FROM documents")
@@ -118,9 +144,11 @@ def q_ingest_stream(spark, sf):
                                          for f in RD.REPORT_SCHEMA.fields])
     rep.write.mode("append").parquet(src + "/drop1")
     rep.write.mode("append").parquet(src + "/drop2")
-    q = ingest_stream(spark, src + "/*", store, checkpoint=scratch(spark, "ingest-ckpt"))
+    progress = scratch(spark, "ingest-ckpt")
+    q = ingest_stream(spark, src + "/*", store, checkpoint=progress)
     q.awaitTermination()
-    return read_store(spark, store).select("id", F.size("embedding").alias("dims"))
+    return read_then_remove(spark, read_store(spark, store).select("id", F.size("embedding").alias("dims")),
+                            src, store, progress)
 
 
 @register("embed_documents")

@@ -25,7 +25,7 @@ def s_words(e: str) -> str:
 def s_compose(comp: str, summ: str, desc: str) -> str:
     c, s, d = (s_strip(f"coalesce({x}, '')") for x in (comp, summ, desc))
     head = f"(CASE WHEN {c} <> '' THEN '[' || {c} || '] ' || {s} ELSE {s} END)"
-    return (f"(CASE WHEN {d} <> '' AND {d} <> 'nan' THEN {s_strip(head + ' || chr(10) || ' + d)} "
+    return (f"(CASE WHEN {d} <> '' THEN {s_strip(head + ' || chr(10) || ' + d)} "
             f"ELSE {head} END)")
 
 
@@ -74,10 +74,30 @@ VIEWS["replies"] = f"""
         SELECT id, component, summary, reply, {s_lenient('reply')} AS p FROM (
           SELECT id, component, summary,
                  CASE WHEN severity = '5-LOW' THEN 'Here is the JSON:' || chr(10) || body || chr(10) || 'Done.'
-                      WHEN severity = '4-NOT SPECIFIED' THEN 'I could not decide.' ELSE body END AS reply
+                      WHEN severity = '4-NOT SPECIFIED' THEN 'I could not decide.'
+                      WHEN severity = '3-MEDIUM' AND id % 3 = 0 THEN '12 reports seen: ' || body
+                      WHEN severity = '3-MEDIUM' AND id % 3 = 1 THEN '"sure" ' || body || ' true'
+                      ELSE body END AS reply
           FROM (SELECT id, component, summary, severity,
                        json_object('area', component, 'severity', {s_severity('severity', td.ORDER_PRIORITY_SEVERITY)},
                                    'kind', CASE status WHEN 'F' THEN 'data' WHEN 'O' THEN 'other'
                                            ELSE 'pending' END)::VARCHAR AS body
                 FROM severity_reports))"""
 _DEPENDS["replies"] = ["severity_reports"]
+
+
+def _sql_pick(n: str, values: list[str]) -> str:
+    listed = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"list_extract([{listed}], CAST({n} % {len(values)} + 1 AS INTEGER))"
+
+
+# Twin of testdata.agent_trace.
+VIEWS["agent_trace"] = f"""
+        SELECT run_id, step, node, flagged,
+               CASE node WHEN 'extract' THEN {_sql_pick('step // 7', td.EXTRACT_REPLIES)}
+                         WHEN 'critique' THEN {_sql_pick('step // 7', td.CRITIC_REPLIES)}
+                         ELSE {_sql_pick('step // 7', td.TOOL_REPLIES)} END AS text
+        FROM (SELECT o_custkey AS run_id, o_orderkey AS step, o_orderpriority = '1-URGENT' AS flagged,
+                     CASE o_orderkey % 13 % 7 WHEN 0 THEN 'research' WHEN 1 THEN 'extract' WHEN 2 THEN 'critique'
+                          WHEN 3 THEN 'extract' WHEN 4 THEN 'critique' WHEN 5 THEN 'FINISH' ELSE 'summarise' END AS node
+              FROM orders)"""

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.session import ensure_parallelism
 
 # Order priorities as severity levels for the test tables.
 ORDER_PRIORITY_SEVERITY = {
@@ -27,16 +26,8 @@ ORDER_PRIORITY_SEVERITY = {
 }
 
 
-# Tables whose rows carry whole texts: spread right after the scan (column
-# pruning and filters still reach the scan through the repartition).
-TEXT_TABLES = ("documents",)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread is None:
-        spread = name in TEXT_TABLES
-    return ensure_parallelism(df) if spread else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _text_groups(docs: DataFrame) -> DataFrame:
@@ -95,8 +86,8 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("vec_id").alias("dup_id"), "master_id"))
 
 
-def severity_reports(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
-    o = table(spark, sf_dir, "orders", spread=spread).select("o_orderkey", "o_custkey", "o_orderpriority",
+def severity_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority",
                                               "o_orderdate", "o_orderstatus")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name")
     return o.join(c, o.o_custkey == c.c_custkey).select(
@@ -116,6 +107,42 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id"), F.col("quality").alias("rater_a"), F.col("toxic").alias("rater_b"))
 
 
+def agent_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision trace over whole ``orders``: a customer is a run, its orders by key the steps.
+
+    The key picks the route (one of seven is unknown) and the reply: readable,
+    wrapped, unreadable and invalid extractions; accepting, rejecting, falsy
+    and unreadable critic replies; tool errors. ``flagged`` marks urgent orders.
+    """
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    pick = lambda n, *values: F.element_at(
+        F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    route = F.col("o_orderkey") % 13 % 7
+    node = pick(route, "research", "extract", "critique", "extract", "critique", "FINISH", "summarise")
+    which = F.floor(F.col("o_orderkey") / 7)
+    text = (F.when(node == "extract", pick(which, *EXTRACT_REPLIES))
+            .when(node == "critique", pick(which, *CRITIC_REPLIES))
+            .otherwise(pick(which, *TOOL_REPLIES)))
+    return o.select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("step"), node.alias("node"),
+                    text.alias("text"), (F.col("o_orderpriority") == "1-URGENT").alias("flagged"))
+
+
+# Replies of the agent trace.
+EXTRACT_REPLIES = [
+    '{"area": "net", "severity": "low", "kind": "ui"}', 'Sure:\n{"area": "net", "severity": "high", "kind": "crash"}.',
+    'I could not decide.', '{"area": " ", "severity": "low", "kind": "ui"}',
+    '{"area": "net", "severity": "urgent", "kind": "ui"}', '{"area": "net", "severity": "med", "kind": "bug"}',
+    '[1, 2]', '12 reports seen: {"area": "dom", "severity": "med", "kind": "data"}',
+    '{"area": "a", "severity": "low", "kind": "ui"} or {"area": "b", "severity": "low", "kind": "ui"}',
+]
+CRITIC_REPLIES = [
+    '{"ok": true}', '{"ok": false, "reason": "wrong area"}', '{"reason": "no verdict"}', 'unreadable',
+    '{"ok": null, "reason": "null"}', '{"ok": "no"}', '{"ok": ""}', '{"ok": []}', '{"ok": 0}', '{"ok": [0]}',
+    '{"ok": true} trailing',
+]
+TOOL_REPLIES = ['{"error": "timeout"}', '{"results": 3}', 'note']
+
+
 # The test tables' conversation roles read as routing decisions.
 ROLE_AS_DECISION = {"user": "research", "assistant": "extract", "system": "critique"}
 
@@ -130,14 +157,19 @@ def extraction_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The body is a JSON object built from the row: area = market segment,
     severity = mapped priority, kind from the order status. Low-priority rows
-    wrap it in prose, unspecified-priority rows give no JSON at all.
+    wrap it in prose, medium-priority ones put a number or a quoted word before
+    it, unspecified-priority rows give no JSON at all.
     """
-    r = severity_reports(spark, sf_dir, spread=True)  # JSON work per row follows
+    r = severity_reports(spark, sf_dir)
     level = T.map_severity(F.col("severity"), ORDER_PRIORITY_SEVERITY)
     kind = (F.when(F.col("status") == "F", F.lit("data")).when(F.col("status") == "O", F.lit("other"))
             .otherwise(F.lit("pending")))
     body = F.to_json(F.struct(F.col("component").alias("area"), level.alias("severity"), kind.alias("kind")))
     reply = (F.when(F.col("severity") == "5-LOW", F.concat(F.lit("Here is the JSON:\n"), body, F.lit("\nDone.")))
              .when(F.col("severity") == "4-NOT SPECIFIED", F.lit("I could not decide."))
+             .when((F.col("severity") == "3-MEDIUM") & (F.col("id") % 3 == 0),
+                   F.concat(F.lit("12 reports seen: "), body))
+             .when((F.col("severity") == "3-MEDIUM") & (F.col("id") % 3 == 1),
+                   F.concat(F.lit('"sure" '), body, F.lit(" true")))
              .otherwise(body))
     return r.select("id", "component", "summary", reply.alias("reply"))

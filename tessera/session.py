@@ -43,23 +43,6 @@ def parallelism(spark: SparkSession) -> int:
             return 8
 
 
-def ensure_parallelism(df):
-    """Spread a freshly read DataFrame over all task slots before heavy per-row work.
-
-    Call it on a scan (no exchange in the plan): counting the partitions of a
-    plan with shuffles would run its shuffle stages under AQE. A no-op when
-    the scan already has at least as many partitions as slots (always the case
-    for large inputs); an input read from one file or row group gets one
-    round-robin shuffle instead of running in one task.
-    """
-    par = parallelism(df.sparkSession)
-    try:
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view on this session
-        return df
-    return df if n >= par else df.repartition(par)
-
-
 def has_context(spark: SparkSession) -> bool:
     try:
         spark.sparkContext  # noqa: B018
@@ -104,20 +87,36 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+    """The shared checkpoint folder that the session names in ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared, durable folder and is used as is.
-    Only where it is unset (tests, local runs) a fresh scratch folder is taken.
+    A folder set on the context (``setCheckpointDir``) serves as well. There is
+    no fallback: a machine-local folder would not be seen by other executors.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured and has_context(spark):
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if has_context(spark):
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    context = spark.sparkContext if has_context(spark) else None
+    current = context.getCheckpointDir() if context else None
+    if not configured and not current:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if configured and context and not current:
+        context.setCheckpointDir(configured)
+    return configured or current
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store (through Hadoop's file systems)."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def write_small_file(spark: SparkSession, path: str, text: str) -> None:
+    """One small text file in the shared store (through Hadoop's file systems)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def cut_lineage(df, eager: bool = True):

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -8,8 +9,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from tessera.session import checkpoint_dir, local_session
+    from tessera.session import local_session
     s = local_session(8, shuffle_partitions=8, app="tessera-tests")
-    checkpoint_dir(s)
+    if not s.conf.get("spark.checkpoint.dir", None):
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-test-"))
     yield s
     s.stop()
