@@ -2,8 +2,9 @@
 
 Words and adjacent word pairs are hashed into ``n_buckets`` counters, once over
 the whole raw corpus and once over the trusted documents. A document's score is
-the mean over its n-grams of ``ln p_trusted(bucket) - ln p_raw(bucket)``
-(add-one smoothing); documents under a fixed threshold are rejected. Everything
+the mean over its n-grams of ``ln p_trusted(bucket) - ln p_raw(bucket)``, with
+both smoothed towards each other by ``PRIOR`` n-grams a bucket, so that rare
+n-grams say little; documents under a fixed threshold are rejected. Everything
 is DataFrame expressions: the counters are one partial aggregate over exploded
 buckets (at most ``n_buckets`` rows leave a task), and the table of
 ``n_buckets`` log ratios comes back as a one-row scalar subquery, so no text is
@@ -26,7 +27,9 @@ SYMBOL_RE = r"[#*$%&|<>]"
 N_BUCKETS = 1 << 16
 #: Bound of the labelled rows that the trusted model is fitted on.
 MAX_TRUSTED = 20_000
-THRESHOLD = -0.08
+#: N-grams per bucket at which trusted and raw counts start alike.
+PRIOR = 20
+THRESHOLD = -0.13
 MIN_WORDS = 50
 
 
@@ -97,9 +100,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS)
         "b", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("r", F.lit(0)).alias("r")))).alias("m"))
     total = lambda f: F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x[f])
     return (table.withColumns({"nt": total("t"), "nr": total("r")})
-            .select(F.when(F.col("nt") > 0, F.transform("m", lambda x:
-                    F.log((x["t"] + 1) / (F.col("nt") + n_buckets))
-                    - F.log((x["r"] + 1) / (F.col("nr") + n_buckets)))).alias("m")))
+            .select(F.when(F.col("nt") > 0, F.transform("m", lambda x: F.log(
+                (x["t"] * F.col("nr") / F.col("nt") + PRIOR) / (x["r"] + PRIOR)))).alias("m")))
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKETS,
