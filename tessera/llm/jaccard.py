@@ -9,17 +9,20 @@ when ``100 * intersection >= 80 * union``. The join runs over distinct sets
    bucket occurs in the corpus (a sketch of ``BUCKETS`` counters over all
    documents), then by hash, so passages that many documents share come last
    and cells stay small. Cells with the same members are kept once.
-2. Stars. In each cell the least class is the hub; every class is verified
-   against the hub it meets most often, and the links are joined to components.
-3. The rest. Only cells that still hold several components go on. Their
-   classes are points, the counts of their shingles in ``GROUPS`` hash groups;
-   a packed R-tree over the points is joined with itself, and pairs of boxes,
-   then of points, go on only if their sizes and the sum of their coordinate
-   minima (an upper bound of the intersection) allow a link. All pairs that
-   survive, across components, are verified and joined in.
-
-A pair of linked sets therefore either is in one component after 2 or is
-verified in 3: no link is lost. Verification reads the texts of the classes
+2. Points. A class is a point, the counts of its shingles in ``GROUPS`` hash
+   groups; the sum of two points' coordinate minima bounds their intersection.
+3. Leaders. In each cell a class that the bound lets link with an earlier
+   leader is paired with it, any other becomes a leader; every class is
+   verified against the leader that most cells propose, and the links are
+   joined to components. This runs ``LEAD_ROUNDS`` times in different orders, so
+   a family of many near copies costs as many pairs as it has members.
+4. The rest. Only cells that still hold several components go on. A packed
+   R-tree over a cell's points is joined with itself: pairs of boxes, then of
+   points, go on only if sizes and bound allow a link. All pairs that survive,
+   across components, are verified and joined in.
+
+A pair of linked sets therefore either is in one component after 3 or is
+verified in 4: no link is lost. Verification reads the texts of the classes
 concerned only, in groups of one hub and at most ``CHUNK`` partners; cells of
 over ``BLOCK`` classes are joined block by block.
 
@@ -37,56 +40,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shuffle_width
+from tessera.llm.wordhash import hash_words, mix
 from tessera.session import cut_lineage
 
 SHINGLE = 5
 BUCKETS = 1 << 18
-GROUPS = 64
+GROUPS = 128
 CHUNK = 256
+#: Rounds of leader pairs before all remaining pairs are listed.
+LEAD_ROUNDS = 2
 BLOCK = 2048
 LEAF, FAN = 32, 16
 #: Rows of a key table that may be broadcast to fetch texts (checked by a count); beyond, a shuffle join.
 MAX_BROADCAST_ROWS = 1_000_000
-MAX_WORDS = 500_000
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+COUNTER_BLOCK = 4096
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def shingle_sets(texts: list[bytes | None], order: np.ndarray | None = None,
+                 size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending distinct shingles of all texts one after the other, where each text starts).
 
+    With ``order`` (a permutation of the hash buckets) a shingle's leading bits
+    are replaced by its bucket's place, a bijection that makes the numeric
+    order the cells' common order.
+    """
+    h, n, *_ = hash_words(texts)
+    end = np.cumsum(n)
+    count = np.where(n >= size, n - size + 1, n > 0)  # a short text is one shingle
+    stop = np.cumsum(count)
+    # every run of words in the joined texts, then those that lie inside one text
+    run = h[:max(0, len(h) - size + 1)].copy()
+    for k in range(1, size):
+        run = run * _ODD + h[k:k + len(run)]
+    shingles = np.zeros(int(count.sum()), np.uint64)
+    long = np.flatnonzero(n >= size)
+    take = count[long]
+    inside = np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
+    shingles[np.repeat(stop[long] - take, take) + inside] = run[np.repeat(end[long] - n[long], take) + inside]
+    for i in np.flatnonzero((n > 0) & (n < size)).tolist():
+        value = np.uint64(n[i])
+        for x in h[end[i] - n[i]:end[i]]:
+            value = (np.array([value]) * _ODD + x)[0]
+        shingles[stop[i] - 1] = value
+    shingles = mix(shingles)
+    if order is not None:
+        rest = np.uint64(64 - (BUCKETS.bit_length() - 1))
+        shingles = (order[_bucket(shingles)] << rest) | (shingles & ((np.uint64(1) << rest) - np.uint64(1)))
+    for lo, hi in zip((stop - count).tolist(), stop.tolist(), strict=True):
+        shingles[lo:hi].sort()
+    new = np.ones(len(shingles), bool)
+    new[1:] = shingles[1:] != shingles[:-1]
+    new[(stop - count)[count > 0]] = True
+    starts = np.concatenate([[0], np.cumsum(new)])[np.concatenate([[0], stop])]
+    return shingles[new], starts
+
+
+def _reduce(f, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``f`` over each text's shingles; 0 for an empty set."""
+    out = np.zeros(len(starts) - 1, values.dtype)
+    some = np.flatnonzero(np.diff(starts) > 0)
+    if len(some):
+        out[some] = f.reduceat(values, starts[some])
+    return out
 
-class Shingler(dict):
-    """Word hashes by word, kept while there is room."""
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) > MAX_WORDS:
-            self.clear()
-        self[word] = h
-        return h
-
-    def set_of(self, text: bytes | None, size: int = SHINGLE) -> np.ndarray:
-        """Ascending distinct shingle hashes of a text."""
-        words = text.lower().split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        width = min(size, len(words))
-        n = len(h) - width + 1
-        s = h[:n].copy()
-        for k in range(1, width):
-            s = _mix(s) + h[k:k + n]
-        return np.unique(_mix(s ^ np.uint64(width)))
-
-
-def signature(shingles: np.ndarray) -> int:
-    """The class of a set: one 64-bit value of all its shingles."""
-    total = int(_mix(shingles * _ODD).sum(dtype=np.uint64)) ^ int(np.bitwise_xor.reduce(shingles))
-    v = int(_mix(np.array([(total + len(shingles)) % (1 << 64)], np.uint64))[0])
-    return v - (1 << 64) if v >> 63 else v
+def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The class of each set: one 64-bit value of all its shingles."""
+    total = _reduce(np.add, shingles, starts) + _reduce(np.bitwise_xor, shingles, starts) * np.uint64(3)
+    return mix(total + np.diff(starts).astype(np.uint64)).view(np.int64)
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
@@ -97,77 +119,86 @@ def _texts(batch, column: int) -> list:
     return batch.column(column).to_pylist()
 
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """How many distinct (document, shingle) fall in each bucket; BUCKETS numbers reach the driver."""
+def profiles(docs: DataFrame) -> DataFrame:
+    """Rows of (row, text) -> row, n, sig (the row number for an empty set), vec (group counts, uint32).
+
+    A row without ``row`` holds, as ``vec``, the counters of one task: how many
+    distinct (document, shingle) fall in the buckets of block ``n``.
+    """
     import pyarrow as pa
-    size = 4096
+    schema = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("vec", pa.binary())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, total = Shingler(), np.zeros(BUCKETS, np.int64)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            texts = _texts(batch, 0)
+            rows, texts = batch.column(0).to_numpy(), _texts(batch, 1)
             for lo in range(0, len(texts), 512):
-                sets = [shingler.set_of(t) for t in texts[lo:lo + 512]]
-                total += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
+                own = rows[lo:lo + 512]
+                s, starts = shingle_sets(texts[lo:lo + 512])
+                n = np.diff(starts)
+                total += np.bincount(_bucket(s), minlength=BUCKETS)
+                group = np.repeat(np.arange(len(own)), n) * GROUPS + (s % np.uint64(GROUPS)).astype(np.int64)
+                vec = np.bincount(group, minlength=len(own) * GROUPS).astype(np.uint32).reshape(len(own), GROUPS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own), pa.array(n, pa.int64()), pa.array(np.where(n > 0, signatures(s, starts), own)),
+                     pa.array([v.tobytes() for v in vec], pa.binary())], schema=schema)
+        blocks = range(0, BUCKETS, COUNTER_BLOCK)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(BUCKETS // size), pa.int32()),
-             pa.array([total[i:i + size].astype(np.uint32).tobytes() for i in range(0, BUCKETS, size)])], ["b", "n"])
+            [pa.nulls(len(blocks), pa.int64()), pa.array([b // COUNTER_BLOCK for b in blocks], pa.int64()),
+             pa.array(np.arange(len(blocks)), pa.int64()),
+             pa.array([total[b:b + COUNTER_BLOCK].astype(np.uint32).tobytes() for b in blocks], pa.binary())],
+            schema=schema)
 
-    def add(group: pa.Table) -> pa.Table:
-        n = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in group.column("n").to_pylist())
-        return pa.table({"b": group.column("b").slice(0, 1), "n": pa.array([n.tobytes()], pa.binary())})
-
-    parts = docs.select("text").mapInArrow(count, "b int, n binary").groupBy("b").applyInArrow(add, "b int, n binary")
-    out = np.zeros(BUCKETS, np.int64)
-    for r in parts.collect():
-        out[r["b"] * size:(r["b"] + 1) * size] = np.frombuffer(bytes(r["n"]), np.int64)
-    return out
+    return docs.select("row", "text").mapInArrow(scan, "row long, n long, sig long, vec binary")
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """Rows of (row, text) -> row, n, sig (the row number for an empty set), vec (group counts, uint16)."""
+def bucket_order(profile: DataFrame) -> np.ndarray:
+    """Each bucket's place when they are sorted by their counters; BUCKETS numbers reach the driver."""
     import pyarrow as pa
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for batch in batches:
-            rows, n, sig, vec = _texts(batch, 0), [], [], []
-            for row, text in zip(rows, _texts(batch, 1), strict=True):
-                s = shingler.set_of(text)
-                n.append(len(s))
-                sig.append(signature(s) if len(s) else row)
-                counts = np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
-                vec.append(counts.astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(n, pa.int64()),
-                                              pa.array(sig, pa.int64()), pa.array(vec, pa.binary())],
-                                             ["row", "n", "sig", "vec"])
+    def add(group: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in group.column("vec").to_pylist())
+        return pa.table({"n": group.column("n").slice(0, 1), "vec": pa.array([n.tobytes()], pa.binary())})
 
-    return docs.select("row", "text").mapInArrow(scan, "row long, n long, sig long, vec binary")
+    parts = profile.filter("row is null").select("n", "vec").groupBy("n").applyInArrow(add, "n long, vec binary")
+    total = np.zeros(BUCKETS, np.int64)
+    for r in parts.collect():
+        total[r["n"] * COUNTER_BLOCK:(r["n"] + 1) * COUNTER_BLOCK] = np.frombuffer(bytes(r["vec"]), np.int64)
+    place = np.empty(BUCKETS, np.uint64)
+    place[np.argsort(total, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
+    return place
 
 
 def cells(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
     """Distinct member lists of the prefix cells with two classes or more: cell, hub, weight, members."""
     import pyarrow as pa
-    shared = docs.sparkSession.sparkContext.broadcast(order.astype(np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, rank = Shingler(), shared.value
+        place = shared.value
         schema = pa.schema([("shard", pa.int32()), ("h", pa.binary()), ("sig", pa.binary())])
         for batch in batches:
-            found: dict[int, np.ndarray] = {}
-            for text in _texts(batch, 0):
-                s = shingler.set_of(text)
-                if not len(s):
-                    continue
-                sig = signature(s)
-                if sig not in found:
-                    p = len(s) - (4 * len(s) + 4) // 5 + 1
-                    found[sig] = s[np.lexsort((s, rank[_bucket(s)]))[:p]]
-            if not found:
+            seen: set[int] = set()
+            keep_h, keep_sig = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            texts = _texts(batch, 0)
+            for lo in range(0, len(texts), 512):
+                s, starts = shingle_sets(texts[lo:lo + 512], place)
+                n = np.diff(starts)
+                # the signature is that of the plain shingles: undo the order's bijection
+                sig = signatures(_plain(s, place), starts)
+                wanted = []
+                for i, x in enumerate(sig.tolist()):
+                    if n[i] and x not in seen:
+                        seen.add(x)
+                        wanted.append(i)
+                p = n[wanted] - (4 * n[wanted] + 4) // 5 + 1
+                at = np.repeat(starts[wanted] - (np.cumsum(p) - p), p) + np.arange(p.sum())
+                keep_h.append(s[at])
+                keep_sig.append(np.repeat(sig[wanted], p))
+            h, sig = np.concatenate(keep_h), np.concatenate(keep_sig)
+            if not len(h):
                 continue
-            h = np.concatenate(list(found.values()))
-            sig = np.repeat(np.array(list(found), np.int64), [len(v) for v in found.values()])
-            shard = (_mix(h) % np.uint64(shards)).astype(np.int64)
+            shard = (mix(h) % np.uint64(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
             h, sig, shard = h[by], sig[by], shard[by]
             cut = np.flatnonzero(np.diff(shard, prepend=-1))
@@ -176,6 +207,7 @@ def cells(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
                  for a, b in zip(cut, np.append(cut[1:], len(shard)), strict=True)], schema)
 
     def gather(group: pa.Table) -> pa.Table:
+        import xxhash
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("h").to_pylist()])
         sig = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("sig").to_pylist()])
         by = np.lexsort((sig, h))
@@ -189,7 +221,6 @@ def cells(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
         for a, n in zip(cut[size > 1].tolist(), size[size > 1].tolist(), strict=True):
             key = sig[a:a + n].tobytes()
             lists[key] = lists.get(key, 0) + 1
-        import xxhash
         names = [xxhash.xxh3_64_intdigest(k) >> 1 for k in lists]
         return pa.table({"cell": pa.array(names, pa.int64()),
                          "members": pa.array(list(lists), pa.binary()),
@@ -197,15 +228,15 @@ def cells(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cell, weight, members in zip(*(_texts(batch, i) for i in range(3)), strict=True):
-                m = np.frombuffer(members, np.int64)
-                for lo in range(0, len(m), 1 << 16):
-                    own = m[lo:lo + (1 << 16)]
-                    k = len(own)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k, cell), pa.int64()), pa.array(np.full(k, weight), pa.int64()),
-                         pa.array(np.full(k, m[0]), pa.int64()), pa.array(own, pa.int64()),
-                         pa.array(np.full(k, len(m)), pa.int64())], ["cell", "weight", "hub", "sig", "size"])
+            cell, weight = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo in range(0, len(cell), 1024):
+                lists = [np.frombuffer(m, np.int64) for m in batch.column(2).slice(lo, 1024).to_pylist()]
+                k = np.array([len(m) for m in lists])
+                own = slice(lo, lo + 1024)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(cell[own], k)), pa.array(np.repeat(weight[own], k)),
+                     pa.array(np.repeat([m[0] for m in lists], k)), pa.array(np.concatenate(lists)),
+                     pa.array(np.repeat(k, k))], ["cell", "weight", "hub", "sig", "size"])
 
     lists = (docs.select("text").mapInArrow(prefixes, "shard int, h binary, sig binary")
              .groupBy("shard").applyInArrow(gather, "cell long, members binary, weight long")
@@ -214,6 +245,14 @@ def cells(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
         explode, "cell long, weight long, hub long, sig long, size long")
 
 
+def _plain(ordered: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The shingles whose leading bits ``place`` has replaced."""
+    rest = np.uint64(64 - (BUCKETS.bit_length() - 1))
+    back = np.empty(BUCKETS, np.uint64)
+    back[place.astype(np.int64)] = np.arange(BUCKETS, dtype=np.uint64)
+    return (back[_bucket(ordered)] << rest) | (ordered & ((np.uint64(1) << rest) - np.uint64(1)))
+
+
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The pairs (a, b) of classes whose sets link, from the texts of one row of each class."""
     import pyarrow as pa
@@ -226,19 +265,15 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, chunk: int = C
     texts = docs.select("row", "text").join(F.broadcast(need) if small else need, "row").select("sig", "text")
 
     def check(group: pa.Table) -> pa.Table:
-        a = group.column("a")[0].as_py()
-        shingler, hub, sets = Shingler(), None, []
-        for sig, text in zip(group.column("sig").to_pylist(), group.column("text").to_pylist(), strict=True):
-            s = shingler.set_of(text)
-            if sig == a:
-                hub = s
-            else:
-                sets.append((sig, s))
-        out = []
-        for sig, s in sets:
-            both = len(np.intersect1d(hub, s, assume_unique=True))
-            if 9 * both >= 4 * (len(hub) + len(s)):  # 100 both >= 80 (|A| + |B| - both)
-                out.append(sig)
+        a, sig = group.column("a")[0].as_py(), group.column("sig").to_pylist()
+        s, starts = shingle_sets(group.column("text").to_pylist())
+        n = np.diff(starts)
+        i = sig.index(a)
+        hub = s[starts[i]:starts[i + 1]]
+        at = np.minimum(np.searchsorted(hub, s), len(hub) - 1)
+        both = _reduce(np.add, (hub[at] == s).astype(np.int64), starts)
+        # 100 both >= 80 (|A| + |B| - both)
+        out = [x for x, ok in zip(sig, (9 * both >= 4 * (n + n[i])).tolist(), strict=True) if ok and x != a]
         return pa.table({"a": pa.array([a] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
     return keys.join(texts, "sig").groupBy("a", "chunk").applyInArrow(check, "a long, b long")
@@ -276,7 +311,7 @@ def rtree_join(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.
 
     def passes(ta, lo_a, hi_a, tb, lo_b, hi_b):
         ok = (5 * hi_a >= 4 * lo_b) & (5 * hi_b >= 4 * lo_a)
-        ok[ok] = 9 * np.minimum(ta[ok], tb[ok]).sum(1) >= 4 * (lo_a[ok] + lo_b[ok])
+        ok[ok] = 9 * np.minimum(ta[ok], tb[ok]).sum(1, dtype=np.int64) >= 4 * (lo_a[ok] + lo_b[ok])
         return ok
 
     def children(level, node, size):
@@ -310,33 +345,80 @@ def rtree_join(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.
             depth_b -= 1
 
 
-def cross_pairs(mixed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Distinct candidate pairs (a < b) of one cell and different components.
+def leader_pairs(vec: np.ndarray, n: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """A pair (leader, point) for each point that the bound lets link with an earlier leader.
+
+    A point that no leader may link with becomes a leader itself; of several
+    leaders in other components the one of the highest bound is taken.
+    """
+    lead = np.zeros(len(n), np.int64)
+    k, out = 0, []
+    for i in range(len(n)):
+        at = lead[:k]
+        both = np.minimum(vec[at], vec[i]).sum(1, dtype=np.int64)
+        total = n[at] + n[i]
+        ok = (5 * n[at] >= 4 * n[i]) & (5 * n[i] >= 4 * n[at]) & (9 * both >= 4 * total)
+        if not ok.any():
+            lead[k] = i
+            k += 1
+            continue
+        ok &= comp[at] != comp[i]
+        if ok.any():
+            out.append((int(at[np.where(ok, both / total, -1.0).argmax()]), i))
+    return out
+
+
+def cell_pairs(mixed: DataFrame, lead: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Candidate pairs (a, b) of one cell and different components, with w, the cells that propose it.
 
-    Rows of (cell, size, sig, comp, n, vec). A cell is cut into blocks of about
-    ``block`` classes, and each pair of its blocks is one group.
+    Rows of (cell, size, weight, sig, comp, n, vec). A cell is cut into blocks
+    of about ``block`` classes, each pair of its blocks is one unit of work, and
+    the units are dealt over the shuffle's partitions, many small ones to a
+    group. All pairs a < b that the bound allows, through the R-tree; with
+    ``lead``, a seed of the points' order, only the (leader, point) pairs of
+    ``leader_pairs`` inside blocks.
     """
     import pyarrow as pa
+    shards = 4 * shuffle_width(mixed.sparkSession)
     n = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("sig"), n).cast("int")
-    others = F.sequence(F.lit(0), n - 1)
+    others = F.array(own) if lead is not None else F.sequence(F.lit(0), n - 1)
     spread = (mixed.withColumn("block", own).withColumn("other", F.explode(others))
               .select("cell", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-                      "block", "sig", "comp", "n", "vec"))
+                      "block", "weight", "sig", "comp", "n", "vec")
+              .withColumn("shard", F.pmod(F.xxhash64("cell", "x", "y"), F.lit(shards))))
 
     def join(group: pa.Table) -> pa.Table:
-        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
-        block_, sig, comp, size = (group.column(c).to_numpy() for c in ("block", "sig", "comp", "n"))
-        vec = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.uint32).reshape(len(sig), -1).astype(np.int64)
-        p, q = np.flatnonzero(block_ == x), np.flatnonzero(block_ == y)
-        i, j = rtree_join((vec[p], size[p]), (vec[q], size[q]))
-        i, j = p[i], q[j]
-        keep = comp[i] != comp[j]
-        a, b = np.minimum(sig[i[keep]], sig[j[keep]]), np.maximum(sig[i[keep]], sig[j[keep]])
-        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    return spread.groupBy("cell", "x", "y").applyInArrow(join, "a long, b long").distinct()
+        cell, x, y, block_, weight, sig, comp, size = (
+            group.column(c).to_numpy() for c in ("cell", "x", "y", "block", "weight", "sig", "comp", "n"))
+        vec = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.uint32).reshape(len(sig), -1)
+        turn = sig if not lead else mix(sig.view(np.uint64) ^ np.uint64(lead))
+        order = np.lexsort((turn, block_, y, x, cell))
+        key = np.stack([cell, x, y], 1)[order]
+        cut = np.append(np.flatnonzero((np.diff(key, axis=0, prepend=key[:1] - 1) != 0).any(1)), len(order))
+        found, weights = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            unit = order[lo:hi]
+            if lead is None:
+                p, q = unit[block_[unit] == x[unit[0]]], unit[block_[unit] == y[unit[0]]]
+                i, j = rtree_join((vec[p], size[p]), (vec[q], size[q]))
+                i, j = p[i], q[j]
+            else:
+                got = np.array(leader_pairs(vec[unit], size[unit], comp[unit]), np.int64).reshape(-1, 2)
+                i, j = unit[got[:, 0]], unit[got[:, 1]]
+            keep = comp[i] != comp[j]
+            a, b = sig[i[keep]], sig[j[keep]]
+            if lead is None:
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            found.append(np.stack([a, b], 1))
+            weights.append(np.full(len(a), weight[unit[0]], np.int64))
+        pairs, place = np.unique(np.concatenate(found), axis=0, return_inverse=True)
+        w = np.bincount(place.reshape(-1), np.concatenate(weights), len(pairs)).astype(np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64()),
+                         "w": pa.array(w, pa.int64())})
+
+    return spread.groupBy("shard").applyInArrow(join, "a long, b long, w long").groupBy("a", "b").agg(
+        F.sum("w").alias("w"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -370,25 +452,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
-    profile = cut_lineage(rows.select("row", "doc_id").join(profiles(rows), "row"))
-    classes = profile.filter("n > 0").groupBy("sig").agg(
-        F.min("row").alias("row"), F.min("doc_id").alias("class_id"), F.min("n").alias("n"), F.min("vec").alias("vec"))
-    cell = cut_lineage(cells(rows, bucket_counts(rows), 2 * shuffle_width(spark)))
-    met = cell.filter("sig <> hub").groupBy("sig", "hub").agg(F.sum("weight").alias("w"))
-    stars = met.groupBy("sig").agg(F.max_by("hub", F.struct("w", "hub")).alias("hub"))
-    linked = cut_lineage(verify(stars.select(F.col("hub").alias("a"), F.col("sig").alias("b")), classes, rows))
-    first = components(linked)
+    scanned = cut_lineage(profiles(rows))
+    profile = rows.select("row", "doc_id").join(scanned, "row")
+    classes = cut_lineage(profile.filter("n > 0").groupBy("sig").agg(
+        F.min("row").alias("row"), F.min("doc_id").alias("class_id"), F.min("n").alias("n"), F.min("vec").alias("vec")))
+    cell = cut_lineage(cells(rows, bucket_order(scanned), 2 * shuffle_width(spark)))
+    points = cell.join(classes.select("sig", "n", "vec"), "sig")
     own = F.coalesce("comp", F.col("sig")).alias("comp")
-    named = cell.select("cell", "size", "sig").join(first.withColumnRenamed("node", "sig"), "sig", "left").select(
-        "cell", "size", "sig", own)
-    open_cells = (named.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-                  .filter("x <> y").select("cell"))
-    mixed = named.join(open_cells, "cell").join(classes.select("sig", "n", "vec"), "sig")
-    pairs = cut_lineage(cross_pairs(mixed).join(stars.select(F.col("hub").alias("a"), F.col("sig").alias("b")),
-                                                ["a", "b"], "left_anti"))
-    more = cut_lineage(verify(pairs, classes, rows))
-    links = linked.unionByName(more)
-    final = components(first.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
+    links = tested = first = None
+    for turn in [*range(LEAD_ROUNDS), None]:
+        mixed = points.withColumn("comp", F.col("sig"))
+        if first is not None:
+            named = cell.join(first.withColumnRenamed("node", "sig"), "sig", "left").select(
+                "cell", "size", "weight", "sig", own)
+            open_cells = (named.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+                          .filter("x <> y").select("cell"))
+            mixed = named.join(open_cells, "cell").join(classes.select("sig", "n", "vec"), "sig")
+        pairs = cell_pairs(mixed, turn)
+        if tested is not None:
+            low, high = F.least("a", "b") == F.col("t_a"), F.greatest("a", "b") == F.col("t_b")
+            pairs = pairs.join(tested, low & high, "left_anti")
+        if turn is not None:  # every class tries the leader that most cells propose
+            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
+        pairs = cut_lineage(pairs.select("a", "b"))
+        found = cut_lineage(verify(pairs, classes, rows))
+        done = pairs.select(F.least("a", "b").alias("t_a"), F.greatest("a", "b").alias("t_b"))
+        tested = done if tested is None else tested.unionByName(done)
+        links = found if links is None else links.unionByName(found)
+        before = found if first is None else first.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(
+            found)
+        first = components(before)
+    final = first
     of = classes.select("sig", "class_id").join(final.withColumnRenamed("node", "sig"), "sig", "left").select(
         "sig", "class_id", own)
     ids = of.groupBy("comp").agg(F.min("class_id").alias("component_id"))
