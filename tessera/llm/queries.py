@@ -127,7 +127,44 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules_table(spark))
 
 
-@register("op10_license_scan")
+def _license_sql() -> str:
+    from tessera.llm.licenses import RULES, SENTENCES
+    quote = lambda x: "'" + x + "'"
+    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in SENTENCES.items())
+
+    def cut(stops: str) -> str:
+        plain = (f"regexp_replace(regexp_replace(t, '{stops}', chr(1) || '\\1', 'g'), "
+                 f"'[^' || chr(1) || '\\p{{L}}\\p{{N}}]+', ' ', 'g')")
+        return (f"list_filter(list_transform(string_split({plain}, chr(1)), lambda x: map_extract(names, trim(x))[1]), "
+                "lambda x: x IS NOT NULL)")
+    steps, left = [], "q0"
+    for i, (_, _, seq) in enumerate(RULES):
+        want = quote("|" + "||".join(seq) + "|")
+        steps.append(f"{left}n AS (SELECT *, contains(seq{i}, {want}) AS r{i}, replace(seq{i}, {want}, '#') AS seq{i + 1} "
+                     f"FROM {left})")
+        left = f"{left}n"
+    names = "[" + ", ".join(f"CASE WHEN r{i} THEN {quote(n)} END" for i, (n, _, _) in enumerate(RULES)) + "]"
+    kinds = "[" + ", ".join(f"CASE WHEN r{i} THEN {quote(k)} END" for i, (_, k, _) in enumerate(RULES)) + "]"
+    return f"""
+WITH k AS (SELECT map(list(s), list(id)) AS names FROM (VALUES {known}) v(id, s)),
+d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+b AS (SELECT doc_id, {cut('[.!?:;](\\s|$)|\\n')} AS a, {cut('[.!?:;](\\s|$)|\\n[ \\t\\r]*\\n')} AS b FROM d, k),
+q0 AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids,
+              coalesce(array_to_string(list_transform(CASE WHEN len(b) > len(a) THEN b ELSE a END,
+                                                      lambda x: '|' || x || '|'), ''), '') AS seq0 FROM b),
+{", ".join(steps)},
+f AS (SELECT doc_id, ids, seq{len(RULES)} AS rest, list_sort(list_distinct(list_filter({names}, lambda x: x IS NOT NULL)))
+             AS names, {kinds} AS kinds FROM {left})
+SELECT doc_id, len(ids)::BIGINT AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
+       CASE WHEN len(names) > 0 THEN array_to_string(names, ',') END AS licenses,
+       CASE WHEN list_contains(kinds, 'noncommercial') THEN 'noncommercial' WHEN list_contains(kinds, 'copyleft')
+            THEN 'copyleft' WHEN list_contains(kinds, 'permissive') THEN 'permissive'
+            WHEN len(ids) > 0 THEN 'unknown' END AS kind,
+       len(regexp_extract_all(rest, '[a-z0-9-]+'))::BIGINT AS n_unmatched
+FROM f"""
+
+
+@register("op10_license_scan", _license_sql())
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.licenses import scan_licenses
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -140,7 +177,29 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("keep.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-@register("op6_decontaminate")
+_DECONTAMINATE_SQL = r"""
+WITH it AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(translate(coalesce(text, ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS g
+        FROM it, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS u(i) WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents),
+dw AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+       FROM d, (SELECT DISTINCT k FROM win), unnest(range(1, greatest(len(w) - k, -1) + 2)) AS u(i)),
+h AS (SELECT dw.r, dw.k, dw.i, win.item_id FROM dw JOIN win ON dw.k = win.k AND dw.g = win.g),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM h, unnest(range(i, i + k)) AS u(p) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+        FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)
+"""
+
+
+@register("op6_decontaminate", _DECONTAMINATE_SQL)
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -160,8 +219,27 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
                            public_tokenizers.path(VOCABULARY))
 
 
-@register("op1_ngram_jaccard_join")
+_JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w),
+c AS (SELECT min(r) AS c, min(doc_id) AS class_id, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+g AS (SELECT c, n, unnest(s) AS g FROM c),
+l AS (SELECT a.c AS a, b.c AS b FROM g a JOIN g b ON a.g = b.g AND a.c < b.c
+      GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT c AS a, c AS b FROM c UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+comp AS (SELECT reach.a AS c, min(c.class_id) AS component_id FROM reach JOIN c ON c.c = reach.b GROUP BY reach.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, CASE WHEN len(s.s) > 0 THEN component_id ELSE s.doc_id END
+       AS component_id, CASE WHEN len(s.s) > 0 THEN class_id ELSE s.doc_id END AS class_id
+FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN comp ON comp.c = c.c
+"""
+
+
+@register("op1_ngram_jaccard_join", _JACCARD_SQL)
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.jaccard import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", "n_shingles", "component_id", "class_id", "n_links")
+        "doc_id", "n_shingles", "component_id", "class_id")
