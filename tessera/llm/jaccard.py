@@ -14,17 +14,20 @@ when ``100 * intersection >= 80 * union``. The join runs over distinct sets
 3. Leaders. In each cell a class that the bound lets link with an earlier
    leader is paired with it, any other becomes a leader; every class is
    verified against the leader that most cells propose, and the links are
-   joined to components. This runs ``LEAD_ROUNDS`` times in different orders, so
-   a family of many near copies costs as many pairs as it has members.
+   joined to components. A family of many near copies costs as many pairs as
+   it has members.
 4. The rest. Only cells that still hold several components go on. A packed
    R-tree over a cell's points is joined with itself: pairs of boxes, then of
-   points, go on only if sizes and bound allow a link. All pairs that survive,
-   across components, are verified and joined in.
+   points, go on only if sizes and bound allow a link. The classes that take
+   part in such a pair across components are tied to families; a family's texts
+   meet, the R-tree join runs over them again, and every pair across components
+   is verified unless links found before it have joined the two.
 
-A pair of linked sets therefore either is in one component after 3 or is
-verified in 4: no link is lost. Verification reads the texts of the classes
-concerned only, in groups of one hub and at most ``CHUNK`` partners; cells of
-over ``BLOCK`` classes are joined block by block.
+A pair of linked sets therefore is in one component after 3 or after 4: no link
+is lost that would join components. Verification reads the texts of the classes
+concerned only, in groups of at most ``CHUNK`` partners of one leader or two
+blocks of a family; cells and families of over ``BLOCK`` classes are cut into
+blocks.
 
 Defined results: a text without words, or null, has no set, links with nothing
 and is its own component; fewer than five words form one shingle; repeated rows
@@ -47,9 +50,7 @@ SHINGLE = 5
 BUCKETS = 1 << 18
 GROUPS = 128
 CHUNK = 256
-#: Rounds of leader pairs before all remaining pairs are listed.
-LEAD_ROUNDS = 2
-BLOCK = 2048
+BLOCK = 1024
 LEAF, FAN = 32, 16
 #: Rows of a key table that may be broadcast to fetch texts (checked by a count); beyond, a shuffle join.
 MAX_BROADCAST_ROWS = 1_000_000
@@ -253,6 +254,13 @@ def _plain(ordered: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (back[_bucket(ordered)] << rest) | (ordered & ((np.uint64(1) << rest) - np.uint64(1)))
 
 
+def class_texts(sigs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """sig, text: one text of each class that ``sigs`` names."""
+    need = cut_lineage(sigs.distinct().join(classes.select("sig", "row"), "sig"))
+    small = need.count() <= MAX_BROADCAST_ROWS
+    return docs.select("row", "text").join(F.broadcast(need) if small else need, "row").select("sig", "text")
+
+
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The pairs (a, b) of classes whose sets link, from the texts of one row of each class."""
     import pyarrow as pa
@@ -260,9 +268,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, chunk: int = C
     pairs = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     keys = pairs.select("a", "chunk", F.col("b").alias("sig")).unionByName(
         pairs.select("a", "chunk", F.col("a").alias("sig")).distinct())
-    need = cut_lineage(keys.select("sig").distinct().join(classes.select("sig", "row"), "sig"))
-    small = need.count() <= MAX_BROADCAST_ROWS
-    texts = docs.select("row", "text").join(F.broadcast(need) if small else need, "row").select("sig", "text")
+    texts = class_texts(keys.select("sig"), classes, docs)
 
     def check(group: pa.Table) -> pa.Table:
         a, sig = group.column("a")[0].as_py(), group.column("sig").to_pylist()
@@ -368,57 +374,126 @@ def leader_pairs(vec: np.ndarray, n: np.ndarray, comp: np.ndarray) -> list[tuple
     return out
 
 
-def cell_pairs(mixed: DataFrame, lead: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs (a, b) of one cell and different components, with w, the cells that propose it.
+def _units(mixed: DataFrame, block: int, pairwise: bool) -> DataFrame:
+    """Rows of cells dealt out as units of work: a block of a cell, or each pair of its blocks.
 
-    Rows of (cell, size, weight, sig, comp, n, vec). A cell is cut into blocks
-    of about ``block`` classes, each pair of its blocks is one unit of work, and
-    the units are dealt over the shuffle's partitions, many small ones to a
-    group. All pairs a < b that the bound allows, through the R-tree; with
-    ``lead``, a seed of the points' order, only the (leader, point) pairs of
-    ``leader_pairs`` inside blocks.
+    A cell is cut into blocks of about ``block`` classes; the units go over the
+    shuffle's partitions, many small ones to a ``shard``.
     """
-    import pyarrow as pa
     shards = 4 * shuffle_width(mixed.sparkSession)
     n = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("sig"), n).cast("int")
-    others = F.array(own) if lead is not None else F.sequence(F.lit(0), n - 1)
-    spread = (mixed.withColumn("block", own).withColumn("other", F.explode(others))
-              .select("cell", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-                      "block", "weight", "sig", "comp", "n", "vec")
-              .withColumn("shard", F.pmod(F.xxhash64("cell", "x", "y"), F.lit(shards))))
-
-    def join(group: pa.Table) -> pa.Table:
-        cell, x, y, block_, weight, sig, comp, size = (
-            group.column(c).to_numpy() for c in ("cell", "x", "y", "block", "weight", "sig", "comp", "n"))
-        vec = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.uint32).reshape(len(sig), -1)
-        turn = sig if not lead else mix(sig.view(np.uint64) ^ np.uint64(lead))
-        order = np.lexsort((turn, block_, y, x, cell))
-        key = np.stack([cell, x, y], 1)[order]
-        cut = np.append(np.flatnonzero((np.diff(key, axis=0, prepend=key[:1] - 1) != 0).any(1)), len(order))
+    others = F.sequence(F.lit(0), n - 1) if pairwise else F.array(own)
+    return (mixed.withColumn("block", own).withColumn("other", F.explode(others))
+            .select("cell", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+                    "block", "weight", "sig", "comp", "n", "vec")
+            .withColumn("shard", F.pmod(F.xxhash64("cell", "x", "y"), F.lit(shards))))
+
+
+def _each_unit(group) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """(columns, vectors, rows of the unit by block and class) of every unit of a shard."""
+    c = {k: group.column(k).to_numpy() for k in ("cell", "x", "y", "block", "weight", "sig", "comp", "n")}
+    vec = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.uint32).reshape(len(c["sig"]), -1)
+    order = np.lexsort((c["sig"], c["block"], c["y"], c["x"], c["cell"]))
+    key = np.stack([c["cell"], c["x"], c["y"]], 1)[order]
+    cut = np.append(np.flatnonzero((np.diff(key, axis=0, prepend=key[:1] - 1) != 0).any(1)), len(order))
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield c, vec, order[lo:hi]
+
+
+def leaders(points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """For every class the leader that most cells propose: a (leader), b.
+
+    Rows of (cell, size, weight, sig, comp, n, vec).
+    """
+    import pyarrow as pa
+
+    def lead(group: pa.Table) -> pa.Table:
         found, weights = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
-        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            unit = order[lo:hi]
-            if lead is None:
-                p, q = unit[block_[unit] == x[unit[0]]], unit[block_[unit] == y[unit[0]]]
-                i, j = rtree_join((vec[p], size[p]), (vec[q], size[q]))
-                i, j = p[i], q[j]
-            else:
-                got = np.array(leader_pairs(vec[unit], size[unit], comp[unit]), np.int64).reshape(-1, 2)
-                i, j = unit[got[:, 0]], unit[got[:, 1]]
-            keep = comp[i] != comp[j]
-            a, b = sig[i[keep]], sig[j[keep]]
-            if lead is None:
-                a, b = np.minimum(a, b), np.maximum(a, b)
-            found.append(np.stack([a, b], 1))
-            weights.append(np.full(len(a), weight[unit[0]], np.int64))
+        for c, vec, unit in _each_unit(group):
+            got = np.array(leader_pairs(vec[unit], c["n"][unit], c["comp"][unit]), np.int64).reshape(-1, 2)
+            found.append(c["sig"][unit][got])
+            weights.append(np.full(len(got), c["weight"][unit[0]], np.int64))
         pairs, place = np.unique(np.concatenate(found), axis=0, return_inverse=True)
         w = np.bincount(place.reshape(-1), np.concatenate(weights), len(pairs)).astype(np.int64)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64()),
                          "w": pa.array(w, pa.int64())})
 
-    return spread.groupBy("shard").applyInArrow(join, "a long, b long, w long").groupBy("a", "b").agg(
-        F.sum("w").alias("w"))
+    near = _units(points, block, False).groupBy("shard").applyInArrow(lead, "a long, b long, w long")
+    return (near.groupBy("a", "b").agg(F.sum("w").alias("w")).groupBy("b")
+            .agg(F.max_by("a", F.struct("w", "a")).alias("a")).select("a", "b"))
+
+
+def open_edges(mixed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The classes that the bound lets link with one of another component in a cell: a (the least of them), b.
+
+    Rows as for ``leaders``. A unit's pairs are found by the R-tree join and
+    reduced to the classes that take part in one, each tied to the least: as
+    many rows as classes, not pairs.
+    """
+    import pyarrow as pa
+
+    def reduce(group: pa.Table) -> pa.Table:
+        found = [np.zeros((0, 2), np.int64)]
+        for c, vec, unit in _each_unit(group):
+            p, q = (unit[c["block"][unit] == c[k][unit[0]]] for k in ("x", "y"))
+            i, j = rtree_join((vec[p], c["n"][p]), (vec[q], c["n"][q]))
+            i, j = p[i], q[j]
+            keep = c["comp"][i] != c["comp"][j]
+            sig = np.unique(c["sig"][np.concatenate([i[keep], j[keep]])])
+            found.append(np.stack([np.full(len(sig), sig[0] if len(sig) else 0), sig], 1))
+        edges = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
+
+    return _units(mixed, block, True).groupBy("shard").applyInArrow(reduce, "a long, b long").distinct()
+
+
+def verify_families(members: DataFrame, classes: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The links (a, b) that join components within each family, from whole texts.
+
+    Rows of (family, sig, comp). A family of over ``block`` classes is cut into
+    blocks that meet in pairs. All pairs of different components that sizes and
+    bound allow are verified, but for those that links found before in the same
+    group have joined already.
+    """
+    import pyarrow as pa
+    texts = class_texts(members.select("sig"), classes, docs)
+    blocks = members.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+    dealt = (members.join(blocks, "family").withColumn("block", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+                     "block", "sig", "comp"))
+
+    def check(group: pa.Table) -> pa.Table:
+        sig, comp, own_, x, y = (group.column(c).to_numpy() for c in ("sig", "comp", "block", "x", "y"))
+        s, starts = shingle_sets(group.column("text").to_pylist())
+        n = np.diff(starts)
+        at = np.repeat(np.arange(len(n)), n) * GROUPS + (s % np.uint64(GROUPS)).astype(np.int64)
+        vec = np.bincount(at, minlength=len(n) * GROUPS).astype(np.uint32).reshape(len(n), GROUPS)
+        p, q = np.flatnonzero(own_ == x), np.flatnonzero(own_ == y)
+        i, j = rtree_join((vec[p], n[p]), (vec[q], n[q]))
+        i, j = p[i], q[j]
+        keep = (comp[i] != comp[j]) & ((i < j) | (x[0] != y[0]))
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+        out = []
+        for k, m in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+            a, b = find(int(comp[k])), find(int(comp[m]))
+            if a != b:
+                both = len(np.intersect1d(s[starts[k]:starts[k + 1]], s[starts[m]:starts[m + 1]], assume_unique=True))
+                if 9 * both >= 4 * (n[k] + n[m]):
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(sig[k]), int(sig[m])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()),
+                         "b": pa.array([b for _, b in out], pa.int64())})
+
+    return dealt.join(texts, "sig").groupBy("family", "x", "y").applyInArrow(check, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -444,11 +519,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows of (doc_id, text) -> row, doc_id, n_shingles, n_links, component, class_id, component_id.
+    """Rows of (doc_id, text) -> row, doc_id, n_shingles, component, class_id, component_id.
 
     ``component`` numbers the components (null without a set), ``row`` is the row number of the scan (``docs`` should be a table read as it
-    lies), ``class_id`` the least doc_id with the same set, ``n_links`` the
-    verified links of the class that joined components (a spanning set).
+    lies), ``class_id`` the least doc_id with the same set.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
@@ -457,41 +531,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut_lineage(profile.filter("n > 0").groupBy("sig").agg(
         F.min("row").alias("row"), F.min("doc_id").alias("class_id"), F.min("n").alias("n"), F.min("vec").alias("vec")))
     cell = cut_lineage(cells(rows, bucket_order(scanned), 2 * shuffle_width(spark)))
-    points = cell.join(classes.select("sig", "n", "vec"), "sig")
     own = F.coalesce("comp", F.col("sig")).alias("comp")
-    links = tested = first = None
-    for turn in [*range(LEAD_ROUNDS), None]:
-        mixed = points.withColumn("comp", F.col("sig"))
-        if first is not None:
-            named = cell.join(first.withColumnRenamed("node", "sig"), "sig", "left").select(
-                "cell", "size", "weight", "sig", own)
-            open_cells = (named.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-                          .filter("x <> y").select("cell"))
-            mixed = named.join(open_cells, "cell").join(classes.select("sig", "n", "vec"), "sig")
-        pairs = cell_pairs(mixed, turn)
-        if tested is not None:
-            low, high = F.least("a", "b") == F.col("t_a"), F.greatest("a", "b") == F.col("t_b")
-            pairs = pairs.join(tested, low & high, "left_anti")
-        if turn is not None:  # every class tries the leader that most cells propose
-            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
-        pairs = cut_lineage(pairs.select("a", "b"))
-        found = cut_lineage(verify(pairs, classes, rows))
-        done = pairs.select(F.least("a", "b").alias("t_a"), F.greatest("a", "b").alias("t_b"))
-        tested = done if tested is None else tested.unionByName(done)
-        links = found if links is None else links.unionByName(found)
-        before = found if first is None else first.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(
-            found)
-        first = components(before)
-    final = first
+    point = classes.select("sig", "n", "vec")
+    linked = cut_lineage(verify(cut_lineage(leaders(
+        cell.withColumn("comp", F.col("sig")).join(point, "sig"))), classes, rows))
+    first = components(linked)
+    named = cell.join(first.withColumnRenamed("node", "sig"), "sig", "left").select(
+        "cell", "size", "weight", "sig", own)
+    several = (named.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+               .filter("x <> y").select("cell"))
+    mixed = named.join(several, "cell").join(point, "sig")
+    edges = cut_lineage(open_edges(mixed))
+    family = F.coalesce(F.col("comp"), F.col("sig")).alias("family")
+    grouped = (edges.select(F.col("b").alias("sig")).distinct()
+               .join(components(edges).withColumnRenamed("node", "sig"), "sig", "left").select("sig", family))
+    members = cut_lineage(grouped.join(first.withColumnRenamed("node", "sig"), "sig", "left").select(
+        "family", "sig", own))
+    more = cut_lineage(verify_families(members, classes, rows))
+    final = components(first.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
     of = classes.select("sig", "class_id").join(final.withColumnRenamed("node", "sig"), "sig", "left").select(
         "sig", "class_id", own)
     ids = of.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    ends = links.select(F.col("a").alias("sig")).unionByName(links.select(F.col("b").alias("sig")))
-    degree = ends.groupBy("sig").agg(F.count("*").alias("n_links"))
-    result = of.join(ids, "comp").join(degree, "sig", "left").select(
-        "sig", "class_id", "component_id", "n_links", F.col("comp").alias("component"))
+    result = of.join(ids, "comp").select("sig", "class_id", "component_id", F.col("comp").alias("component"))
     found = F.col("_one") & (F.col("n") > 0)
     return (profile.select("row", "doc_id", "n", "sig").join(result.withColumn("_one", F.lit(True)), "sig", "left")
-            .select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component",
+            .select("row", "doc_id", F.col("n").alias("n_shingles"), "component",
                     F.when(found, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
                     F.when(found, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))

@@ -64,16 +64,18 @@ def test_tree_join_loses_no_link():
     assert links > 50 and len(found) < len(sets) ** 2 / 4
 
 
-def test_cross_pairs_in_blocks(spark):
+def test_open_edges_in_blocks(spark):
     rng = np.random.default_rng(3)
     v = rng.integers(0, 5, size=(40, 128)).astype(np.uint32)
     v = np.concatenate([v, v])
-    data = [(1, 80, 1, i, i % 7, int(x.sum()), x.tobytes()) for i, x in enumerate(v)]
-    df = spark.createDataFrame([(*r[:-1], bytearray(r[-1])) for r in data],
-                               "cell long, size long, weight long, sig long, comp long, n long, vec binary")
-    whole = {tuple(r) for r in jaccard.cell_pairs(df).select("a", "b").collect()}
-    cut = {tuple(r) for r in jaccard.cell_pairs(df, block=9).select("a", "b").collect()}
-    assert whole == cut and {(i, i + 40) for i in range(40)} <= whole
+    rows = [(1, 80, 1, i, i % 7, int(x.sum()), bytearray(x.tobytes())) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "cell long, size long, weight long, sig long, comp long, n long, vec binary")
+    for block in (1024, 9):
+        comp = {r.node: r.comp for r in jaccard.components(jaccard.open_edges(df, block=block)).collect()}
+        # twins of different components are in one family
+        assert all(comp.get(i, i) == comp.get(i + 40, i + 40) for i in range(40))
+    led = {tuple(r) for r in jaccard.leaders(df.withColumn("comp", df["sig"])).collect()}
+    assert {(i, i + 40) for i in range(40)} <= led
 
 
 def test_connected_components(spark):
