@@ -58,29 +58,31 @@ def lattice_word(token: str) -> str:
     return "▁" + letters if letters else ""
 
 
-def _runs(word: str) -> list[str]:
-    return [word[i:i + MAX_WORD] for i in range(0, len(word), MAX_WORD)]
-
-
-def forward(word: str, pieces: dict[str, int], longest: int, prob: np.ndarray, outside: np.ndarray) -> np.ndarray:
-    """Natural-log probability of a word by language, summed over all segmentations.
+def forward(words: list[str], pieces: dict[str, int], longest: int, prob: np.ndarray,
+            outside: float) -> np.ndarray:
+    """Natural-log probability of each word by language, summed over all segmentations.
 
     ``prob`` is (vocabulary, languages); a character that is no piece itself
-    may also stand alone with probability ``outside``.
+    may also stand alone with probability ``outside``. Words of one length are
+    worked through together, one step per span of the lattice; words of over
+    ``MAX_WORD`` characters are the product of their runs.
     """
-    total = np.zeros(prob.shape[1])
-    for run in _runs(word):
-        alpha = [np.ones(prob.shape[1])]
-        for j in range(1, len(run) + 1):
-            a = np.zeros(prob.shape[1])
-            for i in range(max(0, j - longest), j):
-                k = pieces.get(run[i:j])
-                if k is not None:
-                    a = a + alpha[i] * prob[k]
-                elif i == j - 1:
-                    a = a + alpha[i] * outside
-            alpha.append(a)
-        total += np.log(np.maximum(alpha[-1], 1e-300))
+    size, langs = prob.shape
+    table = np.concatenate([prob, np.zeros((1, langs)), np.full((1, langs), outside)])
+    total = np.zeros((len(words), langs))
+    runs: dict[int, list[tuple[int, str]]] = {}
+    for k, w in enumerate(words):
+        for i in range(0, len(w), MAX_WORD):
+            runs.setdefault(len(w[i:i + MAX_WORD]), []).append((k, w[i:i + MAX_WORD]))
+    for n, own in runs.items():
+        spans = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - longest), j)]
+        none = [size + (j - i == 1) for i, j in spans]
+        ids = np.array([[pieces.get(w[i:j], x) for (i, j), x in zip(spans, none, strict=True)] for _, w in own])
+        alpha = np.zeros((n + 1, len(own), langs))
+        alpha[0] = 1.0
+        for at, (i, j) in enumerate(spans):
+            alpha[j] += alpha[i] * table[ids[:, at]]
+        np.add.at(total, [k for k, _ in own], np.log(np.maximum(alpha[n], 1e-300)))
     return total
 
 
@@ -131,34 +133,27 @@ def fit(training: DataFrame, model: bytes, alpha: float = ALPHA) -> tuple[list[s
     return langs, counts / counts.sum(0) * (1 - OUTSIDE) if langs else counts
 
 
-class _WordScores(dict):
-    """Row number by token in a growing table of forward scores; row 0 is for tokens without a letter."""
+class _WordScores:
+    """Forward scores by token in a growing table; row 0 is for tokens without a letter."""
 
     def __init__(self, model: bytes, prob: np.ndarray):
-        super().__init__()
         _, self.pieces, self.longest = load(model)
-        self.prob, self.outside = prob, np.full(prob.shape[1], OUTSIDE / 1000)
-        self.rows, self.table = 1, np.zeros((1024, prob.shape[1]))
-
-    def __missing__(self, token: str) -> int:
-        word = lattice_word(token)
-        if not word:
-            self[token] = 0
-            return 0
-        if self.rows == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.rows] = forward(word, self.pieces, self.longest, self.prob, self.outside)
-        self[token] = self.rows
-        self.rows += 1
-        return self[token]
-
-    def text(self, text: str) -> np.ndarray | None:
-        """Log-probability by language, None without a letter."""
-        if len(self) > MAX_CACHED:
-            self.clear()
-            self.rows = 1
-        rows = np.fromiter(map(self.__getitem__, text.lower().split()), np.int64)
-        return self.table[rows].sum(0) if rows.any() else None
+        self.prob, self.row, self.table = prob, {}, np.zeros((1, prob.shape[1]))
+
+    def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Log-probability by language of each text, None without a letter."""
+        if len(self.row) > MAX_CACHED:
+            self.row, self.table = {}, self.table[:1]
+        split = [t.lower().split() if t else [] for t in texts]
+        new = list({w for words in split for w in words}.difference(self.row))
+        lattice = [lattice_word(w) for w in new]
+        some = [k for k, w in enumerate(lattice) if w]
+        scores = forward([lattice[k] for k in some], self.pieces, self.longest, self.prob, OUTSIDE / 1000)
+        self.row.update(dict.fromkeys(new, 0))
+        self.row.update(zip((new[k] for k in some), range(len(self.table), len(self.table) + len(some)), strict=True))
+        self.table = np.concatenate([self.table, scores])
+        rows = [np.fromiter(map(self.row.__getitem__, words), np.int64, len(words)) for words in split]
+        return [self.table[r].sum(0) if r.any() else None for r in rows]
 
 
 def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, model: bytes) -> DataFrame:
@@ -172,9 +167,10 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, model: bytes) -
         scores_of = _WordScores(model_, p.astype(np.float64))
         for batch in batches:
             names, scores = [], []
-            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                total = scores_of.text(text) if text and langs_ else None
-                if total is None:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            totals = [t for lo in range(0, len(texts), 1024) for t in scores_of.texts(texts[lo:lo + 1024])]
+            for total in totals:
+                if total is None or not langs_:
                     names.append(UND)
                     scores.append(0.0)
                     continue

@@ -94,9 +94,12 @@ def test_forward_sums_all_segmentations():
     import numpy as np
     pieces = {"▁a": 0, "b": 1, "▁ab": 2, "c": 3, "bc": 4}
     p = np.array([[.1, .2], [.2, .1], [.3, .1], [.1, .3], [.3, .3]])
-    got = np.exp(langid.forward("▁abc", pieces, 3, p, np.zeros(2)))
+    got = np.exp(langid.forward(["▁abc", "b", "▁abc", "x"], pieces, 3, p, 0.01))
     want = p[0] * p[1] * p[3] + p[2] * p[3] + p[0] * p[4]
-    assert np.allclose(got, want)
+    assert np.allclose(got, [want, p[1], want, [.01, .01]])
+    long = "bc" * langid.MAX_WORD
+    half = langid.forward(["bc" * (langid.MAX_WORD // 2)], pieces, 3, p, 0.01)
+    assert np.allclose(langid.forward([long], pieces, 3, p, 0.01), 2 * half)
 
 
 def test_language_id_without_training(spark, empty):
