@@ -11,6 +11,8 @@ when ``100 * intersection >= 80 * union``. The join runs over distinct sets
    and cells stay small. Cells with the same members are kept once.
 2. Points. A class is a point, the counts of its shingles in ``GROUPS`` hash
    groups; the sum of two points' coordinate minima bounds their intersection.
+   Trees use the counts of ``FOLD`` groups together, a coarser bound, and the
+   finer one where that allows a link.
 3. Leaders. In each cell a class that the bound lets link with an earlier
    leader is paired with it, any other becomes a leader; every class is
    verified against the leader that most cells propose, and the links are
@@ -48,7 +50,9 @@ from tessera.session import cut_lineage
 
 SHINGLE = 5
 BUCKETS = 1 << 18
-GROUPS = 128
+GROUPS = 512
+#: Groups summed into one coordinate of the tree; the finer counts are compared only where it allows a link.
+FOLD = 4
 CHUNK = 256
 BLOCK = 1024
 LEAF, FAN = 32, 16
@@ -120,8 +124,35 @@ def _texts(batch, column: int) -> list:
     return batch.column(column).to_pylist()
 
 
+def pack_counts(counts: np.ndarray) -> list[bytes]:
+    """Each row of counts as a scale and bytes, ``scale * byte`` no smaller than the count."""
+    scale = np.maximum(1, -(-counts.max(axis=1) // 255)).astype(np.uint32)
+    return [s.tobytes() + q.tobytes() for s, q in zip(scale, (-(-counts // scale[:, None])).astype(np.uint8), strict=True)]
+
+
+def unpack_counts(packed: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
+    scale = raw[:, :4].copy().view(np.uint32)
+    return raw[:, 4:].astype(np.uint16 if not len(raw) or scale.max() <= 257 else np.uint32) * scale.astype(
+        np.uint16 if not len(raw) or scale.max() <= 257 else np.uint32)
+
+
+def fold_counts(vec: np.ndarray) -> np.ndarray:
+    """Coarser counts: the minima of sums bound the sums of minima."""
+    return vec.reshape(len(vec), -1, FOLD).sum(axis=2, dtype=np.uint32)
+
+
+def finer(vec: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) the fine counts allow to link."""
+    ok = np.zeros(len(i), bool)
+    for lo in range(0, len(i), 1 << 14):
+        a, b = i[lo:lo + (1 << 14)], j[lo:lo + (1 << 14)]
+        ok[lo:lo + (1 << 14)] = 9 * np.minimum(vec[a], vec[b]).sum(1, dtype=np.int64) >= 4 * (n[a] + n[b])
+    return ok
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """Rows of (row, text) -> row, n, sig (the row number for an empty set), vec (group counts, uint32).
+    """Rows of (row, text) -> row, n, sig (the row number for an empty set), vec (packed group counts).
 
     A row without ``row`` holds, as ``vec``, the counters of one task: how many
     distinct (document, shingle) fall in the buckets of block ``n``.
@@ -139,10 +170,10 @@ def profiles(docs: DataFrame) -> DataFrame:
                 n = np.diff(starts)
                 total += np.bincount(_bucket(s), minlength=BUCKETS)
                 group = np.repeat(np.arange(len(own)), n) * GROUPS + (s % np.uint64(GROUPS)).astype(np.int64)
-                vec = np.bincount(group, minlength=len(own) * GROUPS).astype(np.uint32).reshape(len(own), GROUPS)
+                vec = pack_counts(np.bincount(group, minlength=len(own) * GROUPS).reshape(len(own), GROUPS))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own), pa.array(n, pa.int64()), pa.array(np.where(n > 0, signatures(s, starts), own)),
-                     pa.array([v.tobytes() for v in vec], pa.binary())], schema=schema)
+                     pa.array(vec, pa.binary())], schema=schema)
         blocks = range(0, BUCKETS, COUNTER_BLOCK)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(len(blocks), pa.int64()), pa.array([b // COUNTER_BLOCK for b in blocks], pa.int64()),
@@ -358,19 +389,21 @@ def leader_pairs(vec: np.ndarray, n: np.ndarray, comp: np.ndarray) -> list[tuple
     leaders in other components the one of the highest bound is taken.
     """
     lead = np.zeros(len(n), np.int64)
-    k, out = 0, []
+    k, out, rough = 0, [], fold_counts(vec)
     for i in range(len(n)):
         at = lead[:k]
+        at = at[(5 * n[at] >= 4 * n[i]) & (5 * n[i] >= 4 * n[at])]
+        at = at[9 * np.minimum(rough[at], rough[i]).sum(1, dtype=np.int64) >= 4 * (n[at] + n[i])]
         both = np.minimum(vec[at], vec[i]).sum(1, dtype=np.int64)
-        total = n[at] + n[i]
-        ok = (5 * n[at] >= 4 * n[i]) & (5 * n[i] >= 4 * n[at]) & (9 * both >= 4 * total)
+        share = both / (n[at] + n[i])
+        ok = 9 * both >= 4 * (n[at] + n[i])
         if not ok.any():
             lead[k] = i
             k += 1
             continue
         ok &= comp[at] != comp[i]
         if ok.any():
-            out.append((int(at[np.where(ok, both / total, -1.0).argmax()]), i))
+            out.append((int(at[np.where(ok, share, -1.0).argmax()]), i))
     return out
 
 
@@ -393,7 +426,7 @@ def _units(mixed: DataFrame, block: int, pairwise: bool) -> DataFrame:
 def _each_unit(group) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
     """(columns, vectors, rows of the unit by block and class) of every unit of a shard."""
     c = {k: group.column(k).to_numpy() for k in ("cell", "x", "y", "block", "weight", "sig", "comp", "n")}
-    vec = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.uint32).reshape(len(c["sig"]), -1)
+    vec = unpack_counts(group.column("vec").to_pylist())
     order = np.lexsort((c["sig"], c["block"], c["y"], c["x"], c["cell"]))
     key = np.stack([c["cell"], c["x"], c["y"]], 1)[order]
     cut = np.append(np.flatnonzero((np.diff(key, axis=0, prepend=key[:1] - 1) != 0).any(1)), len(order))
@@ -437,9 +470,11 @@ def open_edges(mixed: DataFrame, block: int = BLOCK) -> DataFrame:
         found = [np.zeros((0, 2), np.int64)]
         for c, vec, unit in _each_unit(group):
             p, q = (unit[c["block"][unit] == c[k][unit[0]]] for k in ("x", "y"))
-            i, j = rtree_join((vec[p], c["n"][p]), (vec[q], c["n"][q]))
+            i, j = rtree_join((fold_counts(vec[p]), c["n"][p]), (fold_counts(vec[q]), c["n"][q]))
             i, j = p[i], q[j]
             keep = c["comp"][i] != c["comp"][j]
+            i, j = i[keep], j[keep]
+            keep = finer(vec, c["n"], i, j)
             sig = np.unique(c["sig"][np.concatenate([i[keep], j[keep]])])
             found.append(np.stack([np.full(len(sig), sig[0] if len(sig) else 0), sig], 1))
         edges = np.unique(np.concatenate(found), axis=0)
@@ -472,9 +507,11 @@ def verify_families(members: DataFrame, classes: DataFrame, docs: DataFrame, blo
         at = np.repeat(np.arange(len(n)), n) * GROUPS + (s % np.uint64(GROUPS)).astype(np.int64)
         vec = np.bincount(at, minlength=len(n) * GROUPS).astype(np.uint32).reshape(len(n), GROUPS)
         p, q = np.flatnonzero(own_ == x), np.flatnonzero(own_ == y)
-        i, j = rtree_join((vec[p], n[p]), (vec[q], n[q]))
+        i, j = rtree_join((fold_counts(vec[p]), n[p]), (fold_counts(vec[q]), n[q]))
         i, j = p[i], q[j]
         keep = (comp[i] != comp[j]) & ((i < j) | (x[0] != y[0]))
+        i, j = i[keep], j[keep]
+        keep = finer(vec, n, i, j)
         root = {c: c for c in comp.tolist()}
 
         def find(c: int) -> int:

@@ -66,9 +66,9 @@ def test_tree_join_loses_no_link():
 
 def test_open_edges_in_blocks(spark):
     rng = np.random.default_rng(3)
-    v = rng.integers(0, 5, size=(40, 128)).astype(np.uint32)
+    v = rng.integers(0, 5, size=(40, 512)).astype(np.uint32)
     v = np.concatenate([v, v])
-    rows = [(1, 80, 1, i, i % 7, int(x.sum()), bytearray(x.tobytes())) for i, x in enumerate(v)]
+    rows = [(1, 80, 1, i, i % 7, int(x.sum()), bytearray(jaccard.pack_counts(x[None])[0])) for i, x in enumerate(v)]
     df = spark.createDataFrame(rows, "cell long, size long, weight long, sig long, comp long, n long, vec binary")
     for block in (1024, 9):
         comp = {r.node: r.comp for r in jaccard.components(jaccard.open_edges(df, block=block)).collect()}
@@ -78,6 +78,16 @@ def test_open_edges_in_blocks(spark):
     assert {(i, i + 40) for i in range(40)} <= led
 
 
+def test_packed_counts_never_fall_short():
+    rng = np.random.default_rng(0)
+    counts = rng.integers(0, 300, (6, 512)) * np.array([[1], [1], [0], [700], [40], [9]])
+    back = jaccard.unpack_counts(jaccard.pack_counts(counts)).astype(np.int64)
+    assert (back >= counts).all() and (back[2] == 0).all()
+    small = rng.integers(0, 256, (3, 512))
+    assert (jaccard.unpack_counts(jaccard.pack_counts(small)) == small).all()
+    assert (jaccard.fold_counts(small.astype(np.uint16)).sum() == small.sum())
+
+
 def test_connected_components(spark):
     rnd = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 103), (103, 101), (200, 200)] + \
