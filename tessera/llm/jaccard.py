@@ -126,8 +126,10 @@ def _texts(batch, column: int) -> list:
 
 def pack_counts(counts: np.ndarray) -> list[bytes]:
     """Each row of counts as a scale and bytes, ``scale * byte`` no smaller than the count."""
-    scale = np.maximum(1, -(-counts.max(axis=1) // 255)).astype(np.uint32)
-    return [s.tobytes() + q.tobytes() for s, q in zip(scale, (-(-counts // scale[:, None])).astype(np.uint8), strict=True)]
+    counts = counts.astype(np.int64)
+    scale = np.maximum(1, -(-counts.max(axis=1) // 255))
+    rows = (-(-counts // scale[:, None])).astype(np.uint8)
+    return [s.tobytes() + q.tobytes() for s, q in zip(scale.astype(np.uint32), rows, strict=True)]
 
 
 def unpack_counts(packed: list[bytes]) -> np.ndarray:
