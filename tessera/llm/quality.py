@@ -113,7 +113,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKETS
     scored = _statistics(_with_grams(rows)).withColumn("_g", F.concat("_h", "_p")).withColumn("_m", model)
     llr = F.when(F.size("_g") > 0, F.aggregate(
         "_g", F.lit(0.0), lambda a, g: a + F.get(F.col("_m"), F.pmod(g, F.lit(n_buckets)).cast("int"))) / F.size("_g"))
-    return (scored.withColumn("llr", llr)
-            .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(True)))
-            .select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                    "base_failed", "llr", "kept"))
+    judged = scored.withColumn("llr", llr).withColumn(
+        "kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(True)))
+    # a filter on what a generator gives stays above it, so it does not carry the work below along
+    return judged.select("row", F.inline(F.array(F.struct(
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"))))
