@@ -45,8 +45,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Cuts repeated passages out of the texts; a character cut in half at an edge goes too."""
     ship_package(spark)
     out = substrings.remove_repeats(docs)
-    text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(
-        F.replace(F.decode("kept", "UTF-8"), F.lit("�"), F.lit("")))
+    whole = F.col("kept").cast("string")
+    text = F.when(F.col("n_removed") == 0, whole).otherwise(
+        F.replace(F.make_valid_utf8(whole), F.lit("\ufffd"), F.lit("")))
     spark_cols = [text.alias("text") if c == "text" else F.col(f"keep.`{c}`").alias(c) for c in docs.columns]
     return out.select(*spark_cols)
 
