@@ -23,6 +23,8 @@ scanned each on its own; a sentence counted twice stays twice in the sequence.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,7 @@ SENTENCES = {
     "apache-copy": "you may obtain a copy of the license at",
     "gpl3-short": "this work is licensed under the gnu general public license version 3",
     "gpl3-short2": "licensed under the gnu general public license version 3",
+    # the wordings with commas only; the standard notices, which the splitter cuts, follow in NOTICES
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu "
                 "general public license as published by the free software foundation either version 3 of the license "
                 "or at your option any later version",
@@ -70,13 +73,74 @@ SENTENCES = {
     "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "rights": "copyright all rights reserved",
 }
+#: Sentences of standard license texts in their own wording, each as the splitter cuts it.
+NOTICES = {
+    # "This program is free software: you can" is cut at the colon (GPL 3) or semicolon (GPL 2)
+    "hope": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                 "promote products derived from this software without specific prior written permission.",
+    "bsd-names2": "Neither the name of the copyright holders nor the names of its contributors may be used to endorse "
+                  "or promote products derived from this software without specific prior written permission.",
+    "bsd-names3": "Neither the name of the University nor the names of its contributors may be used to endorse or "
+                  "promote products derived from this software without specific prior written permission.",
+    "bsd-names4": "Neither the name of the author nor the names of its contributors may be used to endorse or promote "
+                  "products derived from this software without specific prior written permission.",
+    "bsd-names5": "The name of the author may not be used to endorse or promote products derived from this software "
+                  "without specific prior written permission.",
+    # the rest of "Neither the name of X Inc. nor"
+    "bsd-names6": "nor the names of its contributors may be used to endorse or promote products derived from this "
+                  "software without specific prior written permission.",
+    # "Mozilla Public License, v. 2.0. If a copy": cut after "v." and after "2.0."
+    "mpl-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "mpl-obtain": "If a copy of the MPL was not distributed with this file, You can obtain one at "
+                  "https://mozilla.org/MPL/2.0/.",
+    "mpl-obtain2": "If a copy of the MPL was not distributed with this file, You can obtain one at "
+                   "http://mozilla.org/MPL/2.0/.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse "
+                   "Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",
+    "epl2-notice2": "This program and the accompanying materials are made available under the terms of the Eclipse "
+                    "Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0.",
+    "epl2-notice3": "This program and the accompanying materials are made available under the terms of the Eclipse "
+                    "Public License v2.0 which accompanies this distribution, and is available at "
+                    "https://www.eclipse.org/legal/epl-v20.html",
+    # the same read line by line, as its standard wrapping stands in comments
+    "epl2-line": "terms of the Eclipse Public License 2.0 which is available at",
+    "epl2-title": "Eclipse Public License - v 2.0",
+    "epl1-notice": "This program and the accompanying materials are made available under the terms of the Eclipse "
+                   "Public License v1.0 which accompanies this distribution, and is available at "
+                   "http://www.eclipse.org/legal/epl-v10.html",
+    "epl1-title": "Eclipse Public License - v 1.0",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+}
+NOTICE_RULES = []
+# Free Software Foundation notices: "...; either version V" is two sentences, "..., either version V" is one
+for _l, _name, _versions in (("gpl", "GNU General Public License", ("2", "3")), ("agpl", "GNU Affero General Public License", ("3",)),
+                             ("lgpl", "GNU Lesser General Public License", ("2", "2.1", "3")),
+                             ("lgpl2", "GNU Library General Public License", ("2",))):
+    _grant = f"you can redistribute it and/or modify it under the terms of the {_name}"
+    _by = "as published by the Free Software Foundation"
+    NOTICES[f"{_l}-terms"] = f"{_grant} {_by}"
+    for _v in _versions:
+        _id = _v.replace(".", "")
+        _any, _one = f"either version {_v} of the License, or (at your option) any later version", f"version {_v} of the License"
+        NOTICES |= {f"v{_id}-later": _any, f"v{_id}-only": _one,
+                    f"{_l}-{_id}-later": f"{_grant} {_by}, {_any}", f"{_l}-{_id}-only": f"{_grant} {_by}, {_one}",
+                    f"{_l}-{_id}-named": f"{_grant} version {_v} {_by}"}
+        _spdx = f"{_l.rstrip('2').upper()}-{_v if '.' in _v else _v + '.0'}"
+        for _mode, _seqs in (("or-later", [[f"{_l}-terms", f"v{_id}-later"], [f"{_l}-{_id}-later"]]),
+                             ("only", [[f"{_l}-terms", f"v{_id}-only"], [f"{_l}-{_id}-only"], [f"{_l}-{_id}-named"]])):
+            NOTICE_RULES += [(f"{_spdx}-{_mode}", "copyleft", _s + _end) for _end in (["hope"], []) for _s in _seqs]
 # Ordered rules (license, kind, identifiers in sequence).
 RULES = [
     ("MIT", "permissive", ["mit-grant", "mit-notice", "as-is"]),
     ("MIT", "permissive", ["mit-grant", "mit-notice"]),
     ("ISC", "permissive", ["isc-grant"]),
+    *(("BSD-3-Clause", "permissive", ["bsd-grant", "bsd-source", "bsd-binary", f"bsd-names{i}"])
+      for i in ("", "2", "3", "4", "5", "6")),
     ("BSD-2-Clause", "permissive", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("Apache-2.0", "permissive", ["apache-head", "apache-comply", "apache-copy"]),
+    *NOTICE_RULES,
     ("GPL-3.0-or-later", "copyleft", ["gpl-free", "gpl-hope"]),
     ("GPL-3.0-or-later", "copyleft", ["gpl-free"]),
     ("Apache-2.0", "permissive", ["apache-short"]),
@@ -84,6 +148,13 @@ RULES = [
     ("GPL-3.0-only", "copyleft", ["gpl3-short"]),
     ("GPL-3.0-only", "copyleft", ["gpl3-short2"]),
     ("MPL-2.0", "copyleft", ["mpl"]),
+    ("MPL-2.0", "copyleft", ["mpl-form", "mpl-obtain"]),
+    ("MPL-2.0", "copyleft", ["mpl-form", "mpl-obtain2"]),
+    ("LGPL-3.0-only", "copyleft", ["lgpl3-title"]),
+    *(("EPL-2.0", "copyleft", [f"epl2-{i}"]) for i in ("notice", "notice2", "notice3", "line", "title")),
+    *(("EPL-1.0", "copyleft", [f"epl1-{i}"]) for i in ("notice", "title")),
+    ("Unlicense", "permissive", ["unlicense", "as-is"]),
+    ("Unlicense", "permissive", ["unlicense"]),
     ("CC-BY-NC-4.0", "noncommercial", ["cc-by-nc"]),
     ("CC-BY-SA-4.0", "copyleft", ["cc-by-sa"]),
     ("CC-BY-4.0", "permissive", ["cc-by"]),
@@ -93,9 +164,20 @@ RULES = [
     ("MIT", "permissive", ["mit-name"]),
 ]
 #: Every known sentence holds one of these.
-CUES = ("licen", "permi", "warrant", "copyright", "redistribut")
+CUES = ("licen", "permi", "warrant", "copyright", "redistribut", "mozilla", "unencumbered")
 STOP_RE = r"[.!?:;](?=\s|$)"
+
+
+def cut(text: str) -> list[str]:
+    """The normalised sentences of a text: what ``sentence_ids`` looks up, with soft line breaks."""
+    parts = re.split(STOP_RE + r"|\n[ \t\r]*\n", text.lower())
+    return [s for s in (re.sub(r"[\W_]+", " ", p).strip() for p in parts) if s]
+
+
+SENTENCES |= {k: cut(s)[-1] for k, s in NOTICES.items()}
+assert all(cut(s) == [SENTENCES[k]] for k, s in NOTICES.items())
 assert all(any(c in s for c in CUES) for s in SENTENCES.values())
+assert len(set(SENTENCES.values())) == len(SENTENCES)
 
 
 def sentence_ids(text: Column, sentences: dict[str, str], hard_breaks: bool) -> Column:
@@ -126,20 +208,20 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rule
         rows = rows.withColumn(name, F.when(F.col("_cue"), sentence_ids(F.col("_low"), sentences, hard)).otherwise(none))
     rows = rows.select("doc_id", F.when(F.size("_b") > F.size("_a"), F.col("_b")).otherwise(F.col("_a")).alias("ids"))
     # the sequence as text, each identifier between bars; a rule that fits leaves a gap mark
-    rows = rows.withColumn("_left", F.array_join(F.transform(
-        "ids", lambda x: F.concat(F.lit("|"), x, F.lit("|"))), ""))
-    hits = []
-    for i, (_, _, seq) in enumerate(rules):
-        want = "|" + "||".join(seq) + "|"
-        rows = rows.withColumn(f"_r{i}", F.col("_left").contains(want))
-        rows = rows.withColumn("_left", F.when(F.col(f"_r{i}"), F.replace("_left", F.lit(want), F.lit("#")))
-                               .otherwise(F.col("_left")))
-        hits.append(F.col(f"_r{i}"))
+    seq = F.array_join(F.transform("ids", lambda x: F.concat(F.lit("|"), x, F.lit("|"))), "")
+    empty = F.array().cast("array<string>")
+    start = F.struct(seq.alias("left"), empty.alias("names"), empty.alias("kinds"))
+    ordered = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"),
+                                 F.lit("|" + "||".join(ids) + "|").alias("want")) for n, k, ids in rules])
+    apply = lambda a, r: F.when(F.contains(a["left"], r["want"]), F.struct(
+        F.replace(a["left"], r["want"], F.lit("#")).alias("left"), F.array_append(a["names"], r["name"]).alias("names"),
+        F.array_append(a["kinds"], r["kind"]).alias("kinds"))).otherwise(a)
+    # a generator keeps the state from being worked out again for each of its fields
+    rows = rows.select("doc_id", "ids", F.inline(F.array(
+        F.when(F.size("ids") > 0, F.aggregate(ordered, start, apply)).otherwise(start))).alias("_left", "_n", "_kinds"))
     some = lambda kind: F.array_contains(F.col("_kinds"), kind)
     named = rows.withColumns({
-        "_names": F.array_sort(F.array_distinct(F.array_compact(F.array(*[
-            F.when(h, F.lit(r[0])) for h, r in zip(hits, rules, strict=True)])))),
-        "_kinds": F.array_compact(F.array(*[F.when(h, F.lit(r[1])) for h, r in zip(hits, rules, strict=True)])),
+        "_names": F.array_sort(F.array_distinct("_n")),
         "n_unmatched": F.regexp_count("_left", F.lit(r"[a-z0-9-]+")).cast("long"),
     })
     kind = (F.when(some("noncommercial"), F.lit("noncommercial")).when(some("copyleft"), F.lit("copyleft"))

@@ -136,6 +136,71 @@ def test_license_rules_need_their_order(spark):
     assert got == {1: ("MIT", 0), 2: (None, 2), 3: ("MIT", 0)}
 
 
+def fsf(name, stop, version, what="program", only=False):
+    which = f"version {version} of the License" if only else f"either version {version} of the License, or\n(at your option) any later version"
+    return f"""    This {what} is free software{':' if stop == ',' else ';'} you can redistribute it and/or modify
+    it under the terms of the {name} as published by
+    the Free Software Foundation{stop} {which}.
+
+    This {what} is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    {name} for more details.
+
+    You should have received a copy of the {name}
+    along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+
+
+BSD_2 = """Copyright (c) 2020, A Holder. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+BSD_3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL, LGPL, AGPL = (f"GNU {x}General Public License" for x in ("", "Lesser ", "Affero "))
+STANDARD_NOTICES = [
+    (fsf(GPL, ",", 3), "GPL-3.0-or-later", "copyleft"), (fsf(GPL, ";", 2), "GPL-2.0-or-later", "copyleft"),
+    (fsf(GPL, ";", 3), "GPL-3.0-or-later", "copyleft"), (fsf(GPL, ";", 2, only=True), "GPL-2.0-only", "copyleft"),
+    (fsf(LGPL, ";", 2.1, "library"), "LGPL-2.1-or-later", "copyleft"), (fsf(LGPL, ",", 3), "LGPL-3.0-or-later", "copyleft"),
+    (fsf(AGPL, ",", 3), "AGPL-3.0-or-later", "copyleft"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not "
+     "distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0", "copyleft"),
+    (" * This program and the accompanying materials are made available under the\n * terms of the Eclipse Public License "
+     "2.0 which is available at\n * https://www.eclipse.org/legal/epl-2.0/\n *\n * SPDX-License-Identifier: EPL-2.0",
+     "EPL-2.0", "copyleft"),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, "
+     "use, compile, sell, or\ndistribute this software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY "
+     "KIND,\nEXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF\nMERCHANTABILITY, FITNESS FOR A PARTICULAR "
+     "PURPOSE AND NONINFRINGEMENT.", "Unlicense", "permissive"),
+    (BSD_2 + BSD_END, "BSD-2-Clause", "permissive"), (BSD_2 + BSD_3 + BSD_END, "BSD-3-Clause", "permissive"),
+    (BSD_2 + BSD_3.replace("the copyright holder", "Example Inc.") + BSD_END, "BSD-3-Clause", "permissive"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance "
+     "with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n"
+     "Unless required by applicable law", "Apache-2.0", "permissive"),
+]
+
+
+def test_license_standard_notices(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(STANDARD_NOTICES)], "doc_id long, text string")
+    got = licenses.scan_licenses(df).select("doc_id", "licenses", "kind", "n_unmatched").collect()
+    same(got, [(i, x, k, 0) for i, (_, x, k) in enumerate(STANDARD_NOTICES)])
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.judge_quality(empty, labels).count() == 0
