@@ -1,5 +1,9 @@
 """Quality rules, token counts, language id and license scans on odd inputs."""
 
+import math
+import random
+from collections import Counter
+
 import brute
 import public_tokenizers
 import pytest
@@ -30,6 +34,55 @@ def test_quality_model_separates_trusted_from_junk(spark):
     assert again == kept
 
 
+def quality_corpus(copies):
+    """Texts that share few words, more of the junk than of the rest; ``copies`` of each, under its own ids and labels."""
+    rnd = random.Random(3)
+    texts = [" ".join(f"{'gj'[i % 2]}{rnd.randrange(300)}" for _ in range(60)) for i in range(16)]
+    rows = [(100 * c + i, t) for c in range(copies) for i, t in enumerate(texts)]
+    return rows, [(d, 1 if d % 100 < 12 else 0) for d, _ in rows if d % 2 == 0]
+
+
+def test_quality_verdicts_do_not_depend_on_copies(spark):
+    found = []
+    for copies in (1, 30):
+        rows, labels = quality_corpus(copies)
+        got = quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string"),
+                                    spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.row.doc_id % 100, set()).add((r.kept, round(r.llr, 9)))
+        assert all(len(x) == 1 for x in by.values())
+        found.append(by)
+    assert found[0] == found[1]
+
+
+def test_quality_scores_match_brute_force(spark):
+    import xxhash
+    h = lambda b, seed=42: xxhash.xxh64_intdigest(b, seed)
+    long = lambda x: x.to_bytes(8, "little")
+
+    def grams(text):
+        w = [h(x.encode()) for x in text.split()]
+        pairs = [h(long(b), h(long(a))) for a, b in zip(w, w[1:])]
+        return Counter(x % quality.N_BUCKETS for x in w + pairs)
+    rows, labels = quality_corpus(1)
+    good = {d for d, q in labels if q}
+    raw, seen = Counter(), Counter()
+    for d, t in rows:
+        raw += grams(t)
+        seen += grams(t) if d in good else Counter()
+    expected = {}
+    for d, t in rows:
+        g = grams(t)
+        own = g if d in good else Counter()
+        n = seen.total() - own.total()
+        expected[d] = sum(k * math.log((seen[b] - own[b] + quality.PRIOR) / (raw[b] / raw.total() * n + quality.PRIOR))
+                          for b, k in g.items()) / g.total()
+    got = quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string"),
+                                spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert {r.row.doc_id: r.llr for r in got} == pytest.approx(expected, abs=1e-9)
+
+
 def test_quality_abstains_without_trusted_text(spark, docs, rows):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.judge_quality(docs, none)
