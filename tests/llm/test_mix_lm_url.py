@@ -222,3 +222,27 @@ def test_native_plans(spark, docs):
     for out in (mixing.mix_sources(docs), urls.filter_urls(df, urls.rules_table(spark))):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
+
+
+def test_every_training_token_is_a_target(spark):
+    with open(public_tokenizers.path(lm.VOCABULARY), "rb") as f:
+        model = f.read()
+    text = " ".join(random.Random(5).choice(["the", "of", "house"]) for _ in range(1003))
+    ids, longest = lm.pieces_of(model)
+    of = {lm.lead_piece(w, ids, longest): i for i, w in enumerate([b"the", b"of"])} | {lm.END_PIECE: 63}
+    c = [of.get(lm.lead_piece(w, ids, longest), 62) for w in lm.tokens(text.encode())]
+    df = spark.createDataFrame([(bytearray(text.encode()),)], "text binary")
+    x, y, inside, live = lm.read_windows([bytes(r.w) for r in lm.training_windows(df, model, of).collect()])
+    assert y[live].tolist() == c
+    # the inputs inside a window are the tokens before its targets
+    inputs, s = [63, *c[:-1]], lm.STRIDE
+    for i in range(len(x)):
+        assert x[i][inside[i]].tolist() == inputs[max(0, i - 1) * s:(i + 1) * s]
+
+
+def test_training_windows_of_empty_texts(spark):
+    with open(public_tokenizers.path(lm.VOCABULARY), "rb") as f:
+        model = f.read()
+    df = spark.createDataFrame([(None,), (bytearray(b""),)], "text binary")
+    x, y, inside, live = lm.read_windows([bytes(r.w) for r in lm.training_windows(df, model, {lm.END_PIECE: 63}).collect()])
+    assert y[live].tolist() == [63, 63] and inside.sum() == 2
