@@ -44,10 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of the texts; a character cut in half at an edge goes too."""
     ship_package(spark)
-    out = substrings.remove_repeats(docs)
-    whole = F.col("kept").cast("string")
-    text = F.when(F.col("n_removed") == 0, whole).otherwise(
-        F.replace(F.make_valid_utf8(whole), F.lit("\ufffd"), F.lit("")))
+    out = substrings.remove_repeats(docs, characters=True)
+    text = F.col("kept").cast("string")
     spark_cols = [text.alias("text") if c == "text" else F.col(f"keep.`{c}`").alias(c) for c in docs.columns]
     return out.select(*spark_cols)
 

@@ -312,8 +312,20 @@ def pack_segments(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFr
     return rows.mapInArrow(pack, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """Every row of ``docs`` without ``text`` plus kept (bytes left), n_bytes, n_removed, n_spans, kept_sha256."""
+def whole_characters(text: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone`` widened to all bytes of every UTF-8 character that it touches."""
+    first = (text & 0xC0) != 0x80
+    first[:1] = True
+    at = np.flatnonzero(first)
+    return np.repeat(np.logical_or.reduceat(gone, at), np.diff(np.append(at, len(text)))) if len(at) else gone
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, segment_bytes: int = SEGMENT_BYTES,
+                   characters: bool = False) -> DataFrame:
+    """Every row of ``docs`` without ``text`` plus kept (bytes left), n_bytes, n_removed, n_spans, kept_sha256.
+
+    With ``characters``, kept (and its hash) also lacks the rest of a character cut in half; the counts stay.
+    """
     import pyarrow as pa
     shards = 2 * shuffle_width(docs.sparkSession)
     segments = pack_segments(docs, segment_bytes).repartition("seg")
@@ -361,7 +373,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, segment_bytes: int = S
             for hi in ends.tolist():
                 g = gone[lo:hi]
                 removed = int(g.sum())
-                rest = data[lo:hi] if not removed else whole_data[lo:hi][~g].tobytes()
+                rest = data[lo:hi] if not removed else whole_data[lo:hi][
+                    ~(whole_characters(whole_data[lo:hi], g) if characters else g)].tobytes()
                 kept.append(rest)
                 n_bytes.append(hi - lo)
                 n_removed.append(removed)

@@ -94,3 +94,13 @@ def test_run_and_odd_tables(spark, folder, tmp_path):
         out = stage(spark, wide, folder)
         assert out.columns == wide.columns and out.count() > 0
     assert stage is not None and "corpus_pipeline" in sys.modules
+
+
+def test_replacement_characters_of_the_text_stay(spark, tmp_path):
+    import corpus_pipeline
+    passage = "".join(f"w{i} " for i in range(120))
+    texts = [f"a\ufffdb é{passage}漢 one\ufffd", f"two\ufffd é{passage}漦 c"]  # é shared, the last characters share two bytes
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, spark.read.parquet(path), "").collect()}
+    assert got == {0: "a\ufffdb one\ufffd", 1: "two\ufffd c"}
