@@ -243,3 +243,80 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.jaccard import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_shingles", "component_id", "class_id")
+
+
+@register("op11_nearest_neighbours")
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm.forest import nearest
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+_TRIE_SQL = r"""
+WITH t0 AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+              PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST,
+              md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, pos, md5(strlen(role)::VARCHAR || ':' || role || text) AS key, strlen(text)::BIGINT AS bytes FROM t0),
+-- unsigned crc32 of the decimal id: a byte is mixed in, then eight shifts
+c AS (SELECT conv_id, max(pos) AS n, conv_id - conv_id % 5 AS base, (4294967295 - list_reduce(
+        list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+          lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, (a & 1) * 3988292384) END)) % 9 AS h
+      FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, t.pos AS d, t.key, t.bytes FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+      UNION ALL
+      SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(b.n, 0)), t.key, t.bytes
+      FROM c LEFT JOIN c b ON b.conv_id = c.base JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+p AS (SELECT conv_id, d, bytes, string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY d
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS node FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+m AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM p),
+g AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+      FROM m GROUP BY node, d),
+k AS (SELECT a.node, count(b.node) AS n_children, any_value(u.conv_id) AS parent_conv_id
+      FROM g a LEFT JOIN g b ON b.d = a.d + 1 AND left(b.node, 32 * a.d) = a.node
+      LEFT JOIN g u ON u.d = a.d - 1 AND u.node = left(a.node, 32 * a.d - 32) GROUP BY a.node),
+up AS (SELECT left(g.node, (32 * u.d)::BIGINT) AS top, (n_children = 0)::BIGINT AS leaf, (n_convs - 1) * bytes AS saved
+       FROM g JOIN k USING (node), unnest(range(0, g.d + 1)) AS u(d)),
+s AS (SELECT top AS node, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY top)
+SELECT conv_id, d::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM g JOIN k USING (node) JOIN s USING (node)
+"""
+
+
+@register("op12_conversation_trie", _TRIE_SQL)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.prefixtrie import prefix_trie
+    return prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+_NEGATIVES_SQL = r"""
+WITH e AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor, b.id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+      FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 50 = 0),
+p AS (SELECT anchor, id, score FROM s WHERE same QUALIFY row_number() OVER (
+        PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor, p.id AS pid, p.score AS pscore, s.id, s.score, row_number() OVER (
+        PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS rank
+      FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same
+       AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor AS anchor_id, pid AS positive_id, rank::INT AS rank, id AS negative_id, pscore AS positive_score,
+       score AS negative_score FROM n WHERE rank <= 3
+"""
+
+
+@register("op13_hard_negatives", _NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm.negatives import mine_negatives
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        "embedding")
+    return mine_negatives(rows, F.col("vec_id") % 50 == 0)
