@@ -1,4 +1,4 @@
-"""Block grid for quadratic vector work (k-nearest join, pair distances).
+"""Block grid for quadratic vector work (pair distances).
 
 The left and right tables are each cut into hash blocks of bounded size. The
 left block ``i`` and the right block ``j`` meet in grid cell ``(i, j)``: every
@@ -6,7 +6,7 @@ left row is replicated once per right block and every right row once per left
 block, then one shuffle on the cell id brings both halves of a cell into one
 ``applyInPandas`` group. A cell holds at most about ``left_rows + right_rows``
 rows, so no group grows with the data; the number of cells does. Each cell
-emits a bounded summary (a local top-k, or per-cluster sums), never all pairs.
+emits a bounded summary (per-cluster sums), never all pairs.
 
 Block counts are derived from two ``count()`` actions on the driver; no row
 data passes through the driver and nothing is broadcast.
@@ -91,33 +91,3 @@ def grid_cells(left: DataFrame, right: DataFrame, grid: Grid,
         width = 200
     n_parts = max(1, min(grid.cells, max(width, parallelism(spark))))
     return both.drop("_lb", "_rb").repartition(n_parts, "_cell")
-
-
-def keyed_grid_cells(left: DataFrame, right: DataFrame, keys: list[str], left_rows: int = DEFAULT_LEFT_ROWS,
-                     right_rows: int = DEFAULT_RIGHT_ROWS, left_key: str = "_id",
-                     right_key: str = "_id") -> DataFrame:
-    """Block grid inside every group of ``keys`` (e.g. hash buckets, lists).
-
-    Each group is cut into its own number of left and right blocks, derived
-    from the group's row counts (an aggregate joined back), so a hot group is
-    split into many bounded cells instead of one unbounded one. Groups present
-    on one side only produce nothing. Output: input columns + ``_side`` and a
-    string ``_cell``; hash-partitioned on ``_cell``.
-    """
-    nl = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nl"))
-    nr = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr"))
-    sizes = (nl.join(nr, keys, "inner")
-             .select(*keys, F.greatest(F.lit(1), F.ceil(F.col("_nl") / F.lit(left_rows))).cast("int").alias("_bl"),
-                     F.greatest(F.lit(1), F.ceil(F.col("_nr") / F.lit(right_rows))).cast("int").alias("_br")))
-    lhs = (left.join(sizes, keys)
-           .withColumn("_lb", F.pmod(F.xxhash64(F.col(left_key)), F.col("_bl")))
-           .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("_br") - 1)))
-           .withColumn("_side", F.lit(0).cast("byte")))
-    rhs = (right.join(sizes, keys)
-           .withColumn("_rb", F.pmod(F.xxhash64(F.col(right_key)), F.col("_br")))
-           .withColumn("_lb", F.explode(F.sequence(F.lit(0), F.col("_bl") - 1)))
-           .withColumn("_side", F.lit(1).cast("byte")))
-    both = lhs.unionByName(rhs)
-    cell = F.concat_ws("/", *[F.col(k).cast("string") for k in keys], F.col("_lb").cast("string"),
-                       F.col("_rb").cast("string"))
-    return both.withColumn("_cell", cell).drop("_lb", "_rb", "_bl", "_br").repartition("_cell")

@@ -1,225 +1,94 @@
-"""Vector table operators: k-nearest join, neighbour enrichment, flags.
+"""Vector table operators: exact k-nearest join, neighbour enrichment, flags.
 
-``knn_join`` is the exact cosine top-k per query. The queries are taken in
-blocks of bounded bytes; each block goes to the tasks and the corpus is
-scanned in place, a NumPy matrix product per Arrow batch with a running top-k
-per query, then two ``row_number`` merges (Spark plans them with
-``WindowGroupLimit``, so every task pre-cuts to k before a shuffle). The plan
-is the same for every size, and a score does not depend on the block it is
-computed in, so ties are broken by id exactly.
+``knn_join`` is the exact cosine top-k per query, on a grid of (query block,
+corpus block) cells that Spark's shuffle deals out: no query vector passes the
+driver and the plan is the same for every size. The approximate search over a
+stored index is in ``tessera.operators.ivf``.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators.blocks import DEFAULT_LEFT_ROWS, DEFAULT_RIGHT_ROWS, keyed_grid_cells
+from tessera.operators.topk import top_k, vector_matrix
+from tessera.session import parallelism
 
 KNN_SCHEMA = "qid long, rank int, id long, sim double"
-# Bytes of one block of query vectors (float64) held by a task.
+_KNN = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("sim", pa.float64())])
+_KNN_DDL = "qid long, id long, sim double"
+# Bytes of the vectors of one block of queries or of corpus rows (float64) held by a task.
 DEFAULT_QUERY_BLOCK_BYTES = 32 << 20
-# First-level merge groups per query: bounds the rows that meet in one task.
-MERGE_GROUPS = 32
-_QUERY_CHUNK = 256
+DEFAULT_CORPUS_BLOCK_BYTES = 128 << 20
+# Queries worth a block of their own when blocks are made for the sake of parallelism.
+MIN_BLOCK_QUERIES = 64
 
 
-def _stack(series: pd.Series) -> np.ndarray:
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in series.values])
+def vector_rows(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """``(_id, _v)`` of the rows that have both; the others cannot take part in a similarity search."""
+    return df.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<float>").alias("_v")).dropna()
 
 
-def _unit_rows(m: np.ndarray) -> np.ndarray:
-    """Rows scaled to unit length; a zero row stays zero (similarity 0 to all)."""
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.where(norms > 0, m / np.where(norms > 0, norms, 1.0), 0.0)
-
-
-def _limbs(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Each component as two integers, ``x ~ hi / s + lo / s**2``.
-
-    ``s`` is such that sums of ``dims`` products of either stay below 2**53, so
-    their matrix products are exact whatever the order of summation.
-    """
-    s = float(2 ** ((52 - int(np.ceil(np.log2(max(2, m.shape[1]))))) // 2))
-    hi = np.round(m * s)
-    return hi, np.round((m * s - hi) * s), s
-
-
-def _scores(q, c) -> np.ndarray:
-    """Cosine similarities of limb matrices, the same for a pair in any block."""
-    (qh, ql, s), (ch, cl, _) = q, c
-    return (qh @ ch.T) / (s * s) + (qh @ cl.T + ql @ ch.T) / (s * s * s)
-
-
-def _reduce_topk(qs: np.ndarray, cs: np.ndarray, ss: np.ndarray, k: int) -> pd.DataFrame:
-    """Keep the k best (highest sim, then smallest id) candidates per query."""
-    order = np.lexsort((cs, -ss, qs))
-    res = pd.DataFrame({"qid": qs[order], "id": cs[order], "sim": ss[order]})
-    res["rank"] = (res.groupby("qid").cumcount() + 1).astype("int32")
-    return res[res["rank"] <= k][["qid", "rank", "id", "sim"]]
-
-
-def _block_candidates(qids, q, cids, c, k, exclude_self):
-    """The k best pairs per query of one query chunk against one corpus block.
-
-    ``cids`` ascend, so of the pairs tied at the k-th score the first ones are
-    those of the smallest ids: never more than k pairs per query.
-    """
-    sims = _scores(q, c)
-    if exclude_self:
-        sims[qids[:, None] == cids[None, :]] = -np.inf
-    n_c = sims.shape[1]
-    kk = min(k, n_c)
-    kth = np.partition(sims, n_c - kk, axis=1)[:, n_c - kk][:, None]
-    above, tied = sims > kth, sims == kth
-    room = kk - above.sum(axis=1, keepdims=True)
-    rows, cols = np.nonzero((above | (tied & (np.cumsum(tied, axis=1) <= room))) & np.isfinite(sims))
-    return qids[rows], cids[cols], sims[rows, cols]
-
-
-def _part(limbs, cut: slice):
-    return limbs[0][cut], limbs[1][cut], limbs[2]
-
-
-def _block_topk(qids, q, pdf: pd.DataFrame, k: int, exclude_self: bool):
-    """Candidates of all queries against one corpus batch, by query chunk."""
-    cids = pdf["_id"].to_numpy(dtype=np.int64)
-    order = np.argsort(cids, kind="stable")
-    c = _limbs(_unit_rows(_stack(pdf["_v"]))[order])
-    parts = [_block_candidates(qids[s:s + _QUERY_CHUNK], _part(q, slice(s, s + _QUERY_CHUNK)), cids[order], c,
-                               k, exclude_self) for s in range(0, len(qids), _QUERY_CHUNK)]
-    return [np.concatenate(x) for x in zip(*parts, strict=True)]
-
-
-_EMPTY = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rank": pd.Series([], dtype="int32"),
-                       "id": pd.Series([], dtype="int64"), "sim": pd.Series([], dtype="float64")})
-
-
-def _cell_topk(k: int, exclude_self: bool):
-    """Per-cell exact top-k by cosine; ties broken by the smaller id."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf[pdf["_side"] == 0]
-        c = pdf[pdf["_side"] == 1]
-        if q.empty or c.empty:
-            return _EMPTY
-        qids = q["_id"].to_numpy(dtype=np.int64)
-        return _reduce_topk(*_block_topk(qids, _limbs(_unit_rows(_stack(q["_v"]))), c, k, exclude_self), k)
-
-    return run
-
-
-def _scan_topk(qids: np.ndarray, qmat: np.ndarray, k: int, exclude_self: bool):
-    """Corpus-partition scan against one block of query vectors.
-
-    Keeps a running top-k per query over the whole partition, so each task
-    emits at most ``queries x k`` rows however large its corpus slice is.
-    """
-
-    def run(it):
-        q, best = _limbs(qmat), None
-        for pdf in it:
-            if pdf.empty:
-                continue
-            cand = _block_topk(qids, q, pdf, k, exclude_self)
-            if best is not None:
-                cand = [np.concatenate([best[c].to_numpy(), x])
-                        for c, x in zip(("qid", "id", "sim"), cand, strict=True)]
-            best = _reduce_topk(*cand, k)
-        if best is not None:
-            yield best
-
-    return run
+def best_k(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best ``(qid, id, sim)`` per query, ranked; tasks pre-cut to k before the shuffle."""
+    w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("id").asc())
+    return (pairs.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k)
+            .select("qid", "rank", "id", "sim"))
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id: str = "id",
              corpus_id: str = "id", vector: str = "embedding", exclude_self: bool = True,
-             query_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES) -> DataFrame:
+             query_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES,
+             corpus_block_bytes: int = DEFAULT_CORPUS_BLOCK_BYTES) -> DataFrame:
     """Exact k-nearest join by cosine similarity.
 
     Returns ``(qid, rank, id, sim)``: for every query row with an id and a
     vector, the ``k`` corpus rows of highest cosine similarity, ordered by
     similarity then id. The query's own id is removed before ranking, so ``k``
     rows are returned whenever the corpus holds ``k`` other rows; a zero vector
-    is at similarity 0 to everything.
-
-    The queries are cut by a hash of their id into blocks of about
-    ``query_block_bytes``. One block at a time reaches the tasks, and for each
-    the corpus is scanned once where it lies, never shuffled; what is shuffled
-    is at most ``k`` rows per query and corpus task, merged in two levels.
+    is at similarity 0 to everything; a shorter vector is padded with zeros.
+
+    Both sides are cut by a hash of the id into blocks of bounded bytes, and
+    every block of queries meets every block of the corpus in one cell. A row
+    is shuffled once per block of the other side, so the traffic is rows times
+    rows over block size, as the work is; a cell sends on at most ``k`` rows per
+    query. Small inputs are cut along the queries, so that every core has some
+    and a query's whole answer comes from one cell.
     """
-    # rows without an id or a vector cannot take part in a similarity search
-    q = queries.select(F.col(query_id).cast("long").alias("_id"),
-                       F.col(vector).cast("array<float>").alias("_v")).dropna()
-    c = corpus.select(F.col(corpus_id).cast("long").alias("_id"),
-                      F.col(vector).cast("array<float>").alias("_v")).dropna()
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
-    blocks = max(1, -(-int(stats["n"]) * max(1, int(stats["d"] or 0)) * 8 // query_block_bytes))
-    local = None
-    for b in range(blocks):
-        pdf = q.filter(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == b).toPandas()
-        qmat = _unit_rows(_stack(pdf["_v"])) if len(pdf) else np.zeros((0, 1))
-        part = c.mapInPandas(_scan_topk(pdf["_id"].to_numpy(dtype=np.int64), qmat, k, exclude_self), KNN_SCHEMA) \
-            if len(pdf) else q.sparkSession.createDataFrame([], KNN_SCHEMA)
-        local = part if local is None else local.unionByName(part)
-    best = [F.col("sim").desc(), F.col("id").asc()]
-    near = Window.partitionBy("qid", "_g").orderBy(*best)
-    met = (local.withColumn("_g", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
-           .withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k).drop("_g"))
-    return (met.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*best)).cast("int"))
-            .filter(F.col("rank") <= k))
-
-
-def knn_join_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id: str = "id",
-                 corpus_id: str = "id", vector: str = "embedding", exclude_self: bool = True,
-                 bucket_rows: int = 64, num_tables: int | None = None, seed: int = 42,
-                 query_block_rows: int = DEFAULT_LEFT_ROWS, corpus_block_rows: int = DEFAULT_RIGHT_ROWS) -> DataFrame:
-    """Approximate k-nearest join: sign random projections, exact search inside buckets (J4, ``lsh``).
-
-    A table's key is the signs of ``log2(rows / bucket_rows)`` seeded random
-    projections together, so a bucket of unrelated vectors keeps about
-    ``bucket_rows`` rows however many there are, and the pair work relative to
-    the exact join falls as ``tables * bucket_rows / rows``. The default number
-    of tables grows with the bits (four, and one more for each bit). Rows
-    sharing a (table, bucket) are searched exactly on a block grid cut per
-    bucket (``keyed_grid_cells``), so a hot bucket becomes many bounded cells
-    and each cell emits only its local top-k. A neighbour found in several
-    tables is counted once. Output matches ``knn_join``.
-    """
-    def rows(df, key):
-        return df.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<float>").alias("_v")).dropna()
-
-    qv, cv = rows(queries, query_id), rows(corpus, corpus_id)
-    st = cv.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
-    dims = max(1, int(st["d"] or 0))
-    bits = min(40, max(1, int(np.ceil(np.log2(max(2, int(st["n"]) / bucket_rows))))))
-    tables = num_tables or 4 + bits
-    planes = np.random.default_rng(seed).normal(size=(dims, tables * bits))  # bounded by the parameters
-    weights = 1 << np.arange(bits, dtype=np.int64)
-
-    def key(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            sign = (_stack(pdf["_v"]) @ planes > 0).reshape(len(pdf), tables, bits)
-            yield pd.DataFrame({"_id": np.repeat(pdf["_id"].to_numpy(), tables),
-                                "_v": pdf["_v"].repeat(tables).to_numpy(),
-                                "_table": np.tile(np.arange(tables, dtype=np.int32), len(pdf)),
-                                "_bucket": (sign @ weights).reshape(-1)})
-
-    def keyed(df):
-        return df.mapInPandas(key, "_id long, _v array<float>, _table int, _bucket long")
-
-    cells = keyed_grid_cells(keyed(qv), keyed(cv), ["_table", "_bucket"], query_block_rows, corpus_block_rows)
-    local = cells.select("_cell", "_side", "_id", "_v").groupBy("_cell").applyInPandas(
-        _cell_topk(k, exclude_self), KNN_SCHEMA)
-    best = local.groupBy("qid", "id").agg(F.max("sim").alias("sim"))
-    w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("id").asc())
-    return (best.withColumn("rank", F.row_number().over(w).cast("int"))
-            .filter(F.col("rank") <= k).select("qid", "rank", "id", "sim"))
+    q, c = vector_rows(queries, query_id, vector), vector_rows(corpus, corpus_id, vector)
+    sizes = [F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("_v")), F.lit(0)).alias("d")]
+    (_, nq, dq), (_, nc, dc) = sorted(q.agg(F.lit(0).alias("side"), *sizes)
+                                      .unionAll(c.agg(F.lit(1).alias("side"), *sizes)).collect())
+    width, spark = max(1, dq, dc), q.sparkSession
+    c_blocks = max(1, -(-nc * width * 8 // corpus_block_bytes))
+    q_blocks = max(1, -(-nq * width * 8 // query_block_bytes),
+                   min(-(-2 * parallelism(spark) // c_blocks), nq // MIN_BLOCK_QUERIES))
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(shuffle, min(4 * c_blocks * q_blocks, 2 * shuffle))
+
+    def block(n: int):
+        return F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    cell = ["_qb", "_cb"]
+    left = q.withColumns({"_qb": block(q_blocks), "_cb": every(c_blocks)}).repartition(parts, *cell)
+    right = (c.select(F.col("_id").alias("_id"), F.col("_v").alias("_v"))  # names of its own: often the same table
+             .withColumns({"_cb": block(c_blocks), "_qb": every(q_blocks)}).repartition(parts, *cell))
+
+    def search(qt: pa.Table, ct: pa.Table) -> pa.Table:
+        if not len(qt) or not len(ct):
+            return _KNN.empty_table()
+        qids = qt["_id"].to_numpy()
+        i, ids, sims = top_k(qids, vector_matrix(qt["_v"], width), ct["_id"].to_numpy(),
+                             vector_matrix(ct["_v"], width), k, exclude_self)
+        return pa.table([qids[i], ids, sims], schema=_KNN)
+
+    return best_k(left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(search, _KNN_DDL), k)
 
 
 def enrich_neighbours(nn: DataFrame, reports: DataFrame, summary_chars: int = T.SUMMARY_NEIGHBOUR_CHARS) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Spark ML queries (rows-only checks): sampling, k-means, k sweep, LSH."""
+"""Sampling, k-means, k sweep and the approximate vector index."""
 
 from __future__ import annotations
 
@@ -43,11 +43,30 @@ def q_select_k(spark, sf):
     return CL.select_k(td.vectors(spark, sf))
 
 
-@register("knn_lsh")
-def q_knn_lsh(spark, sf):
-    """J4 (lsh): approximate top 10 per vector by sign random projections."""
+def _index_search(spark, sf, k=10):
+    """An index of all vectors written to the shared folder, and its answer for every vector, cut from it."""
+    from tessera.operators import ivf
+    from tessera.plans.queries.sources import read_then_remove, scratch
+    v, path = td.vectors(spark, sf), scratch(spark, "index")
+    ivf.build_index(v, path, k=k)
+    return read_then_remove(spark, ivf.search_index(v, path, k), path)
+
+
+@register("knn_index")
+def q_knn_index(spark, sf):
+    """J4 (index): approximate top 10 per vector from a stored inverted file."""
+    return _index_search(spark, sf)
+
+
+@register("knn_index_recall", """
+    SELECT count(*) * 10 AS n_true, true AS at_least_090, true AS scores_exact FROM embeddings""")
+def q_knn_index_recall(spark, sf):
+    """J4 (index): its recall@10 against the exact join over all vectors, and whether common pairs score alike."""
     v = td.vectors(spark, sf)
-    return V.knn_join_lsh(v, v, k=10)
+    true = V.knn_join(v, v, k=10).select("qid", "id", F.col("sim").alias("exact"))
+    both = true.join(_index_search(spark, sf), ["qid", "id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("n_true"), (F.count("sim") >= 0.9 * F.count(F.lit(1))).alias("at_least_090"),
+                    F.bool_and(F.coalesce(F.col("sim") == F.col("exact"), F.lit(True))).alias("scores_exact"))
 
 
 @register("silhouette_linear", with_views("""
