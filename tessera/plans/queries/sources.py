@@ -132,6 +132,21 @@ def q_append_vectors(spark, sf):
     return read_then_remove(spark, RD.read_vectors(spark, path).select("id", F.size("embedding").alias("dims")), path)
 
 
+@register("compact_store", """
+    SELECT doc_id AS id, 256 AS dims, CAST(2 - doc_id % 2 AS BIGINT) AS version FROM documents""")
+def q_compact_store(spark, sf):
+    """Odd ids, all ids and all again appended as three runs; the runs compacted, the old ones vacuumed."""
+    path = scratch(spark, "store")
+    corpus = td.reports(spark, sf).select("id", "component", "summary", "description")
+    for part in (corpus.filter("id % 2 = 1"), corpus, corpus):
+        RD.append_vectors(part, path)
+    store = RD.KeyedStore(spark, path, RD.VECTOR_SCHEMA)
+    store.compact()
+    store.vacuum()
+    out = RD.stored_vectors(spark, path).select("id", F.size("embedding").alias("dims"), "version")
+    return read_then_remove(spark, out, path)
+
+
 @register("ingest_stream", "SELECT doc_id AS id, 256 AS dims FROM documents")
 def q_ingest_stream(spark, sf):
     """Report files landed twice, streamed with availableNow, each id stored once."""

@@ -13,17 +13,23 @@ ROLE_PRIORITY = {"dup": 0, "master": 1, "corpus": 2}
 def prefer_role(df: DataFrame, id_col: str = "id", role_col: str = "role") -> DataFrame:
     """One row per id, the one whose role has the highest priority.
 
-    A ``min_by`` aggregate keyed by (priority, row hash): partial per task, so
-    an id repeated across a third of the rows still costs one row per task in
-    the shuffle, and ties between equal roles resolve the same way every run.
+    The winner is chosen on (id, priority, row hash), a hash aggregate over two
+    longs that is partial per task, so an id repeated across a third of the rows
+    costs one small row per task in its shuffle. The winners' rows are then
+    fetched by a join on the same two; equal rows, which share a hash, become
+    one where they lie. Ties between equal roles resolve the same
+    way every run.
     """
     prio = F.try_element_at(F.create_map(*[F.lit(x) for kv in ROLE_PRIORITY.items() for x in kv]),
                             F.col(role_col))
-    others = [c for c in df.columns if c != id_col]
-    key = F.struct(F.coalesce(prio, F.lit(len(ROLE_PRIORITY))).alias("p"),
-                   F.xxhash64(*[F.col(c) for c in others]).alias("h"))
-    best = df.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(c) for c in others]), key).alias("_row"))
-    return best.select(id_col, *[F.col(f"_row.{c}").alias(c) for c in others])
+    others = [F.col(c) for c in df.columns if c != id_col]
+    # one long: the priority in the upper bits, 61 bits of the row's hash below it
+    key = (F.shiftleft(F.coalesce(prio, F.lit(len(ROLE_PRIORITY))).cast("long"), 61)
+           .bitwiseOR(F.shiftrightunsigned(F.xxhash64(*others), 3)))
+    rows = df.withColumn("_k", key)
+    best = rows.groupBy(F.col(id_col).alias("_id")).agg(F.min("_k").alias("_best"))
+    won = rows.join(best, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_best")), "left_semi")
+    return won.distinct().select(*df.columns)
 
 
 def merge_sources(masters: DataFrame, extra: DataFrame, dups: DataFrame) -> DataFrame:

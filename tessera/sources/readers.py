@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as TX
 from tessera.functions.extraction import FIELD_DEFINITIONS, FIELD_ENUMS
+from tessera.sources.store import KeyedStore
 
 REPORT_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), False),
@@ -122,6 +122,12 @@ def write_pairs(df: DataFrame, path: str) -> None:
     write_csv(df.select(F.col("dup_id").cast("long"), F.col("master_id").cast("long")), path)
 
 
+def stored_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a vector store, or of a plain Parquet table of the same schema."""
+    store = KeyedStore(spark, path, VECTOR_SCHEMA)
+    return store.read() if store.sequence else spark.read.schema(VECTOR_SCHEMA).parquet(path)
+
+
 def latest_vectors(spark: SparkSession, path: str) -> DataFrame:
     """The stored rows, latest version per id.
 
@@ -131,8 +137,7 @@ def latest_vectors(spark: SparkSession, path: str) -> DataFrame:
     join on ``(id, version)``, so vectors and texts never shuffle for the
     aggregate and a frequently re-embedded id does not skew the join.
     """
-    df = spark.read.schema(VECTOR_SCHEMA).parquet(path).withColumn(
-        "version", F.coalesce(F.col("version"), F.lit(0)))
+    df = stored_vectors(spark, path).withColumn("version", F.coalesce(F.col("version"), F.lit(0)))
     newest = df.groupBy("id").agg(F.max("version").alias("version"))
     return df.join(newest, ["id", "version"], "left_semi")
 
@@ -141,7 +146,7 @@ def read_vectors(spark: SparkSession, path: str, latest: bool = False) -> DataFr
     """Full vector scan, pruned to id and embedding (S3); ``latest`` resolves versions."""
     if latest:
         return latest_vectors(spark, path).select("id", "embedding")
-    return spark.read.schema(VECTOR_SCHEMA).parquet(path).select("id", "embedding")
+    return stored_vectors(spark, path).select("id", "embedding")
 
 
 def vectors_for(ids: DataFrame, vectors: DataFrame, id_col: str = "id") -> DataFrame:
@@ -186,49 +191,47 @@ def _embed_batches(fn: EmbedFn, batch: int):
 
 
 def append_vectors(corpus: DataFrame, vectors_path: str, embed_fn: EmbedFn | None = None,
-                   batch: int = 500, reembed_changed: bool = False, summary_chars: int | None = None) -> DataFrame:
+                   batch: int = 500, reembed_changed: bool = False, summary_chars: int | None = None,
+                   run: str | None = None, origin: str | None = None) -> DataFrame:
     """Embed only reports not yet stored and append them.
 
     ``corpus`` needs ``id, component, summary`` and either ``text`` or
-    ``description``. By default the cache key is the id: the ``left_anti``
-    join against the stored ids runs first, on the raw rows, and text is
-    composed (P1) only for the new ones, so an append costs in proportion to
-    what is new. With ``reembed_changed`` a row is also re-embedded when the
-    ``xxhash64`` of its text differs from the latest stored one; the new
-    version is appended and ``latest_vectors`` reads the newest per id.
-    Text and metadata are stored and embedded whole; ``summary_chars`` (200 in
-    the reference's store) cuts the metadata summary. With no ``embed_fn`` the built-in stateless hashed vectors
-    are used, so every append lands in the same vector space. Returns the
-    appended rows as read back from the store; the model is not called again.
+    ``description``. The store is a ``KeyedStore``: the anti-join against the
+    stored ids reads only the buckets that the corpus ids fall in, runs first,
+    on the raw rows, and text is composed (P1) only for the new ones, so an
+    append costs in proportion to what is new. With ``reembed_changed`` a row is
+    also re-embedded when the ``xxhash64`` of its text differs from the latest
+    stored one; the new version is appended and ``latest_vectors`` reads the
+    newest per id. A version is the number of its commit. Text and metadata are
+    stored and embedded whole; ``summary_chars`` (200 in the reference's store)
+    cuts the metadata summary. With no ``embed_fn`` the built-in stateless
+    hashed vectors are used, so every append lands in the same vector space.
+
+    ``run`` names the append, and one that was committed under that name adds
+    nothing; a writer that keeps track of its own ids names itself as ``origin``
+    and is compared with the others' rows only. Returns the appended rows as
+    read back from the store; the model is not called again.
     """
-    import time
-
     from tessera.operators.stats import with_text
-    spark = corpus.sparkSession
-    try:
-        raw = spark.read.schema(VECTOR_SCHEMA).parquet(vectors_path)
-    except AnalysisException as missing:  # first run: the store does not exist yet
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        raw = spark.createDataFrame([], VECTOR_SCHEMA)
+    store = KeyedStore(corpus.sparkSession, vectors_path, VECTOR_SCHEMA)
     if reembed_changed:
         rows = corpus if "text" in corpus.columns else with_text(corpus)
         rows = rows.withColumn("_h", F.xxhash64("text"))
-        # latest stored hash per id: an aggregate over three narrow columns
-        known = raw.groupBy("id").agg(F.max_by("text_hash", F.coalesce(F.col("version"), F.lit(0))).alias("_old"))
+        # latest stored hash per id: an aggregate over three narrow columns of the touched buckets
+        known = (store.part(store.touched(rows), ["id", "text_hash", "version"]).groupBy("id")
+                 .agg(F.max_by("text_hash", F.coalesce(F.col("version"), F.lit(0))).alias("_old")))
         new_rows = (rows.join(known, "id", "left")
                     .filter(F.col("_old").isNull() | (F.col("_old") != F.col("_h"))).drop("_old", "_h"))
     else:
-        new_rows = unembedded(corpus, raw.select("id"))
+        new_rows = store.missing(corpus, origin)
         if "text" not in new_rows.columns:
             new_rows = with_text(new_rows)
-    version = int(time.time() * 1000)
     summary = F.coalesce(F.col("summary"), F.lit(""))
     if summary_chars is not None:
         summary = TX.clip(summary, summary_chars)
     todo = new_rows.select(F.col("id").cast("long").alias("id"), F.coalesce("component", F.lit("")).alias("component"),
-                           summary.alias("summary"),
-                           F.col("text"), F.xxhash64("text").alias("text_hash"), F.lit(version).alias("version"))
+                           summary.alias("summary"), F.col("text"), F.xxhash64("text").alias("text_hash"),
+                           F.lit(store.sequence + 1).cast("long").alias("version"))
     if embed_fn is None:
         from tessera.operators.embed import hashed_tf
         new = hashed_tf(todo).select(
@@ -236,8 +239,7 @@ def append_vectors(corpus: DataFrame, vectors_path: str, embed_fn: EmbedFn | Non
             "text_hash", "version")
     else:
         new = todo.mapInPandas(_embed_batches(embed_fn, batch), VECTOR_SCHEMA)
-    new.write.mode("append").parquet(vectors_path)
-    return spark.read.schema(VECTOR_SCHEMA).parquet(vectors_path).filter(F.col("version") == version)
+    return store.rows_of(store.append(new, run, origin))
 
 
 def field_catalog(spark: SparkSession) -> DataFrame:
