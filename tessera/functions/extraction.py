@@ -36,22 +36,24 @@ def _c(x) -> Column:
 def parse_json_strict(col) -> Column:
     """The whole string as one JSON value, else null. Returns VARIANT.
 
-    The JVM parser reads one value and ignores what follows it. Text after the
-    value cannot continue both an array and an object, so a string that parses
-    as the one element of ``[...]`` and as the one field of ``{"v": ...}`` is
-    one value and nothing else.
+    The JVM parser reads one value and ignores what follows it, so the text is
+    parsed once, as the first of two elements of an array whose second is a hash
+    of the text: the hash is read at that place only if the text is one value
+    and nothing else. A key that an object repeats keeps its last value where
+    the session allows that (``keep_last_json_key``).
     """
     c = _c(col)
-    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    named = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    one = (F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1) & (
-        F.size(F.try_variant_get(named, "$", "map<string, variant>")) == 1)
-    return F.when(one, F.try_variant_get(listed, "$[0]", "variant"))
+    seal = F.concat(F.lit("="), F.hex(F.xxhash64(c)), F.hex(F.hash(c)))
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit(',"'), seal, F.lit('"]')))
+    whole = F.transform(F.array(listed), lambda v: F.when(
+        F.try_variant_get(v, "$[1]", "string") == seal, F.try_variant_get(v, "$[0]", "variant")))
+    # only what begins like a JSON value is worth a parse
+    return F.when(c.rlike(r'^\s*[\[{"\-0-9tfn]'), F.get(whole, F.lit(0)))
 
 
 def parse_json_lenient(col) -> Column:
     """Whole string as JSON, else the span from the first ``{`` to the last ``}``
-    (across lines), else null (P12). Returns VARIANT."""
+    (across lines), else null (P12). Returns VARIANT; each of the two is parsed once at most."""
     c = _c(col)
     return F.coalesce(parse_json_strict(c), parse_json_strict(F.regexp_extract(c, r"(?s)\{.*\}", 0)))
 
@@ -80,18 +82,43 @@ def variant_string(x: Column) -> Column:
     return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
 
 
+def _field_strings(f: Column) -> Column:
+    """The three fields as strings, with whether there was an object at all."""
+    return F.struct(f.isNotNull().alias("object"), *[variant_string(f[n]).alias(n) for n in FIELD_DEFINITIONS])
+
+
+def _reason(s: Column, severities: Sequence[str], kinds: Sequence[str]) -> Column:
+    """The first check that the fields (``_field_strings``) fail, '' for none."""
+    return (F.when(~s["object"], F.lit(REASON_NOT_OBJECT))
+            .when(s["area"].isNull() | (strip_ws(s["area"]) == ""), F.lit(REASON_MISSING_AREA))
+            .when(s["severity"].isNull() | ~s["severity"].isin(*severities), F.lit(REASON_BAD_SEVERITY))
+            .when(s["kind"].isNull() | ~s["kind"].isin(*kinds), F.lit(REASON_BAD_KIND))
+            .otherwise(F.lit("")))
+
+
+def field_checks(v: Column, severities: Sequence[str] = SEVERITIES, kinds: Sequence[str] = KINDS) -> Column:
+    """Array of one struct (parsed, area, severity, kind, ok, reason) for a parsed reply (VARIANT; P11).
+
+    Every step is a lambda over the one before, so the reply, each of its fields
+    and the reason are computed once per row wherever the struct is used.
+    """
+    read = F.transform(F.array(v), lambda x: F.struct(x.isNotNull().alias("parsed"), extraction_fields(x).alias("f")))
+    text = F.transform(read, lambda x: F.struct(x["parsed"].alias("parsed"), _field_strings(x["f"]).alias("s")))
+    judged = F.transform(text, lambda x: F.struct(
+        x["parsed"].alias("parsed"), x["s"].alias("s"), _reason(x["s"], severities, kinds).alias("reason")))
+    return F.transform(judged, lambda x: F.struct(
+        x["parsed"].alias("parsed"), *[x["s"][n].alias(n) for n in FIELD_DEFINITIONS],
+        (x["reason"] == "").alias("ok"), x["reason"].alias("reason")))
+
+
 def validate_fields(f: Column, severities: Sequence[str] = SEVERITIES,
                     kinds: Sequence[str] = KINDS) -> tuple[Column, Column]:
     """(ok, reason) from ``extraction_fields``; the first failing check wins.
 
     not an object -> missing or blank area -> severity not allowed -> kind not allowed.
     """
-    area, sev, kind = (variant_string(f[n]) for n in ("area", "severity", "kind"))
-    reason = (F.when(f.isNull(), F.lit(REASON_NOT_OBJECT))
-              .when(area.isNull() | (strip_ws(area) == ""), F.lit(REASON_MISSING_AREA))
-              .when(sev.isNull() | ~sev.isin(*severities), F.lit(REASON_BAD_SEVERITY))
-              .when(kind.isNull() | ~kind.isin(*kinds), F.lit(REASON_BAD_KIND))
-              .otherwise(F.lit("")))
+    reason = F.get(F.transform(F.transform(F.array(f), _field_strings), lambda s: _reason(s, severities, kinds)),
+                   F.lit(0))
     return reason == "", reason
 
 

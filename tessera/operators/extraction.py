@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import extraction as EX
 from tessera.functions import text as T
+from tessera.session import keep_last_json_key
 
 _MATCH_SCHEMA = "value string, name string, score double"
 # Names per chunk: what one value is compared with at a time.
@@ -93,46 +94,57 @@ def nearest_name(values: DataFrame, taxonomy: DataFrame, value_col: str = "value
 def validate_replies(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
     """Parse each reply leniently and validate it.
 
-    The reply is parsed once (``_v``) and its three fields taken in one lookup
-    (``_f``); the checks are produced by a one-row ``inline`` so a later filter
-    on ``ok`` stays above them instead of being pushed down with the parse
-    copied into every predicate.
+    Each reply is parsed once and its three fields taken in one lookup
+    (``field_checks``). The checks are produced by a one-row ``inline`` so a
+    later filter on ``ok`` stays above them instead of being pushed down with
+    the parse copied into every predicate.
     """
-    parsed = (replies.withColumn("_v", EX.parse_json_lenient(F.col(reply_col)))
-              .withColumn("_f", EX.extraction_fields(F.col("_v"))))
-    f = F.col("_f")
-    ok, reason = EX.validate_fields(f)
-    checks = F.struct(F.col("_v").isNotNull().alias("parsed"),
-                      *[EX.variant_string(f[n]).alias(n) for n in ("area", "severity", "kind")],
-                      ok.alias("ok"), reason.alias("reason"))
+    keep_last_json_key(replies.sparkSession)
+    checks = EX.field_checks(EX.parse_json_lenient(F.col(reply_col)))
     keep = [c for c in replies.columns if c not in ("parsed", "area", "severity", "kind", "ok", "reason")]
-    return parsed.select(*keep, F.inline(F.array(checks)))
+    return replies.select(*keep, F.inline(checks))
+
+
+def _scored(fn: Callable[[pd.DataFrame], pd.Series], pdf: pd.DataFrame) -> tuple[list, list[bool]]:
+    """(values, failed) of a batch; one that raises is halved until its failing rows are alone."""
+    if not len(pdf):
+        return [], []
+    try:
+        vals = list(fn(pdf))
+        if len(vals) != len(pdf):
+            raise ValueError(f"{len(vals)} values for {len(pdf)} rows")
+        return vals, [False] * len(pdf)
+    except Exception:  # noqa: BLE001 - remote model failure -> null + flag, for the rows that cause it
+        if len(pdf) == 1:
+            return [None], [True]
+    half = len(pdf) // 2
+    (a, x), (b, y) = _scored(fn, pdf.iloc[:half]), _scored(fn, pdf.iloc[half:])
+    return a + b, x + y
 
 
 def score_rows(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], out_col: str = "score",
                out_type: str = "string") -> DataFrame:
     """Apply a user batch function (judge, namer) to every row (F2).
 
-    ``fn`` receives a pandas batch and returns one value per row; a batch
-    that raises yields nulls and ``<out_col>_failed = true``.
+    ``fn`` receives a pandas batch and returns one value per row. A batch that
+    raises, or returns another number of values, is halved and tried again
+    until the failing rows are alone: those get null and
+    ``<out_col>_failed = true``, all others their value. One bad row among n
+    costs about ``2 log2(n)`` more calls.
     """
     schema = f"{df.schema.simpleString()[7:-1]}, {out_col} {out_type}, {out_col}_failed boolean"
 
     def run(it):
         for pdf in it:
-            try:
-                vals = list(fn(pdf))
-                failed = [False] * len(pdf)
-            except Exception:  # noqa: BLE001 - remote model failure -> null + flag
-                vals = [None] * len(pdf)
-                failed = [True] * len(pdf)
-            yield pdf.assign(**{out_col: vals, f"{out_col}_failed": failed})
+            vals, failed = _scored(fn, pdf)
+            yield pdf.assign(**{out_col: pd.Series(vals, index=pdf.index, dtype=object), f"{out_col}_failed": failed})
 
     return df.mapInPandas(run, schema)
 
 
 def judge_labels(replies: DataFrame, reply_col: str = "reply", threshold: int = 5) -> DataFrame:
     """Judge reply -> 0/1 at ``threshold``; unreadable -> 0, flagged."""
+    keep_last_json_key(replies.sparkSession)
     s = EX.judge_score(F.col(reply_col))
     return replies.withColumn("parsed", s.isNotNull()).withColumn("judge_good", T.binarise_score(s, threshold))
 
@@ -154,14 +166,19 @@ def prior_for(names: DataFrame, reports: DataFrame, mapping: dict[str, str] | No
 def catalog_conformance(extractions: DataFrame, catalog: DataFrame) -> DataFrame:
     """Per catalog field with allowed values: replies whose value is allowed.
 
-    The catalog is a dimension table (fields x allowed values) whose join
-    strategy is left to the optimizer; the extractions are unpivoted to ``(field, value)``.
+    Which fields are checked is up to the catalog, a dimension table with one
+    row per field: every field that it lists values for and that the extractions
+    have as a column. The extractions are unpivoted to ``(field, value)``; the
+    join's strategy is left to the optimizer.
     """
-    allowed = (catalog.filter(F.col("allowed").isNotNull())
-               .select("field", F.explode("allowed").alias("value")).withColumn("_ok", F.lit(True)))
-    fields = [r for r in ("severity", "kind") if r in extractions.columns]
-    long = extractions.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"))
-                                                  for f in fields])).alias("_fv")).select("_fv.*")
+    listed = catalog.filter(F.col("allowed").isNotNull())
+    allowed = listed.select("field", F.explode("allowed").alias("value")).distinct().withColumn("_ok", F.lit(True))
+    fields = sorted({r.field for r in listed.select("field").collect()} & set(extractions.columns))
+    if not fields:
+        return extractions.sparkSession.createDataFrame([], "field string, n long, n_allowed long, n_missing long")
+    long = extractions.select(F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("_fv")
+    ).select("_fv.*")
     j = long.join(allowed, ["field", "value"], "left")
     return j.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count("_ok").alias("n_allowed"),
                                   F.count(F.when(F.col("value").isNull(), 1)).alias("n_missing"))

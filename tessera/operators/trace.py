@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import extraction as EX
+from tessera.session import keep_last_json_key
 
 # Decision names, their one-letter abbreviations, the budget.
 RESEARCH, EXTRACT, CRITIQUE, FINISH = "research", "extract", "critique", "FINISH"
@@ -101,6 +102,7 @@ def evidence_digest(trace: DataFrame, n: int = 6, tool_col: str = "node") -> Dat
 def _with_state(trace: DataFrame) -> DataFrame:
     """Adds, per decision, the state before it: decision index and the current
     extraction (the last extract reply so far; an unreadable one is null)."""
+    keep_last_json_key(trace.sparkSession)
     w = Window.partitionBy("run_id").orderBy("step")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     parsed = EX.parse_json_lenient(F.col("text"))

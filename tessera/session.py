@@ -86,6 +86,13 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+def keep_last_json_key(spark: SparkSession) -> None:
+    """Let JSON objects that repeat a key keep its last value, unless the session has set that itself."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, "true")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder that the session names in ``spark.checkpoint.dir``.
 

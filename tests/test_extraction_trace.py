@@ -154,3 +154,57 @@ def test_nearest_name_equals_difflib_on_random_names(spark):
     t = spark.createDataFrame([(x,) for x in names], "component string")
     got = {r.value: r.name for r in XO.nearest_name(v, t, name_rows=30).collect()}
     assert got == {x: difflib.get_close_matches(x, names, n=1, cutoff=0.0)[0] for x in values}
+
+
+def test_one_bad_row_does_not_void_its_batch(spark):
+    calls = []
+
+    def judge(pdf):
+        calls.append(len(pdf))
+        if (pdf["id"] == 777).any():
+            raise ValueError("bad row")
+        return [f"s{i}" for i in pdf["id"]]
+
+    import pandas as pd
+    vals, failed = XO._scored(judge, pd.DataFrame({"id": range(10000)}))
+    assert sum(failed) == 1 and failed[777] and vals[777] is None and vals[778] == "s778" and len(calls) < 40
+    df = spark.range(2000).repartition(2)
+    rows = XO.score_rows(df, lambda pdf: [1 / (i - 777) for i in pdf["id"]], "s", "double").collect()
+    assert sum(r.s_failed for r in rows) == 1 and sum(r.s is not None for r in rows) == 1999
+    short = XO.score_rows(df, lambda pdf: list(pdf["id"])[:1], "s", "long").collect()  # one value for many rows
+    assert sorted(r.s for r in short) == list(range(2000))
+
+
+def test_strict_json_is_parsed_once_and_whole(spark):
+    import json
+
+    from tessera.session import keep_last_json_key
+    texts = ['{"a":1}', ' {"a":1} ', '{"a":1} x', "[1,2]", "1", "1,2", "1] x", '"s"', "", "null", "true", "tru", "[1],[2",
+             '{"a":1,"a":2}', '{"a":{"b":[1,{"c":"}"}]}}', '{"a":1}{"b":2}', "-3.5e2", '{"a":"x\\"]}"}', '{"a":1},"="',
+             '{"a":1}\n\n', "{}", "[]", '{"a"}', '{"k":"' + "y" * 20000 + '"}', "  ", "]", '","', None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    keep_last_json_key(spark)
+    for r in df.select("t", F.to_json(EX.parse_json_strict("t")).alias("p")).collect():
+        try:
+            want = json.dumps(json.loads(r.t), separators=(",", ":"), ensure_ascii=False)
+        except Exception:  # noqa: BLE001
+            want = None
+        assert r.p == want, r.t
+    plan = XO.validate_replies(df.withColumnRenamed("t", "reply"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 2  # the text, and its span from brace to brace
+
+
+def test_repeated_keys_keep_the_last_value(spark):
+    df = spark.createDataFrame([('{"area": "old", "severity": "low", "kind": "ui", "area": "new"}',)], "reply string")
+    r = XO.validate_replies(df).first()
+    assert (r.ok, r.area) == (True, "new")
+
+
+def test_catalog_decides_which_fields_are_checked(spark):
+    ext = spark.createDataFrame([(1, "a", "x", 3), (2, "b", None, 4), (3, "a", "z", 3)],
+                                "id long, grade string, other string, n int")
+    cat = spark.createDataFrame([("grade", "d", ["a"]), ("n", "d", ["3"]), ("other", "free", None), ("gone", "d", ["q"])],
+                                "field string, definition string, allowed array<string>")
+    got = {r.field: (r.n, r.n_allowed, r.n_missing) for r in XO.catalog_conformance(ext, cat).collect()}
+    assert got == {"grade": (3, 2, 0), "n": (3, 2, 0)}
+    assert XO.catalog_conformance(ext.select("id"), cat).collect() == []

@@ -45,3 +45,31 @@ def test_clip_and_year(spark):
 def test_binarise_and_as_id(spark):
     assert one(spark, [(5,), (4,), (None,)], "s int", T.binarise_score("s")) == [1, 0, 0]
     assert one(spark, [("12",), ("x",)], "s string", T.as_id("s")) == [12, None]
+
+
+def test_word_hashes_equal_crc32_per_word(monkeypatch):
+    import random
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.operators import embed
+
+    def plain(texts, dims):
+        fold = bytes(embed._FOLD)
+        out = np.zeros((len(texts), dims))
+        for i, t in enumerate(texts):
+            h = np.array([zlib.crc32(w) for w in (t or "").encode().translate(fold).split()], np.uint64)
+            pairs = (h[:-1] * np.uint64(0x9E3779B1) + h[1:]) * np.uint64(0x85EBCA6B) >> np.uint64(16)
+            out[i] = np.bincount((np.concatenate([h, pairs]) % np.uint64(dims)).astype(np.int64), minlength=dims)
+        return out
+
+    rnd = random.Random(0)
+    texts = [None, "", " ", "a", "Hello, World_1 é漢字", "x" * 500 + " y " + "z" * 64 + " " + "w" * 65, "\n\n", "end ", " go"]
+    texts += ["".join(rnd.choice("ab é,_Z9\n") for _ in range(rnd.randint(0, 200))) for _ in range(200)]
+    for size in (1 << 20, 300, 1):
+        monkeypatch.setattr(embed, "SLICE_BYTES", size)
+        for column in (pa.array(texts), pa.array(texts).slice(3, 100), pa.array(texts, pa.large_string())):
+            assert (embed._counts(column, 64) == plain(column.to_pylist(), 64)).all()
+    assert embed._counts(pa.array([], pa.string()), 8).shape == (0, 8)
