@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "piece_bpe_32k.model"
 #: Smoothing count of every piece, and the share given to characters outside the vocabulary.
 ALPHA, OUTSIDE = 0.1, 1e-4
-#: Longest word scored in one lattice; longer words are scored in runs of this many characters.
-MAX_WORD = 64
+#: Characters of new words worked through at a time (a longer word is worked through whole).
+SLICE = 1 << 18
 #: Words kept per task; the table is emptied when full.
 MAX_CACHED = 400_000
 UND = "und"
@@ -58,32 +58,99 @@ def lattice_word(token: str) -> str:
     return "▁" + letters if letters else ""
 
 
-def forward(words: list[str], pieces: dict[str, int], longest: int, prob: np.ndarray,
-            outside: float) -> np.ndarray:
+class PieceTrie:
+    """The vocabulary as a trie whose steps are sorted (node, character) keys: all spans of all words at once."""
+
+    def __init__(self, pieces: dict[str, int]):
+        step: dict[tuple[int, int], int] = {}
+        piece = [-1]
+        for text, i in pieces.items():
+            node = 0
+            for c in map(ord, text):
+                nxt = step.get((node, c))
+                if nxt is None:
+                    nxt = step[node, c] = len(piece)
+                    piece.append(-1)
+                node = nxt
+            piece[node] = i
+        keys = np.array([(n << 21) | c for n, c in step], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.nodes = keys[order], np.fromiter(step.values(), np.int64, len(step))[order]
+        self.piece = np.array(piece, np.int64)
+
+    def spans(self, chars: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of every piece that lies in a word; ``left``: characters to the word's end."""
+        at, node, found = np.arange(len(chars)), np.zeros(len(chars), np.int64), []
+        size = 0
+        while len(at):
+            key = (node << 21) | chars[at + size]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[place] == key
+            at, node = at[on], self.nodes[place[on]]
+            size += 1
+            is_piece = self.piece[node] >= 0
+            found.append((at[is_piece], at[is_piece] + size, self.piece[node[is_piece]]))
+            more = left[at] > size
+            at, node = at[more], node[more]
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+@lru_cache(maxsize=2)
+def trie_of(model: bytes) -> PieceTrie:
+    return PieceTrie(load(model)[1])
+
+
+def forward(words: list[str], trie: PieceTrie, prob: np.ndarray, outside: float) -> np.ndarray:
     """Natural-log probability of each word by language, summed over all segmentations.
 
-    ``prob`` is (vocabulary, languages); a character that is no piece itself
-    may also stand alone with probability ``outside``. Words of one length are
-    worked through together, one step per span of the lattice; words of over
-    ``MAX_WORD`` characters are the product of their runs.
+    ``prob`` is (vocabulary, languages); a character that is no piece itself may
+    also stand alone with probability ``outside``. All words are worked through
+    together, one step per position in a word, in logarithms, so that no word is
+    too long or too improbable to tell languages apart.
     """
-    size, langs = prob.shape
-    table = np.concatenate([prob, np.zeros((1, langs)), np.full((1, langs), outside)])
-    total = np.zeros((len(words), langs))
-    runs: dict[int, list[tuple[int, str]]] = {}
-    for k, w in enumerate(words):
-        for i in range(0, len(w), MAX_WORD):
-            runs.setdefault(len(w[i:i + MAX_WORD]), []).append((k, w[i:i + MAX_WORD]))
-    for n, own in runs.items():
-        spans = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - longest), j)]
-        none = [size + (j - i == 1) for i, j in spans]
-        ids = np.array([[pieces.get(w[i:j], x) for (i, j), x in zip(spans, none, strict=True)] for _, w in own])
-        alpha = np.zeros((n + 1, len(own), langs))
-        alpha[0] = 1.0
-        for at, (i, j) in enumerate(spans):
-            alpha[j] += alpha[i] * table[ids[:, at]]
-        np.add.at(total, [k for k, _ in own], np.log(np.maximum(alpha[n], 1e-300)))
-    return total
+    out = np.zeros((len(words), prob.shape[1]))
+    log = np.concatenate([np.log(prob), np.full((1, prob.shape[1]), np.log(outside))])
+    lo = 0
+    while lo < len(words):
+        hi, size = lo, 0
+        while hi < len(words) and (hi == lo or size + len(words[hi]) <= SLICE):
+            size += len(words[hi])
+            hi += 1
+        out[lo:hi] = _forward_slice(words[lo:hi], trie, log)
+        lo = hi
+    return out
+
+
+def _forward_slice(words: list[str], trie: PieceTrie, log: np.ndarray) -> np.ndarray:
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    sizes = np.array([len(w) for w in words], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(chars)) - np.repeat(begin, sizes)
+    start, end, piece = trie.spans(chars, np.repeat(sizes, sizes) - place)
+    alone = np.ones(len(chars), bool)
+    alone[start[end - start == 1]] = False
+    lone = np.flatnonzero(alone)
+    start, end = np.concatenate([start, lone]), np.concatenate([end, lone + 1])
+    piece = np.concatenate([piece, np.full(len(lone), len(log) - 1)])
+    # a node per character and one before each word; spans in order of where they end inside their word
+    node_from = start + np.searchsorted(begin, start, "right") - 1
+    node_to = node_from + (end - start)
+    depth = place[end - 1] + 1
+    order = np.lexsort((node_to, depth))
+    node_from, node_to, depth, piece = node_from[order], node_to[order], depth[order], piece[order]
+    total = np.zeros((len(chars) + len(words), log.shape[1]))
+    steps = np.searchsorted(depth, np.arange(1, int(sizes.max(initial=0)) + 2))
+    for a, b in zip(steps, steps[1:], strict=False):
+        v = total[node_from[a:b]] + log[piece[a:b]]
+        cut = np.flatnonzero(np.append(True, node_to[a + 1:b] != node_to[a:b - 1]))
+        top = np.maximum.reduceat(v, cut)
+        count = np.diff(np.append(cut, b - a))
+        if count.max() > 1:
+            top = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, count, axis=0)), cut))
+        total[node_to[a:b][cut]] = top
+    return total[begin + np.arange(len(words)) + sizes]
 
 
 def piece_counts(training: DataFrame, model: bytes) -> DataFrame:
@@ -137,8 +204,7 @@ class _WordScores:
     """Forward scores by token in a growing table; row 0 is for tokens without a letter."""
 
     def __init__(self, model: bytes, prob: np.ndarray):
-        _, self.pieces, self.longest = load(model)
-        self.prob, self.row, self.table = prob, {}, np.zeros((1, prob.shape[1]))
+        self.trie, self.prob, self.row, self.table = trie_of(model), prob, {}, np.zeros((1, prob.shape[1]))
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Log-probability by language of each text, None without a letter."""
@@ -148,7 +214,7 @@ class _WordScores:
         new = list({w for words in split for w in words}.difference(self.row))
         lattice = [lattice_word(w) for w in new]
         some = [k for k, w in enumerate(lattice) if w]
-        scores = forward([lattice[k] for k in some], self.pieces, self.longest, self.prob, OUTSIDE / 1000)
+        scores = forward([lattice[k] for k in some], self.trie, self.prob, OUTSIDE / 1000)
         self.row.update(dict.fromkeys(new, 0))
         self.row.update(zip((new[k] for k in some), range(len(self.table), len(self.table) + len(some)), strict=True))
         self.table = np.concatenate([self.table, scores])

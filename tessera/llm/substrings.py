@@ -51,6 +51,9 @@ SLICE = 1 << 20
 #: Suffixes gathered before a shard's family takes them in as one batch.
 BATCH = 1 << 15
 NONE, WHOLE, ASK, WHOLE_SHOWN = 0, 1, 2, 3
+#: Bytes between words.
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -320,10 +323,32 @@ def whole_characters(text: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.repeat(np.logical_or.reduceat(gone, at), np.diff(np.append(at, len(text)))) if len(at) else gone
 
 
+def long_passages(data: np.ndarray, gone: np.ndarray, words: int) -> np.ndarray:
+    """``gone`` without its runs that hold fewer than ``words`` whole words and are shorter than ``LENGTH`` bytes.
+
+    Of a run with whole words just these go, so that what stands around it stays whole words too.
+    """
+    edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    letter = np.diff(~_BLANK[data], prepend=False, append=False)
+    first, last = np.flatnonzero(letter)[::2], np.flatnonzero(letter)[1::2]
+    whole = np.searchsorted(last, stop, "right") - np.searchsorted(first, start, "left")
+    keep = (whole >= words) | (stop - start >= LENGTH)
+    some = np.flatnonzero(whole > 0)
+    start[some] = first[np.searchsorted(first, start[some])]
+    stop[some] = last[np.searchsorted(last, stop[some], "right") - 1]
+    out = np.zeros(len(gone) + 1, np.int8)
+    out[start[keep]], out[stop[keep]] = 1, -1
+    return np.cumsum(out[:-1], dtype=np.int8).astype(bool)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, segment_bytes: int = SEGMENT_BYTES,
-                   characters: bool = False) -> DataFrame:
+                   characters: bool = False, words: int = 0) -> DataFrame:
     """Every row of ``docs`` without ``text`` plus kept (bytes left), n_bytes, n_removed, n_spans, kept_sha256.
 
+    With ``words``, a run of repeated bytes goes only if it holds that many whole words or ``LENGTH`` bytes;
+    parts of words at its ends stay.
+
     With ``characters``, kept (and its hash) also lacks the rest of a character cut in half; the counts stay.
     """
     import pyarrow as pa
@@ -372,6 +397,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, segment_bytes: int = S
             whole_data = np.frombuffer(data, np.uint8)
             for hi in ends.tolist():
                 g = gone[lo:hi]
+                if words and g.any():
+                    g = long_passages(whole_data[lo:hi], g, words)
                 removed = int(g.sum())
                 rest = data[lo:hi] if not removed else whole_data[lo:hi][
                     ~(whole_characters(whole_data[lo:hi], g) if characters else g)].tobytes()

@@ -147,13 +147,87 @@ def test_forward_sums_all_segmentations():
     import numpy as np
     pieces = {"▁a": 0, "b": 1, "▁ab": 2, "c": 3, "bc": 4}
     p = np.array([[.1, .2], [.2, .1], [.3, .1], [.1, .3], [.3, .3]])
-    got = np.exp(langid.forward(["▁abc", "b", "▁abc", "x"], pieces, 3, p, 0.01))
+    trie = langid.PieceTrie(pieces)
+    got = np.exp(langid.forward(["▁abc", "b", "▁abc", "x"], trie, p, 0.01))
     single = 0.01 * 0.01  # the mark and the first letter as characters outside the vocabulary
     want = p[0] * p[1] * p[3] + p[2] * p[3] + p[0] * p[4] + single * (p[1] * p[3] + p[4])
     assert np.allclose(got, [want, p[1], want, [.01, .01]])
-    long = "bc" * langid.MAX_WORD
-    half = langid.forward(["bc" * (langid.MAX_WORD // 2)], pieces, 3, p, 0.01)
-    assert np.allclose(langid.forward([long], pieces, 3, p, 0.01), 2 * half)
+
+
+def plain_forward(word, pieces, prob, outside):
+    """Log-probability by language with exact fractions."""
+    from fractions import Fraction
+    import math
+    out = []
+    for x in range(prob.shape[1]):
+        alpha = [Fraction(1)] + [Fraction(0)] * len(word)
+        for j in range(1, len(word) + 1):
+            for i in range(j):
+                if word[i:j] in pieces:
+                    alpha[j] += alpha[i] * Fraction(prob[pieces[word[i:j]], x])
+                elif j - i == 1:
+                    alpha[j] += alpha[i] * Fraction(outside)
+        out.append(math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator))
+    return out
+
+
+def test_forward_has_no_longest_word_and_does_not_underflow():
+    import random
+
+    import numpy as np
+    rnd = random.Random(1)
+    pieces = {"▁": 0, "a": 1, "b": 2, "ab": 3, "ba": 4, "abab": 5, "漢": 6, "漢a": 7}
+    p = np.random.default_rng(0).random((8, 3)) * 0.1
+    words = ["▁" + "".join(rnd.choice("ab漢z") for _ in range(n)) for n in (0, 1, 2, 5, 63, 64, 65, 130, 400)] * 2
+    got = langid.forward(words, langid.PieceTrie(pieces), p, 1e-7)
+    assert np.allclose(got, [plain_forward(w, pieces, p, 1e-7) for w in words], rtol=1e-12)
+    # 63 letters outside the vocabulary used to end at the least float: now a border inside them still counts
+    odd = "▁" + "z" * 63
+    a, b = langid.forward([odd, odd + "a" * 3], langid.PieceTrie(pieces), p, 1e-13)
+    assert a.max() < -1800 and np.ptp(b - a) > 0.1
+    monkey, langid.SLICE = langid.SLICE, 7
+    try:
+        assert np.array_equal(langid.forward(words, langid.PieceTrie(pieces), p, 1e-7), got)
+    finally:
+        langid.SLICE = monkey
+
+
+def test_predictions_equal_a_plain_model(spark, docs, rows):
+    """Fit and prediction from end to end: counts of the vocabulary's own cuts, then exact sums over all cuts."""
+    import math
+    import zlib
+    from collections import Counter
+
+    with open(public_tokenizers.path(langid.VOCABULARY), "rb") as f:
+        sp, pieces, _ = langid.load(f.read())
+    held = {i: d is not None and zlib.crc32(str(d).encode()) % 4 == 2 for i, (d, *_) in enumerate(rows)}
+    counts = {}
+    for i, (_, text, lang, _) in enumerate(rows):
+        if not held[i] and text is not None and lang is not None:
+            own = counts.setdefault(lang, Counter())
+            for w in text.lower().split():
+                own.update(pieces[x] for x in sp.encode(langid.lattice_word(w)[1:], out_type=str) if x in pieces)
+    langs, size = sorted(counts), sp.get_piece_size()
+    import numpy as np
+    prob = np.array([[counts[x][i] + langid.ALPHA for x in langs] for i in range(size)])
+    prob = (prob / prob.sum(0) * (1 - langid.OUTSIDE)).astype(np.float32).astype(float)
+    cache, expected = {}, []
+    for i, (d, text, _, _) in enumerate(rows):
+        words = Counter(w for w in map(langid.lattice_word, (text or "").lower().split()) if w)
+        if not words:
+            expected.append((d, held[i], "und", 0.0))
+            continue
+        for w in words:
+            if w not in cache:
+                cache[w] = np.array(plain_forward(w, pieces, prob, langid.OUTSIDE / 1000)) if len(w) < 40 else None
+        if any(cache[w] is None for w in words):
+            continue
+        total = sum(n * cache[w] for w, n in words.items())
+        best = int(total.argmax())
+        expected.append((d, held[i], langs[best], round(1 / sum(math.exp(t - total[best]) for t in total), 6)))
+    got = Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in
+                  langid.identify_languages(docs, public_tokenizers.path(langid.VOCABULARY)).collect())
+    assert len(expected) > len(rows) // 2 and not Counter(expected) - got
 
 
 def test_language_id_without_training(spark, empty):
