@@ -125,17 +125,16 @@ def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     w = lm.initial(np.full(6, 1 / 6), width=4, stride=3)
     w["U"] = rng.normal(0, .3, w["U"].shape)
-    x, y = rng.integers(0, 6, (2, 6)), rng.integers(0, 6, (2, 3))
-    seen = np.arange(6) >= np.array([[0], [2]])
-    live = np.arange(3) < np.array([[3], [2]])
-    _, g = lm.gradients(w, x, y, seen, live)
+    x, y = rng.integers(0, 6, (2, 6)), rng.integers(0, 6, (2, 6))
+    y[1, 4:] = -1
+    _, g = lm.gradients(w, x, y)
     for k in w:
         for _ in range(4):
             i = tuple(rng.integers(0, s) for s in w[k].shape)
             up, down = {a: v.copy() for a, v in w.items()}, {a: v.copy() for a, v in w.items()}
             up[k][i] += 1e-5
             down[k][i] -= 1e-5
-            slope = (lm.gradients(up, x, y, seen, live)[0] - lm.gradients(down, x, y, seen, live)[0]) / 2e-5
+            slope = (lm.gradients(up, x, y)[0] - lm.gradients(down, x, y)[0]) / 2e-5
             assert abs(slope - g[k][i]) < 1e-6
 
 
@@ -224,25 +223,81 @@ def test_native_plans(spark, docs):
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
 
 
-def test_every_training_token_is_a_target(spark):
+def test_every_training_token_is_a_target(spark, monkeypatch):
     with open(public_tokenizers.path(lm.VOCABULARY), "rb") as f:
         model = f.read()
-    text = " ".join(random.Random(5).choice(["the", "of", "house"]) for _ in range(1003))
     ids, longest = lm.pieces_of(model)
-    of = {lm.lead_piece(w, ids, longest): i for i, w in enumerate([b"the", b"of"])} | {lm.END_PIECE: 63}
-    c = [of.get(lm.lead_piece(w, ids, longest), 62) for w in lm.tokens(text.encode())]
-    df = spark.createDataFrame([(bytearray(text.encode()),)], "text binary")
-    x, y, inside, live = lm.read_windows([bytes(r.w) for r in lm.training_windows(df, model, of).collect()])
-    assert y[live].tolist() == c
-    # the inputs inside a window are the tokens before its targets
-    inputs, s = [63, *c[:-1]], lm.STRIDE
-    for i in range(len(x)):
-        assert x[i][inside[i]].tolist() == inputs[max(0, i - 1) * s:(i + 1) * s]
-
-
-def test_training_windows_of_empty_texts(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["the", "of", "house"]) for _ in range(n)) for n in (1003, 1, 31, 32, 33, 700)]
+    rows = [(bytearray(t.encode()), i == 5) for i, t in enumerate(texts)] + [(None, False), (bytearray(b""), False)]
+    df = spark.createDataFrame(rows, "text binary, held_out boolean").repartition(2)
+    for run in (1 << 16, 64):
+        monkeypatch.setattr(lm, "RUN", run)
+        got = lm.read_corpus(df, model).collect()
+        runs = [bytes(r.run) for r in got if r.run is not None]
+        want = sorted(tuple(lm.lead_piece(w, ids, longest) for w in lm.tokens(t and bytes(t))) for t, held in rows if not held)
+        if run > 64:
+            assert sorted(tuple(np.frombuffer(r, np.int32)[1:].tolist()) for r in runs) == want
+        assert sum(len(r) // 4 - 1 for r in runs) == sum(map(len, want))
+        n, m = {}, {}
+        for r in got:
+            if r.run is None:
+                n[r.h], m[r.h] = n.get(r.h, 0) + r.n, m.get(r.h, 0) + r.m
+        assert sum(n.values()) == sum(map(len, want)) and sum(m.values()) == sum(n.values()) + 701
+        assert n[lm.word_hash(b"")] == 7 and m[lm.word_hash(b"")] == 8
+    # windows: each class but a run's first is a target once, its input the one before
+    parts = [np.array([63, 1, 2, 3, 63]), np.array([63, 63]), np.arange(40)]
+    x, y = lm.training_windows(parts, 63, 32)
+    assert y[y >= 0].tolist() == [1, 2, 3, 63, 63, *range(1, 40)] and x.shape == (4, 32)
+    assert x[y >= 0].tolist() == [63, 1, 2, 3, 63, *range(39)]
+
+
+def test_a_frequent_word_that_training_lacks_is_in_the_head(spark, tmp_path):
+    held = [i for i in range(400) if brute.zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, "boilerplate " * 50 + "one" if i in held else f"w{i} two") for i in range(400)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path).select(F.col("text").cast("binary").alias("text"),
+                                           F.col("doc_id").isin(held).alias("held_out"))
     with open(public_tokenizers.path(lm.VOCABULARY), "rb") as f:
-        model = f.read()
-    df = spark.createDataFrame([(None,), (bytearray(b""),)], "text binary")
-    x, y, inside, live = lm.read_windows([bytes(r.w) for r in lm.training_windows(df, model, {lm.END_PIECE: 63}).collect()])
-    assert y[live].tolist() == [63, 63] and inside.sum() == 2
+        counts = lm.read_corpus(docs, f.read()).filter("run IS NULL").groupBy("h").agg(
+            F.sum("n").alias("n"), F.sum("m").alias("m"))
+    _, top = lm.head_words(counts, 3)
+    assert {r.h: r.n for r in top}[lm.word_hash(b"boilerplate")] == 0
+    got = lm.score_documents(spark.read.parquet(path), public_tokenizers.path(lm.VOCABULARY), rounds=1)
+    same([(r.doc_id, r.n_tokens, r.n_known) for r in got.collect() if r.held_out], [(i, 52, 1) for i in held])
+
+
+def plain_score(w, shares, text, known):
+    """Gain of a text by a plain loop over its tokens; ``known`` gives a word's class."""
+    c = [known(t) for t in lm.tokens(text)]
+    end, total, s = len(shares) - 1, 0.0, lm.STRIDE
+    inputs = [end, *c[:-1]]
+    for i, target in enumerate(c):
+        first = i // s * s - s
+        use = [p for p in range(max(0, first), i + 1)]
+        emb = {p: w["E"][inputs[p]] + w["P"][p - first] for p in use}
+        a = np.array([emb[i] @ w["Wq"] @ (emb[p] @ w["Wk"]) for p in use]) / np.sqrt(lm.WIDTH)
+        a = np.exp(a - a.max())
+        z = sum(x * (emb[p] @ w["Wv"]) for x, p in zip(a / a.sum(), use, strict=True))
+        logit = (emb[i] + z @ w["Wo"]) @ w["U"] + w["b"]
+        total += logit[target] - np.log(np.exp(logit).sum()) - np.log(shares[target])
+    return total / np.log(10)
+
+
+def test_trained_scores_equal_a_plain_model(spark, docs, rows, monkeypatch):
+    """The score column from end to end: base by counts, the trained layer by a loop over single tokens."""
+    kept = {}
+    plain_train = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a, **k: kept.update(w=plain_train(*a, **k), of=a[1], shares=a[2]) or kept["w"])
+    got = {}
+    for r in lm.score_documents(docs, public_tokenizers.path(lm.VOCABULARY)).collect():
+        got.setdefault(r.doc_id, []).append(round(r.score - r.base_score, 3))
+    with open(public_tokenizers.path(lm.VOCABULARY), "rb") as f:
+        ids, longest = lm.pieces_of(f.read())
+    for d, t, *_ in rows:
+        text = (t or "").encode()
+        if d is not None and len(text) < 2000:
+            want = plain_score(kept["w"], kept["shares"], text,
+                               lambda x: kept["of"].get(lm.lead_piece(x, ids, longest), lm.CLASSES - 2))
+            assert min(abs(want - g) for g in got[d]) < 5e-3
