@@ -223,10 +223,38 @@ def test_native_plans(spark, docs):
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
 
 
+def words_of(text):
+    """The words of a text, A-Z folded, and the end (the empty word)."""
+    return [*(text or b"").lower().split(), b""]
+
+
+def plain_lead(word, ids):
+    """Id of the longest vocabulary string that starts the word; 0 without one."""
+    if not word:
+        return lm.END_PIECE
+    w = "▁" + word.decode()
+    return next((ids[w[:n]] for n in range(len(w), 0, -1) if w[:n] in ids), 0)
+
+
+def test_tokens_and_leading_ids(rows):
+    from tessera.llm.wordhash import hash_words
+    with open(public_tokenizers.path(lm.VOCABULARY), "rb") as f:
+        model = f.read()
+    ids, texts = lm.pieces_of(model), [t and t.encode() for _, t, *_ in rows]
+    size, inverse, distinct, piece = lm.distinct_tokens(texts, lm.lead_pieces(model))
+    want = [words_of(t) for t in texts]
+    assert size.tolist() == list(map(len, want))
+    flat = [w for t in want for w in t]
+    assert piece[inverse].tolist() == [plain_lead(w, ids) for w in flat]
+    h = hash_words([b" ".join(w for w in flat if w)])[0].view(np.int64)
+    assert distinct[inverse][[bool(w) for w in flat]].tolist() == h.tolist()
+    assert set(distinct[inverse][[not w for w in flat]].tolist()) == {lm.END}
+
+
 def test_every_training_token_is_a_target(spark, monkeypatch):
     with open(public_tokenizers.path(lm.VOCABULARY), "rb") as f:
         model = f.read()
-    ids, longest = lm.pieces_of(model)
+    ids = lm.pieces_of(model)
     rnd = random.Random(5)
     texts = [" ".join(rnd.choice(["the", "of", "house"]) for _ in range(n)) for n in (1003, 1, 31, 32, 33, 700)]
     rows = [(bytearray(t.encode()), i == 5) for i, t in enumerate(texts)] + [(None, False), (bytearray(b""), False)]
@@ -235,7 +263,7 @@ def test_every_training_token_is_a_target(spark, monkeypatch):
         monkeypatch.setattr(lm, "RUN", run)
         got = lm.read_corpus(df, model).collect()
         runs = [bytes(r.run) for r in got if r.run is not None]
-        want = sorted(tuple(lm.lead_piece(w, ids, longest) for w in lm.tokens(t and bytes(t))) for t, held in rows if not held)
+        want = sorted(tuple(plain_lead(w, ids) for w in words_of(t and bytes(t))) for t, held in rows if not held)
         if run > 64:
             assert sorted(tuple(np.frombuffer(r, np.int32)[1:].tolist()) for r in runs) == want
         assert sum(len(r) // 4 - 1 for r in runs) == sum(map(len, want))
@@ -244,7 +272,7 @@ def test_every_training_token_is_a_target(spark, monkeypatch):
             if r.run is None:
                 n[r.h], m[r.h] = n.get(r.h, 0) + r.n, m.get(r.h, 0) + r.m
         assert sum(n.values()) == sum(map(len, want)) and sum(m.values()) == sum(n.values()) + 701
-        assert n[lm.word_hash(b"")] == 7 and m[lm.word_hash(b"")] == 8
+        assert n[lm.END] == 7 and m[lm.END] == 8
     # windows: each class but a run's first is a target once, its input the one before
     parts = [np.array([63, 1, 2, 3, 63]), np.array([63, 63]), np.arange(40)]
     x, y = lm.training_windows(parts, 63, 32)
@@ -253,6 +281,7 @@ def test_every_training_token_is_a_target(spark, monkeypatch):
 
 
 def test_a_frequent_word_that_training_lacks_is_in_the_head(spark, tmp_path):
+    from tessera.llm.wordhash import hash_words
     held = [i for i in range(400) if brute.zlib.crc32(str(i).encode()) % 7 == 2]
     rows = [(i, "boilerplate " * 50 + "one" if i in held else f"w{i} two") for i in range(400)]
     path = str(tmp_path / "d.parquet")
@@ -263,14 +292,14 @@ def test_a_frequent_word_that_training_lacks_is_in_the_head(spark, tmp_path):
         counts = lm.read_corpus(docs, f.read()).filter("run IS NULL").groupBy("h").agg(
             F.sum("n").alias("n"), F.sum("m").alias("m"))
     _, top = lm.head_words(counts, 3)
-    assert {r.h: r.n for r in top}[lm.word_hash(b"boilerplate")] == 0
+    assert {r.h: r.n for r in top}[int(hash_words([b"boilerplate"])[0].view(np.int64)[0])] == 0
     got = lm.score_documents(spark.read.parquet(path), public_tokenizers.path(lm.VOCABULARY), rounds=1)
     same([(r.doc_id, r.n_tokens, r.n_known) for r in got.collect() if r.held_out], [(i, 52, 1) for i in held])
 
 
 def plain_score(w, shares, text, known):
     """Gain of a text by a plain loop over its tokens; ``known`` gives a word's class."""
-    c = [known(t) for t in lm.tokens(text)]
+    c = [known(t) for t in words_of(text)]
     end, total, s = len(shares) - 1, 0.0, lm.STRIDE
     inputs = [end, *c[:-1]]
     for i, target in enumerate(c):
@@ -294,10 +323,10 @@ def test_trained_scores_equal_a_plain_model(spark, docs, rows, monkeypatch):
     for r in lm.score_documents(docs, public_tokenizers.path(lm.VOCABULARY)).collect():
         got.setdefault(r.doc_id, []).append(round(r.score - r.base_score, 3))
     with open(public_tokenizers.path(lm.VOCABULARY), "rb") as f:
-        ids, longest = lm.pieces_of(f.read())
+        ids = lm.pieces_of(f.read())
     for d, t, *_ in rows:
         text = (t or "").encode()
         if d is not None and len(text) < 2000:
             want = plain_score(kept["w"], kept["shares"], text,
-                               lambda x: kept["of"].get(lm.lead_piece(x, ids, longest), lm.CLASSES - 2))
+                               lambda x: kept["of"].get(plain_lead(x, ids), lm.CLASSES - 2))
             assert min(abs(want - g) for g in got[d]) < 5e-3
