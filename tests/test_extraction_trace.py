@@ -1,5 +1,6 @@
 import difflib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import extraction as EX
@@ -35,6 +36,53 @@ def test_nearest_name_matches_difflib(spark):
         assert got[x] == difflib.get_close_matches(x, names, n=1, cutoff=0.0)[0]
 
 
+def test_name_bounds_hold_and_best_equals_difflib():
+    import random
+    rnd = random.Random(3)
+
+    def word(n):
+        return "".join(rnd.choice("abcdeé: ") for _ in range(rnd.randint(0, n)))
+
+    names = sorted({word(12) for _ in range(300)} | {"", "z" * 90, "ab" * 40})
+    block = XO.NameBlock(names)
+    looked = []
+    plain = difflib.SequenceMatcher.ratio
+    for value in [word(14) for _ in range(150)] + ["", "ab" * 30, "ab" * 45, "z" * 80, names[7]]:
+        ratio = {n: difflib.SequenceMatcher(None, n, value).ratio() for n in names}
+        shared = block.shared(value)
+        rows = np.arange(len(block.names))
+        lcs = block.subsequence(value, rows) if 0 < len(value) < 64 else shared
+        for i, n in enumerate(block.names):
+            m = ratio[n] * (len(n) + len(value)) / 2
+            assert m <= lcs[i] + 1e-9 and lcs[i] <= shared[i] + 1e-9
+        want = max((r, n) for n, r in ratio.items())
+        difflib.SequenceMatcher.ratio = lambda self: looked.append(1) or plain(self)
+        try:
+            assert block.best(value) == want
+            assert block.best(value, want[0]) == want and block.best(value, want[0] + 1e-6) is None
+        finally:
+            difflib.SequenceMatcher.ratio = plain
+    assert len(looked) < 0.25 * 3 * 155 * len(names)
+
+
+def test_nearest_name_over_blocks_of_many_lengths(spark):
+    import random
+    rnd = random.Random(9)
+
+    def word(n):
+        return "".join(rnd.choice("abcdef ") for _ in range(rnd.randint(1, n)))
+
+    names, values = sorted({word(30) for _ in range(200)} | {"abc"}), sorted({word(35) for _ in range(80)} | {"", "abc"})
+    v = spark.createDataFrame([(x,) for x in values] * 2 + [(None,)], "value string")
+    t = spark.createDataFrame([(x,) for x in names] + [(None,)], "component string")
+    got = {r.value: (r.name, r.score) for r in XO.nearest_name(v, t, name_rows=16).collect()}
+    assert set(got) == set(values)
+    for x in values:
+        want = max((difflib.SequenceMatcher(None, n, x).ratio(), n) for n in names)
+        assert got[x] == (want[1], want[0])
+    assert XO.nearest_name(v, t.limit(0)).collect() == [] and XO.nearest_name(v.limit(0), t).collect() == []
+
+
 def trace_df(spark, runs):
     rows = [(rid, i, node, text) for rid, seq in runs.items() for i, (node, text) in enumerate(seq)]
     return spark.createDataFrame(rows, "run_id long, step long, node string, text string")
