@@ -295,30 +295,87 @@ def fit_clusters(points: DataFrame, k: int, seed: int = 42, vector: str = "embed
     return assign, centres
 
 
-def _seeds(x: np.ndarray, k: int, rng) -> np.ndarray:
-    """k-means++ centres of a sample."""
-    centres = x[[int(rng.integers(len(x)))]]
+def _near(v: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centre, squared distance to it) of every row."""
+    d = np.einsum("ij,ij->i", centres, centres)[None, :] - 2.0 * (v @ centres.T)
+    own = d.argmin(axis=1)
+    return own, np.maximum(0.0, d[np.arange(len(v)), own] + np.einsum("ij,ij->i", v, v))
+
+
+def _seeds(x: np.ndarray, weight: np.ndarray, k: int, rng) -> np.ndarray:
+    """k-means++ centres of weighted points."""
+    def pick(w: np.ndarray) -> int:
+        total = w.sum()
+        return min(int(np.searchsorted(np.cumsum(w), rng.random() * total)), len(x) - 1) if total > 0 else 0
+
+    centres = x[[pick(weight)]]
     near = ((x - centres[0]) ** 2).sum(axis=1)
     for _ in range(k - 1):
-        total = near.sum()
-        pick = int(np.searchsorted(np.cumsum(near), rng.random() * total)) if total > 0 else 0
-        centres = np.vstack([centres, x[min(pick, len(x) - 1)]])
+        centres = np.vstack([centres, x[pick(near * weight)]])
         near = np.minimum(near, ((x - centres[-1]) ** 2).sum(axis=1))
     return centres
 
 
+#: Passes of the oversampling, and rows drawn in each per centre that is looked for.
+OVERSAMPLING_PASSES, OVERSAMPLING = 5, 2
+
+
+def oversampled_seeds(p: DataFrame, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(candidates, weights) of the k-means|| start over all rows of ``(id, _v)``.
+
+    Each pass draws ``OVERSAMPLING * k`` rows in proportion to their squared
+    distance from the candidates so far: a row's key is ``log(u) / d2`` with
+    ``u`` a hash of seed, pass and id, and the greatest keys win, so every task
+    sends on that many rows at most and the draw does not depend on the
+    partitions. A last pass weighs every candidate by the rows nearest to it.
+    """
+    want = OVERSAMPLING * k
+    first = fixed_sample(p, 1, seed).toPandas()
+    centres = np.vstack(first["_v"].values).astype(np.float64)
+
+    def draw(at: np.ndarray):
+        def run(it):
+            for pdf in it:
+                if len(pdf):
+                    v = np.vstack(pdf["_v"].values).astype(np.float64)
+                    d2 = _near(v, at)[1]
+                    u = (pdf["_u"].to_numpy() + 0.5) / 2.0 ** 32
+                    key = np.where(d2 > 0, np.log(u) / np.where(d2 > 0, d2, 1.0), -np.inf)
+                    yield pd.DataFrame({"id": pdf["id"], "_v": pdf["_v"], "key": key})
+        return run
+
+    for i in range(OVERSAMPLING_PASSES):
+        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "id"), F.lit(1 << 32)).alias("_u")
+        keyed = p.select("id", "_v", u).mapInPandas(draw(centres), "id long, _v array<float>, key double")
+        drawn = keyed.filter(F.col("key") > float("-inf")).orderBy(F.desc("key"), "id").limit(want).toPandas()
+        if not len(drawn):
+            break
+        centres = np.vstack([centres, np.vstack(drawn["_v"].values).astype(np.float64)])
+
+    def weigh(it):
+        n = np.zeros(len(centres), np.int64)
+        for pdf in it:
+            if len(pdf):
+                n += np.bincount(_near(np.vstack(pdf["_v"].values).astype(np.float64), centres)[0], minlength=len(n))
+        yield pd.DataFrame({"c": np.arange(len(n)), "n": n})
+
+    weight = np.zeros(len(centres))
+    for r in p.select("_v").mapInPandas(weigh, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
+        weight[r.c] = r.n
+    return centres, weight
+
+
 def lockstep_kmeans(p: DataFrame, ks: Sequence[int], seed: int = 42, max_iter: int = 20,
-                    seed_rows: int = 4096, tol: float = 1e-4) -> dict[int, np.ndarray]:
+                    tol: float = 1e-4) -> dict[int, np.ndarray]:
     """k-means for several k at once, one Spark job per iteration: {k: centres}.
 
-    ``p`` is ``(id, _v)``. The centres start by k-means++ on a seeded sample of
-    at most ``seed_rows`` rows; every iteration assigns all rows for every k and
-    brings back only the cluster sums.
+    ``p`` is ``(id, _v)``. All k start by k-means++ on the weighted candidates
+    of one k-means|| oversampling over all rows (``oversampled_seeds``); every
+    iteration assigns all rows for every k and brings back only the cluster sums.
     """
-    first = fixed_sample(p, seed_rows, seed).toPandas()
-    x = np.vstack([np.asarray(v, dtype=np.float64) for v in first["_v"].values])
+    points, weight = oversampled_seeds(p, max(ks), seed)
     rng = np.random.default_rng(seed)
-    centres = {k: _seeds(x, k, rng) for k in ks}
+    centres = {k: _seeds(points, weight, k, rng) for k in ks}
     live = list(ks)
     for _ in range(max_iter):
         if not live:
@@ -346,7 +403,7 @@ def _assigned(p: DataFrame, centres: dict[int, np.ndarray], names: list[str]) ->
             v = np.vstack([np.asarray(x, dtype=np.float64) for x in pdf["_v"].values])
             out = pdf[["id", "_v"]].copy()
             for name, c in zip(names, centres.values(), strict=True):
-                out[name] = (np.einsum("ij,ij->i", c, c)[None, :] - 2.0 * (v @ c.T)).argmin(axis=1).astype(np.int64)
+                out[name] = _near(v, c)[0].astype(np.int64)
             yield out
 
     return p.select("id", "_v").mapInPandas(run, ", ".join(["id long, _v array<float>", *[f"{n} long" for n in names]]))

@@ -37,6 +37,29 @@ def q_fit_clusters(spark, sf):
     return assign
 
 
+@register("cluster_fixed_point", """
+    SELECT count(*) AS n, CAST(10 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n_not_nearest, CAST(0 AS BIGINT) AS n_not_means
+    FROM embeddings""")
+def q_cluster_fixed_point(spark, sf):
+    """K-means (k = 10) run until nothing moves; rows not at their nearest centre, centres not their rows' mean."""
+    from tessera.session import cut_lineage
+    v = cut_lineage(td.vectors(spark, sf).select("id", F.col("embedding").alias("_v")))
+    centres = CL.lockstep_kmeans(v, [10], 42, max_iter=500, tol=0.0)[10]
+    rows = CL._assigned(v, {10: centres}, ["c"])
+    table = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)],
+                                  "centre long, at array<double>")  # k rows
+    gap = F.aggregate(F.zip_with("_v", "at", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0),
+                      lambda s, x: s + x)
+    far = rows.join(F.broadcast(table)).withColumn("d", gap).groupBy("id", "c").agg(
+        F.min("d").alias("least"), F.min(F.when(F.col("centre") == F.col("c"), F.col("d"))).alias("own"))
+    means = (rows.select("c", F.posexplode("_v").alias("i", "x")).groupBy("c", "i").agg(
+        F.avg(F.col("x").cast("double")).alias("mean")).join(F.broadcast(table), F.col("c") == F.col("centre"))
+        .groupBy("c").agg(F.max(F.abs(F.col("mean") - F.get("at", F.col("i")))).alias("off")))
+    return far.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("own") > F.col("least") + 1e-9).alias("n_not_nearest")).join(
+        means.agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("off") > 1e-9).alias("n_not_means"))).select(
+        "n", "k", "n_not_nearest", "n_not_means")
+
+
 @register("select_k")
 def q_select_k(spark, sf):
     """K sweep 8..24 step 2 over all vectors by the linear silhouette."""

@@ -116,3 +116,21 @@ def test_select_k_uses_all_rows_in_few_jobs(spark):
     jobs = len(tracker.getJobIdsForGroup("sweep"))
     spark.sparkContext.setJobGroup("", "")
     assert [r.k for r in sweep if r.best] == [4] and jobs < 149
+
+
+def test_start_sees_all_rows_not_a_sample(spark):
+    """A few far rows among many: the start draws them by their distance, wherever they lie."""
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(5)
+    far = {7: [3000.0, 0.0], 11111: [0.0, 3000.0], 19998: [-3000.0, -3000.0]}
+    rows = [(i, far.get(i, [float(x) for x in rng.normal(size=2)])) for i in range(20000)]
+    p = spark.createDataFrame(rows, "id long, _v array<float>").repartition(5)
+    points, weight = CL.oversampled_seeds(p, 4, 1)
+    assert weight.sum() == 20000 and len(points) <= 1 + CL.OVERSAMPLING_PASSES * CL.OVERSAMPLING * 4
+    assert all(any(np.allclose(c, f) for c in points) for f in far.values())
+    again, _ = CL.oversampled_seeds(p.repartition(3), 4, 1)
+    assert np.array_equal(points, again)  # the draw does not depend on the partitions
+    centres = CL.lockstep_kmeans(p, [4], 1)[4]
+    assert all(np.abs(centres - f).sum(axis=1).min() < 1e-6 for f in far.values())
+    same = p.select("id", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("_v"))
+    assert CL.lockstep_kmeans(same, [3], 1)[3].tolist() == [[1.0, 2.0]] * 3  # nothing else to draw
