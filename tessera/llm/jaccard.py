@@ -41,7 +41,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shuffle_width
@@ -537,20 +537,24 @@ def verify_families(members: DataFrame, classes: DataFrame, docs: DataFrame, blo
 
 def components(edges: DataFrame) -> DataFrame:
     """Rows of (a, b) -> node, comp (the least node it is connected with), by large and small stars."""
-    e = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    def cut(d: DataFrame) -> tuple[DataFrame, dict]:
+        """The edges written, with their number and a sum over them, observed as they are written."""
+        seen = Observation()
+        out = cut_lineage(d.observe(seen, F.count("*").alias("n"),
+                                    F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
+        return out, seen.get
+
+    e, before = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                     .filter("u <> v").distinct())
-    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = mark(e)
-    while before[0]:
+    while before["n"]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        large = large.filter("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(
             low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut_lineage(small)
-        after = mark(e)
+        e, after = cut(small)
         if after == before:
             break
         before = after
