@@ -29,14 +29,15 @@ def read_then_remove(spark, df, *paths: str):
     return out
 
 
-@register("read_reports_csv", with_views("""
+_REPORTS_SQL = with_views("""
     SELECT r.id, summary, description, component, lang AS product, 'S' || r.id % 5 AS severity, '' AS resolution,
            TIMESTAMP '2020-12-31 20:00:00' + to_seconds(r.id) AS creation_time,
            CASE WHEN r.role = 'dup' THEN 9007199254740993 + g.master_id END AS dupe_of, r.role
-    FROM reports r JOIN text_groups g ON r.id = g.doc_id""", "reports"))
-def q_read_reports_csv(spark, sf):
-    """All ten report columns written as multi-line CSV and read back with the fixed schema."""
-    path = scratch(spark, "reports-csv")
+    FROM reports r JOIN text_groups g ON r.id = g.doc_id""", "reports")
+
+
+def _written_reports(spark, sf, path):
+    """All ten report columns written as multi-line CSV."""
     masters = td.text_pairs(spark, sf).select(F.col("dup_id").alias("id"), "master_id")
     rows = td.reports(spark, sf, with_role=True).join(masters, "id", "left").select(
         "id", "summary", "description", "component", F.col("lang").alias("product"),
@@ -44,9 +45,24 @@ def q_read_reports_csv(spark, sf):
         F.expr("timestamp_seconds(1609444800 + id)").alias("creation_time"),
         (F.col("master_id") + 9007199254740993).alias("dupe_of"), "role")
     RD.write_reports(rows, path)
+
+
+@register("read_reports_csv", _REPORTS_SQL)
+def q_read_reports_csv(spark, sf):
+    """All ten report columns written as multi-line CSV and read back with the fixed schema."""
+    path = scratch(spark, "reports-csv")
+    _written_reports(spark, sf, path)
     return read_then_remove(spark, RD.read_reports(spark, path), path)
 
 
+@register("land_reports_csv", _REPORTS_SQL)
+def q_land_reports_csv(spark, sf):
+    """The same CSV read by many tasks per file, landed as Parquet and scanned from there."""
+    path, landed = scratch(spark, "reports-csv"), scratch(spark, "reports-landed")
+    _written_reports(spark, sf, path)
+    return read_then_remove(spark, RD.land_reports(spark, path, landed), path, landed)
+
+
 @register("read_pairs_csv", with_views("SELECT dup_id, master_id FROM text_pairs", "text_pairs"))
 def q_read_pairs_csv(spark, sf):
     """Usable pairs written and read back."""

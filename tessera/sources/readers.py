@@ -1,8 +1,8 @@
 """Sources and sinks: report/pair/label files, the vector table, landed pages.
 
-Every reader takes a fixed ``StructType`` (no inference). Multi-line CSV is not
-splittable, so ``land_reports`` converts it to Parquet once; later jobs read
-the Parquet copy with column pruning and predicate pushdown.
+Every reader takes a fixed ``StructType`` (no inference). ``land_reports`` reads
+multi-line CSV with many tasks per file and converts it to Parquet once; later
+jobs read the Parquet copy with column pruning and predicate pushdown.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import text as TX
 from tessera.functions.extraction import FIELD_DEFINITIONS, FIELD_ENUMS
+from tessera.sources.quoted import read_quoted_csv
 from tessera.sources.store import KeyedStore
 
 REPORT_SCHEMA = T.StructType([
@@ -71,13 +72,15 @@ def _csv(spark: SparkSession, path: str, schema: T.StructType, **opts) -> DataFr
     return spark.read.options(**o).schema(schema).csv(path)
 
 
-def read_reports(spark: SparkSession, path: str, null_tokens: Iterable[str] = ()) -> DataFrame:
+def read_reports(spark: SparkSession, path: str, null_tokens: Iterable[str] = (),
+                 parallel: bool = False) -> DataFrame:
     """Report table from multi-line quoted CSV.
 
     Empty text fields read as '' (never the text ``nan``); only the listed
-    ``null_tokens`` (e.g. ``NA``) become null.
+    ``null_tokens`` (e.g. ``NA``) become null. With ``parallel`` a file is read
+    by many tasks (``read_quoted_csv``), for files that keep to RFC 4180.
     """
-    df = _csv(spark, path, REPORT_SCHEMA)
+    df = read_quoted_csv(spark, path, REPORT_SCHEMA, **_CSV_OPTIONS) if parallel else _csv(spark, path, REPORT_SCHEMA)
     toks = list(null_tokens)
     for c in ("summary", "description", "component", "product", "severity", "resolution"):
         v = F.coalesce(F.col(c), F.lit(""))
@@ -85,9 +88,12 @@ def read_reports(spark: SparkSession, path: str, null_tokens: Iterable[str] = ()
     return df
 
 
-def land_reports(spark: SparkSession, csv_path: str, parquet_path: str) -> DataFrame:
-    """Convert the (unsplittable) CSV once to Parquet and return the Parquet scan."""
-    read_reports(spark, csv_path).write.mode("overwrite").parquet(parquet_path)
+def land_reports(spark: SparkSession, csv_path: str, parquet_path: str, parallel: bool = True) -> DataFrame:
+    """Convert the CSV once to Parquet and return the Parquet scan.
+
+    ``parallel=False`` reads each file in one task, for files whose quotes do not keep to RFC 4180.
+    """
+    read_reports(spark, csv_path, parallel=parallel).write.mode("overwrite").parquet(parquet_path)
     return spark.read.parquet(parquet_path)
 
 
