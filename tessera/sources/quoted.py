@@ -43,8 +43,8 @@ def _blank(value: Column) -> Column:
 
 def block_states(lines: DataFrame) -> DataFrame:
     """Per block: ``inside`` (0 or 1) at its first line, the block and line ``open_block``, ``open_seq``
-    where the record open there began, the file's header line ``head_seq``, and ``torn`` when the
-    file's quotes do not pair up."""
+    where the record open there began, the line ``tail_seq`` of the block that began the record open at
+    its end, the file's header line ``head_seq``, and ``torn`` when the file's quotes do not pair up."""
     blocks = lines.groupBy(_BLOCK).agg(
         (F.sum("odd") % 2).alias("odd"), F.max(F.when(F.col("odd") == 1, F.col("seq"))).alias("last_odd"),
         F.min(F.when(~_blank(F.col("value")), F.col("seq"))).alias("first"))
@@ -59,7 +59,7 @@ def block_states(lines: DataFrame) -> DataFrame:
         "head_seq": F.min(F.when(F.col("first").isNotNull(), F.struct("block", "first"))).over(whole)["first"],
         "torn": F.sum("odd").over(whole) % 2 == 1})
     return states.select(*_BLOCK, "inside", F.col("open.block").alias("open_block"),
-                         F.col("open.seq").alias("open_seq"), "head_seq", "torn")
+                         F.col("open.seq").alias("open_seq"), F.col("opened.seq").alias("tail_seq"), "head_seq", "torn")
 
 
 def _misplaced(value: Column, inside: Column) -> Column:
@@ -75,6 +75,11 @@ def _misplaced(value: Column, inside: Column) -> Column:
     return F.contains(value, F.lit('"')) & bad(F.split(value, '"', -1))
 
 
+def _joined(place: str, value: str) -> Column:
+    """Aggregate: the texts by their place, with line breaks between."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, value))), lambda p: p[value]), "\n")
+
+
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of the files under ``path`` as text: (file, value), headers and blank lines left out.
 
@@ -98,12 +103,16 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("value", F.when(F.col("torn") | _misplaced(F.col("value"), F.col("inside")),
                                            error.cast("string")).otherwise(F.col("value")))
     rows = rows.filter(F.col("begin.seq") != F.col("head_seq"))
-    one = (F.col("inside") == 0) & (F.col("odd") == 0)
+    edge = (F.col("begin.block") != F.col("block")) | F.coalesce(F.col("begin.seq") == F.col("tail_seq"), F.lit(False))
+    rows = rows.withColumn("edge", edge)
+    # a one-line record is never at an edge; asking for it keeps the columns, so that all branches share one exchange
+    one = (F.col("inside") == 0) & (F.col("odd") == 0) & ~F.col("edge")
     single = rows.filter(one & ~_blank(F.col("value"))).select("file", "value")
-    parts = rows.filter(~one).select("file", "begin", F.struct("block", "seq", "value").alias("part"))
-    joined = parts.groupBy("file", "begin").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list("part")), lambda p: p["value"]), "\n").alias("value"))
-    records = single.unionByName(joined.select("file", "value"))
+    # lines lie by (file, block) since the windows, so this grouping moves nothing
+    pieces = rows.filter(~one).groupBy(*_BLOCK, "begin", "edge").agg(_joined("seq", "value").alias("value"))
+    whole = pieces.filter(~F.col("edge"))
+    cut = pieces.filter("edge").groupBy("file", "begin").agg(_joined("block", "value").alias("value"))
+    records = single.unionByName(whole.select("file", "value")).unionByName(cut.select("file", "value"))
     return records.select("file", F.regexp_replace("value", "\r$", "").alias("value"))
 
 

@@ -118,3 +118,18 @@ def test_the_count_of_quotes_sends_one_row_per_block_on(spark):
     assert execution.executedPlan().toString().count("HashAggregate") == 2 and "SortAggregate" not in plan
     sent = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]", plan)
     assert sent and all("value" not in s for s in sent) and sent[0].startswith("file#")
+
+
+def test_lines_are_shuffled_once(spark):
+    """The branches of the plan share the exchange of the lines; what else moves are pieces at borders."""
+    folder = tempfile.mkdtemp(prefix="tessera-test-")
+    write(folder, "f.csv", random_rows(10, 400))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QC.csv_records(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    lines = [x for x in plan.splitlines() if re.search(r" Exchange hashpartitioning\(file#\d+, block#\d+L, 8\)", x)]
+    # the lines and the counts of quotes
+    assert len(lines) == 2 and plan.count("ReusedExchange") >= 2
