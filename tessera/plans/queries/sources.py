@@ -60,7 +60,9 @@ def q_land_reports_csv(spark, sf):
     """The same CSV read by many tasks per file, landed as Parquet and scanned from there."""
     path, landed = scratch(spark, "reports-csv"), scratch(spark, "reports-landed")
     _written_reports(spark, sf, path)
-    return read_then_remove(spark, RD.land_reports(spark, path, landed), path, landed)
+    rows = RD.land_reports(spark, path, landed)
+    remove_folder(spark, path)  # landed, so the CSV is not read again
+    return read_then_remove(spark, rows, landed)
 
 
 @register("read_pairs_csv", with_views("SELECT dup_id, master_id FROM text_pairs", "text_pairs"))
