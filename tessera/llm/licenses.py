@@ -11,13 +11,18 @@ took are reported as license language without a verdict.
 A sentence may be wrapped over lines or stand on a line without a full stop,
 so both readings of a line break are made and the one that recognises more
 sentences is used (the plain reading, a break ends a sentence, on a tie).
+The colon of an SPDX tag line ends no sentence, so a tag and its identifier are
+one; a tag that joins several (``MIT OR Apache-2.0``) is not known. The BSD
+clause that protects a name is known with any name in it, unless a full stop
+with a blank stands inside the name (then its end is looked up).
 Every known sentence holds one of a few cue words (asserted below), so texts
 without a cue skip the work with the same result.
 
 All of it is DataFrame expressions over one scan: no join, no shuffle, no
 Python in tasks. The rule tables are fixed values of the program.
 
-Defined results: null and empty texts have no sentences; repeated rows are
+Defined results: null and empty texts have no sentences; an empty table gives
+an empty result; texts of any length are scanned whole; repeated rows are
 scanned each on its own; a sentence counted twice stays twice in the sequence.
 """
 
@@ -79,12 +84,6 @@ NOTICES = {
     "hope": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
                  "promote products derived from this software without specific prior written permission.",
-    "bsd-names2": "Neither the name of the copyright holders nor the names of its contributors may be used to endorse "
-                  "or promote products derived from this software without specific prior written permission.",
-    "bsd-names3": "Neither the name of the University nor the names of its contributors may be used to endorse or "
-                  "promote products derived from this software without specific prior written permission.",
-    "bsd-names4": "Neither the name of the author nor the names of its contributors may be used to endorse or promote "
-                  "products derived from this software without specific prior written permission.",
     "bsd-names5": "The name of the author may not be used to endorse or promote products derived from this software "
                   "without specific prior written permission.",
     # the rest of "Neither the name of X Inc. nor"
@@ -131,13 +130,34 @@ for _l, _name, _versions in (("gpl", "GNU General Public License", ("2", "3")),
         for _mode, _seqs in (("or-later", [[f"{_l}-terms", f"v{_id}-later"], [f"{_l}-{_id}-later"]]),
                              ("only", [[f"{_l}-terms", f"v{_id}-only"], [f"{_l}-{_id}-only"], [f"{_l}-{_id}-named"]])):
             NOTICE_RULES += [(f"{_spdx}-{_mode}", "copyleft", _s + _end) for _end in (["hope"], []) for _s in _seqs]
+# SPDX identifiers that a tag line may name, by kind.
+TAGS = {
+    "permissive": "MIT ISC 0BSD BSD-2-Clause BSD-3-Clause Apache-2.0 Zlib BSL-1.0 Artistic-2.0 Unlicense CC0-1.0 CC-BY-4.0",
+    "copyleft": "GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later "
+                "LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-1.0 EPL-2.0 CC-BY-SA-4.0",
+    "noncommercial": "CC-BY-NC-4.0 CC-BY-NC-SA-4.0",
+}
+# Creative Commons 4.0 licenses by the words of their deeds.
+DEEDS = {"CC-BY-4.0": ("Attribution", "permissive"), "CC-BY-SA-4.0": ("Attribution-ShareAlike", "copyleft"),
+         "CC-BY-NC-4.0": ("Attribution-NonCommercial", "noncommercial"),
+         "CC-BY-NC-SA-4.0": ("Attribution-NonCommercial-ShareAlike", "noncommercial")}
+TAG_RULES = []
+for _kind, _tags in TAGS.items():
+    for _tag in _tags.split():
+        NOTICES[f"spdx-{_tag.replace('.', '').lower()}"] = f"SPDX-License-Identifier: {_tag}"
+        TAG_RULES.append((_tag, _kind, [f"spdx-{_tag.replace('.', '').lower()}"]))
+for _name, (_words, _kind) in DEEDS.items():
+    for _i, _lead in enumerate(("This work is licensed under a", "This work is licensed under the", "Licensed under a")):
+        _id = f"deed-{_name[:-4].lower()}-{_i}"
+        NOTICES[_id] = f"{_lead} Creative Commons {_words} 4.0 International License."
+        TAG_RULES.append((_name, _kind, [_id]))
 # Ordered rules (license, kind, identifiers in sequence).
 RULES = [
     ("MIT", "permissive", ["mit-grant", "mit-notice", "as-is"]),
     ("MIT", "permissive", ["mit-grant", "mit-notice"]),
     ("ISC", "permissive", ["isc-grant"]),
     *(("BSD-3-Clause", "permissive", ["bsd-grant", "bsd-source", "bsd-binary", f"bsd-names{i}"])
-      for i in ("", "2", "3", "4", "5", "6")),
+      for i in ("", "5", "6")),
     ("BSD-2-Clause", "permissive", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("Apache-2.0", "permissive", ["apache-head", "apache-comply", "apache-copy"]),
     *NOTICE_RULES,
@@ -153,6 +173,7 @@ RULES = [
     ("LGPL-3.0-only", "copyleft", ["lgpl3-title"]),
     *(("EPL-2.0", "copyleft", [f"epl2-{i}"]) for i in ("notice", "notice2", "notice3", "line", "title")),
     *(("EPL-1.0", "copyleft", [f"epl1-{i}"]) for i in ("notice", "title")),
+    *TAG_RULES,
     ("Unlicense", "permissive", ["unlicense", "as-is"]),
     ("Unlicense", "permissive", ["unlicense"]),
     ("CC-BY-NC-4.0", "noncommercial", ["cc-by-nc"]),
@@ -166,12 +187,18 @@ RULES = [
 #: Every known sentence holds one of these.
 CUES = ("licen", "permi", "warrant", "copyright", "redistribut", "mozilla", "unencumbered")
 STOP_RE = r"[.!?:;](?=\s|$)"
+#: The colon of a tag line ends no sentence.
+TAG = "spdx-license-identifier"
+#: A sentence with a free name: what a normalised sentence begins with, and with what name it is looked up.
+SLOT_START, SLOT_END = "neither the name of ", " nor the names of its contributors "
+SLOT_RE, SLOT_NAME = f"^{SLOT_START}.+{SLOT_END}", f"{SLOT_START}the copyright holder{SLOT_END}"
 
 
 def cut(text: str) -> list[str]:
     """The normalised sentences of a text: what ``sentence_ids`` looks up, with soft line breaks."""
-    parts = re.split(STOP_RE + r"|\n[ \t\r]*\n", text.lower())
-    return [s for s in (re.sub(r"[\W_]+", " ", p).strip() for p in parts) if s]
+    parts = re.split(STOP_RE + r"|\n[ \t\r]*\n", text.lower().replace(TAG + ":", TAG + " "))
+    plain = (re.sub(r"[\W_]+", " ", p).strip() for p in parts)
+    return [re.sub(SLOT_RE, SLOT_NAME, s) for s in plain if s]
 
 
 SENTENCES |= {k: cut(s)[-1] for k, s in NOTICES.items()}
@@ -185,8 +212,10 @@ def sentence_ids(text: Column, sentences: dict[str, str], hard_breaks: bool) ->
     stops = STOP_RE + (r"|\n" if hard_breaks else r"|\n[ \t\r]*\n")
     names = F.create_map(*[F.lit(x) for k, s in sentences.items() for x in (s, k)])
     known = F.array(*[F.lit(s) for s in sentences.values()])
-    plain = F.regexp_replace(F.regexp_replace(text, stops, "\x00"), r"[^\x00\p{L}\p{N}]+", " ")
-    cut = F.transform(F.split(plain, "\x00", -1), lambda s: F.btrim(s))
+    tagged = F.replace(text, F.lit(TAG + ":"), F.lit(TAG + " "))
+    plain = F.regexp_replace(F.regexp_replace(tagged, stops, "\x00"), r"[^\x00\p{L}\p{N}]+", " ")
+    named = lambda s: F.when(s.startswith(SLOT_START), F.regexp_replace(s, SLOT_RE, SLOT_NAME)).otherwise(s)
+    cut = F.transform(F.transform(F.split(plain, "\x00", -1), lambda s: F.btrim(s)), named)
     return let(cut, lambda c: F.when(F.arrays_overlap(c, known), F.transform(
         F.filter(c, lambda s: F.array_contains(known, s)), lambda s: F.try_element_at(names, s)))
         .otherwise(F.array().cast("array<string>")))

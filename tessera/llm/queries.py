@@ -128,14 +128,15 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    from tessera.llm.licenses import RULES, SENTENCES
+    from tessera.llm.licenses import RULES, SENTENCES, SLOT_NAME, SLOT_RE, TAG
     quote = lambda x: "'" + x + "'"
     known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in SENTENCES.items())
 
     def cut(stops: str) -> str:
         plain = (f"regexp_replace(regexp_replace(t, '{stops}', chr(1) || '\\1', 'g'), "
                  f"'[^' || chr(1) || '\\p{{L}}\\p{{N}}]+', ' ', 'g')")
-        return (f"list_filter(list_transform(string_split({plain}, chr(1)), lambda x: map_extract(names, trim(x))[1]), "
+        return (f"list_filter(list_transform(string_split({plain}, chr(1)), "
+                f"lambda x: map_extract(names, regexp_replace(trim(x), '{SLOT_RE}', '{SLOT_NAME}'))[1]), "
                 "lambda x: x IS NOT NULL)")
     steps, left = [], "q0"
     for i, (_, _, seq) in enumerate(RULES):
@@ -147,7 +148,7 @@ def _license_sql() -> str:
     kinds = "[" + ", ".join(f"CASE WHEN r{i} THEN {quote(k)} END" for i, (_, k, _) in enumerate(RULES)) + "]"
     return f"""
 WITH k AS (SELECT map(list(s), list(id)) AS names FROM (VALUES {known}) v(id, s)),
-d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+d AS (SELECT doc_id, replace(lower(coalesce(text, '')), '{TAG}:', '{TAG} ') AS t FROM documents),
 b AS (SELECT doc_id, {cut('[.!?:;](\\s|$)|\\n')} AS a, {cut('[.!?:;](\\s|$)|\\n[ \\t\\r]*\\n')} AS b FROM d, k),
 q0 AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids,
               coalesce(array_to_string(list_transform(CASE WHEN len(b) > len(a) THEN b ELSE a END,

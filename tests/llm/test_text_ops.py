@@ -322,6 +322,42 @@ STANDARD_NOTICES = [
 ]
 
 
+NAMED = [
+    (BSD_2 + BSD_3.replace("the copyright holder", "the Foo Project") + BSD_END, "BSD-3-Clause", "permissive"),
+    (BSD_2 + BSD_3.replace("the copyright holder", "Université de Genève, its\n   institutes") + BSD_END, "BSD-3-Clause",
+     "permissive"),
+    ("// SPDX-License-Identifier: GPL-3.0-or-later\nint main();", "GPL-3.0-or-later", "copyleft"),
+    ("/* SPDX-License-Identifier: Zlib */", "Zlib", "permissive"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0\nInternational License.", "CC-BY-NC-4.0",
+     "noncommercial"),
+    ("See below. Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0",
+     "copyleft"),
+    ("Neither the name of the cat nor the names of its contributors are known.", None, None),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", None, None),
+    ("SPDX-License-Identifier:", None, None),
+]
+
+
+def test_license_names_tags_and_deeds(spark):
+    filler = "plain words without a verdict. " * 40_000
+    cases = [*NAMED, *((filler + "\n\n" + t, x, k) for t, x, k in NAMED[2:5])]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    got = licenses.scan_licenses(df).select("doc_id", "licenses", "kind", "n_unmatched").collect()
+    same(got, [(i, x, k, 0) for i, (_, x, k) in enumerate(cases)])
+
+
+def test_license_sql_twin_on_texts_with_licenses(spark):
+    """The documents table holds few license texts, so the twin is held to the operator on the cases here too."""
+    import duckdb
+    import pandas as pd
+    from tessera.llm.queries import _license_sql
+    texts = [t for t, *_ in NAMED] + [t for t, *_ in STANDARD_NOTICES] + [t for _, t, *_ in LICENSE_CASES]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    want = duckdb.sql(_license_sql()).fetchall()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same(licenses.scan_licenses(df).collect(), want)
+
+
 def test_license_standard_notices(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(STANDARD_NOTICES)], "doc_id long, text string")
     got = licenses.scan_licenses(df).select("doc_id", "licenses", "kind", "n_unmatched").collect()
