@@ -1,13 +1,20 @@
 """Language-model scores of texts: corpus-wide word counts under causal attention.
 
 Tokens are the lower-cased words of a text and one end. The probability of a
-token is that of its class given the context times that of the word within its
-class. A class is the token's leading subword id, by longest match in a fixed
-public vocabulary; the ids with the most training tokens have a class each, the
-rest share one, the end has its own. The word's part comes from counts over
-every training token; the class's part from one causal self-attention layer,
-trained in numpy, whose output starts from the corpus's class shares. So
-``score = base_score + sum of log10 (P(class | context) / share(class))``.
+token is that of its leading subword id given the context times that of the
+word given the id. The id is found by longest match in a fixed public
+vocabulary; every id of the training tokens is an input and an outcome of its
+own, and so is the end. The word's part comes from counts over every training
+token; the id's part from one causal self-attention layer, trained in numpy,
+whose output starts from the corpus's shares of the ids. So
+``score = base_score + sum of log10 (P(id | context) / share(id))``.
+
+The output is a factored softmax. The ids with the most training tokens have a
+class each, so has the end; the others, the tail, share one class, are dealt by
+frequency into about as many groups as a group has ids, and
+``P(id) = P(class) P(group | tail) P(id | group)``, each factor a softmax of the
+same context. A token costs the classes, and one of the tail two square roots of
+it. An id that no training token has is the tail's last.
 
 One pass over all texts counts their words and stores, for the training documents, the leading ids of all
 tokens (2 bytes a token). Every training token is the target of one training window: windows of ``2 * STRIDE``
@@ -33,6 +40,7 @@ rows are scored each on its own; rows with a null id are trained on.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -128,11 +136,86 @@ def distinct_tokens(texts: list[bytes | None], lead: LeadPieces):
 
 # -- the attention layer ---------------------------------------------------------------
 
-def initial(shares: np.ndarray, width: int = WIDTH, stride: int = STRIDE, seed: int = 7) -> dict[str, np.ndarray]:
+def initial(shares: np.ndarray, width: int = WIDTH, stride: int = STRIDE, seed: int = 7,
+            tail: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Weights of the layer; ``tail`` has the shares of the ids in the last class but one, if they are told apart.
+
+    ``T`` is added to that class's input, ``G`` and ``g`` give the groups of the tail, ``S`` and ``s`` the ids of each.
+    """
     rng = np.random.default_rng(seed)
     k, small = len(shares), lambda *s: rng.normal(0, 0.3, s)
-    return {"E": small(k, width), "P": small(2 * stride, width), "Wq": small(width, width), "Wk": small(width, width),
-            "Wv": small(width, width), "Wo": small(width, width), "U": np.zeros((width, k)), "b": np.log(shares)}
+    w = {"E": small(k, width), "P": small(2 * stride, width), "Wq": small(width, width), "Wk": small(width, width),
+         "Wv": small(width, width), "Wo": small(width, width), "U": np.zeros((width, k)), "b": np.log(shares)}
+    if tail is None or len(tail) < 2:  # one id is the class itself
+        return w
+    size = math.isqrt(len(tail) - 1) + 1
+    padded = np.zeros((-(-len(tail) // size), size))
+    padded.ravel()[:len(tail)] = tail
+    total = padded.sum(1, keepdims=True)
+    inside = np.where(padded > 0, np.log(np.maximum(padded, 1e-300) / total), -1e9)
+    return w | {"T": small(len(tail), width), "G": np.zeros((width, len(padded))), "g": np.log(total[:, 0] / total.sum()),
+                "S": np.zeros((*padded.shape, width)), "s": inside}
+
+
+def inputs_of(w: dict[str, np.ndarray]) -> np.ndarray:
+    """Input vectors of the classes and, behind them, of the tail's ids."""
+    return np.concatenate([w["E"], w["E"][-2] + w["T"]]) if "T" in w else w["E"]
+
+
+def _sums(place: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows by place, of ``size`` places."""
+    d = rows.shape[1]
+    at = (place * d)[:, None] + np.arange(d)
+    return np.bincount(at.ravel(), weights=rows.ravel(), minlength=size * d).reshape(size, d).astype(rows.dtype)
+
+
+def spans_of(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order by group, (group, first, behind the last) of each)."""
+    order = np.argsort(group, kind="stable")
+    cut = np.flatnonzero(np.diff(group[order], prepend=-1))
+    behind = np.append(cut[1:], len(order))[:len(cut)]
+    return order, list(zip(group[order[cut]].tolist(), cut.tolist(), behind.tolist(), strict=True))
+
+
+def id_logits(ids: np.ndarray, bias: np.ndarray, h: np.ndarray, group: np.ndarray, spans: list) -> np.ndarray:
+    """Logits of the ids of each context's group; the contexts lie by group."""
+    out = np.empty((len(h), bias.shape[1]), h.dtype)
+    for g, lo, hi in spans:
+        np.dot(h[lo:hi], ids[g].T, out=out[lo:hi])
+    out += bias[group]
+    return out
+
+
+def _softmax(logit: np.ndarray) -> np.ndarray:
+    logit -= logit.max(1, keepdims=True)
+    np.exp(logit, out=logit)
+    logit /= logit.sum(1, keepdims=True)
+    return logit
+
+
+def tail_gradients(w: dict[str, np.ndarray], h: np.ndarray, t: np.ndarray, live: int):
+    """(summed loss / live, gradients, dh) of the tail's ids ``t`` after the contexts ``h``."""
+    i, scale, size = np.arange(len(t)), h.dtype.type(1 / live), w["s"].shape[1]
+    order, spans = spans_of(t // size)
+    group, place, h = t[order] // size, t[order] % size, h[order]
+    a = _softmax(h @ w["G"] + w["g"])
+    b = _softmax(id_logits(w["S"], w["s"], h, group, spans))
+    loss = -np.log(a[i, group] * b[i, place] + 1e-12).sum() / live
+    a[i, group] -= 1
+    b[i, place] -= 1
+    a *= scale
+    b *= scale
+    g = {"G": h.T @ a, "g": a.sum(0), "S": np.zeros_like(w["S"]), "s": np.zeros_like(w["s"])}
+    dh = np.empty_like(h)
+    inner = np.empty_like(h)
+    for n, lo, hi in spans:
+        np.dot(b[lo:hi].T, h[lo:hi], out=g["S"][n])
+        np.dot(b[lo:hi], w["S"][n], out=inner[lo:hi])
+    if spans:
+        g["s"][[n for n, *_ in spans]] = np.add.reduceat(b, [lo for _, lo, _ in spans])
+    inner += a @ w["G"].T
+    dh[order] = inner
+    return loss, g, dh
 
 
 def pack(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -156,11 +239,12 @@ def _mask(seen: np.ndarray, stride: int) -> np.ndarray:
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray):
     """(loss, gradients) of the mean log loss over the targets ``y >= 0`` of a batch of windows of inputs ``x``.
 
-    A target sees the inputs of its window up to its own place. All matrices keep the dtype of the weights.
+    A target sees the inputs of its window up to its own place. Numbers from the classes on are ids of the tail.
+    All matrices keep the dtype of the weights.
     """
     (n, s), (k, d), kind = x.shape, w["E"].shape, w["E"].dtype
     scale, flat = kind.type(1 / np.sqrt(d)), x.ravel()
-    e = (w["E"][flat].reshape(n, s, d) + w["P"][:s]).reshape(-1, d)
+    e = (inputs_of(w)[flat].reshape(n, s, d) + w["P"][:s]).reshape(-1, d)
     project = np.concatenate([w["Wq"] * scale, w["Wk"], w["Wv"]], axis=1)
     qkv = (e @ project).reshape(n, s, 3 * d)
     q, key, v = qkv[:, :, :d], qkv[:, :, d:2 * d], qkv[:, :, 2 * d:]
@@ -171,17 +255,25 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray):
     att /= att.sum(2, keepdims=True)
     z = np.matmul(att, v).reshape(-1, d)
     h = e + z @ w["Wo"]
-    p = h @ w["U"] + w["b"]
+    p = h @ w["U"]
+    p += w["b"]
     p -= p.max(1, keepdims=True)
     np.exp(p, out=p)
-    p /= p.sum(1, keepdims=True)
+    total = p.sum(1)
     row = np.flatnonzero(y.ravel() >= 0)
-    target, live = y.ravel()[row], max(1, len(row))
-    loss = -np.log(p[row, target] + 1e-12).sum() / live
-    p *= (y.ravel() >= 0).astype(kind)[:, None] / kind.type(live)
+    exact, live = y.ravel()[row], max(1, len(row))
+    target = np.where(exact < k, exact, k - 2)
+    loss = -np.log(p[row, target] / total[row] + 1e-12).sum() / live
+    p *= ((y.ravel() >= 0).astype(kind) / (total * kind.type(live)))[:, None]
     p[row, target] -= kind.type(1 / live)
     g = {"U": h.T @ p, "b": p.sum(0)}
     dh = p @ w["U"].T
+    if "T" in w:
+        rare = row[exact >= k]
+        more, tail, dt = tail_gradients(w, h[rare], exact[exact >= k] - k, live)
+        loss += more
+        g.update(tail)
+        dh[rare] += dt
     g["Wo"] = z.T @ dh
     dz = (dh @ w["Wo"].T).reshape(n, s, d)
     ds = np.matmul(dz, v.transpose(0, 2, 1))
@@ -197,25 +289,47 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray):
     de = flow @ project.T + dh
     g["P"] = np.zeros_like(w["P"])
     g["P"][:s] = de.reshape(n, s, d).sum(0)
-    g["E"] = (flat[:, None] == np.arange(k)).astype(kind).T @ de
+    by_input = _sums(flat, de, k + len(w.get("T", ())))
+    g["E"] = by_input[:k]
+    if "T" in w:
+        g["T"] = by_input[k:]
+        g["E"][k - 2] += g["T"].sum(0)
     return loss, g
 
 
 class Scorer:
-    """log10 P(class | context) - log10 share(class), summed by text."""
+    """log10 P(id | context) - log10 share(id), summed by text; ids of the tail are numbered from the classes on."""
 
-    def __init__(self, w: dict[str, np.ndarray], shares: np.ndarray):
+    def __init__(self, w: dict[str, np.ndarray], shares: np.ndarray, tail: np.ndarray | None = None):
         f = lambda a: np.ascontiguousarray(a, np.float32)
         s = self.stride = len(w["P"]) // 2
-        scale = 1 / np.sqrt(w["E"].shape[1])
-        self.q = f(w["E"] @ w["Wq"] * scale), f(w["P"][s:] @ w["Wq"] * scale)
-        self.k, self.v = (f(w["E"] @ w["Wk"]), f(w["P"] @ w["Wk"])), (f(w["E"] @ w["Wv"]), f(w["P"] @ w["Wv"]))
-        self.out = f(w["E"] @ w["U"]), f(w["P"][s:] @ w["U"] + w["b"]), f(w["Wo"] @ w["U"])
+        scale, e = 1 / np.sqrt(w["E"].shape[1]), inputs_of(w)
+        self.q = f(e @ w["Wq"] * scale), f(w["P"][s:] @ w["Wq"] * scale)
+        self.k, self.v = (f(e @ w["Wk"]), f(w["P"] @ w["Wk"])), (f(e @ w["Wv"]), f(w["P"] @ w["Wv"]))
+        self.context, self.out = (f(e), f(w["P"][s:]), f(w["Wo"])), (f(w["U"]), f(w["b"]))
         self.share = np.log(shares)
+        self.tail = "T" in w
+        if self.tail:
+            self.groups, self.members = (f(w["G"]), f(w["g"])), (f(w["S"]), f(w["s"]))
+            self.tail_share = np.log(tail / tail.sum())
+
+    def _tail_gains(self, h: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """log P(id | context, tail) - log share(id | tail) of ids ``t`` after contexts h."""
+        size = self.members[1].shape[1]
+        order, spans = spans_of(t // size)
+        h, own = h[order], t[order]
+        total = -self.tail_share[own]
+        for logit, at in ((h @ self.groups[0] + self.groups[1], own // size),
+                          (id_logits(*self.members, h, own // size, spans), own % size)):
+            logit -= logit.max(1, keepdims=True)
+            total += logit[np.arange(len(own)), at] - np.log(np.exp(logit).sum(1))
+        out = np.empty(len(t))
+        out[order] = total
+        return out
 
     def gains(self, texts: list[np.ndarray], end: int, chunk: int = 128) -> np.ndarray:
-        """By text of class ids (each closed by ``end``): the gain in log10."""
-        s = self.stride
+        """By text of class or tail ids (each closed by ``end``): the gain in log10."""
+        s, classes = self.stride, len(self.share)
         size = np.array([len(t) for t in texts], np.int64)
         n = -(-size // s)
         # every text stands behind one stride of padding and starts from an end
@@ -231,20 +345,40 @@ class Scorer:
         owner = np.repeat(np.arange(len(texts)), n)
         start = np.repeat(base, n) + s * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         gain = np.zeros(len(start))
+        held: list[tuple[np.ndarray, ...]] = []  # (window, context, id) of the tail, worked through many at a time
+
+        def close() -> None:
+            window, h, t = (np.concatenate(a) for a in zip(*held, strict=True))
+            held.clear()
+            np.add.at(gain, window, self._tail_gains(h, t))
+
         for lo in range(0, len(start), chunk):
             at = start[lo:lo + chunk, None] + np.arange(2 * s)
-            xs, ys = x[at], y[at[:, s:]]
+            xs, exact = x[at], y[at[:, s:]]
+            ys = np.where(exact < classes, exact, classes - 2)
             q = self.q[0][xs[:, s:]] + self.q[1]
             k, v = self.k[0][xs] + self.k[1], self.v[0][xs] + self.v[1]
             att = np.matmul(q, k.transpose(0, 2, 1)) + _mask(inside[at], s)
             np.exp(att - att.max(2, keepdims=True), out=att)
             z = np.matmul(att, v) / att.sum(2, keepdims=True)
-            logit = self.out[0][xs[:, s:]] + self.out[1]
-            logit += z @ self.out[2]
-            top = logit.max(2, keepdims=True)
-            target = np.take_along_axis(logit, np.maximum(ys, 0)[:, :, None], 2)[:, :, 0]
-            lse = np.log(np.exp(logit - top).sum(2)) + top[:, :, 0]
-            gain[lo:lo + chunk] = np.where(ys >= 0, target - lse - self.share[np.maximum(ys, 0)], 0).sum(1)
+            h = self.context[0][xs[:, s:]]
+            h += self.context[1]
+            h += z @ self.context[2]
+            logit = h.reshape(-1, h.shape[2]) @ self.out[0]
+            logit += self.out[1]
+            logit -= logit.max(1, keepdims=True)
+            target = logit[np.arange(len(logit)), np.maximum(ys, 0).ravel()]
+            np.exp(logit, out=logit)
+            lse = np.log(logit.sum(1))
+            gain[lo:lo + chunk] = np.where(ys >= 0, (target - lse).reshape(ys.shape) - self.share[np.maximum(ys, 0)],
+                                           0).sum(1)
+            if self.tail:
+                i, j = np.nonzero(exact >= classes)
+                held.append((lo + i, h[i, j], exact[i, j] - classes))
+                if sum(len(t) for *_, t in held) >= 8192:
+                    close()
+        if held:
+            close()
         return np.bincount(owner, weights=gain, minlength=len(texts)) / np.log(10)
 
 
@@ -315,6 +449,13 @@ def class_table(by_piece, classes: int = CLASSES) -> tuple[dict[int, int], np.nd
     return of, mass / mass.sum()
 
 
+def tail_table(by_piece, of: dict[int, int], classes: int = CLASSES) -> tuple[dict[int, int], np.ndarray]:
+    """({piece: place}, shares) of the ids without a class, most frequent first; the last place is for unseen ids."""
+    rows = sorted((-r["n"], r["piece"], r["n"] + r["v"]) for r in by_piece if r["piece"] not in of)
+    mass = np.array([m for _, _, m in rows] + [1 / classes])
+    return {p: i for i, (_, p, _) in enumerate(rows)}, mass / mass.sum()
+
+
 def training_windows(runs: list[np.ndarray], end: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(inputs, targets) in windows of ``size`` from runs of classes; a target of -1 is padding.
 
@@ -332,11 +473,13 @@ def training_windows(runs: list[np.ndarray], end: int, size: int) -> tuple[np.nd
 
 
 def train(runs: DataFrame, of: dict[int, int], shares: np.ndarray, rounds: int = ROUNDS, batch: int = BATCH,
-          rate: float = RATE) -> dict[str, np.ndarray]:
+          rate: float = RATE, tail: tuple[dict[int, int], np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """Weights averaged over the tasks after each round of local Adam steps over its documents."""
     import pyarrow as pa
-    start, classes = initial(shares), len(shares)
+    start, classes = initial(shares, tail=tail and tail[1]), len(shares)
     flat = pack(start)
+    if "T" in start:
+        of = of | {p: classes + i for p, i in tail[0].items()}
     known = np.array(sorted(of), np.int64)
     class_of = np.array([of[k] for k in known.tolist()], np.int64)
     for r in range(rounds):
@@ -415,18 +558,23 @@ def score_documents(docs: DataFrame, vocabulary_path: str, classes: int = CLASSE
     by_piece = counts.filter("n > 0").groupBy("piece").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     n_all, v_all = sum(r["n"] for r in by_piece), sum(r["v"] for r in by_piece)
     of, shares = class_table(by_piece, classes)
-    weights = train(corpus.filter("run IS NOT NULL").select("turn", "run"), of, shares, rounds) if n_all else None
+    tail = tail_table(by_piece, of, classes)
+    weights = train(corpus.filter("run IS NOT NULL").select("turn", "run"), of, shares, rounds,
+                    tail=tail) if n_all else None
     least, top = head_words(counts, head)
     top = np.array(sorted((r["h"], r["n"]) for r in top), np.int64).reshape(-1, 2)
-    shared = docs.sparkSession.sparkContext.broadcast((top, of, shares, weights, model))
+    shared = docs.sparkSession.sparkContext.broadcast((top, of, shares, tail, weights, model))
     scale = float(np.log10(n_all + (v_all + 1)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_, of_, shares_, weights_, model_ = shared.value
+        head_, of_, shares_, (tail_of, tail_shares), weights_, model_ = shared.value
         lead, head_h, head_n = lead_pieces(model_), np.append(head_[:, 0], 0), np.append(head_[:, 1], 0)
-        scorer = Scorer(weights_, shares_) if weights_ else None
-        classes_ = np.full(int(max([0, *of_])) + 2, classes - 2)
-        for p, c in of_.items():
+        scorer = Scorer(weights_, shares_, tail_shares) if weights_ else None
+        numbers_, unseen = of_, classes - 2
+        if scorer and scorer.tail:
+            numbers_, unseen = of_ | {p: classes + i for p, i in tail_of.items()}, classes + len(tail_of)
+        classes_ = np.full(int(max([0, *numbers_])) + 2, unseen)
+        for p, c in numbers_.items():
             classes_[p] = c  # the end's id is the last place
         for batch in batches:
             texts, numbers = batch.column(1).to_pylist(), batch.column(0).to_numpy()
@@ -437,7 +585,7 @@ def score_documents(docs: DataFrame, vocabulary_path: str, classes: int = CLASSE
                 count = np.where((head_h[place] == distinct) & (place < len(head_h) - 1), head_n[place], -1)
                 own = count[inverse]
                 named = piece < len(classes_) - 1
-                cls = np.where(named, classes_[np.where(named, piece, 0)], classes - 2)
+                cls = np.where(named, classes_[np.where(named, piece, 0)], unseen)
                 gain = (scorer.gains(np.split(cls[inverse], np.cumsum(size)[:-1]), classes - 1) if scorer
                         else np.zeros(len(size)))
                 base = np.bincount(row, weights=np.log10(np.maximum(own, 0) + 1.0), minlength=len(size)) - size * scale

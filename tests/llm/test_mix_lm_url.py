@@ -330,3 +330,57 @@ def test_trained_scores_equal_a_plain_model(spark, docs, rows, monkeypatch):
             want = plain_score(kept["w"], kept["shares"], text,
                                lambda x: kept["of"].get(plain_lead(x, ids), lm.CLASSES - 2))
             assert min(abs(want - g) for g in got[d]) < 5e-3
+
+
+def tail_model(rng, n=11):
+    """Weights, shares and tail shares of a model of 6 classes whose last but one stands for n ids."""
+    shares, tail = rng.dirichlet(np.ones(6)), rng.dirichlet(np.ones(n))
+    w = lm.initial(shares, width=4, stride=3, tail=tail)
+    for k in ("U", "G", "S"):
+        w[k] = rng.normal(0, .5, w[k].shape)
+    return w, shares, tail
+
+
+def test_gradients_of_the_tail_are_those_of_the_loss():
+    rng = np.random.default_rng(3)
+    w, _, _ = tail_model(rng)
+    x, y = rng.integers(0, 17, (3, 6)), rng.integers(0, 17, (3, 6))
+    y[1, 4:] = -1
+    _, g = lm.gradients(w, x, y)
+    for k in w:
+        for i in np.ndindex(w[k].shape):
+            if w[k][i] > -1e8:  # padding
+                up, down = {a: v.copy() for a, v in w.items()}, {a: v.copy() for a, v in w.items()}
+                up[k][i] += 1e-5
+                down[k][i] -= 1e-5
+                slope = (lm.gradients(up, x, y)[0] - lm.gradients(down, x, y)[0]) / 2e-5
+                assert abs(slope - g[k][i]) < 1e-6
+
+
+def test_every_id_has_a_probability_of_its_own():
+    """Over all ids (4 of the top, 11 of the tail, the end) the probabilities after a context sum to 1 and all differ."""
+    rng = np.random.default_rng(4)
+    w, shares, tail = tail_model(rng)
+    ids = [0, 1, 2, 3, *range(6, 17), 5]
+    share = np.array([shares[i] if i < 6 else shares[4] * tail[i - 6] / tail.sum() for i in ids])
+    context = [2, 9, 14, 1]
+    before = lm.Scorer(w, shares, tail).gains([np.array(context)], 5)[0]
+    after = lm.Scorer(w, shares, tail).gains([np.array([*context, i]) for i in ids], 5, chunk=2)
+    p = 10 ** (after - before) * share
+    assert abs(p.sum() - 1) < 1e-4 and len(set(np.round(p / share, 4))) == len(ids)
+
+
+def test_words_beyond_the_most_frequent_ids_are_predicted(spark, tmp_path):
+    """200 leading ids in a fixed circle: each follows one other, which a model of 62 of them cannot see."""
+    with open(public_tokenizers.path(lm.VOCABULARY), "rb") as f:
+        ids = lm.pieces_of(f.read())
+    words = sorted((p[1:] for p in ids if p[0] == "▁" and p[1:].isascii() and p[1:].isalpha() and p[1:].islower()
+                    and len(p) > 5), key=lambda p: ids["▁" + p])[:200]
+    rnd = random.Random(2)
+    starts = [rnd.randrange(200) for _ in range(500)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(i, " ".join(words[(s + j) % 200] for j in range(200))) for i, s in enumerate(starts)],
+                          "doc_id long, text string").coalesce(1).write.parquet(path)
+    r = lm.score_documents(spark.read.parquet(path), public_tokenizers.path(lm.VOCABULARY)).filter("held_out").agg(
+        (F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).alias("gain")).first()
+    assert r.gain > 1.5  # 2.3 at most; 0.78 with one class for all beyond 62
