@@ -14,7 +14,8 @@ so, where a fixed number would silently lose neighbours.
 The centres are fitted on a bounded sample (``SAMPLE_PER_LIST`` rows a list); the
 index holds every row. There are at most ``MAX_LISTS`` lists, which bounds what
 is broadcast (the centres). A list that holds a third of all rows is many packed
-blocks of ``BLOCK_ROWS`` rows, and the join of blocks and queries is split by AQE.
+blocks of ``BLOCK_ROWS`` rows, cut into cells of about ``CELL_ROWS``; queries are cut likewise, so that a task
+holds one such cell of both, whatever the size of the list or of the table.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ BLOCK_ROWS = 4096
 #: Sampled rows whose exact neighbours set the number of probes, and the share of them to be found.
 PROBE_ROWS, RECALL = 200, 0.95
 ITERATIONS = 10
+#: Similarities of rows and centres held at a time.
+_SIMS = 1 << 19
+#: Bytes of vectors that a task packs; rows of a list and queries that meet in one task at a time.
+PACK_BYTES, CELL_ROWS, CELL_QUERIES = 64 << 20, 1 << 16, 1 << 16
 _BLOCK = pa.schema([("list", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary())])
 _BLOCK_DDL = "list int, ids binary, vecs binary"
 
@@ -50,6 +55,9 @@ def _sampled(rows: DataFrame, n: int, want: int) -> DataFrame:
 
 def nearest_lists(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     """The n centres of greatest inner product, nearest first (x and centres are unit rows)."""
+    step = max(1, _SIMS // max(1, len(centres)))
+    if len(x) > step:
+        return np.concatenate([nearest_lists(x[lo:lo + step], centres, n) for lo in range(0, len(x), step)])
     sims = x @ centres.T
     if n >= sims.shape[1]:
         return np.argsort(-sims, axis=1, kind="stable")
@@ -122,7 +130,7 @@ def build_index(vectors: DataFrame, path: str, lists: int | None = None, *, row_
         return pa.RecordBatch.from_pylist([{"list": name, "ids": np.concatenate([i for i, _ in parts]).tobytes(),
                                             "vecs": np.concatenate([v for _, v in parts]).tobytes()}], _BLOCK)
 
-    (rows.repartition(max(1, -(-n // (1 << 20))), "_id").mapInArrow(pack, _BLOCK_DDL)
+    (rows.repartition(max(1, -(-n * (4 * width + 8) // PACK_BYTES)), "_id").mapInArrow(pack, _BLOCK_DDL)
      .repartition("list").write.partitionBy("list").parquet(f"{path}/lists"))
     note = {"rows": n, "width": width, "lists": len(centres), "k": k, "recall": recall, "probes": len(centres),
             "centres": [[float(v) for v in c] for c in centres]}
@@ -143,8 +151,12 @@ def _measured_probes(rows: DataFrame, n: int, centres: np.ndarray, width: int, k
         for b in batches:
             if len(b):
                 q, c = (unit_rows(vector_matrix(b.column(x), width)) for x in ("q", "c"))
-                own, order = nearest_lists(c, centres, 1), nearest_lists(q, centres, len(centres))
-                yield pa.RecordBatch.from_arrays([pa.array((order == own).argmax(1).astype(np.int32))], ["place"])
+                own, step = nearest_lists(c, centres, 1), max(1, _SIMS // len(centres))
+                for lo in range(0, len(q), step):
+                    sims, at = q[lo:lo + step] @ centres.T, own[lo:lo + step]
+                    least = np.take_along_axis(sims, at, 1)
+                    before = (sims > least) | ((sims == least) & (np.arange(len(centres)) < at))
+                    yield pa.RecordBatch.from_arrays([pa.array(before.sum(1).astype(np.int32))], ["place"])
 
     counts = sorted((r.place, r.n) for r in pairs.mapInArrow(place, "place int").groupBy("place")
                     .agg(F.count(F.lit(1)).alias("n")).collect())
@@ -177,28 +189,49 @@ def search_index(queries: DataFrame, path: str, k: int = 10, *, probes: int | No
         for batch in batches:
             if not len(batch):
                 continue
-            x, ids = vector_matrix(batch.column("_v"), width), batch.column("_id").to_numpy()
-            own = nearest_lists(unit_rows(x), centres, probes).reshape(-1)
-            row = np.repeat(np.arange(len(x)), probes)
-            order = np.argsort(own, kind="stable")
-            cut = np.flatnonzero(np.diff(own[order], prepend=-1))
-            yield pa.RecordBatch.from_pylist(
-                [{"list": int(own[order[lo]]), "ids": ids[row[order[lo:hi]]].tobytes(),
-                  "vecs": x[row[order[lo:hi]]].astype(np.float32).tobytes()}
-                 for lo, hi in zip(cut, np.append(cut[1:], len(order)), strict=True)], _BLOCK)
-
-    asked = q.mapInArrow(ask, _BLOCK_DDL).withColumnsRenamed({"ids": "qids", "vecs": "qvecs"})
+            every, all_ids = vector_matrix(batch.column("_v"), width, np.float32), batch.column("_id").to_numpy()
+            step = max(1, _SIMS // probes)
+            for at in range(0, len(every), step):
+                x, ids = every[at:at + step], all_ids[at:at + step]
+                own = nearest_lists(unit_rows(x.astype(np.float64)), centres, probes).reshape(-1)
+                row = np.repeat(np.arange(len(x), dtype=np.int32), probes)
+                order = np.argsort(own, kind="stable")
+                cut = np.flatnonzero(np.diff(own[order], prepend=-1))
+                for lo, hi in zip(cut, np.append(cut[1:], len(order)), strict=True):  # the vectors of one list at a time
+                    yield pa.RecordBatch.from_pylist(
+                        [{"list": int(own[order[lo]]), "ids": ids[row[order[lo:hi]]].tobytes(),
+                          "vecs": x[row[order[lo:hi]]].tobytes()}], _BLOCK)
+
+    # a list of many rows is cut by a hash of its blocks, the queries by a hash of their packs; all parts meet
     blocks = spark.read.schema("ids binary, vecs binary, list int").parquet(f"{path}/lists")
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                qids, ids = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                x, v = (np.frombuffer(r[c], np.float32).reshape(-1, width).astype(np.float64) for c in ("qvecs", "vecs"))
-                i, found, sims = top_k(qids, x, ids, v, k, exclude_self)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(found), pa.array(sims)], schema=_KNN)
-
-    return best_k(blocks.join(asked, "list").mapInArrow(rank, _KNN_DDL), k)
+    sizes = blocks.groupBy("list").agg(F.ceil(F.sum(F.length("ids")) / (8 * CELL_ROWS)).cast("int").alias("parts"))
+    pieces = max(1, -(-q.count() // CELL_QUERIES))
+    parts = F.broadcast(sizes)  # a row per list
+
+    def some(column: str, n):
+        return F.pmod(F.xxhash64(column), n).cast("int")
+
+    def every_of(n):
+        return F.explode(F.sequence(F.lit(0), n - F.lit(1)))
+
+    cell = ["list", "part", "piece"]
+    left = (q.mapInArrow(ask, _BLOCK_DDL).join(parts, "list").withColumn("piece", some("ids", F.lit(pieces)))
+            .select("list", "piece", "ids", "vecs", every_of(F.col("parts")).alias("part")))
+    right = (blocks.join(parts, "list").withColumn("part", some("ids", F.col("parts")))
+             .select("list", "part", "ids", "vecs", every_of(F.lit(pieces)).alias("piece")))
+
+    def packed(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return (np.concatenate([np.frombuffer(b.as_buffer(), np.int64) for b in t["ids"]]),
+                np.concatenate([np.frombuffer(b.as_buffer(), np.float32) for b in t["vecs"]]).reshape(-1, width))
+
+    def rank(qt: pa.Table, ct: pa.Table) -> pa.Table:
+        if not len(qt) or not len(ct):
+            return _KNN.empty_table()
+        (qids, x), (ids, v) = packed(qt), packed(ct)
+        i, found, sims = top_k(qids, x, ids, v, k, exclude_self)
+        return pa.table([qids[i], found, sims], schema=_KNN)
+
+    return best_k(left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(rank, _KNN_DDL), k)
 
 
 def drop_index(spark: SparkSession, path: str) -> None:
