@@ -1,9 +1,10 @@
 """Exact top-k of vector blocks inside a task: NumPy work shared by the exact and the indexed search.
 
-A tile of similarities is one float64 product. It only picks candidates, with a
+A tile of similarities is one float32 product. It only picks candidates, with a
 margin for its rounding; a candidate's score is then recomputed from two integer
 limbs per component, whose sums are exact in float64. A score therefore does not
-depend on the tile it was met in, and ties are broken by id exactly.
+depend on the tile it was met in, and ties are broken by id exactly. Only tiles
+and a bounded number of pairs are ever held in float64, whatever the block.
 """
 
 from __future__ import annotations
@@ -13,19 +14,19 @@ import pyarrow as pa
 
 #: Corpus rows and queries of one tile.
 TILE_ROWS, TILE_QUERIES = 4096, 512
-#: Far above the rounding of a product of unit vectors, far below what sets neighbours apart.
-MARGIN = 1e-9
+#: Pairs scored exactly at a time.
+PAIRS = 8192
 
 
-def vector_matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    """A list column without null lists as a float64 matrix; shorter vectors are padded with zeros."""
+def vector_matrix(column: pa.ChunkedArray | pa.Array, width: int, kind: type = np.float64) -> np.ndarray:
+    """A list column without null lists as a matrix; shorter vectors are padded with zeros."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     sizes = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
     if (sizes == width).all():
         return flat.reshape(len(sizes), width)
-    out = np.zeros((len(sizes), width))
+    out = np.zeros((len(sizes), width), kind)
     out[np.arange(width) < sizes[:, None]] = flat
     return out
 
@@ -54,31 +55,57 @@ def pair_scores(q, c, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return high / (s * s) + (np.einsum("ij,ij->i", qh[i], cl[j]) + np.einsum("ij,ij->i", ql[i], ch[j])) / (s * s * s)
 
 
-def candidates(sims: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def margin(dims: int) -> np.float32:
+    """Twice what a float32 product of two unit vectors can be off: rounding of both, of the products and of their sum."""
+    return np.float32((dims + 8) * 2.0 ** -23)
+
+
+def candidates(sims: np.ndarray, k: int, floor: np.ndarray, off: np.float32) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of all pairs of a tile that may be among a query's k best and reach its ``floor``."""
-    n = sims.shape[1]
+    n, low = sims.shape[1], floor.astype(np.float32)
+    hit = sims >= (low - off)[:, None]
     if n > k:
-        floor = np.maximum(floor, np.partition(sims, n - k, axis=1)[:, n - k])
-    return np.nonzero((sims >= (floor - MARGIN)[:, None]) & (sims > -np.inf))
+        many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 4 * k)
+        if len(many):
+            part = sims[many]
+            low = np.maximum(low[many], np.partition(part, n - k, axis=1)[:, n - k])
+            hit[many] = part >= (low - off)[:, None]
+    i, j = np.divmod(np.flatnonzero(hit), n)
+    some = sims[i, j] > -np.inf
+    return i[some], j[some]
 
 
 def top_k(qids: np.ndarray, q: np.ndarray, cids: np.ndarray, c: np.ndarray, k: int, exclude_self: bool):
     """(query number, id, similarity) of the k best rows of every query: best first, ties by the smaller id."""
     rows_q, rows_id, rows_s = [], [], []
     ordered = np.argsort(cids, kind="stable")
-    cids, c = cids[ordered], unit_rows(c[ordered])
+    cids, off = cids[ordered], margin(c.shape[1])
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        return unit_rows(m.astype(np.float64))
+
+    near = np.empty(c.shape, np.float32)
+    for lo in range(0, len(cids), TILE_ROWS):
+        near[lo:lo + TILE_ROWS] = unit(c[ordered[lo:lo + TILE_ROWS]])
+    lost = np.flatnonzero(~np.isfinite(near).all(axis=1))
     for at in range(0, len(qids), TILE_QUERIES):
-        ids, part = qids[at:at + TILE_QUERIES], unit_rows(q[at:at + TILE_QUERIES])
-        exact = limbs(part)
+        ids, part = qids[at:at + TILE_QUERIES], unit(q[at:at + TILE_QUERIES])
+        exact, part = limbs(part), part.astype(np.float32)
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         floor = np.full(len(ids), -np.inf)
         for lo in range(0, len(cids), TILE_ROWS):
-            own, tile = cids[lo:lo + TILE_ROWS], c[lo:lo + TILE_ROWS]
-            sims = part @ tile.T
+            own = cids[lo:lo + TILE_ROWS]
+            sims = part @ near[lo:lo + TILE_ROWS].T
+            sims[:, lost[(lost >= lo) & (lost < lo + TILE_ROWS)] - lo] = -np.inf
             if exclude_self:
-                sims[ids[:, None] == own[None, :]] = -np.inf
-            i, j = candidates(sims, k, floor)
-            s = pair_scores(exact, limbs(tile), i, j)
+                first, last = np.searchsorted(own, ids, "left"), np.searchsorted(own, ids, "right")
+                for r in np.flatnonzero(first < last).tolist():
+                    sims[r, first[r]:last[r]] = -np.inf
+            i, j = candidates(sims, k, floor, off)
+            s = np.empty(len(i))
+            for a in range(0, len(i), PAIRS):
+                rows, place = np.unique(j[a:a + PAIRS], return_inverse=True)
+                s[a:a + PAIRS] = pair_scores(exact, limbs(unit(c[ordered[lo + rows]])), i[a:a + PAIRS], place)
             i, d, s = (np.concatenate(x) for x in zip(best, (i, own[j], s), strict=True))
             order = np.lexsort((d, -s, i))
             i, d, s = i[order], d[order], s[order]

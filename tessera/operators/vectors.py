@@ -20,9 +20,9 @@ from tessera.session import parallelism
 KNN_SCHEMA = "qid long, rank int, id long, sim double"
 _KNN = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("sim", pa.float64())])
 _KNN_DDL = "qid long, id long, sim double"
-# Bytes of the vectors of one block of queries or of corpus rows (float64) held by a task.
+# Bytes of the vectors of one block of queries or of corpus rows, counted in float64; a task holds them in float32.
 DEFAULT_QUERY_BLOCK_BYTES = 32 << 20
-DEFAULT_CORPUS_BLOCK_BYTES = 128 << 20
+DEFAULT_CORPUS_BLOCK_BYTES = 32 << 20
 # Queries worth a block of their own when blocks are made for the sake of parallelism.
 MIN_BLOCK_QUERIES = 64
 
@@ -84,8 +84,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, *, query_id: st
         if not len(qt) or not len(ct):
             return _KNN.empty_table()
         qids = qt["_id"].to_numpy()
-        i, ids, sims = top_k(qids, vector_matrix(qt["_v"], width), ct["_id"].to_numpy(),
-                             vector_matrix(ct["_v"], width), k, exclude_self)
+        i, ids, sims = top_k(qids, vector_matrix(qt["_v"], width, np.float32), ct["_id"].to_numpy(),
+                             vector_matrix(ct["_v"], width, np.float32), k, exclude_self)
         return pa.table([qids[i], ids, sims], schema=_KNN)
 
     return best_k(left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(search, _KNN_DDL), k)

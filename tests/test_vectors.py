@@ -132,3 +132,35 @@ def test_knn_k_larger_than_corpus(spark):
     got = sorted((r.qid, r.rank, r.id) for r in V.knn_join(df, df, k=10).collect())
     assert [(q, i) for q, _, i in got if q == 1] == [(1, 2), (1, 3)]
     assert len(got) == 6
+
+
+def peak_mb(fn):
+    import tracemalloc
+    tracemalloc.start()
+    try:
+        fn()
+        return tracemalloc.get_traced_memory()[1] / 2 ** 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_block_with_many_equal_vectors():
+    """1.2 million pairs tie in the tile: they are scored a bounded number at a time."""
+    from tessera.operators import topk
+    v = np.ones((3000, 64), np.float32)
+    got = []
+    assert peak_mb(lambda: got.append(topk.top_k(np.arange(400), v[:400], np.arange(3000), v, 5, True))) < 300
+    i, ids, sims = got[0]
+    assert ids.reshape(400, 5)[0].tolist() == [1, 2, 3, 4, 5] and ids.reshape(400, 5)[9].tolist() == [0, 1, 2, 3, 4]
+    assert len(set(sims.tolist())) == 1 and abs(sims[0] - 1) < 1e-9
+
+
+def test_close_neighbours_are_told_apart_in_float64():
+    """Similarities that agree in float32 still rank exactly."""
+    from tessera.operators import topk
+    rng = np.random.default_rng(5)
+    c = np.ones((9000, 32)) + rng.normal(0, 1e-4, (9000, 32))
+    u = c / np.linalg.norm(c, axis=1, keepdims=True)
+    _, ids, _ = topk.top_k(np.arange(50), c[:50], np.arange(9000), c, 10, False)
+    want = np.argsort(-(u[:50].astype(np.longdouble) @ u.T.astype(np.longdouble)), axis=1, kind="stable")[:, :10]
+    assert (ids.reshape(50, 10) == want).mean() > 0.99
