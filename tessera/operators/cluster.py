@@ -20,7 +20,8 @@ from tessera.functions import vectors as VF
 from tessera.operators.blocks import DEFAULT_LEFT_ROWS, DEFAULT_RIGHT_ROWS, grid_cells, plan_grid
 
 _SUMS_SCHEMA = "id long, j int, own long, other long, dist_sum double, n long"
-_CHUNK = 512
+#: Left rows and right rows of one tile of distances.
+_CHUNK, _RIGHT_CHUNK = 512, 2048
 
 
 def _cell_cluster_sums(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -50,11 +51,16 @@ def _cell_cluster_sums(pdf: pd.DataFrame) -> pd.DataFrame:
     parts = []
     for s in range(0, len(lids), _CHUNK):
         q = lmat[s:s + _CHUNK]
-        d2 = np.einsum("ij,ij->i", q, q)[:, None] + rsq[None, :] - 2.0 * (q @ rmat.T)
-        dist = np.sqrt(np.maximum(d2, 0.0))
-        nq = len(q)
-        for j, (labels, onehot, counts) in enumerate(onehots):
-            sums = dist @ onehot
+        nq, qsq = len(q), np.einsum("ij,ij->i", q, q)[:, None]
+        totals = [np.zeros((nq, len(labels))) for labels, _, _ in onehots]
+        for t in range(0, len(rmat), _RIGHT_CHUNK):
+            dist = q @ rmat[t:t + _RIGHT_CHUNK].T
+            dist *= -2.0
+            dist += qsq + rsq[None, t:t + _RIGHT_CHUNK]
+            np.sqrt(np.maximum(dist, 0.0, out=dist), out=dist)
+            for total, (_, onehot, _) in zip(totals, onehots, strict=True):
+                total += dist @ onehot[t:t + _RIGHT_CHUNK]
+        for j, (sums, (labels, _, counts)) in enumerate(zip(totals, onehots, strict=True)):
             parts.append(pd.DataFrame({
                 "id": np.repeat(lids[s:s + _CHUNK], len(labels)),
                 "j": np.full(nq * len(labels), j, dtype=np.int32),

@@ -134,3 +134,26 @@ def test_start_sees_all_rows_not_a_sample(spark):
     assert all(np.abs(centres - f).sum(axis=1).min() < 1e-6 for f in far.values())
     same = p.select("id", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("_v"))
     assert CL.lockstep_kmeans(same, [3], 1)[3].tolist() == [[1.0, 2.0]] * 3  # nothing else to draw
+
+
+def test_memory_of_a_silhouette_cell():
+    """Distances are held by tiles, not by whole rows of the cell."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+    from tessera.operators import cluster
+    v = np.random.default_rng(1).normal(size=(16384, 8)).astype(np.float32)
+    side = [0] * 512 + [1] * 16384
+    pdf = pd.DataFrame({"_side": side, "_id": range(len(side)), "_v": [*v[:512], *v],
+                        "_l": [np.array([i % 3]) for i in range(len(side))]})
+    tracemalloc.start()
+    try:
+        out = cluster._cell_cluster_sums(pdf)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 << 20
+    lab = np.arange(512, len(side)) % 3
+    want = np.linalg.norm(v[:1].astype(float) - v[lab == 2].astype(float), axis=1).sum()
+    assert abs(out[(out.id == 0) & (out.other == 2)].dist_sum.iloc[0] - want) < 1e-4
