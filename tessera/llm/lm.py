@@ -74,7 +74,7 @@ def pieces_of(model: bytes) -> dict[str, int]:
 
 
 class LeadPieces:
-    """The vocabulary strings that can start a word, as a byte trie of sorted (node, byte) keys.
+    """The vocabulary strings that can start a word, as a byte trie: a row of 256 next nodes by node, 0 for none.
 
     The leading id of a word is that of the longest vocabulary string that starts it, 0 without one.
     """
@@ -92,19 +92,17 @@ class LeadPieces:
                     if node == len(piece):
                         piece.append(-1)
                 piece[node] = i
-        keys = np.array([n << 8 | c for n, c in step], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.nodes = keys[order], np.fromiter(step.values(), np.int64, len(step))[order]
+        self.next = np.zeros(len(piece) << 8, np.int32)
+        self.next[[n << 8 | c for n, c in step]] = list(step.values())
         self.piece = np.array(piece, np.int64)
 
     def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         best = np.full(len(start), self.piece[0])
         live, node, size = np.flatnonzero(start < end), np.zeros(int((start < end).sum()), np.int64), 0
         while len(live):
-            key = node << 8 | data[start[live] + size]
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            on = self.keys[place] == key
-            live, node = live[on], self.nodes[place[on]]
+            node = self.next[node.astype(np.int64) << 8 | data[start[live] + size]]
+            on = node > 0
+            live, node = live[on], node[on]
             size += 1
             found = self.piece[node]
             best[live[found >= 0]] = found[found >= 0]
@@ -127,8 +125,13 @@ def distinct_tokens(texts: list[bytes | None], lead: LeadPieces):
     place = np.arange(len(h)) + np.repeat(np.arange(len(texts)), n)
     token, word = np.full(len(h) + len(texts), END, np.int64), np.full(len(h) + len(texts), -1)
     token[place], word[place] = h.view(np.int64), np.arange(len(h))
-    distinct, first, inverse = np.unique(token, return_index=True, return_inverse=True)
-    word = word[first]
+    order = np.argsort(token)  # not stable: equal tokens are equal words, any of them will do
+    token = token[order]
+    new = np.ones(len(token), bool)
+    np.not_equal(token[1:], token[:-1], out=new[1:])
+    inverse = np.empty(len(token), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    distinct, word = token[new], word[order[new]]
     piece = np.full(len(distinct), END_PIECE)
     piece[word >= 0] = lead.of(np.frombuffer(data, np.uint8), start[word[word >= 0]], end[word[word >= 0]])
     return n + 1, inverse, distinct, piece
@@ -162,19 +165,24 @@ def inputs_of(w: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([w["E"], w["E"][-2] + w["T"]]) if "T" in w else w["E"]
 
 
+@lru_cache(maxsize=2)
+def _cells(size: int, d: int) -> np.ndarray:
+    return np.arange(size * d).reshape(size, d)
+
+
 def _sums(place: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     """Sums of the rows by place, of ``size`` places."""
     d = rows.shape[1]
-    at = (place * d)[:, None] + np.arange(d)
+    at = _cells(size, d).take(place, 0)
     return np.bincount(at.ravel(), weights=rows.ravel(), minlength=size * d).reshape(size, d).astype(rows.dtype)
 
 
 def spans_of(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """(order by group, (group, first, behind the last) of each)."""
     order = np.argsort(group, kind="stable")
-    cut = np.flatnonzero(np.diff(group[order], prepend=-1))
-    behind = np.append(cut[1:], len(order))[:len(cut)]
-    return order, list(zip(group[order[cut]].tolist(), cut.tolist(), behind.tolist(), strict=True))
+    own = group[order]
+    cut = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist()] if len(own) else []
+    return order, list(zip(own[cut].tolist(), cut, [*cut[1:], len(own)], strict=True)) if cut else []
 
 
 def id_logits(ids: np.ndarray, bias: np.ndarray, h: np.ndarray, group: np.ndarray, spans: list) -> np.ndarray:
@@ -186,25 +194,38 @@ def id_logits(ids: np.ndarray, bias: np.ndarray, h: np.ndarray, group: np.ndarra
     return out
 
 
-def _softmax(logit: np.ndarray) -> np.ndarray:
-    logit -= logit.max(1, keepdims=True)
-    np.exp(logit, out=logit)
-    logit /= logit.sum(1, keepdims=True)
-    return logit
-
+def exp_rows(logit: np.ndarray, seen: np.ndarray | None = None):
+    """(exp(logit - low), its sums by row, low by row) over the last axis, 0 where ``seen`` is 0.
 
-def tail_gradients(w: dict[str, np.ndarray], h: np.ndarray, t: np.ndarray, live: int):
+    ``low`` is 0 as long as the sums neither overflow nor vanish, else the greatest seen logit of each row: a row's
+    maximum costs more than the exponentials.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.exp(logit)
+        if seen is not None:
+            out *= seen
+        total = out @ np.ones(out.shape[-1], out.dtype)
+    if not len(total) or (np.minimum.reduce(total, None) > 1e-20 and np.maximum.reduce(total, None) < 1e20):
+        return out, total, 0.0
+    if seen is not None:
+        logit = np.where(seen > 0, logit, logit.dtype.type(-1e9))
+    low = logit.max(-1, keepdims=True)
+    out = np.exp(logit - low)
+    return out, out.sum(-1), low[..., 0]
+
+
+def tail_gradients(w: dict[str, np.ndarray], h: np.ndarray, t: np.ndarray, live: int, with_loss: bool = True):
     """(summed loss / live, gradients, dh) of the tail's ids ``t`` after the contexts ``h``."""
     i, scale, size = np.arange(len(t)), h.dtype.type(1 / live), w["s"].shape[1]
     order, spans = spans_of(t // size)
-    group, place, h = t[order] // size, t[order] % size, h[order]
-    a = _softmax(h @ w["G"] + w["g"])
-    b = _softmax(id_logits(w["S"], w["s"], h, group, spans))
-    loss = -np.log(a[i, group] * b[i, place] + 1e-12).sum() / live
-    a[i, group] -= 1
-    b[i, place] -= 1
-    a *= scale
-    b *= scale
+    (group, place), h = np.divmod(t[order], size), h[order]
+    a, a_sum, _ = exp_rows(h @ w["G"] + w["g"])
+    b, b_sum, _ = exp_rows(id_logits(w["S"], w["s"], h, group, spans))
+    loss = -np.log(a[i, group] / a_sum * (b[i, place] / b_sum) + 1e-12).sum() / live if with_loss else 0.0
+    a *= (scale / a_sum)[:, None]
+    b *= (scale / b_sum)[:, None]
+    a[i, group] -= scale
+    b[i, place] -= scale
     g = {"G": h.T @ a, "g": a.sum(0), "S": np.zeros_like(w["S"]), "s": np.zeros_like(w["s"])}
     dh = np.empty_like(h)
     inner = np.empty_like(h)
@@ -218,8 +239,8 @@ def tail_gradients(w: dict[str, np.ndarray], h: np.ndarray, t: np.ndarray, live:
     return loss, g, dh
 
 
-def pack(w: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([w[k].ravel() for k in sorted(w)])
+def pack(w: dict[str, np.ndarray], out: np.ndarray | None = None) -> np.ndarray:
+    return np.concatenate([w[k].ravel() for k in sorted(w)], out=out)
 
 
 def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -230,54 +251,50 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
     return out
 
 
-def _mask(seen: np.ndarray, stride: int) -> np.ndarray:
-    """0 where a query may attend, else -1e9; ``seen`` marks inputs inside the text."""
-    causal = np.arange(2 * stride)[None, :] <= np.arange(stride, 2 * stride)[:, None]
-    return np.where(causal[None] & seen[:, None, :], np.float32(0), np.float32(-1e9))
-
-
-def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray):
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, with_loss: bool = True):
     """(loss, gradients) of the mean log loss over the targets ``y >= 0`` of a batch of windows of inputs ``x``.
 
-    A target sees the inputs of its window up to its own place. Numbers from the classes on are ids of the tail.
+    Without ``with_loss`` the loss is left at 0. A target sees the inputs of its window up to its own place. Numbers from the classes on are ids of the tail.
     All matrices keep the dtype of the weights.
     """
     (n, s), (k, d), kind = x.shape, w["E"].shape, w["E"].dtype
     scale, flat = kind.type(1 / np.sqrt(d)), x.ravel()
-    e = (inputs_of(w)[flat].reshape(n, s, d) + w["P"][:s]).reshape(-1, d)
+    e = (inputs_of(w).take(flat, 0).reshape(n, s, d) + w["P"][:s]).reshape(-1, d)
     project = np.concatenate([w["Wq"] * scale, w["Wk"], w["Wv"]], axis=1)
     qkv = (e @ project).reshape(n, s, 3 * d)
     q, key, v = qkv[:, :, :d], qkv[:, :, d:2 * d], qkv[:, :, 2 * d:]
-    att = np.matmul(q, key.transpose(0, 2, 1))
-    att -= att.max(2, keepdims=True)
-    att += np.where(np.tri(s, dtype=bool), kind.type(0), kind.type(-1e9))
-    np.exp(att, out=att)
-    att /= att.sum(2, keepdims=True)
+    att, mass, _ = exp_rows(np.matmul(q, key.transpose(0, 2, 1)), np.tri(s, dtype=kind))
+    mass = mass.reshape(-1, 1)  # the sum of a token's weights, which divides z and dz instead of all weights
     z = np.matmul(att, v).reshape(-1, d)
+    z /= mass
     h = e + z @ w["Wo"]
     p = h @ w["U"]
     p += w["b"]
-    p -= p.max(1, keepdims=True)
-    np.exp(p, out=p)
-    total = p.sum(1)
+    p, total, _ = exp_rows(p)
     row = np.flatnonzero(y.ravel() >= 0)
     exact, live = y.ravel()[row], max(1, len(row))
     target = np.where(exact < k, exact, k - 2)
-    loss = -np.log(p[row, target] / total[row] + 1e-12).sum() / live
-    p *= ((y.ravel() >= 0).astype(kind) / (total * kind.type(live)))[:, None]
+    loss = -np.log(p[row, target] / total[row] + 1e-12).sum() / live if with_loss else 0.0
+    share = np.zeros(len(p), kind)
+    share[row] = kind.type(1 / live) / total[row]
+    p *= share[:, None]
     p[row, target] -= kind.type(1 / live)
-    g = {"U": h.T @ p, "b": p.sum(0)}
+    g = {"U": np.matmul(h.reshape(n, s, d).transpose(0, 2, 1), p.reshape(n, s, k)).sum(0),
+         "b": np.ones(len(p), kind) @ p}
     dh = p @ w["U"].T
     if "T" in w:
         rare = row[exact >= k]
-        more, tail, dt = tail_gradients(w, h[rare], exact[exact >= k] - k, live)
+        more, tail, dt = tail_gradients(w, h[rare], exact[exact >= k] - k, live, with_loss)
         loss += more
         g.update(tail)
         dh[rare] += dt
     g["Wo"] = z.T @ dh
-    dz = (dh @ w["Wo"].T).reshape(n, s, d)
+    dz = dh @ w["Wo"].T
+    dz /= mass
+    inner = np.einsum("ij,ij->i", dz, z).reshape(n, s, 1)
+    dz = dz.reshape(n, s, d)
     ds = np.matmul(dz, v.transpose(0, 2, 1))
-    ds -= np.einsum("bij,bij->bi", ds, att)[:, :, None]
+    ds -= inner
     ds *= att
     dqkv = np.empty_like(qkv)
     np.matmul(ds, key, out=dqkv[:, :, :d])
@@ -305,7 +322,9 @@ class Scorer:
         s = self.stride = len(w["P"]) // 2
         scale, e = 1 / np.sqrt(w["E"].shape[1]), inputs_of(w)
         self.q = f(e @ w["Wq"] * scale), f(w["P"][s:] @ w["Wq"] * scale)
-        self.k, self.v = (f(e @ w["Wk"]), f(w["P"] @ w["Wk"])), (f(e @ w["Wv"]), f(w["P"] @ w["Wv"]))
+        both = np.concatenate([w["Wk"], w["Wv"]], axis=1)
+        self.kv = f(e @ both), f(w["P"] @ both)
+        self.causal = np.tri(2 * s, dtype=np.float32)[s:]
         self.context, self.out = (f(e), f(w["P"][s:]), f(w["Wo"])), (f(w["U"]), f(w["b"]))
         self.share = np.log(shares)
         self.tail = "T" in w
@@ -321,8 +340,8 @@ class Scorer:
         total = -self.tail_share[own]
         for logit, at in ((h @ self.groups[0] + self.groups[1], own // size),
                           (id_logits(*self.members, h, own // size, spans), own % size)):
-            logit -= logit.max(1, keepdims=True)
-            total += logit[np.arange(len(own)), at] - np.log(np.exp(logit).sum(1))
+            _, mass, low = exp_rows(logit)
+            total += logit[np.arange(len(own)), at] - low - np.log(mass)
         out = np.empty(len(t))
         out[order] = total
         return out
@@ -356,22 +375,24 @@ class Scorer:
             at = start[lo:lo + chunk, None] + np.arange(2 * s)
             xs, exact = x[at], y[at[:, s:]]
             ys = np.where(exact < classes, exact, classes - 2)
-            q = self.q[0][xs[:, s:]] + self.q[1]
-            k, v = self.k[0][xs] + self.k[1], self.v[0][xs] + self.v[1]
-            att = np.matmul(q, k.transpose(0, 2, 1)) + _mask(inside[at], s)
-            np.exp(att - att.max(2, keepdims=True), out=att)
-            z = np.matmul(att, v) / att.sum(2, keepdims=True)
-            h = self.context[0][xs[:, s:]]
+            q = self.q[0].take(xs[:, s:], 0)
+            q += self.q[1]
+            kv = self.kv[0].take(xs, 0)
+            kv += self.kv[1]
+            k, v = kv[:, :, :q.shape[2]], kv[:, :, q.shape[2]:]
+            att, mass, _ = exp_rows(np.matmul(q, k.transpose(0, 2, 1)),
+                                    inside[at].astype(np.float32)[:, None, :] * self.causal)
+            z = np.matmul(att, v)
+            z /= mass[:, :, None]
+            h = self.context[0].take(xs[:, s:], 0)
             h += self.context[1]
-            h += z @ self.context[2]
+            h += (z.reshape(-1, z.shape[2]) @ self.context[2]).reshape(h.shape)
             logit = h.reshape(-1, h.shape[2]) @ self.out[0]
             logit += self.out[1]
-            logit -= logit.max(1, keepdims=True)
+            _, total, low = exp_rows(logit)
             target = logit[np.arange(len(logit)), np.maximum(ys, 0).ravel()]
-            np.exp(logit, out=logit)
-            lse = np.log(logit.sum(1))
-            gain[lo:lo + chunk] = np.where(ys >= 0, (target - lse).reshape(ys.shape) - self.share[np.maximum(ys, 0)],
-                                           0).sum(1)
+            gain[lo:lo + chunk] = np.where(ys >= 0, (target - low - np.log(total)).reshape(ys.shape)
+                                           - self.share[np.maximum(ys, 0)], 0).sum(1)
             if self.tail:
                 i, j = np.nonzero(exact >= classes)
                 held.append((lo + i, h[i, j], exact[i, j] - classes))
@@ -489,7 +510,8 @@ def train(runs: DataFrame, of: dict[int, int], shares: np.ndarray, rounds: int =
         def local(batches: Iterator[pa.RecordBatch], shared=shared, step=step) -> Iterator[pa.RecordBatch]:
             flat_, like, ids_, class_ = shared.value
             now = flat_.astype(np.float32)
-            m, v = np.zeros_like(now), np.zeros_like(now)
+            w = unpack(now, like)  # views: Adam works in place
+            m, v, d, part = (np.zeros_like(now) for _ in range(4))
             seen = t = 0
             for b in batches:
                 raw = b.column(0).to_pylist()
@@ -501,12 +523,19 @@ def train(runs: DataFrame, of: dict[int, int], shares: np.ndarray, rounds: int =
                     x, y = training_windows(np.split(cls, np.cumsum([len(i) for i in ids])[:-1]), classes - 1,
                                             2 * STRIDE)
                     for lo in range(0, len(x), batch):
-                        _, g = gradients(unpack(now, like), x[lo:lo + batch], y[lo:lo + batch])
+                        _, g = gradients(w, x[lo:lo + batch], y[lo:lo + batch], with_loss=False)
                         t += 1
-                        d = pack(g)
-                        m, v = 0.9 * m + 0.1 * d, 0.99 * v + 0.01 * d * d
-                        now = now - np.float32(step / (1 - 0.9 ** t)) * m / (
-                            np.sqrt(v / np.float32(1 - 0.99 ** t)) + np.float32(1e-8))
+                        pack(g, out=d)
+                        m *= np.float32(0.9)
+                        v *= np.float32(0.99)
+                        m += np.multiply(d, np.float32(0.1), out=part)
+                        np.multiply(d, np.float32(0.01), out=part)
+                        v += np.multiply(part, d, out=part)
+                        np.divide(v, np.float32(1 - 0.99 ** t), out=d)
+                        np.sqrt(d, out=d)
+                        d += np.float32(1e-8)
+                        np.multiply(m, np.float32(step / (1 - 0.9 ** t)), out=part)
+                        now -= np.divide(part, d, out=part)
                     seen += len(x)
             if seen:
                 yield pa.RecordBatch.from_arrays(
@@ -591,8 +620,8 @@ def score_documents(docs: DataFrame, vocabulary_path: str, classes: int = CLASSE
                 base = np.bincount(row, weights=np.log10(np.maximum(own, 0) + 1.0), minlength=len(size)) - size * scale
                 known = np.bincount(row[own > 0], minlength=len(size))
                 # the words outside the head, once per text and word
-                rest, times = np.unique(np.stack([row[own < 0], inverse[own < 0]]), axis=1, return_counts=True) \
-                    if (own < 0).any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+                rest, times = np.unique((row * len(distinct) + inverse)[own < 0], return_counts=True)
+                rest = np.divmod(rest, len(distinct))
                 number = numbers[lo:lo + 256]
                 none = pa.nulls(len(times), pa.int64()), pa.nulls(len(times), pa.float64())
                 both = lambda x, i: pa.concat_arrays([pa.array(x), none[i]])

@@ -41,8 +41,10 @@ def hash_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, bytes
     """(hash of every word, number of words by text, all texts folded and joined, word starts, word ends)."""
     data = b"\n".join([t or b"" for t in texts]).lower()  # bytes: ASCII only
     raw = np.frombuffer(data, np.uint8)
-    edge = np.diff(_SPACE[raw].astype(np.int8), prepend=1, append=1)
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = _SPACE[raw]
+    edge = np.flatnonzero(space[1:] != space[:-1])  # a start and an end in turn
+    start, end = edge[0::2].copy(), edge[1::2].copy()
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):

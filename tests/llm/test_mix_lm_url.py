@@ -138,6 +138,34 @@ def test_gradients_are_those_of_the_loss():
             assert abs(slope - g[k][i]) < 1e-6
 
 
+def test_a_later_input_of_huge_weight_leaves_the_targets_before_it_alone():
+    """A logit beyond float32's exponentials, of an input that no target may see."""
+    w = lm.initial(np.full(6, 1 / 6), width=4, stride=3)
+    w["U"] = np.random.default_rng(5).normal(0, .3, w["U"].shape)
+    w["Wq"] = w["Wk"] = np.eye(4)
+    w["E"][:5], w["E"][5] = 1 + w["E"][:5] / 10, 200
+    w = {k: v.astype(np.float32) for k, v in w.items()}
+    y = np.array([[1, 2, 3, 4, 0, -1]])
+    loss, g = lm.gradients(w, np.array([[0, 1, 2, 3, 4, 5]]), y)
+    want, want_g = lm.gradients(w, np.array([[0, 1, 2, 3, 4, 0]]), y)
+    assert abs(loss - want) < 1e-5 and all(np.isfinite(x).all() for x in g.values())
+    assert all(np.abs(g[k] - want_g[k]).max() < 1e-4 for k in w)
+
+
+def test_rows_of_exponentials_stay_in_range():
+    rng = np.random.default_rng(6)
+    for shift in (0, 300, -300):  # the last two overflow or vanish without their rows' maxima
+        logit = rng.normal(shift, 3, (5, 7)).astype(np.float32)
+        seen = np.ones((5, 7), np.float32)
+        seen[:, 4] = 0
+        logit[:, 4] += 500
+        out, total, low = lm.exp_rows(logit, seen)
+        exact = np.exp(logit.astype(float) - shift) * np.where(seen > 0, 1, 0)
+        assert np.allclose(out / total[:, None], exact / exact.sum(1, keepdims=True), atol=1e-4)
+        assert np.allclose(np.log(total) + low, np.log(exact.sum(1)) + shift, rtol=1e-4)
+    assert lm.exp_rows(np.zeros((0, 7), np.float32))[1].shape == (0,)
+
+
 def test_every_token_is_scored_once_with_its_own_context():
     rng = np.random.default_rng(1)
     shares = rng.dirichlet(np.ones(8))
