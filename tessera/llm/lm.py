@@ -214,18 +214,45 @@ def exp_rows(logit: np.ndarray, seen: np.ndarray | None = None):
     return out, out.sum(-1), low[..., 0]
 
 
+def _row_max(a: np.ndarray) -> np.ndarray:
+    """Maxima over the last axis; a copy with the rows side by side costs less than NumPy's short reductions."""
+    return np.ascontiguousarray(a.reshape(-1, a.shape[-1]).T).max(0).reshape(*a.shape[:-1], 1)
+
+
+def _softmax(logit: np.ndarray) -> np.ndarray:
+    logit -= _row_max(logit)
+    np.exp(logit, out=logit)
+    logit /= logit.sum(1, keepdims=True)
+    return logit
+
+
+def _attention(logit: np.ndarray) -> np.ndarray:
+    """Causal softmax over the last axis."""
+    seen = np.tri(logit.shape[1], dtype=bool)
+    out = logit - _row_max(logit)
+    out += np.where(seen, logit.dtype.type(0), logit.dtype.type(-1e9))
+    np.exp(out, out=out)
+    total = out.sum(2, keepdims=True)
+    if not total.min(initial=1) > 1e-20:  # a later input's logit dwarfs all that a target may see
+        out = np.where(seen, logit, logit.dtype.type(-1e9))
+        out = np.exp(out - _row_max(out))
+        total = out.sum(2, keepdims=True)
+    out /= total
+    return out
+
+
 def tail_gradients(w: dict[str, np.ndarray], h: np.ndarray, t: np.ndarray, live: int, with_loss: bool = True):
     """(summed loss / live, gradients, dh) of the tail's ids ``t`` after the contexts ``h``."""
     i, scale, size = np.arange(len(t)), h.dtype.type(1 / live), w["s"].shape[1]
     order, spans = spans_of(t // size)
     (group, place), h = np.divmod(t[order], size), h[order]
-    a, a_sum, _ = exp_rows(h @ w["G"] + w["g"])
-    b, b_sum, _ = exp_rows(id_logits(w["S"], w["s"], h, group, spans))
-    loss = -np.log(a[i, group] / a_sum * (b[i, place] / b_sum) + 1e-12).sum() / live if with_loss else 0.0
-    a *= (scale / a_sum)[:, None]
-    b *= (scale / b_sum)[:, None]
-    a[i, group] -= scale
-    b[i, place] -= scale
+    a = _softmax(h @ w["G"] + w["g"])
+    b = _softmax(id_logits(w["S"], w["s"], h, group, spans))
+    loss = -np.log(a[i, group] * b[i, place] + 1e-12).sum() / live if with_loss else 0.0
+    a[i, group] -= 1
+    b[i, place] -= 1
+    a *= scale
+    b *= scale
     g = {"G": h.T @ a, "g": a.sum(0), "S": np.zeros_like(w["S"]), "s": np.zeros_like(w["s"])}
     dh = np.empty_like(h)
     inner = np.empty_like(h)
@@ -254,8 +281,8 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, with_loss: bool = True):
     """(loss, gradients) of the mean log loss over the targets ``y >= 0`` of a batch of windows of inputs ``x``.
 
-    Without ``with_loss`` the loss is left at 0. A target sees the inputs of its window up to its own place. Numbers from the classes on are ids of the tail.
-    All matrices keep the dtype of the weights.
+    Without ``with_loss`` the loss is left at 0. A target sees the inputs of its window up to its own place. Numbers
+    from the classes on are ids of the tail. All matrices keep the dtype of the weights.
     """
     (n, s), (k, d), kind = x.shape, w["E"].shape, w["E"].dtype
     scale, flat = kind.type(1 / np.sqrt(d)), x.ravel()
@@ -263,24 +290,21 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, with_loss:
     project = np.concatenate([w["Wq"] * scale, w["Wk"], w["Wv"]], axis=1)
     qkv = (e @ project).reshape(n, s, 3 * d)
     q, key, v = qkv[:, :, :d], qkv[:, :, d:2 * d], qkv[:, :, 2 * d:]
-    att, mass, _ = exp_rows(np.matmul(q, key.transpose(0, 2, 1)), np.tri(s, dtype=kind))
-    mass = mass.reshape(-1, 1)  # the sum of a token's weights, which divides z and dz instead of all weights
+    att = _attention(np.matmul(q, key.transpose(0, 2, 1)))
     z = np.matmul(att, v).reshape(-1, d)
-    z /= mass
     h = e + z @ w["Wo"]
     p = h @ w["U"]
     p += w["b"]
-    p, total, _ = exp_rows(p)
+    p -= _row_max(p)
+    np.exp(p, out=p)
+    total = p.sum(1)
     row = np.flatnonzero(y.ravel() >= 0)
     exact, live = y.ravel()[row], max(1, len(row))
     target = np.where(exact < k, exact, k - 2)
     loss = -np.log(p[row, target] / total[row] + 1e-12).sum() / live if with_loss else 0.0
-    share = np.zeros(len(p), kind)
-    share[row] = kind.type(1 / live) / total[row]
-    p *= share[:, None]
+    p *= ((y.ravel() >= 0).astype(kind) / (total * kind.type(live)))[:, None]
     p[row, target] -= kind.type(1 / live)
-    g = {"U": np.matmul(h.reshape(n, s, d).transpose(0, 2, 1), p.reshape(n, s, k)).sum(0),
-         "b": np.ones(len(p), kind) @ p}
+    g = {"U": h.T @ p, "b": p.sum(0)}
     dh = p @ w["U"].T
     if "T" in w:
         rare = row[exact >= k]
@@ -289,12 +313,9 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, with_loss:
         g.update(tail)
         dh[rare] += dt
     g["Wo"] = z.T @ dh
-    dz = dh @ w["Wo"].T
-    dz /= mass
-    inner = np.einsum("ij,ij->i", dz, z).reshape(n, s, 1)
-    dz = dz.reshape(n, s, d)
+    dz = (dh @ w["Wo"].T).reshape(n, s, d)
     ds = np.matmul(dz, v.transpose(0, 2, 1))
-    ds -= inner
+    ds -= np.einsum("bij,bij->bi", ds, att)[:, :, None]
     ds *= att
     dqkv = np.empty_like(qkv)
     np.matmul(ds, key, out=dqkv[:, :, :d])
@@ -502,13 +523,14 @@ def train(runs: DataFrame, of: dict[int, int], shares: np.ndarray, rounds: int =
     if "T" in start:
         of = of | {p: classes + i for p, i in tail[0].items()}
     known = np.array(sorted(of), np.int64)
-    class_of = np.array([of[k] for k in known.tolist()], np.int64)
+    class_of = np.full(int(known.max()) + 3, classes - 2)
+    class_of[known] = [of[k] for k in known.tolist()]  # the end's id is the last place, ids beyond use the one before
     for r in range(rounds):
-        shared = runs.sparkSession.sparkContext.broadcast((flat, start, known, class_of))
+        shared = runs.sparkSession.sparkContext.broadcast((flat, start, class_of))
         step = rate * 0.6 ** r
 
         def local(batches: Iterator[pa.RecordBatch], shared=shared, step=step) -> Iterator[pa.RecordBatch]:
-            flat_, like, ids_, class_ = shared.value
+            flat_, like, class_ = shared.value
             now = flat_.astype(np.float32)
             w = unpack(now, like)  # views: Adam works in place
             m, v, d, part = (np.zeros_like(now) for _ in range(4))
@@ -517,9 +539,7 @@ def train(runs: DataFrame, of: dict[int, int], shares: np.ndarray, rounds: int =
                 raw = b.column(0).to_pylist()
                 for at in range(0, len(raw), 64):
                     ids = [np.frombuffer(x, np.int32) for x in raw[at:at + 64]]
-                    every = np.concatenate(ids)
-                    place = np.minimum(np.searchsorted(ids_, every), len(ids_) - 1)
-                    cls = np.where(ids_[place] == every, class_[place], classes - 2)
+                    cls = class_[np.minimum(np.concatenate(ids), len(class_) - 2)]
                     x, y = training_windows(np.split(cls, np.cumsum([len(i) for i in ids])[:-1]), classes - 1,
                                             2 * STRIDE)
                     for lo in range(0, len(x), batch):
