@@ -19,14 +19,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tessera.llm import decontam, jaccard, mixing, quality, substrings  # noqa: E402
 from tessera.llm.common import table  # noqa: E402
+from tessera.llm.substrings import PASSAGE_BYTES, PASSAGE_WORDS  # noqa: E402
 from tessera.session import checkpoint_dir, cut_lineage, remove_folder, ship_package  # noqa: E402
 
 
-#: A passage goes if it repeats and holds over 50 words; the byte length that is searched for lies far below
-#: 51 words of running text, and a repeated run of 400 bytes goes whatever its words (scripts without spaces).
-PASSAGE_BYTES, PASSAGE_WORDS = 200, 51
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the quality rules reject; the trusted texts are the labelled ones of ``docs``.
 

@@ -118,6 +118,55 @@ def test_repeats_match_brute_force(spark, docs, rows, length):
     assert (long.n_bytes, long.n_removed, long.n_spans) == (60000, 60000, 1)
 
 
+def test_passages_are_counted_and_removal_stays_at_400_bytes(spark, rows, tmp_path):
+    """Passages of little over 50 words under 400 bytes are told, though only 400-byte strings are removed."""
+    from test_pipeline import passages_gone
+
+    from tessera.llm import queries
+    rnd = random.Random(7)
+    planted = [sentence(rnd, n) for n in (51, 54, 58)]
+    brief = [sentence(rnd, n) for n in (45, 49)]
+    assert all(200 < len(p) < 400 for p in planted + brief)
+    own = [r for r in pairs(rows) if r[0] is not None and r[0] != 108]
+    own = list({d: (d, t) for d, t in own}.values())
+    for i, mid in enumerate(planted + brief + planted + brief + [sentence(rnd, 54)]):
+        own.append((9000 + i, f"{sentence(rnd, 60)}\n{mid}\n{sentence(rnd, 40)}"))
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(own, "doc_id long, text string").repartition(4).write.parquet(path)
+    got = queries.QUERIES["op4_suffix_dedup"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"]
+    found = got.collect()
+    same([tuple(r)[:5] for r in found], brute.repeats(own))
+    told = {r.doc_id: r.n_passage_bytes for r in found}
+    assert told == passages_gone(own)
+    assert [told[9000 + i] > 0 for i in range(11)] == [True] * 3 + [False] * 2 + [True] * 3 + [False] * 3
+    assert all(r.n_removed == 0 for r in found if r.doc_id >= 9000)
+
+
+@pytest.mark.parametrize("passage", [(60, 5), (250, 51), (400, 51)])
+def test_passages_change_nothing_else(spark, docs, passage):
+    cols = ["keep.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    plain = substrings.remove_repeats(docs, segment_bytes=20_000).select(*cols).collect()
+    with_passages = substrings.remove_repeats(docs, segment_bytes=9_000, passage=passage)
+    same(with_passages.select(*cols).collect(), plain)
+    want = substrings.remove_repeats(docs, passage[0], segment_bytes=20_000, words=passage[1])
+    same(with_passages.select("keep.doc_id", "n_passage_bytes").collect(),
+         [tuple(r) for r in want.select("keep.doc_id", "n_removed").collect()])
+
+
+def test_a_passage_longer_than_the_strings_is_refused(spark, docs):
+    with pytest.raises(ValueError):
+        substrings.remove_repeats(docs, length=100, passage=(200, 51))
+
+
+def test_texts_are_shuffled_once(spark, docs):
+    found = substrings.remove_repeats(docs, passage=(200, 51))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    texts = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line]
+    assert len([line for line in texts if "ReusedExchange" not in line]) == 1 < len(texts)
+
+
 def test_repeats_do_not_depend_on_segments(spark, docs):
     cols = ["keep.doc_id", "n_removed", "kept_sha256"]
     a = substrings.remove_repeats(docs, segment_bytes=5_000).select(*cols).collect()
