@@ -17,7 +17,7 @@ same context. A token costs the classes, and one of the tail two square roots of
 it. An id that no training token has is the tail's last.
 
 One pass over all texts counts their words and stores, for the training documents, the leading ids of all
-tokens (2 bytes a token). Every training token is the target of one training window: windows of ``2 * STRIDE``
+tokens (4 bytes a token). Every training token is the target of one training window: windows of ``2 * STRIDE``
 consecutive tokens, each attending causally to those before it. The documents are dealt over ``ROUNDS`` rounds
 of data-parallel steps: every task runs Adam from the shared weights over its windows, and the weights are
 averaged, weighted by windows, as a Spark aggregate (a row per weight reaches the driver).
@@ -60,6 +60,9 @@ ROUNDS, BATCH, RATE = 4, 32, 0.02
 MAX_WORDS = 1_000_000
 #: Tokens of one stored run of a training document.
 RUN = 1 << 16
+#: Words of one stored pack, and a record of it: hash, leading id, count in training, count in all.
+PACK = 1 << 16
+WORD = np.dtype([("h", "<i8"), ("piece", "<i4"), ("n", "<i8"), ("m", "<i8")])
 END_PIECE = -1
 #: Hash of the end, a token of no letters.
 END = 0
@@ -215,8 +218,16 @@ def exp_rows(logit: np.ndarray, seen: np.ndarray | None = None):
 
 
 def _row_max(a: np.ndarray) -> np.ndarray:
-    """Maxima over the last axis; a copy with the rows side by side costs less than NumPy's short reductions."""
-    return np.ascontiguousarray(a.reshape(-1, a.shape[-1]).T).max(0).reshape(*a.shape[:-1], 1)
+    """Maxima over the last axis of an array in C order; NumPy's short reductions cost more.
+
+    They are found by their places, in narrow rows by a copy with the rows side by side.
+    """
+    width = a.shape[-1]
+    if width < 64:
+        return np.ascontiguousarray(a.reshape(-1, width).T).max(0).reshape(*a.shape[:-1], 1)
+    at = a.reshape(-1, width).argmax(1)
+    at += np.arange(0, a.size, width)
+    return a.ravel().take(at).reshape(*a.shape[:-1], 1)
 
 
 def _softmax(logit: np.ndarray) -> np.ndarray:
@@ -226,15 +237,19 @@ def _softmax(logit: np.ndarray) -> np.ndarray:
     return logit
 
 
+@lru_cache(maxsize=4)
+def _unseen(size: int, kind: np.dtype) -> np.ndarray:
+    return np.where(np.tri(size, dtype=bool), kind.type(0), kind.type(-1e9))
+
+
 def _attention(logit: np.ndarray) -> np.ndarray:
     """Causal softmax over the last axis."""
-    seen = np.tri(logit.shape[1], dtype=bool)
     out = logit - _row_max(logit)
-    out += np.where(seen, logit.dtype.type(0), logit.dtype.type(-1e9))
+    out += _unseen(logit.shape[1], logit.dtype)
     np.exp(out, out=out)
     total = out.sum(2, keepdims=True)
     if not total.min(initial=1) > 1e-20:  # a later input's logit dwarfs all that a target may see
-        out = np.where(seen, logit, logit.dtype.type(-1e9))
+        out = np.where(np.tri(logit.shape[1], dtype=bool), logit, logit.dtype.type(-1e9))
         out = np.exp(out - _row_max(out))
         total = out.sum(2, keepdims=True)
     out /= total
@@ -377,15 +392,15 @@ class Scorer:
         base = np.cumsum(room) - room
         x = np.full(int(room.sum()), end, np.int64)
         y = np.full(int(room.sum()), -1, np.int64)
-        inside = np.zeros(int(room.sum()), bool)
         for t, b in zip(texts, base.tolist(), strict=True):
             x[b + s + 1:b + s + len(t)] = t[:-1]
             y[b + s:b + s + len(t)] = t
-            inside[b + s:b + s + len(t)] = True
         owner = np.repeat(np.arange(len(texts)), n)
-        start = np.repeat(base, n) + s * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start, first = np.repeat(base, n) + s * place, place == 0
         gain = np.zeros(len(start))
         held: list[tuple[np.ndarray, ...]] = []  # (window, context, id) of the tail, worked through many at a time
+        waiting = 0
 
         def close() -> None:
             window, h, t = (np.concatenate(a) for a in zip(*held, strict=True))
@@ -401,8 +416,9 @@ class Scorer:
             kv = self.kv[0].take(xs, 0)
             kv += self.kv[1]
             k, v = kv[:, :, :q.shape[2]], kv[:, :, q.shape[2]:]
-            att, mass, _ = exp_rows(np.matmul(q, k.transpose(0, 2, 1)),
-                                    inside[at].astype(np.float32)[:, None, :] * self.causal)
+            logit = np.matmul(q, k.transpose(0, 2, 1))
+            logit[first[lo:lo + chunk], :, :s] = -1e9  # the padding before a text; what is behind it, no target sees
+            att, mass, _ = exp_rows(logit, self.causal)
             z = np.matmul(att, v)
             z /= mass[:, :, None]
             h = self.context[0].take(xs[:, s:], 0)
@@ -417,8 +433,10 @@ class Scorer:
             if self.tail:
                 i, j = np.nonzero(exact >= classes)
                 held.append((lo + i, h[i, j], exact[i, j] - classes))
-                if sum(len(t) for *_, t in held) >= 8192:
+                waiting += len(i)
+                if waiting >= 8192:
                     close()
+                    waiting = 0
         if held:
             close()
         return np.bincount(owner, weights=gain, minlength=len(texts)) / np.log(10)
@@ -426,16 +444,14 @@ class Scorer:
 
 # -- Spark jobs ------------------------------------------------------------------------
 
-def read_corpus(rows: DataFrame, model: bytes, rounds: int = ROUNDS) -> DataFrame:
-    """One pass over (text binary, held_out): counts of words, and the training documents as runs of leading ids.
+def pack_corpus(rows: DataFrame, model: bytes, rounds: int = ROUNDS) -> DataFrame:
+    """One pass over (text binary, held_out): the rows of ``read_corpus``, the words as packs of ``PACK`` records.
 
-    Word rows are (h, piece, n in training, m in all); a run is (turn, run): a first input and the ids of up to
-    ``RUN`` tokens that follow it, the end of the document being one.
+    A pack is one value, so that storing the pass and reading the runs from it does not cost a row a word.
     """
     import pyarrow as pa
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("h", pa.int64()), ("piece", pa.int32()), ("n", pa.int64()), ("m", pa.int64()),
-                        ("turn", pa.int32()), ("run", pa.binary())])
+    schema = pa.schema([("turn", pa.int32()), ("run", pa.binary()), ("words", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, turn = lead_pieces(shared.value), 0
@@ -451,6 +467,13 @@ def read_corpus(rows: DataFrame, model: bytes, rounds: int = ROUNDS) -> DataFram
             h, first, place = np.unique(h, return_index=True, return_inverse=True)
             return (h, piece[first], *(np.bincount(place, weights=x).astype(np.int64) for x in (n, m)))
 
+        def packs(words: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            records = np.empty(len(words[0]), WORD)
+            for name, x in zip(WORD.names, words, strict=True):
+                records[name] = x
+            for at in range(0, len(records), PACK):
+                yield table({"words": [records[at:at + PACK].tobytes()]})
+
         for batch in batches:
             texts, out = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
             for lo in range(0, len(texts), 512):
@@ -472,12 +495,36 @@ def read_corpus(rows: DataFrame, model: bytes, rounds: int = ROUNDS) -> DataFram
                 if sum(len(x[0]) for x in held) > 2 * MAX_WORDS:
                     held = [merged()]
                     if len(held[0][0]) > MAX_WORDS:
-                        yield table(dict(zip(("h", "piece", "n", "m"), held.pop(), strict=True)))
+                        yield from packs(held.pop())
         if held:
-            yield table(dict(zip(("h", "piece", "n", "m"), merged(), strict=True)))
+            yield from packs(merged())
+
+    return rows.select("text", "held_out").mapInArrow(read, "turn int, run binary, words binary")
 
-    return rows.select("text", "held_out").mapInArrow(
-        read, "h long, piece int, n long, m long, turn int, run binary")
+
+def word_rows(packed: DataFrame) -> DataFrame:
+    """Rows (h, piece, n, m) of the packs of ``pack_corpus``."""
+    import pyarrow as pa
+
+    def unpack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pack_ in batch.column(0):
+                records = np.frombuffer(pack_.as_buffer(), WORD)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(records[name])) for name in WORD.names],
+                                                 list(WORD.names))
+
+    return packed.filter("words IS NOT NULL").select("words").mapInArrow(
+        unpack_words, "h long, piece int, n long, m long")
+
+
+def read_corpus(rows: DataFrame, model: bytes, rounds: int = ROUNDS) -> DataFrame:
+    """Of (text binary, held_out): counts of words, and the training documents as runs of leading ids.
+
+    Word rows are (h, piece, n in training, m in all); a run is (turn, run): a first input and the ids of up to
+    ``RUN`` tokens that follow it, the end of the document being one.
+    """
+    packed = pack_corpus(rows, model, rounds)
+    return word_rows(packed).unionByName(packed.filter("run IS NOT NULL").select("turn", "run"), allowMissingColumns=True)
 
 
 def class_table(by_piece, classes: int = CLASSES) -> tuple[dict[int, int], np.ndarray]:
@@ -601,8 +648,8 @@ def score_documents(docs: DataFrame, vocabulary_path: str, classes: int = CLASSE
         model = f.read()
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"),
                        held_out(F.col("doc_id"), 7, 2).alias("held_out"))
-    corpus = cut_lineage(read_corpus(rows, model, rounds))
-    counts = cut_lineage(corpus.filter("run IS NULL").groupBy("h").agg(
+    corpus = cut_lineage(pack_corpus(rows, model, rounds))
+    counts = cut_lineage(word_rows(corpus).groupBy("h").agg(
         F.min("piece").alias("piece"), F.sum("n").alias("n"), F.sum("m").alias("m")))
     by_piece = counts.filter("n > 0").groupBy("piece").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     n_all, v_all = sum(r["n"] for r in by_piece), sum(r["v"] for r in by_piece)

@@ -412,3 +412,27 @@ def test_words_beyond_the_most_frequent_ids_are_predicted(spark, tmp_path):
     r = lm.score_documents(spark.read.parquet(path), public_tokenizers.path(lm.VOCABULARY)).filter("held_out").agg(
         (F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).alias("gain")).first()
     assert r.gain > 1.5  # 2.3 at most; 0.78 with one class for all beyond 62
+
+
+def test_the_pass_is_stored_without_a_row_a_word(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PACK", 3)
+    with open(public_tokenizers.path(lm.VOCABULARY), "rb") as f:
+        model = f.read()
+    rows = [(bytearray(b"a b c d a"), False), (bytearray(b"e"), True), (None, False)]
+    packed = lm.pack_corpus(spark.createDataFrame(rows, "text binary, held_out boolean").repartition(1), model)
+    got = packed.collect()
+    assert [len(r.words) // lm.WORD.itemsize for r in got if r.words is not None] == [3, 3]  # five words and the end
+    assert sum(r.run is not None for r in got) == 2 and len(got) == 4
+    counts = lm.word_rows(packed).collect()
+    assert sorted((r.n, r.m) for r in counts) == [(0, 1), (1, 1), (1, 1), (1, 1), (2, 2), (2, 3)]
+    whole = lm.read_corpus(spark.createDataFrame(rows, "text binary, held_out boolean").repartition(1), model).collect()
+    assert sorted((r.h, r.piece, r.n, r.m) for r in whole if r.run is None) == sorted(map(tuple, counts))
+    assert lm.word_rows(packed.limit(0)).count() == 0
+
+
+def test_row_maxima_of_any_width():
+    rng = np.random.default_rng(2)
+    for shape in ((5, 3), (7, 64), (2, 9, 32), (2, 3, 100), (0, 64)):
+        a = rng.normal(0, 3, shape).astype(np.float32)
+        got = lm._row_max(a)
+        assert got.shape == (*shape[:-1], 1) and (not a.size or (got == a.max(-1, keepdims=True)).all())
