@@ -13,9 +13,16 @@ so, where a fixed number would silently lose neighbours.
 
 The centres are fitted on a bounded sample (``SAMPLE_PER_LIST`` rows a list); the
 index holds every row. There are at most ``MAX_LISTS`` lists, which bounds what
-is broadcast (the centres). A list that holds a third of all rows is many packed
-blocks of ``BLOCK_ROWS`` rows, cut into cells of about ``CELL_ROWS``; queries are cut likewise, so that a task
-holds one such cell of both, whatever the size of the list or of the table.
+is broadcast (the centres, and for every list the pieces that ask for it).
+
+Lists that lie near each other form groups of at most ``CELL_ROWS`` rows, and
+queries whose nearest lists do form pieces of about ``CELL_QUERIES``. A query's
+vector travels once to every group of which it probes a list, with a bit for each
+list, and a list once to every piece that asks for its group. So on clustered
+vectors hardly anything is sent twice, and on vectors without structure rows
+times rows over cell size, not every query to every list. A list that holds a third of all rows is
+many packed blocks of ``BLOCK_ROWS`` rows and many cells; a task holds one cell
+of both sides, whatever the size of the list or of the table.
 """
 
 from __future__ import annotations
@@ -30,8 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.topk import top_k, unit_rows, vector_matrix
-from tessera.operators.vectors import _KNN, _KNN_DDL, best_k, knn_join, vector_rows
-from tessera.session import remove_folder, write_small_file
+from tessera.operators.vectors import _KNN, _KNN_DDL, MIN_BLOCK_QUERIES, best_k, knn_join, vector_rows
+from tessera.session import parallelism, remove_folder, write_small_file
 
 MAX_LISTS = 4096
 SAMPLE_PER_LIST = 64
@@ -42,10 +49,13 @@ PROBE_ROWS, RECALL = 200, 0.95
 ITERATIONS = 10
 #: Similarities of rows and centres held at a time.
 _SIMS = 1 << 19
-#: Bytes of vectors that a task packs; rows of a list and queries that meet in one task at a time.
-PACK_BYTES, CELL_ROWS, CELL_QUERIES = 64 << 20, 1 << 16, 1 << 16
+#: Bytes of vectors that a task packs; rows of lists and queries that meet in one task at a time, and bytes of either.
+PACK_BYTES, CELL_ROWS, CELL_QUERIES, CELL_BYTES = 64 << 20, 1 << 17, 1 << 17, 32 << 20
 _BLOCK = pa.schema([("list", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary())])
 _BLOCK_DDL = "list int, ids binary, vecs binary"
+_ASKED = pa.schema([(c, pa.int32()) for c in ("piece", "part", "cells")]
+                   + [(c, pa.binary()) for c in ("ids", "vecs", "homes", "asks")])
+_ASKED_DDL = "piece int, part int, cells int, ids binary, vecs binary, homes binary, asks binary"
 
 
 def _sampled(rows: DataFrame, n: int, want: int) -> DataFrame:
@@ -99,6 +109,34 @@ def fit_centres(rows: DataFrame, lists: int, width: int, seed: int = 42) -> np.n
     return centres
 
 
+def near_order(centres: np.ndarray) -> np.ndarray:
+    """The centres in an order in which neighbours are mostly near each other: halves along the widest axis, again and again."""
+    out, left = [], [np.arange(len(centres))]
+    while left:
+        at = left.pop()
+        if len(at) < 3:
+            out += at.tolist()
+            continue
+        at = at[np.argsort(centres[at, centres[at].var(axis=0).argmax()], kind="stable")]
+        left += [at[len(at) // 2:], at[:len(at) // 2]]
+    return np.array(out)
+
+
+def spread(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists in their order gathered to groups of at most ``most`` rows: the group of each list, the cells of each group.
+
+    A longer list is a group by itself and has as many cells as it takes.
+    """
+    group, cells, held = np.zeros(len(sizes), np.int64), [1], 0
+    for i, n in enumerate(sizes.tolist()):
+        if held + n > most and held:
+            cells.append(1)
+            held = 0
+        held += n
+        group[i], cells[-1] = len(cells) - 1, max(1, -(-held // most))
+    return group, np.array(cells)
+
+
 def build_index(vectors: DataFrame, path: str, lists: int | None = None, *, row_id: str = "id",
                 vector: str = "embedding", k: int = 10, recall: float = RECALL, seed: int = 42) -> dict:
     """Write the index of all rows with an id and a vector under ``path``; returns what is stored beside it.
@@ -144,8 +182,9 @@ def _measured_probes(rows: DataFrame, n: int, centres: np.ndarray, width: int, k
     """Least number of nearest lists that holds ``recall`` of the true neighbours of sampled rows."""
     asked = _sampled(rows.withColumn("_id", F.col("_id")), n, PROBE_ROWS)
     true = knn_join(asked, rows, k, query_id="_id", corpus_id="_id", vector="_v").select("qid", "id")
-    pairs = (true.join(rows.select(F.col("_id").alias("qid"), F.col("_v").alias("q")), "qid")
-             .join(rows.select(F.col("_id").alias("id"), F.col("_v").alias("c")), "id").select("q", "c"))
+    # k rows at most for each sampled id, so the table itself is not shuffled
+    pairs = (F.broadcast(true).join(rows.select(F.col("_id").alias("id"), F.col("_v").alias("c")), "id")
+             .join(asked.select(F.col("_id").alias("qid"), F.col("_v").alias("q")), "qid").select("q", "c"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,53 +221,113 @@ def search_index(queries: DataFrame, path: str, k: int = 10, *, probes: int | No
     spark = queries.sparkSession
     note = read_index_note(spark, path)
     centres, width = np.array(note["centres"]), note["width"]
-    probes = max(1, min(probes or note["probes"], len(centres)))
+    lists, probes = len(centres), max(1, min(probes or note["probes"], len(centres)))
     q = vector_rows(queries, query_id, vector)
+    blocks = spark.read.schema("ids binary, vecs binary, list int").parquet(f"{path}/lists")
+
+    # lists in an order in which neighbours are near each other; from here on a list goes by its place in it
+    order = near_order(centres)
+    place = np.argsort(order).astype(np.int32)
+    sizes, homes = np.zeros(lists, np.int64), np.zeros(lists, np.int64)
+    for r in blocks.groupBy("list").agg(F.sum(F.length("ids") / 8).cast("long").alias("n")).collect():
+        sizes[place[r.list]] = r.n
+    wanted = 2 * parallelism(spark)
+    most = max(1, min(CELL_ROWS, CELL_BYTES // (4 * width)))
+    group, cells = spread(sizes, min(most, max(MIN_BLOCK_QUERIES, -(-int(sizes.sum()) // math.isqrt(wanted)))))
+    first = np.cumsum(cells) - cells
+    low = np.flatnonzero(np.diff(group, prepend=-1))  # the first list of every group
+    high = np.append(low[1:], lists)
+
+    def probed(x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row, home list, lists that are probed) of some rows at a time."""
+        step = max(1, _SIMS // lists)
+        for at in range(0, len(x), step):
+            own = place[nearest_lists(unit_rows(x[at:at + step].astype(np.float64)), centres, probes)]
+            mask = np.zeros((len(own), lists), bool)
+            np.put_along_axis(mask, own, True, axis=1)
+            yield at, own[:, 0], mask
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, asks = np.zeros(lists, np.int64), np.zeros((lists, len(low)), bool)
+        for batch in batches:
+            for _, home, mask in probed(vector_matrix(batch.column("_v"), width, np.float32)):
+                n += np.bincount(home, minlength=lists)
+                row, own = np.nonzero(np.logical_or.reduceat(mask, low, axis=1))
+                asks[home[row], own] = True
+        home, own = np.nonzero(asks)
+        new = np.diff(home, prepend=-1) > 0
+        yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(own, pa.int32()),
+                                          pa.array(np.where(new, n[home], 0))], ["home", "own", "n"])
+
+    asks = q.mapInArrow(count, "home int, own int, n long").groupBy("home", "own").agg(F.sum("n").alias("n")).toArrow()
+    home, own = asks["home"].to_numpy(), asks["own"].to_numpy()
+    np.add.at(homes, home, asks["n"].to_numpy())
+    n = int(homes.sum())
+    pieces = max(1, min(-(-wanted // max(1, int(cells.sum()))), n // MIN_BLOCK_QUERIES))
+    at_once = max(1, min(CELL_QUERIES, CELL_BYTES // (4 * width)))
+    q_group, q_cells = spread(homes, min(at_once, max(1, -(-n // pieces))))
+    q_first = np.cumsum(q_cells) - q_cells
+    pairs = np.unique(np.stack([own, q_group[home]], axis=1), axis=0) if n else np.zeros((0, 2), np.int64)
+    asking = {int(g): [int(q_first[p] + i) for p in pairs[pairs[:, 0] == g, 1] for i in range(q_cells[p])]
+              for g in np.unique(pairs[:, 0])}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.random.default_rng(0).integers(0, 1 << 64, width + 1, np.uint64, endpoint=False) | np.uint64(1)
         for batch in batches:
             if not len(batch):
                 continue
-            every, all_ids = vector_matrix(batch.column("_v"), width, np.float32), batch.column("_id").to_numpy()
-            step = max(1, _SIMS // probes)
-            for at in range(0, len(every), step):
-                x, ids = every[at:at + step], all_ids[at:at + step]
-                own = nearest_lists(unit_rows(x.astype(np.float64)), centres, probes).reshape(-1)
-                row = np.repeat(np.arange(len(x), dtype=np.int32), probes)
-                order = np.argsort(own, kind="stable")
-                cut = np.flatnonzero(np.diff(own[order], prepend=-1))
-                for lo, hi in zip(cut, np.append(cut[1:], len(order)), strict=True):  # the vectors of one list at a time
+            x, ids = vector_matrix(batch.column("_v"), width, np.float32), batch.column("_id").to_numpy()
+            home, asks = np.empty(len(x), np.int16), np.empty((len(x), len(low)), bool)
+            bits = np.empty((len(x), -(-lists // 8)), np.uint8)
+            for at, near, mask in probed(x):
+                some = slice(at, at + len(near))
+                home[some], bits[some] = near, np.packbits(mask, axis=1)
+                asks[some] = np.logical_or.reduceat(mask, low, axis=1)
+            # the cell of a row depends on nothing but the row
+            mixed = ids.astype(np.uint64) * weights[width]
+            for i in range(width):
+                mixed += np.ascontiguousarray(x[:, i]).view(np.uint32) * weights[i]
+            mixed ^= mixed >> np.uint64(32)
+            own = q_group[home]
+            piece = q_first[own] + (mixed % q_cells[own].astype(np.uint64)).astype(np.int64)
+            by = np.lexsort((home, piece))
+            cut = np.flatnonzero(np.diff(piece[by], prepend=-1))
+            for lo, hi in zip(cut, np.append(cut[1:], len(by)), strict=True):
+                rows = by[lo:hi]
+                for g in np.flatnonzero(asks[rows].any(axis=0)).tolist():
+                    some = rows[asks[rows, g]]
                     yield pa.RecordBatch.from_pylist(
-                        [{"list": int(own[order[lo]]), "ids": ids[row[order[lo:hi]]].tobytes(),
-                          "vecs": x[row[order[lo:hi]]].tobytes()}], _BLOCK)
-
-    # a list of many rows is cut by a hash of its blocks, the queries by a hash of their packs; all parts meet
-    blocks = spark.read.schema("ids binary, vecs binary, list int").parquet(f"{path}/lists")
-    sizes = blocks.groupBy("list").agg(F.ceil(F.sum(F.length("ids")) / (8 * CELL_ROWS)).cast("int").alias("parts"))
-    pieces = max(1, -(-q.count() // CELL_QUERIES))
-    parts = F.broadcast(sizes)  # a row per list
-
-    def some(column: str, n):
-        return F.pmod(F.xxhash64(column), n).cast("int")
-
-    def every_of(n):
-        return F.explode(F.sequence(F.lit(0), n - F.lit(1)))
-
-    cell = ["list", "part", "piece"]
-    left = (q.mapInArrow(ask, _BLOCK_DDL).join(parts, "list").withColumn("piece", some("ids", F.lit(pieces)))
-            .select("list", "piece", "ids", "vecs", every_of(F.col("parts")).alias("part")))
-    right = (blocks.join(parts, "list").withColumn("part", some("ids", F.col("parts")))
-             .select("list", "part", "ids", "vecs", every_of(F.lit(pieces)).alias("piece")))
-
-    def packed(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return (np.concatenate([np.frombuffer(b.as_buffer(), np.int64) for b in t["ids"]]),
-                np.concatenate([np.frombuffer(b.as_buffer(), np.float32) for b in t["vecs"]]).reshape(-1, width))
+                        [{"piece": int(piece[some[0]]), "part": int(first[g]), "cells": int(cells[g]),
+                          "ids": ids[some].tobytes(), "vecs": x[some].tobytes(), "homes": home[some].tobytes(),
+                          "asks": bits[some, low[g] // 8:-(-high[g] // 8)].tobytes()}], _ASKED)
+
+    # a group of lists meets the queries that probe one of them; a long list is cut by a hash of its blocks
+    table = spark.createDataFrame(
+        [(int(order[i]), int(first[g]), int(cells[g]), asking[int(g)]) for i, g in enumerate(group) if int(g) in asking],
+        "list int, part int, cells int, asking array<int>")  # a row per list
+    left = q.mapInArrow(ask, _ASKED_DDL).withColumn(
+        "part", F.explode(F.sequence(F.col("part"), F.col("part") + F.col("cells") - 1)))
+    right = (blocks.join(F.broadcast(table), "list")
+             .withColumn("part", F.col("part") + F.pmod(F.xxhash64("ids"), F.col("cells")).cast("int"))
+             .select("list", "part", "ids", "vecs", F.explode("asking").alias("piece")))
+    cell, shuffle = ["piece", "part"], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(shuffle, min(4 * sum(len(a) * int(cells[g]) for g, a in asking.items()), 2 * shuffle))
+    left, right = left.repartition(tasks, *cell), right.repartition(tasks, *cell)
+
+    def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+        return np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in column])
 
     def rank(qt: pa.Table, ct: pa.Table) -> pa.Table:
         if not len(qt) or not len(ct):
             return _KNN.empty_table()
-        (qids, x), (ids, v) = packed(qt), packed(ct)
-        i, found, sims = top_k(qids, x, ids, v, k, exclude_self)
+        g = group[place[ct["list"][0].as_py()]]
+        home = joined(qt["homes"], np.int16)
+        by = np.argsort(home, kind="stable")
+        bits = joined(qt["asks"], np.uint8).reshape(len(home), -1)[by]
+        qids, x = joined(qt["ids"], np.int64)[by], joined(qt["vecs"], np.float32).reshape(-1, width)[by]
+        ids, v = joined(ct["ids"], np.int64), joined(ct["vecs"], np.float32).reshape(-1, width)
+        own = np.repeat(place[ct["list"].to_numpy()] - low[g] // 8 * 8, [len(b.as_buffer()) // 8 for b in ct["ids"]])
+        i, found, sims = top_k(qids, x, ids, v, k, exclude_self, own, bits)
         return pa.table([qids[i], found, sims], schema=_KNN)
 
     return best_k(left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(rank, _KNN_DDL), k)

@@ -75,11 +75,17 @@ def candidates(sims: np.ndarray, k: int, floor: np.ndarray, off: np.float32) ->
     return i[some], j[some]
 
 
-def top_k(qids: np.ndarray, q: np.ndarray, cids: np.ndarray, c: np.ndarray, k: int, exclude_self: bool):
-    """(query number, id, similarity) of the k best rows of every query: best first, ties by the smaller id."""
+def top_k(qids: np.ndarray, q: np.ndarray, cids: np.ndarray, c: np.ndarray, k: int, exclude_self: bool,
+          lists: np.ndarray | None = None, asked: np.ndarray | None = None):
+    """(query number, id, similarity) of the k best rows of every query: best first, ties by the smaller id.
+
+    With ``lists``, the list of every row, a query reads only the lists whose bit is set in its row of ``asked``
+    (as ``np.packbits`` makes it).
+    """
     rows_q, rows_id, rows_s = [], [], []
-    ordered = np.argsort(cids, kind="stable")
-    cids, off = cids[ordered], margin(c.shape[1])
+    lists = np.zeros(len(cids), np.int32) if lists is None else lists
+    ordered = np.lexsort((cids, lists))
+    cids, lists, off = cids[ordered], lists[ordered], margin(c.shape[1])
 
     def unit(m: np.ndarray) -> np.ndarray:
         return unit_rows(m.astype(np.float64))
@@ -88,25 +94,40 @@ def top_k(qids: np.ndarray, q: np.ndarray, cids: np.ndarray, c: np.ndarray, k: i
     for lo in range(0, len(cids), TILE_ROWS):
         near[lo:lo + TILE_ROWS] = unit(c[ordered[lo:lo + TILE_ROWS]])
     lost = np.flatnonzero(~np.isfinite(near).all(axis=1))
+    cut = np.append(np.flatnonzero(np.diff(lists, prepend=-1)), len(lists))
+    tiles = [(int(lists[a]), lo, min(lo + TILE_ROWS, b)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
+             for lo in range(a, b, TILE_ROWS)]
     for at in range(0, len(qids), TILE_QUERIES):
         ids, part = qids[at:at + TILE_QUERIES], unit(q[at:at + TILE_QUERIES])
         exact, part = limbs(part), part.astype(np.float32)
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         floor = np.full(len(ids), -np.inf)
-        for lo in range(0, len(cids), TILE_ROWS):
-            own = cids[lo:lo + TILE_ROWS]
-            sims = part @ near[lo:lo + TILE_ROWS].T
-            sims[:, lost[(lost >= lo) & (lost < lo + TILE_ROWS)] - lo] = -np.inf
-            if exclude_self:
-                first, last = np.searchsorted(own, ids, "left"), np.searchsorted(own, ids, "right")
-                for r in np.flatnonzero(first < last).tolist():
-                    sims[r, first[r]:last[r]] = -np.inf
-            i, j = candidates(sims, k, floor, off)
+        reads = None if asked is None else np.unpackbits(asked[at:at + TILE_QUERIES], axis=1).astype(bool)
+        held, pairs, seen = [], 0, 0
+        for number, (name, lo, hi) in enumerate(tiles):
+            some = np.arange(len(ids)) if reads is None else np.flatnonzero(reads[:, name])
+            if len(some):
+                own = cids[lo:hi]
+                sims = (part if len(some) == len(ids) else part[some]) @ near[lo:hi].T
+                sims[:, lost[(lost >= lo) & (lost < hi)] - lo] = -np.inf
+                if exclude_self:
+                    first, last = np.searchsorted(own, ids[some], "left"), np.searchsorted(own, ids[some], "right")
+                    for r in np.flatnonzero(first < last).tolist():
+                        sims[r, first[r]:last[r]] = -np.inf
+                i, j = candidates(sims, k, floor[some], off)
+                if len(i):
+                    held.append((some[i], lo + j))
+                pairs, seen = pairs + len(i), seen + hi - lo
+            # short lists are scored and ranked together
+            if not held or (seen < TILE_ROWS and pairs < 8 * k * len(ids) and number < len(tiles) - 1):
+                continue
+            i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+            held, pairs, seen = [], 0, 0
             s = np.empty(len(i))
             for a in range(0, len(i), PAIRS):
                 rows, place = np.unique(j[a:a + PAIRS], return_inverse=True)
-                s[a:a + PAIRS] = pair_scores(exact, limbs(unit(c[ordered[lo + rows]])), i[a:a + PAIRS], place)
-            i, d, s = (np.concatenate(x) for x in zip(best, (i, own[j], s), strict=True))
+                s[a:a + PAIRS] = pair_scores(exact, limbs(unit(c[ordered[rows]])), i[a:a + PAIRS], place)
+            i, d, s = (np.concatenate(x) for x in zip(best, (i, cids[j], s), strict=True))
             order = np.lexsort((d, -s, i))
             i, d, s = i[order], d[order], s[order]
             start = np.searchsorted(i, np.arange(len(ids) + 1))

@@ -103,3 +103,75 @@ def test_memory_of_nearest_lists():
         tracemalloc.stop()
     assert peak < 40 << 20
     assert (own == np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :3]).all()
+
+
+def shuffled(df):
+    """Bytes that the shuffles of a collected frame wrote."""
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        elif not name.startswith("Reused"):
+            metric = node.metrics().get("shuffleBytesWritten")
+            total += metric.get().value() if metric.isDefined() else 0
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_a_query_is_not_shuffled_once_for_every_list_it_probes(spark, path):
+    """On noise a query probes most lists: its vector goes to every group of lists, not to every list."""
+    import pandas as pd
+    x = np.random.default_rng(4).normal(size=(4000, 64)).astype(np.float32)
+    file = tempfile.mkdtemp(prefix="tessera-test-") + "/v.parquet"
+    pd.DataFrame({"id": np.arange(len(x)), "embedding": list(x)}).to_parquet(file)
+    v = spark.read.parquet(file)
+    note = ivf.build_index(v, path)
+    assert note["probes"] > 30
+    got = ivf.search_index(v, path)
+    assert len(got.collect()) == 40000
+    assert 2 * x.nbytes < shuffled(got) < 16 * x.nbytes
+
+
+@pytest.mark.parametrize("cell", [64, 1 << 17])
+def test_only_probed_lists_are_read_and_all_of_them(spark, path, monkeypatch, cell):
+    """Against plain NumPy: ids that repeat, a hot list, an empty row, queries that are not in the table."""
+    rng = np.random.default_rng(5)
+    at = np.concatenate([np.zeros(300, int), rng.integers(0, 30, 600)])
+    x = (rng.normal(size=(30, 8))[at] + 0.5 * rng.normal(size=(900, 8))).astype(np.float32)
+    ids = np.arange(900) % 850
+    schema = "id long, embedding array<float>"
+    v = spark.createDataFrame([(int(i), [float(c) for c in r]) for i, r in zip(ids, x, strict=True)], schema)
+    monkeypatch.setattr(ivf, "BLOCK_ROWS", 16)
+    note = ivf.build_index(v, path, lists=20)
+    asks = rng.normal(size=(200, 8)).astype(np.float32)
+    q = v.filter("id < 300").unionAll(spark.createDataFrame(
+        [(5000 + i, [float(c) for c in r]) for i, r in enumerate(asks)] + [(None, [1.0] * 8), (9000, None)], schema))
+    for name in ("CELL_ROWS", "CELL_QUERIES"):
+        monkeypatch.setattr(ivf, name, cell)
+    got = sorted((r.qid, r.rank, r.id, round(r.sim, 6)) for r in ivf.search_index(q, path, 4, probes=3).collect())
+
+    centres, kept = np.array(note["centres"]), {}
+    for r in spark.read.parquet(path + "/lists").collect():
+        kept.setdefault(r.list, []).extend(zip(np.frombuffer(r.ids, np.int64).tolist(),
+                                               np.frombuffer(r.vecs, np.float32).reshape(-1, 8).astype(float), strict=True))
+    found = {}
+    for qid, y in [(int(i), r) for i, r in zip(ids, x, strict=True) if i < 300] + list(enumerate(asks, 5000)):
+        y = y.astype(float)
+        for name in ivf.nearest_lists(ivf.unit_rows(y[None]), centres, 3)[0]:
+            found.setdefault(qid, []).extend((-(y @ c) / np.linalg.norm(y) / np.linalg.norm(c), i)
+                                             for i, c in kept.get(int(name), []) if i != qid)
+    want = sorted((qid, n + 1, i, round(-s, 6)) for qid, rows in found.items() for n, (s, i) in enumerate(sorted(rows)[:4]))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], atol=2e-6)
+
+
+def test_lists_are_laid_out_in_groups_of_bounded_size():
+    group, cells = ivf.spread(np.array([5, 0, 4, 30, 2, 2, 9, 0]), 10)
+    assert group.tolist() == [0, 0, 0, 1, 2, 2, 3, 3] and cells.tolist() == [1, 3, 1, 1]
+    centres = np.random.default_rng(6).normal(size=(37, 5))
+    assert sorted(ivf.near_order(centres).tolist()) == list(range(37))
+    assert ivf.near_order(np.zeros((1, 5))).tolist() == [0]
