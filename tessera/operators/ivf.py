@@ -49,7 +49,8 @@ PROBE_ROWS, RECALL = 200, 0.95
 ITERATIONS = 10
 #: Similarities of rows and centres held at a time.
 _SIMS = 1 << 19
-#: Bytes of vectors that a task packs; rows of lists and queries that meet in one task at a time, and bytes of either.
+#: Bytes of vectors that a task holds to pack them; rows of lists and queries that meet in one task at a time, and
+#: bytes of either.
 PACK_BYTES, CELL_ROWS, CELL_QUERIES, CELL_BYTES = 64 << 20, 1 << 17, 1 << 17, 32 << 20
 _BLOCK = pa.schema([("list", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary())])
 _BLOCK_DDL = "list int, ids binary, vecs binary"
@@ -151,6 +152,7 @@ def build_index(vectors: DataFrame, path: str, lists: int | None = None, *, row_
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        rows_held = 0
         for batch in batches:
             if not len(batch):
                 continue
@@ -159,8 +161,14 @@ def build_index(vectors: DataFrame, path: str, lists: int | None = None, *, row_
             for name in np.unique(own).tolist():
                 part = own == name
                 held.setdefault(name, []).append((ids[part], x[part].astype(np.float32)))
-                if sum(len(i) for i, _ in held[name]) >= BLOCK_ROWS:
+                rows_held += int(part.sum())
+                if (n_rows := sum(len(i) for i, _ in held[name])) >= BLOCK_ROWS:
+                    rows_held -= n_rows
                     yield block(name, held.pop(name))
+            if rows_held * (4 * width + 8) >= PACK_BYTES:
+                for name in list(held):
+                    yield block(name, held.pop(name))
+                rows_held = 0
         for name, parts in held.items():
             yield block(name, parts)
 
@@ -168,8 +176,7 @@ def build_index(vectors: DataFrame, path: str, lists: int | None = None, *, row_
         return pa.RecordBatch.from_pylist([{"list": name, "ids": np.concatenate([i for i, _ in parts]).tobytes(),
                                             "vecs": np.concatenate([v for _, v in parts]).tobytes()}], _BLOCK)
 
-    (rows.repartition(max(1, -(-n * (4 * width + 8) // PACK_BYTES)), "_id").mapInArrow(pack, _BLOCK_DDL)
-     .repartition("list").write.partitionBy("list").parquet(f"{path}/lists"))
+    (rows.mapInArrow(pack, _BLOCK_DDL).repartition("list").write.partitionBy("list").parquet(f"{path}/lists"))
     note = {"rows": n, "width": width, "lists": len(centres), "k": k, "recall": recall, "probes": len(centres),
             "centres": [[float(v) for v in c] for c in centres]}
     if n > 1:

@@ -21,8 +21,8 @@ KNN_SCHEMA = "qid long, rank int, id long, sim double"
 _KNN = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("sim", pa.float64())])
 _KNN_DDL = "qid long, id long, sim double"
 # Bytes of the vectors of one block of queries or of corpus rows, counted in float64; a task holds them in float32.
-DEFAULT_QUERY_BLOCK_BYTES = 32 << 20
-DEFAULT_CORPUS_BLOCK_BYTES = 32 << 20
+DEFAULT_QUERY_BLOCK_BYTES = 64 << 20
+DEFAULT_CORPUS_BLOCK_BYTES = 64 << 20
 # Queries worth a block of their own when blocks are made for the sake of parallelism.
 MIN_BLOCK_QUERIES = 64
 
